@@ -120,7 +120,7 @@ def ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
 class SpanCache:
     """Lists of ids by the hash of a span, kept between batches; at most about `limit` spans, then it starts anew."""
 
-    def __init__(self, limit: int = 600_000) -> None:
+    def __init__(self, limit: int = 1_500_000) -> None:
         self.limit = limit
         self.clear()
 
@@ -140,9 +140,9 @@ class SpanCache:
         new = np.flatnonzero(self.keys[at] != h) if len(self.keys) else np.arange(len(h))
         if len(new):
             ids, bounds = encode(begin[first[new]], length[first[new]])
-            keys, slot = np.concatenate([self.keys, h[new]]), np.concatenate([self.slot, len(self.begin) + np.arange(len(new))])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.slot = keys[order], slot[order]
+            place = np.searchsorted(self.keys, h[new])
+            self.slot = np.insert(self.slot, place, len(self.begin) + np.arange(len(new)))
+            self.keys = np.insert(self.keys, place, h[new])
             self.begin = np.concatenate([self.begin, len(self.ids) + bounds[:-1]])
             self.length = np.concatenate([self.length, np.diff(bounds)])
             self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
