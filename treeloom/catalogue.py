@@ -4,16 +4,417 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .functions import codec, json_values, strings, typed, uri
+from .operators import dtd, web
+from .plans.el import Compiler, el
+from .plans.template import Template, template
+from .plans.xpath import xpath
+from .sources import xml as X
+from .streaming import access_log
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+TPL = 'xmlns:t="http://treeloom.example/template"'
+TPL1 = 'xmlns:m="http://treeloom.example/template-v1"'
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def order_docs(spark: SparkSession, d: str) -> DataFrame:
+    """One XML document for each order that has lines: its lines aggregate by key before the join with orders."""
+    line = X.element("line", {"no": F.col("l_linenumber"), "flag": F.col("l_returnflag"), "qty": F.col("l_quantity").cast("int"), "price": F.col("l_extendedprice").cast("decimal(18,2)")})
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("x")))), lambda s: s["x"]), "").alias("lines"))
+    orders = table(spark, d, "orders").withColumnRenamed("o_orderkey", "doc_id").join(lines, "doc_id")
+    return orders.select("doc_id", "o_orderstatus", X.element("order", {"id": F.col("doc_id"), "status": F.col("o_orderstatus")}, F.col("lines")).alias("xml"))
+
+
+def order_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return X.shred(order_docs(spark, d))
+
+
+def geo_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """A document for each region: its nations, and their customers in order of key."""
+    c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", X.element("customer", {"id": F.col("c_custkey")}).alias("x")))), lambda s: s["x"]), "").alias("inner"))
+    n = table(spark, d, "nation").join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    n = n.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", X.element("nation", {"name": F.col("n_name")}, F.col("inner")).alias("x")))), lambda s: s["x"]), "").alias("nations"))
+    r = table(spark, d, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"))
+    return X.shred(r.select(F.col("r_regionkey").cast("long").alias("doc_id"), X.element("region", {"name": F.col("r_name")}, F.col("nations")).alias("xml")))
+
+
+@query("""SELECT o_orderstatus, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY 1""")
+def xpath_attr_filter_sum(spark, d):
+    """Builds XML, selects by an attribute predicate with the built-in engine, sums."""
+    prices = order_docs(spark, d).select("o_orderstatus", F.explode(F.xpath("xml", F.lit('/order/line[@flag="R"]/@price'))).alias("p"))
+    return prices.groupBy("o_orderstatus").agg(F.sum(F.col("p").try_cast("decimal(18,2)")).cast("double").alias("total"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return xpath_attr_filter_sum(spark, sf_dir)
+
+
+@query("""SELECT o_orderstatus, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY 1""")
+def xpath_attr_filter_sum_nodes(spark, d):
+    """The same by the node table."""
+    nodes = order_nodes(spark, d)
+    status = order_docs(spark, d).select("doc_id", "o_orderstatus")
+    return xpath(nodes, '/order/line[@flag="R"]/@price').join(status, "doc_id").groupBy("o_orderstatus").agg(F.sum(F.col("value").try_cast("decimal(18,2)")).cast("double").alias("total"))
+
+
+@query("SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def xpath_child_count(spark, d):
+    return xpath(order_nodes(spark, d), "/order/line").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_regionkey::BIGINT AS doc_id, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def xpath_descendant(spark, d):
+    return xpath(geo_nodes(spark, d), "//customer").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_regionkey::BIGINT AS doc_id, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def xpath_ancestor(spark, d):
+    """Each customer's region by the ancestor axis; one row for every customer."""
+    return xpath(geo_nodes(spark, d), "//customer/ancestor::region").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT l_orderkey AS doc_id, sum(n - 1)::BIGINT AS following, sum(n - 1)::BIGINT AS preceding FROM (SELECT l_orderkey, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1 HAVING sum(n - 1) > 0""".replace("sum(n - 1)", "(sum(n - 1) / 2)"))
+def xpath_siblings(spark, d):
+    nodes = order_nodes(spark, d)
+    both = [xpath(nodes, f"//line/{a}-sibling::line").groupBy("doc_id").agg(F.count("*").alias(a)) for a in ("following", "preceding")]
+    return both[0].join(both[1], "doc_id")
+
+
+@query("""SELECT r AS doc_id, (sum(c * (t - c)) / 2)::BIGINT AS following, (sum(c * (t - c)) / 2)::BIGINT AS preceding FROM (SELECT n_regionkey::BIGINT AS r, count(c_custkey) AS c, sum(count(c_custkey)) OVER (PARTITION BY n_regionkey) AS t FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_regionkey, n_nationkey) GROUP BY 1""")
+def xpath_following_preceding(spark, d):
+    """Pairs of customers of different nations, in both directions, by rank ranges; siblings of one nation are taken off."""
+    nodes = geo_nodes(spark, d)
+    out = []
+    for a in ("following", "preceding"):
+        all_of = xpath(nodes, f"//customer/{a}::customer").groupBy("doc_id").agg(F.count("*").alias("n"))
+        near = xpath(nodes, f"//customer/{a}-sibling::customer").groupBy("doc_id").agg(F.count("*").alias("m"))
+        out.append(all_of.join(near, "doc_id").select("doc_id", (F.col("n") - F.col("m")).alias(a)))
+    return out[0].join(out[1], "doc_id")
+
+
+@query("""SELECT doc_id, no, k FROM (SELECT l_orderkey AS doc_id, l_linenumber AS no, row_number() OVER w AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)) WHERE k = n""")
+def xpath_position_last(spark, d):
+    nodes = order_nodes(spark, d)
+    last = xpath(nodes, "/order/line[last()]").select("doc_id", "pre", F.col("ord").cast("long").alias("k"))
+    no = xpath(nodes, "/order/line/@no").select("doc_id", F.col("parent_pre").alias("pre"), F.col("value").cast("int").alias("no"))
+    return last.join(no, ["doc_id", "pre"]).select("doc_id", "no", "k")
+
+
+@query("SELECT o_orderkey AS doc_id FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def xpath_exists_semi(spark, d):
+    return xpath(order_nodes(spark, d), "/order[line/@flag='R']" if False else "/order[line[@flag='R']]").select("doc_id")
+
+
+@query("SELECT o_orderkey AS doc_id FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def xpath_not_anti(spark, d):
+    return xpath(order_nodes(spark, d), "/order[not(line[@flag='R'])]").select("doc_id")
+
+
+@query("SELECT l_orderkey AS doc_id, l_quantity::INTEGER AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT l_orderkey, l_quantity::INTEGER FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'")
+def xpath_union_bag(spark, d):
+    return xpath(order_nodes(spark, d), "//line/@qty | //line[@flag='R']/@qty").select("doc_id", F.col("value").cast("int").alias("qty"))
+
+
+def part_nodes(spark, d):
+    p = table(spark, d, "part")
+    return X.shred(p.select(F.col("p_partkey").alias("doc_id"), X.element("part", {"price": F.col("p_retailprice"), "size": F.col("p_size")}, strings.escape_xml(F.col("p_name"))).alias("xml")))
+
+
+@query("SELECT p_partkey AS doc_id FROM part WHERE contains(p_name, 'a') AND substr(p_name, 2, 3) <> 'zzz' AND length(p_name) > 5 AND starts_with(concat(p_name, 'x'), left(p_name, 1)) AND translate(p_name, 'ab', 'AB') <> p_name")
+def xpath_string_funcs(spark, d):
+    return xpath(part_nodes(spark, d), "/part[contains(., 'a') and substring(., 2, 3) != 'zzz' and string-length(.) > 5 and starts-with(concat(., 'x'), substring(., 1, 1)) and translate(., 'ab', 'AB') != string(.)]").select("doc_id")
+
+
+@query("SELECT p_partkey AS doc_id FROM part WHERE floor(p_retailprice) % 2 = 1 AND ceil(p_retailprice) > 900 AND p_size * 2 + 1 > 21 AND p_size / 4.0 < 10")
+def xpath_number_funcs(spark, d):
+    return xpath(part_nodes(spark, d), "/part[floor(number(@price)) mod 2 = 1 and ceiling(@price) > 900 and @size * 2 + 1 > 21 and @size div 4 < 10]").select("doc_id")
+
+
+@query("SELECT n_regionkey::BIGINT AS doc_id, n_name AS name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL HAVING count(c_custkey) > 5")
+def xpath_count_predicate(spark, d):
+    nodes = geo_nodes(spark, d)
+    kept = xpath(nodes, "//nation[count(customer) > 5]").select("doc_id", "pre")
+    name = xpath(nodes, "//nation/@name").select("doc_id", F.col("parent_pre").alias("pre"), F.col("value").alias("name"))
+    n = xpath(nodes, "//nation/customer").groupBy("doc_id", F.col("parent_pre").alias("pre")).agg(F.count("*").alias("n"))
+    return kept.join(name, ["doc_id", "pre"]).join(n, ["doc_id", "pre"]).select("doc_id", "name", "n")
+
+
+@query("SELECT doc_id, text AS value FROM documents WHERE lang IN ('de', 'fr')")
+def xml_lang_inherit(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", X.element("doc", {"xml:lang": F.concat(F.upper("lang"), F.lit("-x"))}, X.element("p", {}, strings.escape_xml(F.regexp_replace("text", "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")))).alias("xml"))
+    return xpath(X.shred(docs), "//p[lang('de') or lang('fr')]").select("doc_id", F.col("str_value").alias("value"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def xml_roundtrip(spark, d):
+    n = table(spark, d, "nation").select(typed.to_xml(F.struct("n_nationkey", "n_name", "n_regionkey"), "nation").alias("xml"))
+    return n.select(typed.from_xml(F.col("xml"), "n_nationkey int, n_name string, n_regionkey int", "nation").alias("r")).select("r.*")
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM documents")
+def xml_escape(spark, d):
+    return table(spark, d, "documents").select("doc_id", strings.escape_xml(F.col("text"), True).alias("escaped"))
+
+
+@query()
+def xml_wf_verdict(spark, d):
+    return X.verdicts(table(spark, d, "pages"), "page_id", "html")
+
+
+@query("SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def xml_rewrite(spark, d):
+    """Documents written again from their nodes, read by the built-in engine."""
+    return X.from_nodes(order_nodes(spark, d)).select("doc_id", F.size(F.xpath("xml", F.lit("/order/line/@no"))).cast("long").alias("n"))
+
+
+DTD = "<!ELEMENT orders (order*)> <!ELEMENT order (line, line, line*)> <!ATTLIST order id ID #REQUIRED ref IDREF #IMPLIED state (F|O) 'O' priority CDATA #REQUIRED> <!ELEMENT line EMPTY>"
+
+
+def checked_nodes(spark, d):
+    """A document for each customer; every tenth order's id is that of its predecessor, references point to the order before, blank priorities are left out."""
+    o = table(spark, d, "orders").filter("o_custkey IS NOT NULL")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    o = o.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left").na.fill({"n": 0})
+    ident = F.when(F.col("o_orderkey") % 10 == 0, F.col("o_orderkey") - 1).otherwise(F.col("o_orderkey"))
+    e = X.element("order", {"id": F.concat(F.lit("o"), ident.cast("string")), "ref": F.concat(F.lit("o"), (F.col("o_orderkey") - 1).cast("string")), "priority": F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority"))}, F.repeat(F.lit("<line/>"), F.col("n").cast("int")))
+    docs = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.concat(F.lit("<orders>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", e.alias("x")))), lambda s: s["x"]), ""), F.lit("</orders>")).alias("xml"))
+    return X.shred(docs)
+
+
+def _attrs(spark):
+    found = X.dtd_declarations(DTD)
+    return spark.createDataFrame([tuple(x[k] for k in ("element", "attribute", "type", "default", "required", "fixed")) for x in found["attributes"]], "element string, attribute string, type string, default string, required boolean, fixed boolean")
+
+
+_IDS = "SELECT o_custkey AS doc_id, o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey - 1 ELSE o_orderkey END AS id, o_orderkey - 1 AS ref FROM orders"
+
+
+@query("SELECT o_custkey AS doc_id, count(*) AS n FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY 1")
+def dtd_missing_required(spark, d):
+    return dtd.missing_required(checked_nodes(spark, d), _attrs(spark)).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH i AS ({_IDS}) SELECT doc_id, count(*) AS n FROM i a WHERE NOT EXISTS (SELECT 1 FROM i b WHERE b.doc_id = a.doc_id AND b.id = a.ref) GROUP BY 1")
+def dtd_idref_dangling(spark, d):
+    return dtd.dangling_references(checked_nodes(spark, d), _attrs(spark)).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH i AS ({_IDS}) SELECT doc_id, 'o' || id AS detail FROM i GROUP BY doc_id, id HAVING count(*) > 1")
+def dtd_dup_id(spark, d):
+    return dtd.duplicate_ids(checked_nodes(spark, d), _attrs(spark)).select("doc_id", "detail")
+
+
+@query("SELECT o_custkey AS doc_id, count(*) AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS c FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE coalesce(c, 0) < 2 GROUP BY 1")
+def dtd_content_model(spark, d):
+    found = X.dtd_declarations(DTD)["elements"]
+    models = spark.createDataFrame([tuple(x[k] for k in ("element", "model", "any", "mixed")) for x in found], "element string, model string, any boolean, mixed boolean")
+    return dtd.content_models(checked_nodes(spark, d), models).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey AS doc_id, count(*) AS n FROM orders GROUP BY 1")
+def dtd_default_attributes(spark, d):
+    return dtd.default_attributes(checked_nodes(spark, d), _attrs(spark)).filter("value = 'O'").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, (props->>'k')::BIGINT AS k, 'object' AS kind, true AS truth, 1 AS size FROM events")
+def json_get(spark, d):
+    v = json_values.parse(F.col("props"))
+    return table(spark, d, "events").select("event_id", json_values.get(v, "$.k", "bigint").alias("k"), json_values.type_name(v).alias("kind"), json_values.truth(v).alias("truth"), json_values.size(v).alias("size"))
+
+
+@query("""SELECT event_id, k + 7 AS plus, k - 3 AS minus, k * 2 AS times, k // 3 AS over, k % 4 AS rest, k < 50 AS small, k = 10 AS same FROM (SELECT event_id, (props->>'k')::BIGINT AS k FROM events)""")
+def json_arith(spark, d):
+    k, n = json_values.get(json_values.parse(F.col("props")), "$.k"), lambda x: json_values.parse(F.lit(str(x)))
+    whole = lambda v: json_values.get(v, "$", "bigint")
+    return table(spark, d, "events").select(
+        "event_id", whole(json_values.add(k, n(7))).alias("plus"), whole(json_values.subtract(k, n(3.9))).alias("minus"), whole(json_values.multiply(k, n(2))).alias("times"),
+        whole(json_values.divide(k, n(3))).alias("over"), whole(json_values.modulo(k, n(4))).alias("rest"), json_values.less(k, n(50)).alias("small"), json_values.equals(k, n(10.0)).alias("same"),
+    )
+
+
+@query("SELECT event_id, CASE WHEN value > 50 THEN event_type ELSE 'low' END AS a, coalesce(nullif(event_type, ''), 'none') AS b, event_type IN ('click', 'view') AS c, 'id ' || event_id || ' of ' || user_id AS d, user_id * 2 + 1 AS e FROM events")
+def el_logic(spark, d):
+    e = table(spark, d, "events")
+    forms = {"a": "${value > 50 ? event_type : 'low'}", "b": "${event_type ?: 'none'}", "c": "${event_type in {'click', 'view'}}", "d": "|id ${event_id} of ${user_id}|", "e": "${user_id * 2 + 1}"}
+    return e.select("event_id", *[el(e, f).alias(k) for k, f in forms.items()])
+
+
+@query("SELECT event_id, CASE WHEN b <= 1024 THEN b || '.00 B' WHEN b <= 1048576 THEN format('{:,.2f}', b / 1024.0) || ' K' ELSE format('{:,.2f}', b / 1048576.0) || ' M' END AS size, format('{:,.2f}', b::DOUBLE) AS decimal FROM (SELECT event_id, event_id * 1024 AS b FROM events)")
+def el_formats(spark, d):
+    e = table(spark, d, "events").withColumn("b", F.col("event_id") * 1024)
+    return e.select("event_id", el(e, "#numbers.formatDiskSize(b, 2)").alias("size"), el(e, "#numbers.formatDecimal(b, 1, 2)").alias("decimal"))
+
+
+@query("SELECT page_id, '/p/' || page_id || '?q=' || url_encode(url) AS link FROM pages")
+def el_link(spark, d):
+    p = table(spark, d, "pages")
+    return p.select("page_id", el(p, "@{/p/{id}(id=${page_id},q=${url})}").alias("link"))
+
+
+@query("""SELECT n_regionkey AS r, '<ul>' || string_agg('<li class="' || CASE WHEN k % 2 = 1 THEN 'odd' ELSE 'even' END || '">' || k || '. ' || n_name || '</li>', '' ORDER BY k) || '</ul>' AS html FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS k FROM nation) GROUP BY 1""")
+def tpl_each(spark, d):
+    n = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("r")).agg(F.array_sort(F.collect_list("n_name")).alias("names"))
+    source = f"""<ul {TPL}><li t:each="n, s : ${{names}}" t:class="${{s.odd ? 'odd' : 'even'}}">[[${{s.count}}]]. [[${{n}}]]</li></ul>"""
+    return n.select("r", template(n, source).alias("html"))
+
+
+@query("SELECT o_orderkey, '<p>' || CASE o_orderstatus WHEN 'F' THEN '<b>done</b>' WHEN 'O' THEN '<i>open</i>' ELSE '<u>other</u>' END || '</p>' AS html FROM orders")
+def tpl_switch(spark, d):
+    o = table(spark, d, "orders")
+    source = f"""<p {TPL} t:switch="${{o_orderstatus}}"><b t:case="'F'">done</b><i t:case="'O'">open</i><u t:case="*">other</u></p>"""
+    return o.select("o_orderkey", template(o, source).alias("html"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN '<p class=\"a pos\">' || c_name || '</p>' ELSE '' END || CASE WHEN c_acctbal > 0 THEN '' ELSE '<em>none</em>' END AS html FROM customer")
+def tpl_if(spark, d):
+    c = table(spark, d, "customer")
+    source = f"""<t:block {TPL}><p class="a" t:if="${{c_acctbal > 0}}" t:classappend="'pos'" t:text="${{c_name}}">x</p><em t:unless="${{c_acctbal > 0}}">none</em></t:block>"""
+    return c.select("c_custkey", template(c, source).alias("html"))
+
+
+@query("SELECT n_nationkey, '<ol>' || coalesce(string_agg('<li>' || i || '</li>', '' ORDER BY i), '') || '</ol>' AS html FROM nation LEFT JOIN range(0, 10) t(i) ON i <= n_regionkey AND i >= 1 GROUP BY 1")
+def tpl_for(spark, d):
+    n = table(spark, d, "nation")
+    source = f"""<ol {TPL1}><m:for var="i" begin="1" end="n_regionkey"><li>${{i}}</li></m:for></ol>"""
+    return n.select("n_nationkey", template(n, source).alias("html"))
+
+
+@query("SELECT n_nationkey, '<div><span>' || n_name || ' in ' || n_regionkey || '</span></div>' AS html FROM nation")
+def tpl_fragment(spark, d):
+    n = table(spark, d, "nation")
+    files = {"parts.html": f"""<x {TPL}><span t:fragment="one(a, b)">[[${{a}}]] in [[${{b}}]]</span></x>"""}
+    return n.select("n_nationkey", Template(f"""<div {TPL}><t:block t:replace="~{{parts :: one(${{n_name}}, ${{n_regionkey}})}}"/></div>""", files).render(n).alias("html"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, nullif(regexp_extract(url, '\\?([^#]*)', 1), '') AS query, nullif(regexp_extract(url, '#(.*)$', 1), '') AS fragment FROM pages")
+def uri_parts(spark, d):
+    return table(spark, d, "pages").select("page_id", uri.parse(F.col("url")).alias("u")).select("page_id", "u.scheme", "u.host", "u.path", "u.query", "u.fragment")
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || '/x/z' AS resolved, '../x/z' AS back FROM pages WHERE url LIKE '%://%/%'")
+def uri_resolve(spark, d):
+    p = table(spark, d, "pages").filter("url LIKE '%://%/%'")
+    site = F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0)
+    return p.select("page_id", uri.resolve(F.lit("../../../x/./y/../z"), F.col("url")).alias("resolved"), uri.relative(F.concat(site, F.lit("/x/z")), F.concat(site, F.lit("/a/b"))).alias("back"))
+
+
+@query("SELECT doc_id, url_encode(text) AS encoded, text AS decoded FROM documents")
+def url_coding(spark, d):
+    coded = uri.url_encode(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", coded.alias("encoded"), uri.url_decode(coded).alias("decoded"))
+
+
+@query("SELECT page_id, CASE WHEN path LIKE '%.html' THEN 'page' WHEN regexp_matches(path, '^/(en|de)/') THEN 'main' ELSE 'rest' END AS route FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)")
+def glob_route(spark, d):
+    path = uri.parse(F.col("url"))["path"]
+    return table(spark, d, "pages").select("page_id", web.first_glob(path, [("**/*.html;/*.html", "page"), ("/{en,de}/", "main"), ("**", "rest")]).alias("route"))
+
+
+@query("SELECT page_id, split_part(p, '=', 1) AS name, CASE WHEN contains(p, '=') THEN substr(p, strpos(p, '=') + 1) ELSE '' END AS value FROM (SELECT page_id, unnest(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')) AS p FROM pages) WHERE p <> ''")
+def query_params(spark, d):
+    u = table(spark, d, "pages").select("page_id", F.explode(uri.query_parameters(uri.parse(F.col("url"))["query"])).alias("p"))
+    return u.select("page_id", "p.name", "p.value")
+
+
+@query("SELECT doc_id, to_base64(encode(text)) AS b64, replace(replace(rtrim(to_base64(encode(text)), '='), '+', '-'), '/', '_') AS url64, lower(hex(encode(text))) AS hex, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents")
+def codecs(spark, d):
+    t = F.encode("text", "UTF-8")
+    return table(spark, d, "documents").select("doc_id", codec.base64(t).alias("b64"), codec.base64url(t).alias("url64"), codec.hex_lower(t).alias("hex"), codec.md5(t).alias("md5"), codec.sha1(t).alias("sha1"), codec.sha256(t).alias("sha256"))
+
+
+@query()
+def codecs_keyed(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", codec.base32(F.col("event_type")).alias("b32"), F.hex(codec.hmac(F.col("props"), F.col("event_type"))).alias("mac"), F.hex(codec.pbkdf2(F.col("event_type"), F.lit("salt"), 2, 16)).alias("key"))
+
+
+@query("SELECT event_id, user_id AS user FROM events WHERE event_id % 3 <> 0")
+def jwt_verify(spark, d):
+    """Tokens issued for every event; each third one's is signed with another key and does not verify."""
+    e = table(spark, d, "events")
+    secret = F.when(F.col("event_id") % 3 == 0, F.lit("other")).otherwise(F.lit("key"))
+    tokens = e.select("event_id", web.issue_token(F.to_json(F.struct("user_id", F.lit(2_000_000_000).alias("exp"))), secret).alias("token"))
+    claims = tokens.select("event_id", web.verify_token(F.col("token"), F.lit("key"), F.lit(1_700_000_000)).alias("c")).filter("c IS NOT NULL")
+    return claims.select("event_id", F.get_json_object("c", "$.user_id").cast("long").alias("user"))
+
+
+@query("SELECT event_id, value::INTEGER AS n, try_cast(event_type AS INTEGER) AS junk, strftime(ts, '%Y-%m-%d')::DATE AS day FROM events")
+def typed_cast(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", typed.from_text(F.round("value").cast("int").cast("string"), "xsd:int").alias("n"), typed.from_text(F.col("event_type"), "xsd:int").alias("junk"), typed.from_text(F.date_format("ts", "yyyy-MM-dd"), "xsd:date").alias("day"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS number, CASE o_orderstatus WHEN 'F' THEN 'F' WHEN 'O' THEN 'O' ELSE 'none' END AS name FROM orders")
+def enum_map(spark, d):
+    names = {0: "none", 1: "F", 2: "O"}
+    number = typed.enum_value(F.col("o_orderstatus"), names)
+    return table(spark, d, "orders").select("o_orderkey", number.alias("number"), typed.enum_name(number, names).alias("name"))
+
+
+@query("SELECT event_id, user_id AS id, event_type AS kind FROM events")
+def rest_route(spark, d):
+    path = F.concat(F.lit("/users/"), "user_id", F.lit("/"), "event_type")
+    r = table(spark, d, "events").select("event_id", web.route(path, [("/users", "all"), ("/users/{id}/{kind}", "one")]).alias("r"))
+    return r.select("event_id", F.element_at("r.parameters", "id").cast("long").alias("id"), F.element_at("r.parameters", "kind").alias("kind"))
+
+
+@query("SELECT event_id, 'POST' AS method, event_type AS kind, octet_length(encode(props)) AS size, user_id AS form FROM events")
+def http_requests(spark, d):
+    """Whole messages put together, parsed again, a form value taken from the query."""
+    raw = F.concat(F.lit("POST /e?user="), "user_id", F.lit(" HTTP/1.1\r\nHost: x\r\nX-Kind: "), "event_type", F.lit("\r\nTransfer-Encoding: chunked\r\n\r\n"), F.lower(F.hex(F.octet_length("props"))), F.lit("\r\n"), "props", F.lit("\r\n0\r\n\r\n"))
+    r = table(spark, d, "events").select("event_id", web.parse_request(raw).alias("r"))
+    user = web.parameter(F.regexp_extract("r.uri", r"\?(.*)$", 1), F.lit(None).cast("string"), F.col("r.body"), "user")
+    return r.select("event_id", "r.method", web.header(F.col("r.headers"), "X-Kind").alias("kind"), F.octet_length("r.body").alias("size"), user.cast("long").alias("form"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 0.8 END::DOUBLE AS q, CASE WHEN event_id % 2 = 0 THEN 'en' ELSE 'nl' END AS lang FROM events")
+def accept_rank(spark, d):
+    e = table(spark, d, "events")
+    line = F.when(F.col("event_id") % 2 == 0, "text/*;q=0.5, image/png").otherwise("*/*;q=0.1,text/html;q=0.8")
+    langs = F.when(F.col("event_id") % 2 == 0, "nl;q=0.3, en;q=0.9, de;q=0.9").otherwise("en;q=0.5,nl")
+    return e.select("event_id", web.accept_quality(line, "text/html").alias("q"), F.get(web.accept_languages(langs), F.lit(0)).alias("lang"))
+
+
+@query("SELECT page_id, path NOT LIKE '%.html' AND NOT regexp_matches(path, '^/fr/') AS ok FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)")
+def access_rules(spark, d):
+    path = uri.parse(F.col("url"))["path"]
+    return table(spark, d, "pages").select("page_id", web.access(path, F.array(F.lit("USER")), [("**/*.html;/*.html", ["ADMIN"]), ("/fr/", ["ADMIN", "EDITOR"]), ("**", ["USER"])]).alias("ok"))
+
+
+@query("SELECT event_id, '- - ' || user_id || ' [' || strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0000] \"GET /' || event_type || ' HTTP/1.1\" 200 ' || octet_length(encode(props)) || ' \"-\" \"-\"' AS line FROM events")
+def access_log_lines(spark, d):
+    return access_log.lines(table(spark, d, "events"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    """An extension beside the library's own operators: counts by hour, as a stream would make them."""
+    return access_log.counts(table(spark, d, "events"))

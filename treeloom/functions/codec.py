@@ -9,6 +9,7 @@ import hmac as hm
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -57,12 +58,12 @@ def random_token() -> Column:
     return F.replace(F.uuid(), F.lit("-"), F.lit(""))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def base32(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else b64.b32encode(x if isinstance(x, bytes) else x.encode()).decode())
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def unbase32(text: pd.Series) -> pd.Series:
     def one(x):
         x = "".join(x.split()).upper()
@@ -76,7 +77,7 @@ def hmac(data: Column, key: Column, digest: str = "sha256") -> Column:
     if digest not in ("md5", "sha1", "sha256"):
         raise ValueError(f"unknown digest {digest}")
 
-    @pandas_udf("binary")
+    @pandas_udf(T.BinaryType())
     def run(d: pd.Series, k: pd.Series) -> pd.Series:
         return pd.Series([None if a is None or b is None else hm.new(b, a, digest).digest() for a, b in zip(d, k, strict=True)])
 
@@ -84,7 +85,7 @@ def hmac(data: Column, key: Column, digest: str = "sha256") -> Column:
 
 
 def pbkdf2(password: Column, salt: Column, iterations: int = 30000, length: int = 32, digest: str = "sha256") -> Column:
-    @pandas_udf("binary")
+    @pandas_udf(T.BinaryType())
     def run(p: pd.Series, s: pd.Series) -> pd.Series:
         return pd.Series([None if a is None or b is None else hashlib.pbkdf2_hmac(digest, a, b, iterations, length) for a, b in zip(p, s, strict=True)])
 
@@ -96,7 +97,7 @@ def encode_password(password: Column, salt: Column, iterations: int = 30000) ->
     return F.concat(F.lit(f"!pbkdf2_sha256${iterations}$"), salt, F.lit("$"), base64(pbkdf2(password, salt, iterations)))
 
 
-@pandas_udf("boolean")
+@pandas_udf(T.BooleanType())
 def password_matches(stored: pd.Series, password: pd.Series) -> pd.Series:
     def one(s, p):
         if s is None or p is None:
