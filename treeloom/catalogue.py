@@ -130,7 +130,7 @@ def xpath_position_last(spark, d):
 
 @query("SELECT o_orderkey AS doc_id FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def xpath_exists_semi(spark, d):
-    return xpath(order_nodes(spark, d), "/order[line/@flag='R']" if False else "/order[line[@flag='R']]").select("doc_id")
+    return xpath(order_nodes(spark, d), "/order[line[@flag='R']]").select("doc_id")
 
 
 @query("SELECT o_orderkey AS doc_id FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
@@ -366,7 +366,7 @@ def jwt_verify(spark, d):
     return claims.select("event_id", F.get_json_object("c", "$.user_id").cast("long").alias("user"))
 
 
-@query("SELECT event_id, value::INTEGER AS n, try_cast(event_type AS INTEGER) AS junk, strftime(ts, '%Y-%m-%d')::DATE AS day FROM events")
+@query("SELECT event_id, round(value)::INTEGER AS n, try_cast(event_type AS INTEGER) AS junk, strftime(ts, '%Y-%m-%d')::DATE AS day FROM events")
 def typed_cast(spark, d):
     e = table(spark, d, "events")
     return e.select("event_id", typed.from_text(F.round("value").cast("int").cast("string"), "xsd:int").alias("n"), typed.from_text(F.col("event_type"), "xsd:int").alias("junk"), typed.from_text(F.date_format("ts", "yyyy-MM-dd"), "xsd:date").alias("day"))

@@ -315,7 +315,7 @@ def format_decimal(_, number: Value, digits: Value | None = None, decimals: Valu
     n = decimals[0].cast("int") if decimals else F.lit(0)
     least = digits[0].cast("int") if digits else F.lit(1)
     rounded = F.round(number[0].cast("decimal(38,10)"), 9)
-    shown = F.format_number(rounded.cast("double"), n) if decimals is None else F.format_number(rounded, n)
+    shown = F.call_function("format_number", rounded, n)
     sign = F.regexp_extract(shown, "^(-?)", 1)
     whole = F.regexp_extract(shown, r"^-?([0-9,]+)", 1)
     return F.concat(sign, F.when(F.length(whole) < least, F.lpad(whole, least, F.lit("0"))).otherwise(whole), F.regexp_extract(shown, r"(\.[0-9]*)$", 1)), T.StringType()
@@ -327,7 +327,7 @@ def format_disk_size(_, number: Value, decimals: Value | None = None) -> Value:
     c, n = number[0].cast("double"), decimals[0].cast("int") if decimals else F.lit(0)
     out = F.lit(None).cast("string")
     for i, s in reversed(list(enumerate("BKMGTPE"))):
-        shown = F.concat(F.format_number(c / float(1024**i), n), F.lit(f" {s}"))
+        shown = F.concat(F.call_function("format_number", c / float(1024**i), n), F.lit(f" {s}"))
         out = shown if s == "E" else F.when(c <= float(1024 ** (i + 1)), shown).otherwise(out)
     return out, T.StringType()
 

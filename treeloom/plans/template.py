@@ -27,7 +27,7 @@ class Template:
     """A template's text, compiled against a DataFrame's columns. Fragments are looked up by name among `files`."""
 
     def __init__(self, source: str, files: dict[str, str] | None = None) -> None:
-        self.root, self.files = ET.fromstring(source), files or {}
+        self.root, self.files, self.v1 = ET.fromstring(source), files or {}, V1 in source
 
     def render(self, df: DataFrame, **more: Value) -> Column:
         return self._node(self.root, Compiler.over(df, **more))
@@ -41,6 +41,8 @@ class Template:
     def _text(self, said: str | None, c: Compiler, raw: str | None = None) -> Column:
         if not said:
             return F.lit("")
+        if self.v1:
+            return self._v1_text(said, c)
         if raw == "none":
             return escape_xml(F.lit(said))
         parts, at = [], 0

@@ -298,6 +298,9 @@ class Evaluator:
                 raise XPathError(f"unknown variable {e.name}")
             v = self.variables[e.name]
             return rows, F.lit(v if isinstance(v, str) else float(v)), "str" if isinstance(v, str) else "num"
+        if e == Path(False, [Step("self", "node()")]):  # the context node itself
+            inside = F.col("kind").isin("element", "root")
+            return rows, F.struct(F.when(inside, F.coalesce("str_value", F.lit(""))).otherwise("").alias("s"), inside.alias("any")), "set"
         if isinstance(e, Path) or e.name == "|":
             return self._aggregate(rows, e, "set")
         return self._call(rows, e)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from xml.parsers import expat
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,23 +136,32 @@ _COLUMNS = [c.split()[0] for c in NODES.split(", ")]
 def shred(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
     """The node table: key and a row for each node, attributes included, of every well-formed document. Others give no row (see verdicts)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for k, text in zip(frame[key], frame[xml], strict=True):
+    kind = dict(docs.dtypes)[key]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 8, pa.bool_(), pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(keys: list, nodes: list[dict], like: pa.DataType) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, like), *(pa.array([n[c] for n in nodes], t) for c, t in zip(_COLUMNS, types, strict=True))], [key, *_COLUMNS])
+
+        for b in batches:
+            keys: list = []
+            rows: list[dict] = []
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if text is None:
                     continue
                 try:
                     nodes = shred_text(text)
                 except Rejected:
                     continue
-                for i in range(0, len(nodes), 50_000):
-                    out = pd.DataFrame(nodes[i : i + 50_000], columns=_COLUMNS)
-                    out.insert(0, key, k)
-                    out["parent_pre"] = out["parent_pre"].astype("Int64")
-                    out["parent_post"] = out["parent_post"].astype("Int64")
-                    yield out
-
-    return docs.select(key, xml).mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, {NODES}")
+                keys += [k] * len(nodes)
+                rows += nodes
+                if len(rows) > 20_000:
+                    yield batch(keys, rows, b.schema.field(0).type)
+                    keys, rows = [], []
+            if rows:
+                yield batch(keys, rows, b.schema.field(0).type)
+
+    return docs.select(key, xml).mapInArrow(run, f"`{key}` {kind}, {NODES}")
 
 
 def verdicts(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
