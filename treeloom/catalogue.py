@@ -267,7 +267,7 @@ def el_logic(spark, d):
     return e.select("event_id", *[el(e, f).alias(k) for k, f in forms.items()])
 
 
-@query("SELECT event_id, CASE WHEN b <= 1024 THEN b || '.00 B' WHEN b <= 1048576 THEN format('{:,.2f}', b / 1024.0) || ' K' ELSE format('{:,.2f}', b / 1048576.0) || ' M' END AS size, format('{:,.2f}', b::DOUBLE) AS decimal FROM (SELECT event_id, event_id * 1024 AS b FROM events)")
+@query("SELECT event_id, CASE WHEN b <= 1024 THEN format('{:,.2f}', b::DOUBLE) || ' B' WHEN b <= 1048576 THEN format('{:,.2f}', b / 1024.0) || ' K' ELSE format('{:,.2f}', b / 1048576.0) || ' M' END AS size, format('{:,.2f}', b::DOUBLE) AS decimal FROM (SELECT event_id, event_id * 1024 AS b FROM events)")
 def el_formats(spark, d):
     e = table(spark, d, "events").withColumn("b", F.col("event_id") * 1024)
     return e.select("event_id", el(e, "#numbers.formatDiskSize(b, 2)").alias("size"), el(e, "#numbers.formatDecimal(b, 1, 2)").alias("decimal"))
