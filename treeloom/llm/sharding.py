@@ -41,7 +41,7 @@ def shard(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", stratum: str
         "shard-rows",
     )
     n = rows.count()
-    bits = max(4, (n // GROUP_ROWS).bit_length())
+    bits = max(8, (n // GROUP_ROWS).bit_length())
     ties = ["_hash", "doc_id", "text_crc32", "size"]
     rows = rows.withColumn("_cell", F.shiftrightunsigned("_hash", 64 - bits))
     cell = ["_stratum", "_none", "_cell"]
