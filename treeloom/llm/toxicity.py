@@ -16,7 +16,7 @@ from .textkit import LOWER, NON_WORD, flat, hash_spans, padded, prefix_hash, spa
 BITS, PREFIXES = 18, (4, 5, 6)
 SIZE = 1 << BITS
 #: Labelled documents of each class that a model is fitted on, at most, taken in the order of a hash of their id.
-SAMPLE = 1200
+SAMPLE = 800
 #: Tokens of a block in which the chain's steps are multiplied out.
 BLOCK = 32
 #: From this marginal on, a token counts as a toxic span.
@@ -148,11 +148,16 @@ def label_tokens(found: Tokens, toxic: np.ndarray, passes: int = 3) -> np.ndarra
     """
     row = np.repeat(np.arange(len(toxic)), np.diff(found.bounds))
     own = len(PREFIXES) + 1
-    feature = np.stack([np.where(found.features[k] > 0, found.features[k] + k * SIZE, 0) for k in range(own)])
 
     def pairs(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pair = np.unique(np.tile(row[tokens].astype(np.int64), own) << 32 | feature[:, tokens].reshape(-1))
-        return pair >> 32, pair & 0xFFFFFFFF
+        """Different (row, feature) pairs of some tokens, kind by kind."""
+        docs, features = [], []
+        for k in range(own):
+            f = found.features[k][tokens]
+            pair = np.unique(row[tokens[f > 0]] * SIZE + f[f > 0])
+            docs.append((pair // SIZE).astype(np.int32))
+            features.append((pair % SIZE + k * SIZE).astype(np.int32))
+        return np.concatenate(docs), np.concatenate(features)
 
     clean = np.bincount(pairs(np.flatnonzero(~toxic[row]))[1], minlength=own * SIZE)
     special = np.repeat([0.3, 0.0, 0.1, 0.2], SIZE)  # of equals, the most special
@@ -162,7 +167,6 @@ def label_tokens(found: Tokens, toxic: np.ndarray, passes: int = 3) -> np.ndarra
         doc, of = pairs(np.flatnonzero(toxic[row] & ~hit))
         gain = np.bincount(of, minlength=own * SIZE)
         allowed = (clean <= 0.02 * gain) & (gain >= least)
-        allowed[0] = False
         doc, of = doc[allowed[of]], of[allowed[of]]
         names, of = np.unique(of, return_inverse=True)
         left, chosen = np.ones(len(toxic), bool), np.zeros(own * SIZE, bool)
@@ -173,7 +177,9 @@ def label_tokens(found: Tokens, toxic: np.ndarray, passes: int = 3) -> np.ndarra
                 break
             chosen[names[best]] = True
             left[doc[of == best]] = False
-        hit |= chosen[feature].any(0) & toxic[row]
+        for k in range(own):
+            f = found.features[k]
+            hit |= chosen[f + k * SIZE] & (f > 0) & toxic[row]
     return hit
 
 
@@ -182,27 +188,32 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, rounds: int = 36, rat
     found = tokens(*flat(pa.array(texts, pa.large_string())))
     y = label_tokens(found, toxic)
     kinds, n = found.features.shape
-    used = [np.unique(f, return_inverse=True) for f in found.features]  # only features that occur have weights
-    at = np.concatenate([[0], np.cumsum([len(u[0]) for u in used])])
-    local = np.stack([u[1].reshape(-1) + a for u, a in zip(used, at[:-1], strict=True)])
-    unseen = np.concatenate([np.where(u[0] == 0, 0.0, 1.0) for u in used])
+    names, local = [], np.zeros((kinds, n), np.int32)  # only features that occur have weights
+    for k, f in enumerate(found.features):
+        numbers, back = np.unique(f, return_inverse=True)
+        names.append(numbers)
+        local[k] = back.reshape(-1)
+    at = np.concatenate([[0], np.cumsum([len(u) for u in names])])
+    unseen = np.concatenate([np.where(u == 0, 0.0, 1.0) for u in names])
     w, bias, step = np.zeros(at[-1]), -3.0, np.zeros((2, 2))
     row_of = np.searchsorted(found.bounds, np.arange(n), "right")
     before = np.concatenate([[False], y[:-1]]) & (row_of == np.concatenate([[0], row_of[:-1]]))
     seen = np.array([[(~before & ~y).sum(), (~before & y).sum()], [(before & ~y).sum(), (before & y).sum()]], float)
     state = [np.zeros(at[-1] + 5), np.zeros(at[-1] + 5)]
     for i in range(1, rounds + 1):
-        u = bias + w[local].sum(0)
+        u = np.full(n, bias)
+        for k in range(kinds):
+            u += w[at[k] : at[k + 1]][local[k]]
         q, pairs = marginals(u, step, found.bounds, True)
         gap = q - y
-        grad = np.bincount(local.reshape(-1), np.tile(gap, kinds), at[-1]) * unseen
+        grad = np.concatenate([np.bincount(local[k], gap, len(names[k])) for k in range(kinds)]) * unseen
         g = np.concatenate([grad + decay * n * w, [gap.sum()], (pairs - seen).reshape(-1)]) / max(1, y.sum())
         state[0] = 0.9 * state[0] + 0.1 * g
         state[1] = 0.99 * state[1] + 0.01 * g * g
         move = rate * (state[0] / (1 - 0.9**i)) / (np.sqrt(state[1] / (1 - 0.99**i)) + 1e-6)
         w, bias, step = w - move[:-5], bias - move[-5], step - move[-4:].reshape(2, 2)
     weights = np.zeros((kinds, SIZE), np.float32)
-    for k, (numbers, _) in enumerate(used):
+    for k, numbers in enumerate(names):
         weights[k, numbers] = (w * unseen)[at[k] : at[k + 1]]
     model = Model(weights, float(bias), step, np.zeros(4))
     q, _ = marginals(potentials(model, found.features), step, found.bounds)
