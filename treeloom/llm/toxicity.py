@@ -16,7 +16,7 @@ from .textkit import LOWER, NON_WORD, flat, hash_spans, padded, prefix_hash, spa
 BITS, PREFIXES = 18, (4, 5, 6)
 SIZE = 1 << BITS
 #: Labelled documents of each class that a model is fitted on, at most, taken in the order of a hash of their id.
-SAMPLE = 800
+SAMPLE = 1200
 #: Tokens of a block in which the chain's steps are multiplied out.
 BLOCK = 32
 #: From this marginal on, a token counts as a toxic span.
