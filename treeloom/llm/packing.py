@@ -19,6 +19,8 @@ from .textkit import WHITE, SpanCache, flat, padded, spans, steps
 GROUP_PIECES = 4096
 #: Sequence ids of group g are g * GROUP_IDS + 0, 1, ...
 GROUP_IDS = 1 << 24
+#: New words that are handed to the tokenizer at a time; each takes about 1 KB there.
+STEP_WORDS = 4096
 
 
 class Bins:
@@ -67,10 +69,14 @@ class WordTokens:
         self.tokenizer, self.cache = Tokenizer.from_file(path), SpanCache()
 
     def _encode(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw = data.tobytes()
-        found = [e.ids for e in self.tokenizer.encode_batch([raw[a : a + n].decode() for a, n in zip(begin.tolist(), length.tolist(), strict=True)], add_special_tokens=False)]
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
-        return np.fromiter((i for x in found for i in x), np.uint32, bounds[-1]), bounds
+        raw = memoryview(data)
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(begin), STEP_WORDS):
+            part = zip(begin[i : i + STEP_WORDS].tolist(), length[i : i + STEP_WORDS].tolist(), strict=True)
+            found = [e.ids for e in self.tokenizer.encode_batch([str(raw[a : a + n], "utf-8") for a, n in part], add_special_tokens=False)]
+            sizes.append(np.array([len(x) for x in found], np.int64))
+            ids.append(np.fromiter((i for x in found for i in x), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin, length, bounds = spans(data, offsets, WHITE)

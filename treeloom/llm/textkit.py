@@ -118,15 +118,15 @@ def ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 class SpanCache:
-    """Lists of ids by the hash of a span, kept between batches; at most about `limit` spans, then it starts anew."""
+    """Lists of ids by the hash of a span, kept between batches; at most about `limit` spans and 8 * limit ids, then it starts anew."""
 
     def __init__(self, limit: int = 1_500_000) -> None:
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.begin, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.begin, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def find(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray, encode) -> np.ndarray:
         """The slot of every span of padded data; encode(begin, length) gives ids and bounds of spans not known yet.
@@ -134,17 +134,17 @@ class SpanCache:
         Spans are told apart by a 64-bit hash.
         """
         h, first, back = np.unique(hash_spans(data, begin, length), return_index=True, return_inverse=True)
-        if len(self.keys) + len(h) > self.limit:
+        if len(self.keys) + len(h) > self.limit or len(self.ids) > 8 * self.limit:
             self.clear()
         at = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[at] != h) if len(self.keys) else np.arange(len(h))
         if len(new):
             ids, bounds = encode(begin[first[new]], length[first[new]])
             place = np.searchsorted(self.keys, h[new])
-            self.slot = np.insert(self.slot, place, len(self.begin) + np.arange(len(new)))
+            self.slot = np.insert(self.slot, place, np.arange(len(self.begin), len(self.begin) + len(new), dtype=np.int32))
             self.keys = np.insert(self.keys, place, h[new])
             self.begin = np.concatenate([self.begin, len(self.ids) + bounds[:-1]])
-            self.length = np.concatenate([self.length, np.diff(bounds)])
+            self.length = np.concatenate([self.length, np.diff(bounds).astype(np.int32)])
             self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
         return self.slot[np.searchsorted(self.keys, h)][back]
 
