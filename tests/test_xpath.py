@@ -65,3 +65,22 @@ def test_entities_are_bounded(spark):
     bomb = "<!DOCTYPE a [<!ENTITY b '" + "x" * 1000 + "'><!ENTITY c '" + "&b;" * 1000 + "'><!ENTITY d '" + "&c;" * 1000 + "'>]><a>&d;</a>"
     with pytest.raises(X.Rejected):
         X.shred_text(bomb)
+
+
+def test_documents_of_any_number_of_nodes(spark, monkeypatch):
+    doc = '<!DOCTYPE a [<!ATTLIST b k ID #IMPLIED d CDATA "v">]><a xmlns:p="u" xml:lang="de">x&#13;y<p:b p:n="1"><![CDATA[c<]]>t</p:b><!--k--><?pi q?><b k="i">é<c/></b>' + "<c>1</c>" * 50 + "</a>"
+    columns = [c.split()[0] for c in X.NODES.split(", ")]
+    whole = [[n[c] for c in columns] for n in X.shred_text(doc)]
+    for name in ("MAX_NODES", "HELD_NODES", "STEP"):
+        monkeypatch.setattr(X, name, 7, raising=False)
+    assert [[n[c] for c in columns] for n in X.shred_text(doc)] == whole
+    with pytest.raises(X.Rejected):
+        next(X.shred_nodes(doc[:-4]))
+
+
+def test_no_wellformed_document_is_dropped_in_silence(spark):
+    bomb = "<!DOCTYPE a [<!ENTITY b '" + "x" * 1000 + "'><!ENTITY c '" + "&b;" * 1000 + "'><!ENTITY d '" + "&c;" * 1000 + "'>]><a>&d;</a>"
+    docs = spark.createDataFrame([(1, bomb)], "doc_id long, xml string")
+    with pytest.raises(Exception, match="Exceeds"):
+        X.shred(docs).count()
+    assert X.verdicts(docs).filter("wf_error IS NOT NULL").count() == 1

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import re
+from array import array
 from collections.abc import Iterator
 from xml.parsers import expat
 
@@ -15,19 +17,33 @@ NODES = (
     "pre long, post long, level int, parent_pre long, parent_post long, ord int, kind string, qname string, prefix string, local string, ns_uri string, "
     "value string, str_value string, lang string, is_id boolean, is_ns boolean"
 )
-#: Nodes of one document, and characters that entities may expand to, before it is rejected.
-MAX_NODES, MAX_EXPANSION = 5_000_000, 10_000_000
+#: Characters that entities may expand to before a document is rejected.
+MAX_EXPANSION = 10_000_000
+#: Nodes of one document that are held at once; a longer document is read twice, for its ranks and then for its rows.
+HELD_NODES = 100_000
+#: Characters given to the parser at once; rows and characters of values in a batch of the node table.
+STEP, BATCH_ROWS, BATCH_CHARS = 1 << 18, 20_000, 1 << 25
 
 
 class Rejected(ValueError):
     """The document is not well-formed, or exceeds a limit."""
 
 
-def shred_text(xml: str) -> list[dict]:
-    """All nodes of a document in document order, with pre and post ranks. External entities are never loaded."""
-    nodes: list[dict] = []
+class Exceeds(Rejected):
+    """The document exceeds a limit on what its entities expand to."""
+
+
+class _Long(Exception):
+    """The document has more nodes than are held at once."""
+
+
+def _read(xml: str, posts: array | None = None, fill: bool = False, held: int | None = None) -> Iterator[dict]:
+    """A document's nodes as they end, parents after children. `posts` has the elements' post ranks in document order: with `fill` they are
+    collected and no nodes are given; else parents' post ranks come from there. Without it, only the finished parents know theirs."""
+    done: list[dict] = []
     stack: list[dict] = []
-    clock, text, in_cdata = [0], [], [False]
+    clock, made, elements, text, in_cdata = [0], [0], [0], [], [False]
+    said_so_far = io.StringIO()
     ids: dict[str, set[str]] = {}
     expanded = [0]
 
@@ -36,25 +52,44 @@ def shred_text(xml: str) -> list[dict]:
         return clock[0]
 
     def add(kind: str, qname: str | None = None, value: str | None = None, **more) -> dict:
-        if len(nodes) >= MAX_NODES:
-            raise Rejected("too many nodes")
+        made[0] += 1
+        if held is not None and made[0] > held:
+            raise _Long
         parent = stack[-1] if stack else None
         prefix, _, local = (qname or "").rpartition(":")
-        node = {"pre": tick(), "post": None, "level": len(stack), "parent": parent, "ord": 0, "kind": kind, "qname": qname, "prefix": prefix or None, "local": local or None, "ns_uri": None, "value": value, "lang": parent["lang"] if parent else None, "is_id": False, "is_ns": False, "parts": []} | more
+        node = {"pre": tick(), "post": None, "level": len(stack), "parent": parent, "ord": 0, "kind": kind, "qname": qname, "prefix": prefix or None, "local": local or None, "ns_uri": None, "value": value, "lang": parent["lang"] if parent else None, "is_id": False, "is_ns": False} | more
         if parent is not None and kind != "attribute":
             parent["count"] = node["ord"] = parent.get("count", 0) + 1
-        nodes.append(node)
+        if kind in ("element", "root"):
+            node["number"], node["from"] = elements[0], said_so_far.tell()
+            elements[0] += 1
+            if fill:
+                posts.append(0)
         return node
 
+    def close(node: dict) -> None:
+        node["post"] = tick()
+        branch = "number" in node
+        if fill:
+            if branch:
+                posts[node["number"]] = node["post"]
+            return
+        parent = node["parent"]
+        node["parent_pre"] = parent["pre"] if parent else None
+        node["parent_post"] = posts[parent["number"]] if parent and posts is not None else None
+        if branch:
+            said_so_far.seek(node["from"])
+        node["str_value"] = said_so_far.read() if branch else node["value"]
+        done.append(node)
+
     def flush() -> None:
         if text:
             said = "".join(text)
             text.clear()
             if stack and stack[-1]["kind"] == "element":
-                node = add("cdata" if in_cdata[0] else "text", None, said)
-                node["post"] = tick()
-                for up in stack:
-                    up["parts"].append(said)
+                close(add("cdata" if in_cdata[0] else "text", None, said))
+                if not fill:
+                    said_so_far.write(said)
 
     def lookup(prefix: str) -> str | None:
         if prefix == "xml":
@@ -73,7 +108,7 @@ def shred_text(xml: str) -> list[dict]:
             raise Rejected(f"undefined prefix {node['prefix']}")
         for i, (k, v) in enumerate(sorted(pairs)):
             a = add("attribute", k, v, ord=i + 1, is_id=k in ids.get(name, ()) or k == "xml:id", is_ns=k == "xmlns" or k.startswith("xmlns:"))
-            a["post"] = tick()
+            close(a)
             if a["prefix"] and not a["is_ns"]:
                 a["ns_uri"] = lookup(a["prefix"])
                 if a["ns_uri"] is None:
@@ -81,19 +116,18 @@ def shred_text(xml: str) -> list[dict]:
 
     def end(name: str) -> None:
         flush()
-        stack.pop()["post"] = tick()
+        close(stack.pop())
 
     def chars(data: str) -> None:
         expanded[0] += len(data)
         if expanded[0] > MAX_EXPANSION + 4 * len(xml):
-            raise Rejected("entities expand too far")
+            raise Exceeds("entities expand too far")
         text.append(data)
 
     def leaf(kind: str):
         def run(*args) -> None:
             flush()
-            node = add(kind, args[0] if kind == "pi" else None, args[-1])
-            node["post"] = tick()
+            close(add(kind, args[0] if kind == "pi" else None, args[-1]))
 
         return run
 
@@ -118,23 +152,54 @@ def shred_text(xml: str) -> list[dict]:
     p.StartCdataSectionHandler, p.EndCdataSectionHandler = cdata(True), cdata(False)
     p.AttlistDeclHandler = attlist
     p.SetParamEntityParsing(expat.XML_PARAM_ENTITY_PARSING_NEVER)
+    for at in range(0, max(len(xml), 1), STEP):
+        try:
+            p.Parse(xml[at : at + STEP], at + STEP >= len(xml))
+        except expat.ExpatError as e:
+            raise (Exceeds if e.code == _AMPLIFIED else Rejected)(str(e)) from None
+        yield from done
+        done.clear()
+    close(root)
+    yield from done
+
+
+_AMPLIFIED = expat.errors.codes[expat.errors.XML_ERROR_AMPLIFICATION_LIMIT_BREACH]
+
+
+def check(xml: str) -> None:
+    """Raises Rejected where shred_nodes would, without making nodes."""
+    for _ in _read(xml, array("q"), True):
+        pass
+
+
+def shred_nodes(xml: str) -> Iterator[dict]:
+    """All nodes of a document, with pre and post ranks, in no set order. External entities are never loaded. A document that is not
+    well-formed is rejected before its first node; of a long one, only open elements, their text and 8 bytes an element are held."""
     try:
-        p.Parse(xml, True)
-    except expat.ExpatError as e:
-        raise Rejected(str(e)) from None
-    root["post"] = tick()
+        nodes = list(_read(xml, held=HELD_NODES))
+    except _Long:
+        posts = array("q")
+        for _ in _read(xml, posts, True):
+            pass
+        yield from _read(xml, posts)
+        return
     for n in nodes:
-        parent = n["parent"]
-        n["parent_pre"], n["parent_post"] = (parent["pre"], parent["post"]) if parent else (None, None)
-        n["str_value"] = "".join(n["parts"]) if n["kind"] in ("element", "root") else n["value"]
-    return nodes
+        if n["parent"]:
+            n["parent_post"] = n["parent"]["post"]
+    yield from nodes
+
+
+def shred_text(xml: str) -> list[dict]:
+    """All nodes of a document in document order."""
+    return sorted(shred_nodes(xml), key=lambda n: n["pre"])
 
 
 _COLUMNS = [c.split()[0] for c in NODES.split(", ")]
 
 
 def shred(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
-    """The node table: key and a row for each node, attributes included, of every well-formed document. Others give no row (see verdicts)."""
+    """The node table: key and a row for each node, attributes included, of every well-formed document, however many nodes it has. Others give no row
+    (see verdicts); a document whose entities expand beyond the limit may be well-formed and fails the query."""
 
     kind = dict(docs.dtypes)[key]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 8, pa.bool_(), pa.bool_()]
@@ -146,18 +211,22 @@ def shred(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
         for b in batches:
             keys: list = []
             rows: list[dict] = []
+            chars = 0
             for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if text is None:
                     continue
                 try:
-                    nodes = shred_text(text)
+                    for node in shred_nodes(text):
+                        keys.append(k)
+                        rows.append(node)
+                        chars += len(node["str_value"] or "")
+                        if len(rows) > BATCH_ROWS or chars > BATCH_CHARS:
+                            yield batch(keys, rows, b.schema.field(0).type)
+                            keys, rows, chars = [], [], 0
+                except Exceeds:
+                    raise
                 except Rejected:
                     continue
-                keys += [k] * len(nodes)
-                rows += nodes
-                if len(rows) > 20_000:
-                    yield batch(keys, rows, b.schema.field(0).type)
-                    keys, rows = [], []
             if rows:
                 yield batch(keys, rows, b.schema.field(0).type)
 
@@ -173,7 +242,7 @@ def verdicts(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFram
             if t is None:
                 return "no document"
             try:
-                shred_text(t)
+                check(t)
             except Rejected as e:
                 return str(e)
             return None
