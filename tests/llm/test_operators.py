@@ -314,3 +314,15 @@ def test_html_table(spark):
     rows = {r.page_id: r.text for r in html_text.extract(pages).collect()}
     assert rows == {1: "a", 2: "", None: "deep"}
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>t</title><h1>a</h1><p>all the text", "a\n\nall the text"),
+        ("<head><meta name=m><style>p{}</style><script>s</script><link rel=x><a href=y>b</a> c", "b c"),
+        ("<head><title>t</title><template><p>no</p></template></head><p>d", "d"),
+    ],
+)
+def test_html_head_without_end_tag(page, want):
+    assert html_text.text_of(page) == want

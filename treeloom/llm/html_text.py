@@ -33,6 +33,8 @@ IMPLIED_END = {
     "tfoot": ({"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"body"}),
 }
+#: Start tags that leave an open head open; any other ends it.
+IN_HEAD = frozenset("head base link meta title style script noscript template noframes".split())
 #: Elements that an end tag of something outside does not reach through.
 SCOPE = frozenset("table td th caption html template object".split())
 #: Elements nest this deep; deeper ones lie side by side, with all their text.
@@ -125,6 +127,8 @@ def build(page: str) -> Node:
             if what == "html":
                 root.attrs.update({k: v for k, v in attrs.items() if k not in root.attrs})
                 continue
+            if stack[-1].tag == "head" and what not in IN_HEAD:
+                stack.pop()
             if what in ENDS_P:
                 close_to({"p"}, SCOPE)
             if what in IMPLIED_END:
