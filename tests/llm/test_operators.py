@@ -326,3 +326,9 @@ def test_html_table(spark):
 )
 def test_html_head_without_end_tag(page, want):
     assert html_text.text_of(page) == want
+
+
+@pytest.mark.parametrize("blank", ["\u00a0", "\x0b", "\x1c", "\x85", "\u2003"])
+def test_html_blanks_of_unicode_in_tags(blank):
+    assert html_text.text_of(f"<p{blank}>text and <a href=\"x\"{blank}>more<b {blank} c={blank}> of<i {blank}=1> it<br {blank}/>end") == "text and more of it\nend"
+    assert html_text.text_of("<p" + " " * 100_000 + "=><b =hidden>all</b><i / = / >!") == "all!"

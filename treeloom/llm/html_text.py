@@ -40,8 +40,10 @@ SCOPE = frozenset("table td th caption html template object".split())
 #: Elements nest this deep; deeper ones lie side by side, with all their text.
 DEPTH = 200
 
-_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+#: White space inside a tag is HTML's own, not Unicode's.
+_NAME = re.compile(r"[a-zA-Z][^ \t\n\r\f/>]*")
+_GAP = re.compile(r"[ \t\n\r\f/]*")
+_ATTRIBUTE = re.compile(r"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*)(?:[ \t\n\r\f]*=[ \t\n\r\f]*(?:\"([^\"]*)\"|'([^']*)'|([^ \t\n\r\f>]*)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
@@ -80,19 +82,16 @@ def tags(page: str) -> Iterator[tuple[str, str, dict | None]]:
                 yield "close", name[0].lower(), None
         elif name := _NAME.match(page, less + 1):
             attrs: dict = {}
-            at = name.end()
+            at = _GAP.match(page, name.end()).end()
             while at < n and page[at] != ">":
                 m = _ATTRIBUTE.match(page, at)
-                if not m:
-                    at = at + 1 if page[at] in "=/ \t\r\n\f" else n
-                    continue
                 attrs.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
-                at = m.end()
+                at = _GAP.match(page, m.end()).end()
             at = min(n, at + 1)
             tag = name[0].lower()
             yield "open", tag, attrs
             if tag in RAW:
-                end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+                end = re.compile(rf"</{tag}(?=[ \t\n\r\f/>])", re.I | re.A).search(page, at)
                 if body := page[at : end.start() if end else n]:
                     yield "raw", body, None
                 at = end.start() if end else n
@@ -117,7 +116,7 @@ def build(page: str) -> Node:
     for kind, what, attrs in tags(page):
         if kind == "text":
             top = stack[-1]
-            if top.tag == "head" and what.strip():
+            if top.tag == "head" and what.strip(" \t\n\r\f"):
                 stack.pop()
                 top = stack[-1]
             top.children.append(unescape(what) if "&" in what else what)
