@@ -332,3 +332,32 @@ def test_html_head_without_end_tag(page, want):
 def test_html_blanks_of_unicode_in_tags(blank):
     assert html_text.text_of(f"<p{blank}>text and <a href=\"x\"{blank}>more<b {blank} c={blank}> of<i {blank}=1> it<br {blank}/>end") == "text and more of it\nend"
     assert html_text.text_of("<p" + " " * 100_000 + "=><b =hidden>all</b><i / = / >!") == "all!"
+
+
+def test_secrets_in_every_place(spark):
+    forest = secrets.train(secrets.labelled_findings(spark))
+    value = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"
+    texts = [f'commit {value} and then token = "{value}" b', "user b7db7aa4a5fcc78305x said password=b7db7aa4a5fcc78305 x", "🎉é " * 30 + "".join(f"🎉 password=b7db7aa4a5fcc{i:05} " for i in range(600)), "", None]
+    cases = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secrets.scan(cases, forest).collect()
+    assert sorted((r.start, r.is_secret) for r in rows if r.doc_id == 0) == [(7, True), (66, True)]
+    assert len({r.score for r in rows if r.doc_id == 0}) == 2
+    assert all(texts[r.doc_id][r.start :].startswith(r.value) for r in rows)
+    assert sorted(r.value for r in rows if r.doc_id == 2 and r.is_secret) == [f"b7db7aa4a5fcc{i:05}" for i in range(600)]
+    out = {r.doc_id: r.text for r in secrets.redact(cases, forest, size=None).collect()}
+    assert value not in out[0]
+    assert out[1].endswith("password=[SECRET] x")
+    assert "b7db" not in out[2]
+
+
+def test_secret_candidates_by_python(spark):
+    import re
+
+    texts = [f"{a}x1 token={'é🎉' * k}abcdef12345678901234{a} pwd: 'a{k}b!cdefgh' /usr/lib/python3.1/site{k}" * (k + 1) for k in range(4) for a in ("", "🎉", "-----BEGIN RSA PRIVATE KEY-----\n")]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", secrets.candidates(F.col("t")).alias("c")).collect()
+    for r in got:
+        t = texts[r.i]
+        assert all((c.left, c.right) == (t[max(c.start - 40, 0) : c.start], t[c.start + len(c.value) :][:24]) and t.startswith(c.value, c.start) for c in r.c)
+        keyed = {(m.start(1), m[1]) for m in re.finditer(secrets.KEYED, t)}
+        assert keyed and keyed <= {(c.start, c.value) for c in r.c}
+        assert len(set(r.c)) == len(r.c)

@@ -26,13 +26,64 @@ DICTIONARY = (
 REPLACEMENT = "[SECRET]"
 FEATURES = ("length", "digits", "upper", "lower", "distinct", "changes", "words", "path", "hex", "prefix", "named", "other", "quoted", "dashes", "stand_in", "near_words")
 TREES, DEPTH = 15, 6
+#: Characters of a text that are looked at before and after a candidate; the shortest match of a pattern; lengths that are summed at once.
+BEFORE, AFTER, SHORTEST, CHUNK = 40, 24, 6, 256
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
+
+
+def _matches(body: Column, pattern: str, group: int) -> Column:
+    """Every match of a pattern in its place: array of start (characters from 0), value, left, right. The group ends with the match."""
+    whole = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(body, F.lit(pattern), F.lit(group)) if group else whole
+    read = F.struct(whole.alias("whole"), value.alias("value"), F.split(body, pattern, -1).alias("gaps"))
+
+    def measured(r: Column) -> Column:
+        # gap i stands before match i, and one more behind the last
+        return F.struct(
+            r["whole"].alias("whole"),
+            r["value"].alias("value"),
+            r["gaps"].alias("gaps"),
+            F.zip_with(F.slice(r["gaps"], F.lit(1), F.size(r["whole"])), r["whole"], lambda g, m: (F.length(g) + F.length(m)).cast("long")).alias("sizes"),
+            F.zip_with(r["gaps"], r["whole"], lambda g, m: F.right(F.concat(F.right(g, F.lit(BEFORE)), F.right(F.coalesce(m, F.lit("")), F.lit(BEFORE))), F.lit(BEFORE))).alias("tails"),
+            F.zip_with(r["gaps"], r["whole"], lambda g, m: F.left(F.concat(F.left(g, F.lit(AFTER)), F.left(F.coalesce(m, F.lit("")), F.lit(AFTER))), F.lit(AFTER))).alias("heads"),
+        )
+
+    def placed(r: Column) -> Column:
+        def add(sums: Column, k: Column) -> Column:
+            return F.concat(sums, F.array(F.when(k == 0, F.lit(0).cast("long")).otherwise(F.element_at(sums, -1) + _sum(F.slice(r["sizes"], (k - 1) * CHUNK + 1, F.lit(CHUNK))))))
+
+        def one(sums: Column, m: Column, i: Column) -> Column:
+            chunk, back, ahead = F.floor(i / CHUNK).cast("int"), -(-BEFORE // SHORTEST), -(-AFTER // SHORTEST) + 1
+            v = F.get(r["value"], i)
+            end = F.get(sums, chunk) + _sum(F.slice(r["sizes"], chunk * CHUNK + 1, i % CHUNK + 1))
+            passed = F.array_join(F.slice(r["tails"], F.greatest(i - back, F.lit(0)) + 1, F.least(i, F.lit(back))), "")
+            named = F.left(m, F.length(m) - F.length(v))
+            return F.struct(
+                (end - F.length(v)).cast("int").alias("start"),
+                v.alias("value"),
+                F.right(F.concat(passed, F.right(F.get(r["gaps"], i), F.lit(BEFORE)), named), F.lit(BEFORE)).alias("left"),
+                F.left(F.array_join(F.slice(r["heads"], i + 2, F.lit(ahead)), ""), F.lit(AFTER)).alias("right"),
+            )
+
+        sums = F.aggregate(F.sequence(F.lit(0), F.floor(F.size(r["whole"]) / CHUNK).cast("int")), F.array().cast("array<bigint>"), add)
+        return _let(sums, lambda t: F.transform(r["whole"], lambda m, i: one(t, m, i)))
+
+    return _let(read, lambda r: _let(measured(r), placed))
 
 
 def candidates(text: Column) -> Column:
-    """The different candidate strings of a text, as an array."""
+    """Every place of a candidate in a text, in order: array of start, value and the text to its left and right. What two patterns find in one place counts once."""
     body = F.coalesce(text, F.lit(""))
-    found = [F.regexp_extract_all(body, F.lit(p), F.lit(g)) for p, g in ((RUN, 0), (KEYED, 1), (HEADER, 0))]
-    return F.array_distinct(F.concat(*found))
+    found = F.array_sort(F.concat(*[_matches(body, p, g) for p, g in ((RUN, 0), (KEYED, 1), (HEADER, 0))]))
+    return _let(found, lambda all: F.filter(all, lambda c, i: (i == 0) | ~c.eqNullSafe(F.get(all, i - 1))))
 
 
 def describe(value: Column, left: Column, right: Column) -> Column:
@@ -155,23 +206,22 @@ def vote(forest: list, features: Column) -> Column:
 
 
 def findings(text: Column, forest: list, threshold: float = 0.5) -> Column:
-    """All candidates of a text: array of value, start (characters from 0, of the first place), score, is_secret. Null text: none."""
-    body = F.coalesce(text, F.lit(""))
-    placed = F.transform(candidates(text), lambda v: F.struct(v.alias("value"), F.instr(body, v).alias("at")))
-    around = F.transform(
-        placed,
-        lambda c: F.struct(
-            c["value"].alias("value"),
-            (c["at"] - 1).alias("start"),
-            describe(c["value"], F.substring(body, F.greatest(c["at"] - 40, F.lit(1)), F.least(c["at"] - 1, F.lit(40))), F.substring(body, c["at"] + F.length(c["value"]), F.lit(24))).alias("f"),
-        ),
-    )
+    """All candidates of a text: array of value, start (characters from 0), score, is_secret. Null text: none.
+
+    Every place is scored by what stands around it; a value is a secret in all its places if it is in one.
+    """
+    around = F.transform(candidates(text), lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), describe(c["value"], c["left"], c["right"]).alias("f")))
     scored = F.transform(around, lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), vote(forest, c["f"]).alias("score")))
-    return F.transform(scored, lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), c["score"].alias("score"), (c["score"] >= threshold).alias("is_secret")))
+
+    def judged(all: Column) -> Column:
+        real = F.array_distinct(F.transform(F.filter(all, lambda c: c["score"] >= threshold), lambda c: c["value"]))
+        return _let(real, lambda r: F.transform(all, lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), c["score"].alias("score"), F.array_contains(r, c["value"]).alias("is_secret"))))
+
+    return _let(scored, judged)
 
 
 def scan(docs: DataFrame, forest: list | None = None, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """A row for each different candidate of each row: key, value, start, score, is_secret.
+    """A row for each place of a candidate in each row: key, value, start, score, is_secret.
 
     Only column expressions are used; every row is judged where it lies, without a shuffle. Texts without candidate, null and
     empty ones among them, give no row; repeated rows give theirs each; other columns are not read.
@@ -186,7 +236,8 @@ def redact(docs: DataFrame, forest: list | None = None, text: str = "text", thre
     The column named by `size`, if there is one, becomes the text's new length where the text has changed. Longer secrets are replaced first.
     """
     forest = forest or train(labelled_findings(docs.sparkSession))
-    real = F.transform(F.filter(findings(F.col(text), forest, threshold), lambda c: c["is_secret"]), lambda c: F.struct((-F.length(c["value"])).alias("n"), c["value"].alias("value")))
+    real = F.array_distinct(F.transform(F.filter(findings(F.col(text), forest, threshold), lambda c: c["is_secret"]), lambda c: c["value"]))
+    real = F.transform(real, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("value")))
     new = F.aggregate(F.array_sort(real), F.col(text), lambda acc, c: F.replace(acc, c["value"], F.lit(REPLACEMENT)))
     out = docs.withColumn("_new", new)
     keep = [F.col("_new").alias(c) if c == text else F.when(F.col("_new").isNull() | F.col("_new").eqNullSafe(F.col(text)), F.col(c)).otherwise(F.length("_new")).cast(dict(docs.dtypes)[c]).alias(c) if c == size else F.col(c) for c in docs.columns]
