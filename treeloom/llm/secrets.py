@@ -42,8 +42,10 @@ def _sum(x: Column) -> Column:
 def _matches(body: Column, pattern: str, group: int) -> Column:
     """Every match of a pattern in its place: array of start (characters from 0), value, left, right. The group ends with the match."""
     whole = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(body, F.lit(pattern), F.lit(group)) if group else whole
-    read = F.struct(whole.alias("whole"), value.alias("value"), F.split(body, pattern, -1).alias("gaps"))
+
+    def read(w: Column) -> Column:
+        value = F.regexp_extract_all(body, F.lit(pattern), F.lit(group)) if group else w
+        return F.struct(w.alias("whole"), value.alias("value"), F.split(body, pattern, -1).alias("gaps"))
 
     def measured(r: Column) -> Column:
         # gap i stands before match i, and one more behind the last
@@ -76,7 +78,8 @@ def _matches(body: Column, pattern: str, group: int) -> Column:
         sums = F.aggregate(F.sequence(F.lit(0), F.floor(F.size(r["whole"]) / CHUNK).cast("int")), F.array().cast("array<bigint>"), add)
         return _let(sums, lambda t: F.transform(r["whole"], lambda m, i: one(t, m, i)))
 
-    return _let(read, lambda r: _let(measured(r), placed))
+    none = F.array().cast("array<struct<start:int,value:string,left:string,right:string>>")
+    return _let(whole, lambda w: F.when(F.size(w) == 0, none).otherwise(_let(read(w), lambda r: _let(measured(r), placed))))
 
 
 def candidates(text: Column) -> Column:
