@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from .store import kept
 
-#: What a candidate looks like. Runs with a digit; what stands after a name of a secret; key headers.
-RUN = r"(?<![\w+/.~-])(?=[\w+/.~-]{0,400}?[0-9])[\w+/.~-]{16,}={0,2}"
+#: What a candidate looks like. Runs with a digit or an issuer's prefix; what stands after a name of a secret; private keys to their end, or
+#: where that is missing, with the lines of the body that follow.
+RUN = r"(?<![\w+/.~-])(?=[\w+/.~-]{0,400}?[0-9]|AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|rk_live_|AIza|eyJ|glpat-)[\w+/.~-]{16,}={0,2}"
 KEYED = r"(?i:pass(?:word|wd)?|pwd|secret|token|(?:api|access|auth|secret)[_-]?key|bearer)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>,;]{6,})"
-HEADER = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+HEADER = (
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)*+)"
+)
 #: issuers' prefixes, names before a secret, names before what only looks like one, stand-ins, common words.
 PREFIXES = r"^(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|rk_live_|AIza|eyJ|glpat-|-----BEGIN)"
 NAMES = r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|key|bearer|auth|credential)[\"']?\s{0,3}[=:]?\s{0,3}[\"']?$"
@@ -148,6 +152,10 @@ def labelled_findings(spark: SparkSession, per_kind: int = 100) -> DataFrame:
         (1, join("eyJ", s(b, 1, 20), ".", s(b, 5, 30), ".", s(b, 9, 32)), join(plain, "Bearer "), " "),
         (1, F.lit("-----BEGIN RSA PRIVATE KEY-----"), plain, "\n"),
         (1, join("AIza", s(b, 4, 35)), plain, " "),
+        (1, join("AKIA", F.translate(F.upper(s(b, 1, 16)), "0123456789", "QWERTYUIOP")), plain, " "),
+        (1, join("ghp_", F.translate(s(b, 1, 36), "0123456789", "qWeRtYuIoP")), plain, " "),
+        (1, join("-----BEGIN RSA PRIVATE KEY-----\n", F.repeat(join(b, "\n"), 12), "-----END RSA PRIVATE KEY-----"), plain, "\n"),
+        (1, join("-----BEGIN PRIVATE KEY-----\n", b, "\n", b), plain, "\n"),
         (1, join(s(b, 1, 9), "!", s(digits, 1, 2)), join(plain, "pwd="), " "),
         (1, join("ASIA", F.upper(s(b, 5, 16))), join(plain, "access_key="), " "),
         (0, join(s(h, 1, 8), "-", s(h, 9, 4), "-4", s(h, 13, 3), "-a", s(h, 17, 3), "-", s(h, 20, 12)), join(plain, "id "), " "),
