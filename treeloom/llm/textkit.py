@@ -29,6 +29,16 @@ NON_WORD = _table(c for c in range(128) if not (chr(c).isalnum() or chr(c) == "_
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z and the capitals of Latin-1 (two bytes from C3 80 to C3 9E, but the sign C3 97) in lower case."""
+    low = LOWER[data]
+    if len(data) > 1:
+        at = np.flatnonzero(data[:-1] == 0xC3) + 1
+        at = at[(data[at] <= 0x9E) & (data[at] != 0x97)]
+        low[at] += 32
+    return low
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose output bits all depend on all input bits."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
