@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,59 +11,81 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, NON_WORD, flat, hash_spans, padded, prefix_hash, spans, steps
+from .textkit import NON_WORD, HashTable, flat, hash_spans, lowered, mix, padded, prefix_hash, spans, steps
 
-#: Bits of a feature's number; lengths of the prefixes that are features beside the whole word.
-BITS, PREFIXES = 18, (4, 5, 6)
-SIZE = 1 << BITS
+#: Bytes of the prefixes that are features beside the whole word.
+PREFIXES = (4, 5, 6, 7)
+#: Kinds of features of a token: its word, its prefixes, the word before and the word after.
+OWN = 1 + len(PREFIXES)
+BEFORE, AFTER = OWN, OWN + 1
 #: Labelled documents of each class that a model is fitted on, at most, taken in the order of a hash of their id.
 SAMPLE = 1200
-#: Tokens of a block in which the chain's steps are multiplied out.
-BLOCK = 32
+#: Tokens of a block in which the chain's steps are multiplied out, and tokens of the sample whose marginals are held at once.
+BLOCK, FIT_TOKENS = 32, 100_000
 #: From this marginal on, a token counts as a toxic span.
 SPAN_FROM = 0.5
+_U = np.uint64
 
 
 @dataclass
 class Model:
-    """Weights by feature kind (word, prefixes, word before, word after), transitions, and the document level's weights."""
+    """The fitted features' 64-bit hashes and weights, the bias, transitions, and the document level's weights."""
 
+    keys: np.ndarray
     weights: np.ndarray
     bias: float
     step: np.ndarray  # 2 x 2, from and to: clean, toxic
     document: np.ndarray
 
+    def look_up(self, keys: np.ndarray) -> np.ndarray:
+        """Weights of features by hash; 0 for features that were not fitted."""
+        if getattr(self, "_table", None) is None:
+            self._table = HashTable(self.keys)
+        at = self._table.find(keys)
+        return np.where(at >= 0, self.weights[at], 0.0) if len(self.weights) else np.zeros(len(keys))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_table"}
+
 
 @dataclass
 class Tokens:
-    """Tokens of a batch of rows: spans, feature numbers (kinds x tokens), the rows' bounds."""
+    """Tokens of a batch of rows: spans, the number of each token's word, the words' feature hashes (0: none), the rows' bounds."""
 
     begin: np.ndarray
     length: np.ndarray
-    features: np.ndarray
+    word: np.ndarray
+    hashes: np.ndarray  # OWN x words
     bounds: np.ndarray
 
+    def inner(self) -> np.ndarray:
+        """Tokens with a token before them in their row."""
+        ok = np.ones(len(self.word), bool)
+        ok[self.bounds[:-1][self.bounds[:-1] < self.bounds[1:]]] = False
+        return np.flatnonzero(ok)
+
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
-    low = LOWER[data]
+    """Words are runs of letters, digits, underscores and bytes beyond ASCII; A-Z and the capitals of Latin-1 are lowered."""
+    low = lowered(data)
     begin, length, bounds = spans(low, offsets, NON_WORD)
     low = padded(low)
-    own = [hash_spans(low, begin, length), *(prefix_hash(low, begin, length, n) for n in PREFIXES)]
-    word = (own[0] >> np.uint64(64 - BITS)).astype(np.int32)
-    kinds = np.zeros((len(own) + 2, len(begin)), np.int32)
-    for k, h in enumerate(own):
-        kinds[k] = (h >> np.uint64(64 - BITS)).astype(np.int32)
-    kinds[-2, 1:], kinds[-1, :-1] = word[:-1], word[1:]
-    full = bounds[:-1][bounds[:-1] < bounds[1:]]
-    kinds[-2, full] = 0  # no word before the first, none after the last
-    kinds[-1, bounds[1:][bounds[:-1] < bounds[1:]] - 1] = 0
-    return Tokens(begin, length, kinds, bounds)
-
-
-def potentials(model: Model, features: np.ndarray) -> np.ndarray:
-    u = np.full(features.shape[1], model.bias)
-    for w, f in zip(model.weights, features, strict=True):
-        u += w[f]
+    whole, first, word = np.unique(hash_spans(low, begin, length), return_index=True, return_inverse=True)
+    return Tokens(begin, length, word.reshape(-1), np.stack([whole, *(prefix_hash(low, begin[first], length[first], n) for n in PREFIXES)]), bounds)
+
+
+def _named(hashes: np.ndarray, kind: int) -> np.ndarray:
+    """Hashes of features of one kind among all kinds."""
+    return mix(hashes ^ _U((kind + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+
+
+def potentials(model: Model, found: Tokens) -> np.ndarray:
+    own = np.full(found.hashes.shape[1], model.bias)
+    for k, h in enumerate(found.hashes):
+        own += np.where(h > 0, model.look_up(_named(h, k)), 0.0)
+    u, inner = own[found.word], found.inner()
+    u[inner] += model.look_up(_named(found.hashes[0], BEFORE))[found.word[inner - 1]]
+    u[inner - 1] += model.look_up(_named(found.hashes[0], AFTER))[found.word[inner]]
     return u
 
 
@@ -140,36 +163,45 @@ def score(model: Model, seen: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.document @ seen, -30, 30)))
 
 
-def label_tokens(found: Tokens, toxic: np.ndarray, passes: int = 3) -> np.ndarray:
-    """Token labels from document labels: in toxic documents, tokens with a feature that hardly any clean document has.
+def label_tokens(found: Tokens, ids: np.ndarray, sizes: list[int], toxic: np.ndarray, passes: int = 3) -> np.ndarray:
+    """Token labels from document labels: in toxic documents, tokens with a feature that few clean documents have.
 
-    Features are chosen one by one, each the one that explains most toxic documents not yet explained; a further pass
-    does so again with the tokens that are left, for documents with more than one toxic span.
+    ids: for each own kind and word the feature's number among sizes[kind], -1 for none. A word that is seen in clean
+    documents at least as often as in toxic ones is never labelled, and does not speak against its prefixes. A feature may
+    be chosen if its toxic documents are too many for chance (likelihood ratio) and twice its clean ones. Features are
+    chosen one by one, each the one that explains most toxic documents not yet explained; a further pass does so again with
+    the tokens that are left, for documents with more than one toxic span.
     """
     row = np.repeat(np.arange(len(toxic)), np.diff(found.bounds))
-    own = len(PREFIXES) + 1
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    share = toxic.mean()
 
-    def pairs(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(some: np.ndarray, kinds: range) -> tuple[np.ndarray, np.ndarray]:
         """Different (row, feature) pairs of some tokens, kind by kind."""
         docs, features = [], []
-        for k in range(own):
-            f = found.features[k][tokens]
-            pair = np.unique(row[tokens[f > 0]] * SIZE + f[f > 0])
-            docs.append((pair // SIZE).astype(np.int32))
-            features.append((pair % SIZE + k * SIZE).astype(np.int32))
+        for k in kinds:
+            f = ids[k][found.word[some]]
+            pair = np.unique(row[some[f >= 0]] * sizes[k] + f[f >= 0])
+            docs.append((pair // sizes[k]).astype(np.int32))
+            features.append((pair % sizes[k] + at[k]).astype(np.int32))
         return np.concatenate(docs), np.concatenate(features)
 
-    clean = np.bincount(pairs(np.flatnonzero(~toxic[row]))[1], minlength=own * SIZE)
-    special = np.repeat([0.3, 0.0, 0.1, 0.2], SIZE)  # of equals, the most special
+    bad = toxic[row]
+    by_word = [np.bincount(pairs(np.flatnonzero(side), range(1))[1], minlength=sizes[0]) for side in (bad, ~bad)]
+    ordinary = (by_word[1] * share >= by_word[0] * (1 - share))[ids[0]][found.word]
+    clean = np.bincount(pairs(np.flatnonzero(~bad & ~ordinary), range(OWN))[1], minlength=at[-1])
+    special = np.repeat([0.3, *(0.2 * (k + 1) / len(PREFIXES) for k in range(len(PREFIXES)))], sizes)  # of equals, the most special
     hit = np.zeros(len(row), bool)
     for turn in range(passes):
         least = max(3 + turn, (0.002, 0.01, 0.02)[min(turn, 2)] * toxic.sum())
-        doc, of = pairs(np.flatnonzero(toxic[row] & ~hit))
-        gain = np.bincount(of, minlength=own * SIZE)
-        allowed = (clean <= 0.02 * gain) & (gain >= least)
+        doc, of = pairs(np.flatnonzero(bad & ~hit & ~ordinary), range(OWN))
+        gain = np.bincount(of, minlength=at[-1])
+        part = gain / np.maximum(gain + clean, 1)
+        ratio = gain * np.log(np.maximum(part, 1e-9) / share) + clean * np.log(np.maximum(1 - part, 1e-9) / (1 - share))
+        allowed = (2 * clean <= gain) & (gain >= least) & (ratio >= LEAST_RATIO)
         doc, of = doc[allowed[of]], of[allowed[of]]
         names, of = np.unique(of, return_inverse=True)
-        left, chosen = np.ones(len(toxic), bool), np.zeros(own * SIZE, bool)
+        left, chosen = np.ones(len(toxic), bool), np.zeros(at[-1], bool)
         while len(names):
             gain = np.bincount(of[left[doc]], minlength=len(names))
             best = int(np.argmax(gain + special[names] * (gain > 0)))
@@ -177,47 +209,70 @@ def label_tokens(found: Tokens, toxic: np.ndarray, passes: int = 3) -> np.ndarra
                 break
             chosen[names[best]] = True
             left[doc[of == best]] = False
-        for k in range(own):
-            f = found.features[k]
-            hit |= chosen[f + k * SIZE] & (f > 0) & toxic[row]
+        for k in range(OWN):
+            f = ids[k][found.word]
+            hit |= (f >= 0) & chosen[np.maximum(f, 0) + at[k]] & bad & ~ordinary
     return hit
 
 
-def fit(texts: list[str], toxic: np.ndarray, prior: float, rounds: int = 36, rate: float = 0.3, decay: float = 1e-5) -> Model:
+#: Log-likelihood ratio from which a feature's toxic documents are not there by chance.
+LEAST_RATIO = 7.5
+
+
+def fit(texts: pa.Array, toxic: np.ndarray, prior: float, rounds: int = 36, rate: float = 0.3, decay: float = 1e-5) -> Model:
     """A model from labelled texts; prior: the share of toxic documents where it is to be used."""
-    found = tokens(*flat(pa.array(texts, pa.large_string())))
-    y = label_tokens(found, toxic)
-    kinds, n = found.features.shape
-    names, local = [], np.zeros((kinds, n), np.int32)  # only features that occur have weights
-    for k, f in enumerate(found.features):
-        numbers, back = np.unique(f, return_inverse=True)
-        names.append(numbers)
-        local[k] = back.reshape(-1)
-    at = np.concatenate([[0], np.cumsum([len(u) for u in names])])
-    unseen = np.concatenate([np.where(u == 0, 0.0, 1.0) for u in names])
+    found = tokens(*flat(texts))
+    word, inner, n, words = found.word, found.inner(), len(found.word), found.hashes.shape[1]
+    names, ids = [], np.full((OWN, words), -1, np.int32)
+    for k, h in enumerate(found.hashes):
+        seen = np.flatnonzero(h > 0)
+        own, back = np.unique(h[seen], return_inverse=True)
+        names.append(_named(own, k))
+        ids[k, seen] = back.reshape(-1)
+    sizes = [len(x) for x in names]
+    names += [_named(found.hashes[0], BEFORE), _named(found.hashes[0], AFTER)]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in names])])
+    y = label_tokens(found, ids, sizes, toxic)
+    edges = [0]  # rows whose marginals are worked out at once
+    while edges[-1] < len(toxic):
+        edges.append(max(edges[-1] + 1, int(np.searchsorted(found.bounds, found.bounds[edges[-1]] + FIT_TOKENS, "right")) - 1))
+
+    def potential(w: np.ndarray, bias: float) -> np.ndarray:
+        own = np.full(words, bias)
+        for k in range(OWN):
+            own += np.where(ids[k] >= 0, w[at[k] + np.maximum(ids[k], 0)], 0.0)
+        u = own[word]
+        u[inner] += w[at[BEFORE] + word[inner - 1]]
+        u[inner - 1] += w[at[AFTER] + word[inner]]
+        return u
+
+    def expected(u: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        q, pairs = np.zeros(n), np.zeros((2, 2))
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            a, e = found.bounds[i], found.bounds[j]
+            if e > a:
+                q[a:e], more = marginals(u[a:e], step, found.bounds[i : j + 1] - a, True)
+                pairs += more
+        return q, pairs
+
     w, bias, step = np.zeros(at[-1]), -3.0, np.zeros((2, 2))
-    row_of = np.searchsorted(found.bounds, np.arange(n), "right")
-    before = np.concatenate([[False], y[:-1]]) & (row_of == np.concatenate([[0], row_of[:-1]]))
+    before = np.zeros(n, bool)
+    before[inner] = y[inner - 1]
     seen = np.array([[(~before & ~y).sum(), (~before & y).sum()], [(before & ~y).sum(), (before & y).sum()]], float)
     state = [np.zeros(at[-1] + 5), np.zeros(at[-1] + 5)]
     for i in range(1, rounds + 1):
-        u = np.full(n, bias)
-        for k in range(kinds):
-            u += w[at[k] : at[k + 1]][local[k]]
-        q, pairs = marginals(u, step, found.bounds, True)
+        q, pairs = expected(potential(w, bias), step)
         gap = q - y
-        grad = np.concatenate([np.bincount(local[k], gap, len(names[k])) for k in range(kinds)]) * unseen
-        g = np.concatenate([grad + decay * n * w, [gap.sum()], (pairs - seen).reshape(-1)]) / max(1, y.sum())
+        by_word = np.bincount(word, gap, words)
+        grads = [np.bincount(ids[k][ids[k] >= 0], by_word[ids[k] >= 0], sizes[k]) for k in range(OWN)]
+        grads += [np.bincount(word[inner - 1], gap[inner], words), np.bincount(word[inner], gap[inner - 1], words)]
+        g = np.concatenate([np.concatenate(grads) + decay * n * w, [gap.sum()], (pairs - seen).reshape(-1)]) / max(1, y.sum())
         state[0] = 0.9 * state[0] + 0.1 * g
         state[1] = 0.99 * state[1] + 0.01 * g * g
         move = rate * (state[0] / (1 - 0.9**i)) / (np.sqrt(state[1] / (1 - 0.99**i)) + 1e-6)
         w, bias, step = w - move[:-5], bias - move[-5], step - move[-4:].reshape(2, 2)
-    weights = np.zeros((kinds, SIZE), np.float32)
-    for k, numbers in enumerate(names):
-        weights[k, numbers] = (w * unseen)[at[k] : at[k + 1]]
-    model = Model(weights, float(bias), step, np.zeros(4))
-    q, _ = marginals(potentials(model, found.features), step, found.bounds)
-    x, t, b = aggregate(q, found.bounds), toxic.astype(float), np.zeros(4)
+    model = Model(np.concatenate(names), w.astype(np.float32), float(bias), step, np.zeros(4))
+    x, t, b = aggregate(expected(potential(w, bias), step)[0], found.bounds), toxic.astype(float), np.zeros(4)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(b @ x, -30, 30)))
         h = (x * (p * (1 - p))) @ x.T + 0.5 * np.eye(4)
@@ -235,7 +290,9 @@ def is_held_out(key: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model | None:
     """A model from the labelled documents that are not held out, `sample` of each class at most; None without both classes.
 
-    Repeated labels of an id count as toxic if one of them is; of repeated documents, one text is taken.
+    Repeated labels of an id count as toxic if one of them is; of repeated documents, the least text is taken; null ids and
+    labels teach nothing, null texts count as empty; ties in the sample's order go to the smaller id. Whole texts are
+    used, however long. One executor task fits the model on the sampled rows; only the model comes to the driver.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~is_held_out(key)).groupBy(key).agg(F.max(label).alias("_y"))
     sizes = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
@@ -244,11 +301,21 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     order = F.xxhash64(F.lit("sample"), F.col(key))
     picked = known.filter("_y = 1").orderBy(order, key).limit(sample).unionByName(known.filter("_y = 0").orderBy(order, key).limit(sample))
     ids = {r[0]: r[1] for r in picked.collect()}
-    rows = docs.filter(F.col(key).isin(list(ids))).groupBy(key).agg(F.min(text).alias("t")).orderBy(key).collect()
-    y = np.array([ids[r[0]] == 1 for r in rows])
-    if not y.any() or y.all():
-        return None
-    return fit([r[1] or "" for r in rows], y, sizes[1] / (sizes[0] + sizes[1]))
+    prior = sizes[1] / (sizes[0] + sizes[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = list(batches)
+        if not given:
+            return
+        rows = pa.Table.from_batches(given)
+        y = np.array([ids[k] == 1 for k in rows.column(0).to_pylist()])
+        if y.any() and not y.all():
+            model = fit(rows.column(1).cast(pa.large_string()), y, prior)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    rows = docs.filter(F.col(key).isin(list(ids))).groupBy(F.col(key).alias("key")).agg(F.min(text).alias("text")).repartition(1).sortWithinPartitions("key")
+    found = rows.mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(found[0][0])) if found else None
 
 
 SPANS = "array<struct<start: int, length: int, probability: double>>"
@@ -262,7 +329,7 @@ def _judge(model: Model | None, column) -> Iterator[tuple[int, int, np.ndarray,
             continue
         part = data[offsets[i] : offsets[j]]
         found = tokens(part, offsets[i : j + 1] - offsets[i])
-        q, _ = marginals(potentials(model, found.features), model.step, found.bounds)
+        q, _ = marginals(potentials(model, found), model.step, found.bounds)
         yield i, j, score(model, aggregate(q, found.bounds)), found, q, part
 
 
@@ -270,6 +337,8 @@ def tag(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "
     """key, score and spans of every row: the toxic spans' first character, length in characters and probability.
 
     Null and empty texts have no tokens and get the score of a text without any toxic token; without a model all scores are 0.
+    A row for every row: repeated rows score alike, null keys are kept, an empty table gives no row. Other columns are not
+    read, so their names are free. Texts of any length are scored whole, their chain being cut nowhere.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -298,7 +367,11 @@ def _chars_before(text: str, found: Tokens, row: int) -> int:
 
 
 def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose text scores below the threshold."""
+    """The rows of docs, all columns as they are, whose text scores below the threshold.
+
+    Equal texts share a fate; repeated rows and null keys are rows like others; null and empty texts stay where the model
+    scores a text without toxic tokens below the threshold; without a model all stay. No column is added, so no name clashes.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
