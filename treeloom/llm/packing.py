@@ -7,12 +7,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import kept
+from .store import fresh, kept
 from .textkit import WHITE, SpanCache, flat, padded, spans, steps
 
 #: Pieces that one group is meant to hold.
@@ -124,31 +124,42 @@ def cut(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, key:
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, key: str = "doc_id", seed: int = 5) -> DataFrame:
-    """pieces (with key, start, length) with sequence_id and offset: no sequence holds more than capacity tokens.
+    """pieces (with key, start, length, other columns as they are) with sequence_id and offset: no sequence holds more than capacity tokens.
 
     Pieces are dealt by a seeded hash of key, start and content into about rows / GROUP_PIECES groups; each group is packed by
     first-fit decreasing on its own, so no group grows with the input and a document of any length spreads over many. A
-    group leaves about one sequence part empty.
+    group leaves about one sequence part empty. Equal lengths are placed in the order of content, key (nulls last) and start.
+    Repeated rows have equal hashes: where that makes a group of over 4 * GROUP_PIECES pieces, its pieces are dealt again
+    by their place in the stored table, so they spread like others. An empty table gives no row.
     """
-    pieces = kept(pieces, "pieces")
-    n = pieces.count()
-    groups = max(1, round(n / GROUP_PIECES))
+    at, group, mark = fresh(pieces, "_at", "_group", "_large")
     cols = pieces.columns
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([c for c in ("length", "ids_crc32", key, "start") if c in frame], kind="stable").reset_index(drop=True)
-        where, offset = first_fit_decreasing(frame["length"].to_numpy(), capacity)
-        return frame.assign(sequence_id=frame["_group"] * GROUP_IDS + where, offset=offset)[[*cols, "sequence_id", "offset"]]
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes) + ", sequence_id long, offset long"
-    group = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("start"), *[F.col(c) for c in ("ids_crc32",) if c in cols]), F.lit(groups)).cast("long")
-    return pieces.withColumn("_group", group).groupBy("_group").applyInPandas(run, schema)
+    pieces = kept(pieces.withColumn(at, F.monotonically_increasing_id()), "pieces")
+    groups = max(1, round(pieces.count() / GROUP_PIECES))
+    number = F.xxhash64(F.lit(seed), F.col(key), F.col("start"), *[F.col(c) for c in ("ids_crc32",) if c in cols])
+    dealt = pieces.withColumn(group, F.pmod(number, F.lit(groups)).cast("long"))
+    large = dealt.groupBy(group).count().filter(F.col("count") > 4 * GROUP_PIECES).select(group)
+    if groups > 1 and not large.isEmpty():  # few rows: repeats alone make a group large
+        again = F.pmod(F.xxhash64(F.lit(seed), F.col(at)), F.lit(groups)).cast("long")
+        marked = dealt.join(large.withColumn(mark, F.lit(True)), group, "left")
+        dealt = marked.withColumn(group, F.when(F.col(mark), again).otherwise(F.col(group)))
+
+    def run(table: pa.Table) -> pa.Table:
+        order = [("length", "descending"), *((c, "ascending") for c in ("ids_crc32", key, "start", at) if c in table.column_names)]
+        table = table.take(pc.sort_indices(table, sort_keys=order))
+        where, offset = first_fit_decreasing(table.column("length").to_numpy(), capacity)
+        ids = table.column(group).to_numpy() * GROUP_IDS + where
+        return pa.table([*(table.column(c) for c in cols), pa.array(ids, pa.int64()), pa.array(offset, pa.int64())], [*cols, "sequence_id", "offset"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in dealt.select(*cols).dtypes) + ", sequence_id long, offset long"
+    return dealt.select(*cols, at, group).groupBy(group).applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document's tokens in sequences: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document is its ids and end_id, so a null or empty text is one piece of one token. Each id lies in exactly one piece;
-    repeated rows and null keys are documents like others; other columns are not read; an empty table gives no row.
+    A document is its ids and end_id, so a null or empty text is one piece of one token. Each id lies in exactly one piece,
+    and a text of any length is cut whole. Keys keep their type and value beside null keys; repeated rows and null keys are
+    documents like others; other columns are not read, so their names are free; an empty table gives no row.
     """
     return pack(cut(docs, path, capacity, end_id, key, text), capacity, key)
