@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import join_hot, kept
+from .store import fresh, join_hot, kept
 from .textkit import LOWER, WHITE, flat, hash_spans, mix, padded, spans, steps
 
-#: Words of a shingle; similarity from which documents are near-duplicates.
+#: Words of a shingle; probability Jaccard similarity of counted shingles from which documents are near-duplicates.
 WORDS, SIMILARITY = 5, 0.8
 #: Bands and registers of a band. A pair at 0.8 shares no band with probability (1 - 0.8^6)^40 = 5e-6.
 BANDS, ROWS = 40, 6
@@ -105,8 +105,11 @@ def bands(found: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return h
 
 
-def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", weighted: bool = False) -> DataFrame:
-    """For each row: key, body (hash of the text), row (a number), node (hash of its shingle set), n, band keys, shingles (32 bits each)."""
+def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", weighted: bool = True) -> DataFrame:
+    """For each row: key, body (hash of the text), row (a number), node (hash of its counted shingles), n, band keys, shingles and their counts.
+
+    Shingles are sorted 32-bit hashes. Counts are 32-bit numbers, or nothing where all are 1 or with weighted=False.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
@@ -117,35 +120,63 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", weighted:
                 row, element, count = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 bounds = np.searchsorted(row, np.arange(m + 1))
                 n = np.diff(bounds)
-                node = np.zeros(m, np.uint64)
+                if not weighted:
+                    count = np.ones_like(count)
+                node, several = np.zeros(m, np.uint64), np.zeros(m, bool)
                 if len(row):
-                    np.add.at(node, row, mix(element + _ODD[2]))
+                    np.add.at(node, row, mix(element + _ODD[2] + (count - 1).astype(np.uint64) * _ODD[4]))
+                    several[row[count > 1]] = True
                 node = mix(node + n.astype(np.uint64) * _ODD[3]).view(np.int64)
-                sign = signatures(row, element, count.astype(float) if weighted else None, m, BANDS * ROWS)
+                sign = signatures(row, element, count.astype(float) if several.any() else None, m, BANDS * ROWS)
                 keys = bands(sign).view(np.int64)
                 lists = np.where(n > 0, BANDS, 0)
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists)]), pa.int32()), pa.array(keys[n > 0].reshape(-1)))
-                raw = element.astype(np.uint32).tobytes()
-                sets = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, m), b.column(2).slice(i, m), pa.array(number + np.arange(m)), pa.array(node), pa.array(n.astype(np.int32)), keys, sets], ["key", "body", "row", "node", "n", "bands", "shingles"])
+                sets = _binary(4 * n, element.astype(np.uint32))
+                counts = _binary(np.where(several, 4 * n, 0), count.astype(np.uint32)[several[row]] if len(row) else np.zeros(0, np.uint32))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, m), b.column(2).slice(i, m), pa.array(number + np.arange(m)), pa.array(node), pa.array(n.astype(np.int32)), keys, sets, counts],
+                    ["key", "body", "row", "node", "n", "bands", "shingles", "counts"],
+                )
                 number += m
 
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("body"))
-    return rows.mapInArrow(run, f"key {kind}, body long, row long, node long, n int, bands array<long>, shingles binary")
+    return rows.mapInArrow(run, f"key {kind}, body long, row long, node long, n int, bands array<long>, shingles binary, counts binary")
+
+
+def _binary(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(values.tobytes())])
+
 
+def probability_jaccard(x: np.ndarray, y: np.ndarray, whole_x: float, whole_y: float) -> float:
+    """The similarity of two weighted sets from the weights x and y of their common elements and the sums of all their weights.
 
-def spanning_links(node: np.ndarray, size: np.ndarray, ids: np.ndarray, least: float = SIMILARITY) -> list[tuple[int, int]]:
-    """A spanning forest of the exact similarity graph of some sets: every pair of sets is compared, or already connected.
+    It is the sum over common i of 1 / sum over all j of max(x_j / x_i, y_j / y_i). With the elements sorted by x / y, the
+    inner sum is one of x before i and one of y behind it.
+    """
+    order = np.argsort(-(x / y), kind="stable")
+    x, y = x[order] / whole_x, y[order] / whole_y
+    before, behind = np.cumsum(x), np.cumsum(y[::-1])[::-1] - y
+    return float((1 / ((before + max(0.0, 1 - x.sum())) / x + (behind + max(0.0, 1 - y.sum())) / y)).sum())
+
+
+def spanning_links(node: np.ndarray, size: np.ndarray, ids: np.ndarray, weight: np.ndarray | None = None, part: np.ndarray | None = None, least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """A spanning forest of the exact similarity graph of some weighted sets: every pair of sets is compared, or already connected.
 
-    ids holds all sets one after the other. A pivot is compared with all others at once; only links that join two
-    components are put out. It is over when all sets that have not been pivots lie in one component.
+    ids (and weight, None: all 1) hold all sets one after the other; part has equal numbers for sets that are known to be
+    connected. A pivot is compared with all others at once; only links that join two components are put out. It is over
+    when all sets that have not been pivots lie in one component.
     """
     n = len(node)
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
     _, local = np.unique(ids, return_inverse=True)
-    flag = np.zeros(int(local.max(initial=0)) + 1, bool)
-    part = np.arange(n)  # component of each set
+    local = local.reshape(-1)
+    mine = np.zeros(int(local.max(initial=0)) + 1)
+    part = np.arange(n) if part is None else np.unique(part, return_inverse=True)[1].reshape(-1)
+    sums = size.astype(float) if weight is None or not n else np.add.reduceat(weight, begin)
+    plain = sums == size
+    shares = None if weight is None or plain.all() else weight / np.repeat(sums, size)
     pivot = np.zeros(n, bool)
     links = []
     while True:
@@ -153,29 +184,57 @@ def spanning_links(node: np.ndarray, size: np.ndarray, ids: np.ndarray, least: f
         if not len(free):
             break
         names, counts = np.unique(part[free], return_counts=True)
-        if len(names) == 1 and n > 1 and pivot.any() or n < 2:
+        if len(names) == 1 and (n < 2 or pivot.any() or (part == part[0]).all()):
             break
-        p = int(free[part[free] == names[np.argmin(counts)]][0]) if pivot.any() else 0
+        p = int(free[part[free] == names[np.argmin(counts)]][0])
         pivot[p] = True
-        mine = local[begin[p] : begin[p] + size[p]]
-        flag[mine] = True
-        common = np.add.reduceat(flag[local], begin)
-        flag[mine] = False
-        near = np.flatnonzero((common >= least * (size + size[p] - common) * (1 - 1e-12)) & (part != part[p]))
+        own = slice(begin[p], begin[p] + size[p])
+        mine[local[own]] = 1.0 if weight is None else weight[own]
+        seen = mine[local]
+        common = np.add.reduceat(seen > 0, begin)
+        bound = common / (size + size[p] - common)
+        if shares is not None:  # between weighted sets, the sum of the lesser shares is never less than the similarity
+            bound = np.where(plain & plain[p], bound, np.add.reduceat(np.minimum(seen / sums[p], shares), begin))
+        near = np.flatnonzero((bound >= least * (1 - 1e-12)) & (part != part[p]))
         for q in near.tolist():
-            if part[q] != part[p]:
-                links.append((int(node[p]), int(node[q])))
-                part[part == part[q]] = part[p]
+            if part[q] == part[p]:
+                continue
+            if not (plain[q] and plain[p]):
+                at = np.flatnonzero(seen[begin[q] : begin[q] + size[q]] > 0) + begin[q]
+                if probability_jaccard(seen[at], weight[at], sums[p], sums[q]) < least * (1 - 1e-12):
+                    continue
+            links.append((int(node[p]), int(node[q])))
+            part = np.where(part == part[q], part[p], part)
+        mine[local[own]] = 0.0
     return links
 
 
+def _weights(sizes: np.ndarray, counts: list[bytes]) -> np.ndarray | None:
+    if not any(counts):
+        return None
+    return np.concatenate([np.frombuffer(c, np.uint32).astype(float) if c else np.ones(n) for n, c in zip(sizes.tolist(), counts, strict=True)])
+
+
 def _verify(table: pa.Table) -> pa.Table:
     size = table.column("n").to_numpy().astype(np.int64)
     ids = np.frombuffer(b"".join(x.as_py() for x in table.column("shingles")), np.uint32)
-    links = spanning_links(table.column("node").to_numpy(), size, ids)
+    weight = _weights(size, table.column("counts").to_pylist())
+    links = spanning_links(table.column("node").to_numpy(), size, ids, weight, table.column("part").to_numpy())
     return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
 
 
+def _with_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds whether a row's set is near its pivot's, whose shingles and counts are the last two columns."""
+    for b in batches:
+        near = []
+        for sh, co, ps, pc in zip(*(b.column(c).to_pylist() for c in ("shingles", "counts", "p_shingles", "p_counts")), strict=True):
+            x, y = np.frombuffer(ps, np.uint32), np.frombuffer(sh, np.uint32)
+            wx, wy = (np.frombuffer(c, np.uint32).astype(float) if c else np.ones(len(v)) for c, v in ((pc, x), (co, y)))
+            _, i, j = np.intersect1d(x, y, return_indices=True)
+            near.append(bool(len(i)) and probability_jaccard(wx[i], wy[j], wx.sum(), wy.sum()) >= SIMILARITY * (1 - 1e-12))
+        yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(near, pa.bool_())], [*b.schema.names[:-2], "linked"])
+
+
 def _bits(df: DataFrame, column: str):
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BUCKETS * 32768))
 
@@ -206,38 +265,60 @@ def _labels(rows: DataFrame) -> DataFrame:
     stars = keys.distinct().join(shared, "band").filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
     groups = components(stars, "candidates")
     groups = groups.unionByName(groups.select(F.col("label").alias("node"), "label").distinct())
-    members = _only(rows.select("node", "row", "n", "shingles"), groups)
+    members = _only(rows.select("node", "row", "n", "shingles", "counts"), groups)
     first = members.groupBy("node").agg(F.min("row").alias("row"))
     members = members.join(first, ["node", "row"]).join(groups, "node")
-    members = kept(members.select("node", "label", "n", "shingles"), "members")
-    sums = members.groupBy("label").agg(F.sum(F.col("n").cast("long")).alias("all"))
-    sums = sums.select("label", F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int")
-    other = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = members.join(sums, "label").withColumn("_own", block).withColumn("_other", F.explode(other))
-    tasks = tasks.withColumn("_pair", F.when(F.col("blocks") <= 2, F.lit("all")).otherwise(F.concat_ws("-", F.least("_own", "_other"), F.greatest("_own", "_other"))))
-    links = tasks.select("label", "_pair", "node", "n", "shingles").groupBy("label", "_pair").applyInArrow(_verify, "u long, v long")
-    return components(links, "classes")
-
-
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+    members = kept(members.select("node", "label", "n", "shingles", "counts"), "members")
+    sums = members.groupBy("label").agg(F.ceil(F.sum(F.col("n").cast("long")) / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    tasks = members.withColumn("part", F.col("node")).withColumn("_pair", F.lit("all"))
+    if sums.filter("blocks > 2").isEmpty():
+        return components(_links(tasks), "classes")
+    sized = join_hot(members, sums, "label")
+    tasks = sized.filter("blocks <= 2").drop("blocks").withColumn("part", F.col("node")).withColumn("_pair", F.lit("all"))
+    large = sized.filter("blocks > 2").drop("blocks")
+    pivots = large.filter("node = label").select("label", F.col("shingles").alias("p_shingles"), F.col("counts").alias("p_counts"))
+    judged = join_hot(large, pivots, "label").select(*large.columns, "p_shingles", "p_counts")
+    judged = kept(judged.mapInArrow(_with_pivot, "node long, label long, n int, shingles binary, counts binary, linked boolean"), "judged")
+    to_pivot = judged.filter("linked AND node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
+    # a linked set needs no comparison with another one; blocks of the others meet all blocks
+    part = lambda linked: F.ceil(F.sum(F.when(F.col("linked") == linked, F.col("n").cast("long")).otherwise(0)) / BLOCK_SHINGLES).cast("int")
+    blocks = judged.groupBy("label").agg(part(True).alias("known"), part(False).alias("open")).filter("open > 0")
+    dealt = join_hot(judged, blocks, "label")
+    number = F.xxhash64(F.lit("block"), "node")
+    known, open_ = (F.pmod(number, F.greatest(F.col(c), F.lit(1))).cast("string") for c in ("known", "open"))
+    to = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.col(c), F.lit(1)) - 1), lambda i: i.cast("string"))
+    pairs = F.when(F.col("linked"), F.transform(to("open"), lambda i: F.concat(known, F.lit("k"), i))).otherwise(
+        F.concat(F.transform(to("known"), lambda i: F.concat(i, F.lit("k"), open_)), F.transform(to("open"), lambda i: F.concat(F.least(i, open_), F.lit("o"), F.greatest(i, open_))))
+    )
+    more = dealt.withColumn("part", F.when(F.col("linked"), F.col("label")).otherwise(F.col("node"))).withColumn("_pair", F.explode(pairs)).select(*tasks.columns)
+    return components(_links(tasks.unionByName(more)).unionByName(to_pivot), "classes")
+
+
+def _links(tasks: DataFrame) -> DataFrame:
+    return tasks.select("label", "_pair", "node", "n", "shingles", "counts", "part").groupBy("label", "_pair").applyInArrow(_verify, "u long, v long")
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", weighted: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): sketched rows (key, body, row, node), and for each node its class: class_id, class_rows, and the row that stays.
 
-    A class is a connected component of the graph that links documents whose sets of five-word shingles have a Jaccard
-    similarity of 0.8 or more; class_id is its smallest key. With `weighted`, candidates come from
-    counted shingles (probability Jaccard); links are verified on the sets either way.
+    A class is a connected component of the graph that links documents whose five-word shingles, weighted by their
+    counts, have a probability Jaccard similarity of 0.8 or more (with equal weights: Jaccard similarity); class_id is its smallest key.
+    With weighted=False every shingle weighs the same.
 
-    Equal shingle sets collapse to one node first, so copies cost nothing later. Candidate groups (components of shared
-    bands) are compared exactly, in blocks of bounded size where a group is large, and each task puts out a spanning
-    forest only: links number fewer than nodes, and no link that would join two classes is lost.
+    Equal weighted sets collapse to one node first, so copies cost nothing later. Candidate groups (components of shared
+    bands) are compared exactly. A group of up to two blocks is one task's. In a larger one, every member is first compared
+    with the group's pivot where it lies; those near it are one component, and only blocks of the others meet all blocks.
+    Tasks put out spanning forests: links number fewer than nodes, and no link that would join two classes is lost.
     """
     rows = kept(sketches(docs, key, text, weighted), "sketches")
-    labels = _labels(rows)
+    labels = kept(_labels(rows), "labels")
     nodes = rows.groupBy("node").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "body", "row")).alias("first"), F.min("key").alias("least"), F.count("*").alias("rows"))
-    nodes = kept(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "nodes")
-    linked = nodes.filter("label <> node").select("label").distinct()
-    whole = nodes.join(linked, "label", "left_semi").groupBy("label").agg(F.min("first").alias("_first"), F.min("least").alias("class_id"), F.sum("rows").alias("class_rows"), F.count("*").alias("class_texts"))
-    found = nodes.join(whole, "label", "left").select(
+    nodes = kept(nodes, "nodes")
+    linked = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+    linked = kept(linked.join(nodes, "node"), "linked")
+    whole = linked.groupBy("label").agg(F.min("first").alias("_first"), F.min("least").alias("class_id"), F.sum("rows").alias("class_rows"), F.count("*").alias("class_texts"))
+    own = join_hot(linked.select("node", "label"), whole, "label").drop("label")
+    found = nodes.join(own, "node", "left").select(
         "node",
         F.coalesce("class_id", "least").alias("class_id"),
         F.coalesce("class_rows", "rows").alias("class_rows"),
@@ -247,12 +328,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", weighted:
     return rows.select("key", "body", "row", "node", "n"), found
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", weighted: bool = False) -> DataFrame:
-    """One row for every row of docs: key, class_id, class_rows, class_texts (different shingle sets), n_shingles, stays.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", weighted: bool = True) -> DataFrame:
+    """One row for every row of docs: key, class_id, class_rows, class_texts (different weighted sets), n_shingles, stays.
 
     stays holds for exactly one row of each class, one with the smallest key. Texts without words (null, empty, blank) have no shingles
     and form one class. Null keys and repeated rows are rows like others; a class without any key has a null class_id.
-    Other columns are not read; an empty table gives an empty result.
+    Other columns are not read, so their names are free; texts of any length are shingled whole; an empty table gives an empty result.
     """
     rows, found = classes(docs, key, text, weighted)
     out = join_hot(rows, found, "node")
@@ -260,14 +341,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", we
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, without those that near_duplicates would not let stay."""
+    """The rows of docs, all columns as they are, without those that near_duplicates would not let stay.
+
+    Of a class stays the row with the smallest key (null keys last), then the smallest hash of its text. Where such a row is
+    repeated with equal key and text, one of them stays, chosen by its other columns; these may be of any type, maps too, and
+    of any name. Null and empty texts are one class; texts of any length count whole; an empty table gives an empty one.
+    """
     rows, found = classes(docs, key, text)
-    stay = kept(found.select("stays.key", "stays.body", "stays.row"), "stay")
-    twice = rows.groupBy("key", "body").count().filter("count > 1").join(stay, [rows["key"].eqNullSafe(stay["key"]), rows["body"] == stay["body"]], "left_semi").limit(1).count()
-    own = docs.withColumn("_body", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).alias("d")
-    out = own.join(stay.select("key", "body").distinct().alias("s"), F.col(f"d.{key}").eqNullSafe(F.col("s.key")) & (F.col("d._body") == F.col("s.body")), "left_semi")
-    if twice:  # equal rows: one of them
-        from pyspark.sql import Window
-
-        out = out.withColumn("_at", F.row_number().over(Window.partitionBy(key, "_body").orderBy(*[F.col(c) for c in docs.columns if c not in (key, text)] or [F.lit(1)]))).filter("_at = 1").drop("_at")
-    return out.drop("_body")
+    stay = kept(found.select("stays.key", "stays.body"), "stay")
+    twice = rows.groupBy("key", "body").count().filter("count > 1")
+    twice = twice.join(stay, twice["key"].eqNullSafe(stay["key"]) & (twice["body"] == stay["body"]), "left_semi")
+    body, its_key, its_body, one = fresh(docs, "body", "its_key", "its_body", "one")
+    own = docs.withColumn(body, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    wanted = stay.select(F.col("key").alias(its_key), F.col("body").alias(its_body)).distinct()
+    out = own.join(wanted, F.col(key).eqNullSafe(F.col(its_key)) & (F.col(body) == F.col(its_body)), "left_semi")
+    if not twice.isEmpty():  # equal keys and texts: combined in each task before any shuffle
+        whole = F.struct(*[F.col(c) for c in docs.columns])
+        out = out.groupBy(key, body).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(one)).select(f"{one}.*")
+    return out.select(*docs.columns)
