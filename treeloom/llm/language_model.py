@@ -15,7 +15,7 @@ from .store import kept
 from .textkit import LOWER, WHITE, HashTable, eights, flat, hash_spans, mix, padded, spans, steps
 
 #: The model's outcomes: the end, WORDS frequent words, SUFFIXES classes of other words by their last bytes, and the rest.
-WORDS, SUFFIXES = 640, 382
+WORDS, SUFFIXES = 1536, 510
 SIZE = WORDS + SUFFIXES + 2
 #: Dimensions of a word's vector.
 DIM = 16
@@ -23,8 +23,9 @@ DIM = 16
 FIRST, THEN = (0.1, 64, 1024), (0.03, 32, 2048)
 #: A word with at least 1/HEAD of all training tokens is looked up in a broadcast table, so that has HEAD rows at most; others are joined.
 HEAD = 1 << 20
-#: Tokens, about, on which one task finds the common start of all tasks' training.
-START_TOKENS = 1_000_000
+#: Tokens, about, on which one task finds the common start of all tasks' training, and turns it takes over them; tokens, about, and most number of
+#: the shards that are then learnt from side by side, one turn each.
+START_TOKENS, START_TURNS, SHARD_TOKENS, SHARDS = 1_000_000, 3, 2_000_000, 4096
 _U = np.uint64
 
 
@@ -224,27 +225,38 @@ def _outcomes(vocab: Vocabulary, table: HashTable, hashes: np.ndarray, suffix: n
 
 
 def train(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "text") -> np.ndarray:
-    """The model's numbers, learnt from every row of docs.
+    """The model's numbers, learnt from every row of docs, whatever their order and partitions.
 
-    One task finds a start on a hash share of the rows of about START_TOKENS tokens. From there, each task learns from all of its rows; the
-    mean of all tasks' numbers, weighted by tokens and summed by place in a shuffle, is the model.
+    One task finds a start on a hash share of the rows of about START_TOKENS tokens (all, if there are fewer). Then every row is dealt by the hash
+    of its key and text to a shard; from the start, each shard's task learns from its rows in the order of that hash. The mean
+    of all shards' numbers, weighted by tokens and summed by place in a shuffle, is the model. Rows travel as two bytes a word.
     """
     spark = docs.sparkSession
     share = (vocab.tokens + 1.0) / (vocab.tokens + 1.0).sum()
     shared = spark.sparkContext.broadcast((vocab, share))
+    rows = docs.select(F.xxhash64(F.lit("shard"), key, text).alias("h"), F.col(text).alias("text"))
 
-    def learner(start, how: tuple, turns: int):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, _ = shared.value
+        table = vocab.table()
+        for b in batches:
+            data, offsets = flat(b.column(1))
+            for i, j in steps(offsets):
+                h, s, bounds = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                raw = _outcomes(vocab, table, h, s)[0].astype("<i2").tobytes()
+                words = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), words], ["h", "words"])
+
+    def learn(start: np.ndarray, some: DataFrame, how: tuple, turns: int, shards: int) -> np.ndarray:
         rate, noise, size = how
         given = spark.sparkContext.broadcast(start)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocab, share = shared.value
-            trainer, table, n = Trainer(given.value, share, rate, noise, TaskContext.get().partitionId()), vocab.table(), 0
+            trainer, n = Trainer(given.value, shared.value[1], rate, noise, TaskContext.get().partitionId()), 0
             for b in batches:
-                data, offsets = flat(b.column(0))
+                data, offsets = flat(b.column(1))
                 for i, j in steps(offsets):
-                    h, s, bounds = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    one, two, word = contexts(_outcomes(vocab, table, h, s)[0], bounds)
+                    one, two, word = contexts(data[offsets[i] : offsets[j]].view("<i2").astype(np.int32), (offsets[i : j + 1] - offsets[i]) // 2)
                     for turn in range(turns):
                         order = np.random.default_rng(turn).permutation(-(-len(word) // size))
                         for k in order * size:
@@ -254,20 +266,15 @@ def train(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "
                 x = trainer.w.flat().astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x), dtype=np.int32)), pa.array(x * n), pa.array(np.full(len(x), float(n)))], ["at", "sum", "n"])
 
-        return run
-
-    def mean(rows: DataFrame, otherwise: np.ndarray) -> np.ndarray:
-        found = rows.groupBy("at").agg((F.sum("sum") / F.sum("n")).alias("x")).toArrow()
-        out = otherwise.copy()
+        dealt = some.mapInArrow(encode, "h long, words binary").repartition(shards, "h").sortWithinPartitions("h")
+        found = dealt.mapInArrow(run, "at int, sum double, n double").groupBy("at").agg((F.sum("sum") / F.sum("n")).alias("x")).toArrow()
+        out = start.copy()
         out[found.column("at").to_numpy()] = found.column("x").to_numpy()
         return out
 
-    kind = "at int, sum double, n double"
-    start = Weights.start(share).flat().astype(np.float64)
-    slices = max(1, vocab.total // START_TOKENS)
-    sample = docs.filter(F.pmod(F.xxhash64(F.lit("start"), key), F.lit(slices)) == 0).select(text)
-    start = mean(sample.coalesce(1).mapInArrow(learner(start, FIRST, 3 if slices > 1 else 6), kind), start)
-    return mean(docs.select(text).mapInArrow(learner(start, THEN, 1), kind), start) if slices > 1 else start
+    sample = rows.filter(F.pmod(F.xxhash64(F.lit("start"), "h"), F.lit(max(1, vocab.total // START_TOKENS))) == 0)
+    start = learn(Weights.start(share).flat().astype(np.float64), sample, FIRST, START_TURNS, 1)
+    return learn(start, rows, THEN, 1, max(1, min(SHARDS, round(vocab.total / SHARD_TOKENS))))
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -277,9 +284,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     The model gives an outcome's probability after the two tokens before, normalised over all outcomes; where the
     outcome is a class of words, times the word's share (count + 1/2) of the class, in which words never seen have 1/2 together.
 
-    Null counts as empty, which is the end alone; null keys are not held out. No training row: every score is 0. Repeated rows score
-    alike and count each. Words are told apart by 64-bit hashes. Rare words' counts are joined, none of them being
-    hot by definition; frequent ones' table is broadcast and has HEAD rows at most.
+    Null counts as empty, which is the end alone; null keys are not held out. No training row: every score is the base. Repeated rows score
+    alike and count each; texts of any length are scored whole; an empty table gives no row; other columns are not read.
+    The scores do not depend on how rows lie in partitions. Words are told apart by 64-bit hashes. Rare words' counts are
+    joined, none of them being hot by definition; frequent ones' table is broadcast and has HEAD rows at most.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), is_held_out(key).alias("held_out"))
