@@ -11,7 +11,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import join_hot, kept
@@ -70,35 +70,53 @@ def features(payload: bytes) -> str:
 
 
 class _Sequence(HTMLParser):
-    """Text and media in document order; a figcaption belongs to the last medium of its figure, else alt text does."""
+    """Text and media in document order. A figcaption captions every medium of its own figure, wherever it stands there; a
+    medium without one has its alt text as caption; a caption of a figure without media is text like other text."""
+
+    BREAKS = frozenset("p div br li h1 h2 h3 h4 h5 h6 article section tr table ul ol blockquote pre hr".split())
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.items: list[list] = []
+        self.items: list[list] = []  # kind, text, digest, caption
         self.words: list[str] = []
-        self.hidden = self.caption = 0
+        self.figures: list[list] = []  # open figures: number of the first item, media, captions as (place among items, text)
+        self.hidden, self.caption = 0, False
 
     def flush(self) -> None:
-        if said := " ".join(" ".join(self.words).split()):
-            media = next((x for x in reversed(self.items) if x[0] == "media"), None) if self.caption else None
-            if media:
-                media[3] = said
+        if said := " ".join("".join(self.words).split()):
+            if self.caption and self.figures:
+                self.figures[-1][1].append((len(self.items), said))
             else:
                 self.items.append(["text", said, None, None])
         self.words = []
 
+    def leave_figure(self) -> None:
+        first, captions = self.figures.pop()
+        media = [x for x in self.items[first:] if x[0] == "media" and not x[4:]]
+        if media and captions:
+            for x in media:
+                x[3] = " ".join(c for _, c in captions)
+        elif not media:
+            for k, (at, said) in enumerate(captions):
+                self.items.insert(at + k, ["text", said, None, None])
+        for x in media:
+            x.append(True)  # belongs to this figure, not to one around it
+
     def handle_starttag(self, tag, attrs):
         if tag in ("script", "style"):
             self.hidden += 1
+        elif tag == "figure":
+            self.flush()
+            self.figures.append([len(self.items), []])
         elif tag == "figcaption":
             self.flush()
-            self.caption += 1
+            self.caption = True
         elif tag in ("img", "video", "audio", "source"):
             self.flush()
             got = dict(attrs)
             src = got.get("src") or ""
-            self.items.append(["media", None, src.removeprefix("media:") if src.startswith("media:") else src, got.get("alt")])
-        elif tag in ("p", "div", "br", "li", "h1", "h2", "h3", "figure", "article", "section", "tr"):
+            self.items.append(["media", None, src.removeprefix("media:"), got.get("alt")])
+        elif tag in self.BREAKS:
             self.flush()
 
     def handle_endtag(self, tag):
@@ -106,34 +124,47 @@ class _Sequence(HTMLParser):
             self.hidden = max(0, self.hidden - 1)
         elif tag == "figcaption":
             self.flush()
-            self.caption = max(0, self.caption - 1)
-        elif tag in ("p", "div", "li", "h1", "h2", "h3", "figure", "article", "section", "tr"):
+            self.caption = False
+        elif tag == "figure":
+            self.flush()
+            self.caption = False
+            if self.figures:
+                self.leave_figure()
+        elif tag in self.BREAKS:
             self.flush()
 
     def handle_data(self, data):
         if not self.hidden:
             self.words.append(data)
 
+    def finish(self) -> list[list]:
+        self.close()
+        self.flush()
+        while self.figures:
+            self.leave_figure()
+        return self.items
+
 
 def parse(page: str | None) -> list[dict]:
     """The ordered items of one page; null or empty: none."""
     parser = _Sequence()
     parser.feed(page or "")
-    parser.close()
-    parser.flush()
-    return [{"position": i, "kind": k, "text": t, "digest": d, "caption": c} for i, (k, t, d, c) in enumerate(parser.items)]
+    return [{"position": i, "kind": k, "text": t, "digest": d, "caption": c} for i, (k, t, d, c, *_) in enumerate(parser.finish())]
 
 
 def sequences(pages: DataFrame, key: str = "page_id", page: str = "html") -> DataFrame:
     """key and `items`, the page's text and media references in order (a null page has no items). Other columns are dropped."""
+    return pages.select(key, items(F.col(page)).alias("items"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([parse(x) for x in b.column(1).to_pylist()], kind)], [key, "items"])
 
-    schema = f"`{key}` {dict(pages.dtypes)[key]}, items {SEQUENCE}"
-    return pages.select(key, page).mapInArrow(run, schema)
+def _items(page: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
+    return pa.array([parse(x.as_py()) for x in page], kind)
+
+
+def items(page: Column) -> Column:
+    """The ordered text and media references of each page; null: none."""
+    return F.arrow_udf(_items, SEQUENCE)(page)
 
 
 def references(found: DataFrame, key: str = "page_id") -> DataFrame:
@@ -165,10 +196,10 @@ def resolve(refs: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def publish(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each text as a page that shows its payload as an image: key, n_bytes, page, digest, media.
+    """Each text as a page of its halves, with its payload's image in a figure between them and once more at the end: key, n_bytes, page, digest, media.
 
     The payload is the text's UTF-8 (null: empty), filled up with zeros to a positive multiple of WIDTH bytes and kept
-    as PNG. media is null where the same task has already put out that digest in the same batch.
+    as PNG. media is null where the same task has already put out that digest in the same 512 rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,14 +207,17 @@ def publish(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             for i in range(0, b.num_rows, 512):
                 part, seen, rows = b.slice(i, 512), set(), []
                 for x in part.column(1):
-                    raw = (x.as_py() or "").encode()
+                    said = x.as_py() or ""
+                    raw = said.encode()
                     payload = fill(raw)
                     digest = hashlib.sha256(payload).hexdigest()
-                    page = f'<figure><img src="media:{digest}" alt="{len(raw)}"><figcaption>{html.escape(f"{len(raw)} bytes in {len(payload) // WIDTH} rows")}</figcaption></figure>'
+                    half = said.rfind(" ", 0, len(said) // 2 + 1) + 1
+                    shown = f'<figure><img src="media:{digest}" alt="{len(raw)}"><figcaption>{len(raw)} bytes in {len(payload) // WIDTH} rows</figcaption></figure>'
+                    page = f'<article><p>{html.escape(said[:half])}</p>{shown}<p>{html.escape(said[half:])}</p><p>again <img src="media:{digest}" alt="whole text"></p></article>'
                     rows.append((len(raw), page, digest, None if digest in seen else encode_png(payload)))
                     seen.add(digest)
                 n, pages, digests, media = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(pages), pa.array(digests), pa.array(media, pa.binary())], [key, "n_bytes", "page", "digest", "media"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(pages, pa.string()), pa.array(digests, pa.string()), pa.array(media, pa.binary())], [key, "n_bytes", "page", "digest", "media"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_bytes long, page string, digest string, media binary")
 
@@ -191,12 +225,20 @@ def publish(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def interleave(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document's text stored as a medium, found again through its page's sequence, and read back.
 
-    Result: key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position, caption. Equal texts give
-    equal values; null counts as empty; a row is put out for every row, repeated and null keys included.
-    Stored bytes are decoded where they lie, once for each copy in the store; only digests and figures are shuffled.
+    Result: key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; the position and caption of the first
+    reference in the page's sequence, n_items of that, and positions of all references. Equal texts give
+    equal values; null counts as empty; a row is put out for every row, repeated and null keys included. Texts of any length
+    are stored whole; other columns are not read; an empty table gives no row.
+
+    Pages are parsed where they are made and only references are kept of them. Stored bytes are decoded where they lie, once for each
+    copy in the store; only digests and figures are shuffled.
     """
-    stored = kept(publish(docs.select(key, text), key, text), "media")
-    pages = stored.select(F.struct(key, "n_bytes").alias("_row"), "page")
-    refs = references(sequences(pages, "_row", "page"), "_row")
-    out = resolve(refs, describe(stored))
-    return out.select(f"_row.{key}", "_row.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    pages = publish(docs, key, text).withColumn("items", items(F.col("page")))
+    refs = F.filter("items", lambda x: x["kind"] == "media")
+    first = F.get(refs, F.lit(0))
+    row = F.struct(F.col(key).alias("key"), "n_bytes", F.size("items").alias("n_items"), F.transform(refs, lambda x: x["position"]).alias("positions"), first["caption"].alias("caption")).alias("row")
+    stored = kept(pages.select(row, first["digest"].alias("ref"), F.when(F.col("media").isNotNull(), F.col("digest")).alias("digest"), "media"), "media")
+    out = resolve(stored.select("row", F.col("ref").alias("digest")), describe(stored))
+    return out.select(
+        F.col("row.key").alias(key), "row.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.element_at("row.positions", 1).alias("position"), "row.caption", "row.n_items", "row.positions"
+    )
