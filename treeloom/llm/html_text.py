@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from html import unescape
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 #: Fixed values of HTML: elements without content, with raw text, that are never shown, laid out as blocks, and with a blank line around.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist audio video object canvas svg math meta link base param source track area map".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist audio video object canvas meta link base param source track area defs desc metadata symbol annotation annotation-xml".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table ul".split()
 )
@@ -37,17 +38,20 @@ IMPLIED_END = {
 IN_HEAD = frozenset("head base link meta title style script noscript template noframes".split())
 #: Elements that an end tag of something outside does not reach through.
 SCOPE = frozenset("table td th caption html template object".split())
-#: Elements nest this deep; deeper ones lie side by side, with all their text.
-DEPTH = 200
+#: Fixed values of HTML: the most columns and rows that a cell may span.
+SPAN, ROWS_SPAN = 1000, 65534
+#: Width in pixels of the screen for which media queries are answered.
+SCREEN = 1280
 
 #: White space inside a tag is HTML's own, not Unicode's.
 _NAME = re.compile(r"[a-zA-Z][^ \t\n\r\f/>]*")
 _GAP = re.compile(r"[ \t\n\r\f/]*")
 _ATTRIBUTE = re.compile(r"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*)(?:[ \t\n\r\f]*=[ \t\n\r\f]*(?:\"([^\"]*)\"|'([^']*)'|([^ \t\n\r\f>]*)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"^(?:[a-z][a-z0-9]*)?(?:[.#][\w-]+)?$", re.I)
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_SIMPLE = re.compile(r"^(\*|[a-z][a-z0-9]*)?([.#][\w-]+)?$", re.I)
+_QUERY = re.compile(r"^(?:only\s+)?(all|screen)?(?:\s*(?:and\s*)?(\(.*))?$", re.I | re.S)
+_WIDTH = re.compile(r"\(\s*(min|max)-width\s*:\s*([0-9.]+)px\s*\)", re.I)
 
 
 class Node:
@@ -104,11 +108,22 @@ def build(page: str) -> Node:
     """The element tree of a page."""
     root = Node("html")
     stack = [root]
+    is_open: dict[str, int] = {}  # open elements by name, so that nothing is looked for in vain in a deep stack
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        is_open[node.tag] = is_open.get(node.tag, 0) + 1
+
+    def pop() -> None:
+        is_open[stack.pop().tag] -= 1
 
     def close_to(names: set | frozenset, fences: set | frozenset) -> None:
+        if not any(is_open.get(x) for x in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in names:
-                del stack[k:]
+                while len(stack) > k:
+                    pop()
                 return
             if stack[k].tag in fences:
                 return
@@ -117,7 +132,7 @@ def build(page: str) -> Node:
         if kind == "text":
             top = stack[-1]
             if top.tag == "head" and what.strip(" \t\n\r\f"):
-                stack.pop()
+                pop()
                 top = stack[-1]
             top.children.append(unescape(what) if "&" in what else what)
         elif kind == "raw":
@@ -127,7 +142,7 @@ def build(page: str) -> Node:
                 root.attrs.update({k: v for k, v in attrs.items() if k not in root.attrs})
                 continue
             if stack[-1].tag == "head" and what not in IN_HEAD:
-                stack.pop()
+                pop()
             if what in ENDS_P:
                 close_to({"p"}, SCOPE)
             if what in IMPLIED_END:
@@ -139,45 +154,100 @@ def build(page: str) -> Node:
                         break
             if what in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
                 stack[-1].children.append(row := Node("tr"))
-                stack.append(row)
+                push(row)
             node = Node(what, attrs)
             stack[-1].children.append(node)
-            if what not in VOID and len(stack) < DEPTH:
-                stack.append(node)
+            if what not in VOID:
+                push(node)
         elif what == "br":
             stack[-1].children.append(Node("br"))
-        elif what == "p" and not any(x.tag == "p" for x in stack):
+        elif what == "p" and not is_open.get("p"):
             stack[-1].children.append(Node("p"))
         elif what not in ("html", "body"):
             close_to({what}, SCOPE - {what})
     return root
 
 
-def hiding_rules(root: Node) -> frozenset:
-    """Simple selectors (name, .class, #id, or name with one of these) that style elements hide."""
-    found, todo = set(), [root]
+def _applies(query: str) -> bool:
+    """Whether a media query list holds for a screen SCREEN pixels wide; a feature other than its width makes a query fail."""
+    for one in query.split(","):
+        m = _QUERY.match(one.strip())
+        if not m:
+            continue
+        features = m[2] or ""
+        wide = all(SCREEN >= float(x) if side.lower() == "min" else SCREEN <= float(x) for side, x in _WIDTH.findall(features))
+        if wide and not re.sub(r"\band\b|\s", "", _WIDTH.sub("", features), flags=re.I):
+            return True
+    return False
+
+
+def css_rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on a screen: those outside at-rules, and inside @media that applies, @supports and @layer."""
+    css, at, n = re.sub(r"/\*.*?\*/", "", css, flags=re.S), 0, len(css)
+    fence: list[bool] = []  # of each open block of rules: whether it applies
+    while at < len(css):
+        m = re.compile(r"[^{};]*").match(css, at)
+        head, at = m[0].strip(), m.end() + 1
+        mark = css[m.end() : m.end() + 1]
+        if mark == "}":
+            if fence:
+                fence.pop()
+        elif mark == "{":
+            name = re.match(r"@([\w-]+)", head)
+            if name and name[1].lower() in ("media", "supports", "layer", "container"):
+                fence.append(_applies(head[6:]) if name[1].lower() == "media" else name[1].lower() != "container")
+                continue
+            depth, end = 1, at
+            while end < len(css) and depth:
+                depth += {"{": 1, "}": -1}.get(css[end], 0)
+                end += 1
+            if not name and all(fence):
+                yield head, css[at : end - 1 if not depth else end]
+            at = end
+
+
+Shown = dict[str, list[tuple]]
+
+
+def hiding_rules(root: Node) -> Shown:
+    """What style elements say about display and visibility by simple selectors (name, .class, #id, or a name with one of these): for each
+    last part of a selector, (name before it, property, hides, rank); the greatest rank wins: important, id, class, name, place."""
+    found: Shown = {}
+    todo, place = [root], 0
+    styles = []
     while todo:
         node = todo.pop()
         if node.tag == "style":
-            css = re.sub(r"/\*.*?\*/", "", "".join(x for x in node.children if isinstance(x, str)), flags=re.S)
-            for names, body in _RULE.findall(css):
-                if _HIDING.search(body):
-                    found.update(s.strip().lower() for s in names.split(",") if s.strip() and _SIMPLE.match(s.strip()))
-        todo.extend(x for x in node.children if isinstance(x, Node))
-    return frozenset(found)
-
-
-def visible(node: Node, rules: frozenset) -> bool:
+            styles.append("".join(x for x in node.children if isinstance(x, str)))
+        todo.extend(x for x in reversed(node.children) if isinstance(x, Node))
+    for names, body in (rule for css in styles for rule in css_rules(css)):
+        said = [(p.lower(), v.lower() in ("none", "hidden", "collapse"), bool(important)) for p, v, important in _DECLARED.findall(body)]
+        for s in names.split(",") if said else ():
+            if s.strip() and (m := _SIMPLE.match(s.strip())):
+                tag, own = (m[1] or "*").lower(), (m[2] or "").lower()
+                for p, hides, important in said:
+                    place += 1
+                    found.setdefault(own or tag, []).append((tag if own else "*", p, hides, (important, own[:1] == "#", own[:1] == ".", tag != "*", place)))
+    return found if any(hides for rules in found.values() for _, _, hides, _ in rules) else {}
+
+
+def visible(node: Node, rules: Shown) -> bool:
+    """Whether an element is shown where the one around it is: by its kind, its hidden attribute, and the rule of the greatest rank."""
     a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or node.tag == "dialog" and "open" not in a or node.tag == "input":
-        return False
-    if "style" in a and _HIDING.search(a["style"]):
+    if node.tag in UNSEEN or node.tag == "dialog" and "open" not in a or node.tag == "input":
         return False
+    best = {"display": ((False,), "hidden" in a), "visibility": ((False,), False)}
     if rules:
-        names = [node.tag, "#" + a["id"].lower()] if a.get("id") else [node.tag]
-        names += ["." + c for c in a.get("class", "").lower().split()]
-        return not any(x in rules or node.tag + x in rules for x in names)
-    return True
+        names = ["*", node.tag] + ["." + c for c in a.get("class", "").lower().split()] + (["#" + a["id"].lower()] if a.get("id") else [])
+        for name in names:
+            for tag, p, hides, rank in rules.get(name, ()):
+                if tag in ("*", node.tag) and rank > best[p][0]:
+                    best[p] = rank, hides
+    for p, v, important in _DECLARED.findall(a["style"]) if "style" in a else ():
+        rank = (bool(important), True, True, True, float("inf"))
+        if rank >= best[p.lower()][0]:
+            best[p.lower()] = rank, v.lower() in ("none", "hidden", "collapse")
+    return not any(hides for _, hides in best.values())
 
 
 class Page:
@@ -227,22 +297,26 @@ class Page:
 
 
 def _trim(lines: list[str]) -> list[str]:
-    while lines and not lines[0]:
-        lines = lines[1:]
-    while lines and not lines[-1]:
-        lines = lines[:-1]
-    return lines
+    full = [i for i, line in enumerate(lines) if line]
+    return lines[full[0] : full[-1] + 1] if full else []
 
 
-def _flow(node: Node, rules: frozenset, pre: bool = False) -> list[str]:
+def _flow(node: Node, rules: Shown, pre: bool = False) -> list[str]:
     out = Page()
     _render(node.children, out, rules, pre)
     out.break_line()
     return _trim(out.lines)
 
 
-def _table(table: Node, out: Page, rules: frozenset) -> None:
-    rows: list[list[tuple[list[str], int]]] = []
+def _span(node: Node, name: str, most: int) -> int:
+    said = node.attrs.get(name, "1").strip()
+    return min(most, max(1, int(said))) if re.fullmatch("[0-9]{1,9}", said) else 1
+
+
+def _table(table: Node, out: Page, rules: Shown) -> None:
+    """Cells stand in the columns that colspan and rowspan give them; a column is as wide as its widest line."""
+    rows: list[list[tuple[int, list[str], int]]] = []  # cells of each row: column, lines, columns spanned
+    taken: dict[int, int] = {}  # rows that a cell from above still takes of each column
 
     def collect(node: Node) -> None:
         for x in node.children:
@@ -252,16 +326,28 @@ def _table(table: Node, out: Page, rules: frozenset) -> None:
             elif not visible(x, rules):
                 continue
             elif x.tag in ("thead", "tbody", "tfoot"):
+                taken.clear()
                 collect(x)
+                taken.clear()
             elif x.tag == "tr":
-                cells = []
+                cells, at, ahead = [], 0, {}
                 for c in x.children:
                     if isinstance(c, Node) and c.tag in ("td", "th"):
                         if visible(c, rules):
-                            span = c.attrs.get("colspan", "1")
-                            cells.append((_flow(c, rules), min(100, max(1, int(span))) if span.isascii() and span.isdigit() else 1))
+                            while taken.get(at):
+                                at += 1
+                            wide, high = _span(c, "colspan", SPAN), _span(c, "rowspan", ROWS_SPAN)
+                            cells.append((at, _flow(c, rules), wide))
+                            if high > 1:
+                                ahead.update(dict.fromkeys(range(at, at + wide), high - 1))
+                            at += wide
                     else:
                         _render([c], out, rules)
+                for k in [k for k in taken if not ahead.get(k)]:
+                    taken[k] -= 1
+                    if not taken[k]:
+                        del taken[k]
+                taken.update(ahead)
                 rows.append(cells)
             elif x.tag not in ("colgroup", "col"):
                 _render([x], out, rules)
@@ -270,22 +356,30 @@ def _table(table: Node, out: Page, rules: frozenset) -> None:
     out.leave_gap()
     widths: dict[int, int] = {}
     for cells in rows:
-        at = 0
-        for lines, span in cells:
-            if span == 1:
+        for at, lines, wide in cells:
+            if wide == 1:
                 widths[at] = max(widths.get(at, 0), max(map(len, lines), default=0))
-            at += span
+    for cells in rows:  # what a spanning cell lacks goes to its last column
+        for at, lines, wide in cells:
+            if wide > 1 and len(cells) > 1:
+                have = sum(widths.get(i, 0) for i in range(at, at + wide)) + 2 * (wide - 1)
+                if (most := max(map(len, lines), default=0)) > have:
+                    widths[at + wide - 1] = widths.get(at + wide - 1, 0) + most - have
+    starts, used = {}, 0
+    for k in range(max((at + wide for cells in rows for at, _, wide in cells), default=0)):
+        starts[k] = used
+        used += widths.get(k, 0) + 2
     for cells in rows:
-        for k in range(max((len(lines) for lines, _ in cells), default=0)):
-            parts, at = [], 0
-            for lines, span in cells:
-                width = sum(widths.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(width))
-                at += span
-            out.put("  ".join(parts).rstrip())
+        for k in range(max((len(lines) for _, lines, _ in cells), default=0)):
+            parts, used = [], 0
+            for at, lines, _ in cells:
+                if k < len(lines) and lines[k]:
+                    parts.append(" " * (starts[at] - used) + lines[k])
+                    used = starts[at] + len(lines[k])
+            out.put("".join(parts).rstrip())
 
 
-def _render(children: list, out: Page, rules: frozenset, pre: bool = False) -> None:
+def _render(children: list, out: Page, rules: Shown, pre: bool = False) -> None:
     for x in children:
         if isinstance(x, str):
             (out.keep if pre else out.say)(x)
@@ -348,17 +442,25 @@ def _render(children: list, out: Page, rules: frozenset, pre: bool = False) -> N
 
 def text_of(page: str | None) -> str:
     """All visible text of a page, laid out: blocks on lines of their own, blank lines around paragraphs, headings, lists and tables,
-    list marks with indented continuation, table cells in aligned columns, preformatted text as it is. Null and empty pages give ''."""
+    list marks with indented continuation, table cells in aligned columns, preformatted text as it is. Null and empty pages give ''.
+    Elements nest to any depth. What an element hides by visibility, its descendants do not show again."""
     if not page:
         return ""
     root = build(page)
-    return "\n".join(_flow(root, hiding_rules(root)))
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 8 * page.count("<") + 1000))  # frames of Python functions take no stack of the machine
+    try:
+        return "\n".join(_flow(root, hiding_rules(root)))
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """Each page's visible text: key, the columns `keep`, text, n_chars, n_lines. A row for every row, in place, without a shuffle.
 
-    Null pages count as empty. Broken markup never fails: unclosed elements end with the page, stray end tags are passed over, a lone '<' is text.
+    Null pages count as empty, null keys and repeated rows are rows like others, an empty table gives no row, and pages of any length are
+    laid out whole; columns that are not named are not read. Broken markup never fails: unclosed elements end with the page,
+    stray end tags are passed over, a lone '<' is text.
     """
     known = [c for c in keep if c in pages.columns]
 
