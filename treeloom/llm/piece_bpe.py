@@ -67,8 +67,8 @@ class PieceBpe:
         if trainer.get(3, 1) != 2 or norm.get(2) or not norm.get(3, 1) or norm.get(4, 1) or not trainer.get(35, 0):
             raise ValueError("only BPE models without normalisation, with dummy prefix and byte fallback, are supported")
         kinds = np.array(kinds)
-        if (kinds == USER).any():
-            raise ValueError("user-defined pieces are not supported")
+        if np.isin(kinds, (USER, UNUSED)).any():
+            raise ValueError("user-defined and unused pieces are not supported")
         self.bos, self.eos = (next(i for i, t in enumerate(self.text) if t == s and kinds[i] == CONTROL) for s in ("<s>", "</s>"))
         self.byte = np.zeros(256, np.int64)
         for i in np.flatnonzero(kinds == BYTE):
