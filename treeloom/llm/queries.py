@@ -14,20 +14,28 @@ THRESHOLD = 0.3
 
 
 def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file lies."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def secret_words() -> list[str]:
+    """The dictionary of the secret scan."""
+    return secrets.known_words(tokenizer_path("word_bpe_49k.json"))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents dealt into 16 shards whose row counts are at most one apart and whose sources mix alike (see sharding.shard for nulls, ties and repeats)."""
     return sharding.shard(_table(spark, sf_dir, "documents"), 16)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model of the labels that are not held out; predicted from THRESHOLD on. Null ids are not held out; see toxicity.tag."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
     held_out = F.coalesce(toxicity.is_held_out(), F.lit(False)).alias("held_out")
@@ -35,34 +43,42 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded with the 32k piece model; null counts as empty (see piece_bpe.encode_table)."""
     return piece_bpe.encode_table(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near-duplicates by counted five-word shingles (see neardup.near_duplicates)."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text scored by the base and by the log-bilinear model of the rows that are not held out (see language_model.score)."""
     return language_model.score(_table(spark, sf_dir, "documents"))
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an image, found again in its page and read back (see media.interleave)."""
     return media.interleave(_table(spark, sf_dir, "documents"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in sequences of at most 4096 (see packing.pack_documents)."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best other vectors for each vector whose id is divisible by 50 (see topk.search)."""
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_table(spark, sf_dir, "documents"))
+    """Every place of a candidate secret in every whole text, with its score (see secrets.scan)."""
+    return secrets.scan(_table(spark, sf_dir, "documents"), known=secret_words())
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page (see html_text.extract)."""
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
