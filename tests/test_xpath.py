@@ -84,3 +84,45 @@ def test_no_wellformed_document_is_dropped_in_silence(spark):
     with pytest.raises(Exception, match="Exceeds"):
         X.shred(docs).count()
     assert X.verdicts(docs).filter("wf_error IS NOT NULL").count() == 1
+
+
+@pytest.mark.parametrize(
+    ("path", "want"),
+    [
+        ("/a[b/@n = 2]", [(1, 2)]),
+        ("//*[b/@n != 1]", [(1, 2), (1, 27), (2, 2)]),
+        ("//*[3 <= b/@n]", [(1, 27), (2, 2)]),
+        ("//b[@n = ../b/@n]", [(1, 7), (1, 17), (1, 28), (2, 3)]),
+        ("//b[@n < ../b/@n]", [(1, 7)]),
+        ("//b[. mod 2 = 1]", []),
+        ("//b[floor(.) = 0 or ceiling(.) = 0]", []),
+        ("//b[substring('abc', ., 2) = 'a']", []),
+        ("//b[substring('12345', 1.5, 2.6) = '234' and substring('12345', 0, 3) = '12']", [(1, 7), (1, 17), (1, 28), (2, 3)]),
+        ("//b[substring('12345', 0 div 0, 3) = '' and substring('12345', -42, 1 div 0) = '12345']", [(1, 7), (1, 17), (1, 28), (2, 3)]),
+        ("//b[translate(@n, @n, 'x') = 'x']", [(1, 7), (1, 17), (1, 28), (2, 3)]),
+        ("//b[string(1 div 0) = 'Infinity' and string(number('x')) = 'NaN']", [(1, 7), (1, 17), (1, 28), (2, 3)]),
+        ("//d/preceding::*", [(1, 7), (1, 12), (1, 17), (1, 20)]),
+        ("//c[following::d]/..", [(1, 7), (1, 17)]),
+    ],
+)
+def test_comparisons_and_numbers(nodes, path, want):
+    found = xpath(nodes, path).orderBy("doc_id", "pre").collect()
+    assert [(r.doc_id, r.pre) for r in found] == want
+
+
+def test_interval_axes_over_many_buckets(spark, monkeypatch):
+    from treeloom.plans import xpath as P
+
+    nodes = X.shred(spark.createDataFrame([(1, "<a>" + "<b><c/><c/></b>" * 40 + "</a>")], "doc_id long, xml string")).cache()
+    whole = {p: xpath(nodes, p).count() for p in ("//c/ancestor::*", "//b/following::c", "//b/preceding::c", "//a/descendant-or-self::*", "//b[descendant::c]")}
+    monkeypatch.setattr(P, "BUCKET", 7)
+    assert {p: xpath(nodes, p).count() for p in whole} == whole
+    assert whole == {"//c/ancestor::*": 160, "//b/following::c": 40 * 39, "//b/preceding::c": 40 * 39, "//a/descendant-or-self::*": 121, "//b[descendant::c]": 40}
+
+
+def test_string_values_and_target(spark):
+    docs = spark.createDataFrame([(1, "<a>x<b>y<c/>z</b><?p q?><?r s?></a>"), (2, "<a/>")], "doc_id long, xml string")
+    lean = X.shred(docs, texts=False)
+    assert lean.filter("kind = 'element' AND str_value IS NOT NULL").count() == 0
+    assert X.string_values(lean).exceptAll(X.shred(docs)).count() == 0
+    assert [r.qname for r in xpath(lean, "//processing-instruction('r')").collect()] == ["r"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,38 +11,14 @@ from .operators import dtd, web
 from .plans.el import Compiler, el
 from .plans.template import Template, template
 from .plans.xpath import xpath
+from .registry import oracle_sql, queries, query, table  # noqa: F401
 from .sources import xml as X
 from .streaming import access_log
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
 TPL = 'xmlns:t="http://treeloom.example/template"'
 TPL1 = 'xmlns:m="http://treeloom.example/template-v1"'
 
 
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def order_docs(spark: SparkSession, d: str) -> DataFrame:
     """One XML document for each order that has lines: its lines aggregate by key before the join with orders."""
     line = X.element("line", {"no": F.col("l_linenumber"), "flag": F.col("l_returnflag"), "qty": F.col("l_quantity").cast("int"), "price": F.col("l_extendedprice").cast("decimal(18,2)")})
@@ -53,17 +27,22 @@ def order_docs(spark: SparkSession, d: str) -> DataFrame:
     return orders.select("doc_id", "o_orderstatus", X.element("order", {"id": F.col("doc_id"), "status": F.col("o_orderstatus")}, F.col("lines")).alias("xml"))
 
 
-def order_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return X.shred(order_docs(spark, d))
+def order_nodes(spark: SparkSession, d: str, texts: bool = False) -> DataFrame:
+    return X.written(X.shred(order_docs(spark, d), texts=texts))
+
+
+def customer_docs(spark: SparkSession, d: str) -> DataFrame:
+    """A document for each customer with orders: its orders in order of key, with their lines."""
+    line = X.element("line", {"no": F.col("l_linenumber"), "flag": F.col("l_returnflag")})
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("x")))), lambda s: s["x"]), "").alias("lines"))
+    o = table(spark, d, "orders").filter("o_custkey IS NOT NULL").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    order = X.element("order", {"id": F.col("o_orderkey"), "status": F.col("o_orderstatus")}, F.col("lines"))
+    o = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", order.alias("x")))), lambda s: s["x"]), "").alias("orders"))
+    return o.select(F.col("o_custkey").alias("doc_id"), X.element("customer", {"id": F.col("o_custkey")}, F.col("orders")).alias("xml"))
 
 
-def geo_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """A document for each region: its nations, and their customers in order of key."""
-    c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", X.element("customer", {"id": F.col("c_custkey")}).alias("x")))), lambda s: s["x"]), "").alias("inner"))
-    n = table(spark, d, "nation").join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    n = n.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", X.element("nation", {"name": F.col("n_name")}, F.col("inner")).alias("x")))), lambda s: s["x"]), "").alias("nations"))
-    r = table(spark, d, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"))
-    return X.shred(r.select(F.col("r_regionkey").cast("long").alias("doc_id"), X.element("region", {"name": F.col("r_name")}, F.col("nations")).alias("xml")))
+def customer_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return X.written(X.shred(customer_docs(spark, d), texts=False))
 
 
 @query("""SELECT o_orderstatus, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY 1""")
@@ -90,15 +69,18 @@ def xpath_child_count(spark, d):
     return xpath(order_nodes(spark, d), "/order/line").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT n_regionkey::BIGINT AS doc_id, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+_LINES = "(SELECT o_custkey, o_orderkey, o_orderstatus, l_orderkey, l_linenumber, l_returnflag FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey IS NOT NULL)"
+
+
+@query(f"SELECT o_custkey AS doc_id, count(*) AS n FROM {_LINES} WHERE l_orderkey IS NOT NULL GROUP BY 1")
 def xpath_descendant(spark, d):
-    return xpath(geo_nodes(spark, d), "//customer").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return xpath(customer_nodes(spark, d), "//line").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT n_regionkey::BIGINT AS doc_id, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+@query(f"SELECT o_custkey AS doc_id, count(*) AS n FROM {_LINES} WHERE l_orderkey IS NOT NULL GROUP BY 1")
 def xpath_ancestor(spark, d):
-    """Each customer's region by the ancestor axis; one row for every customer."""
-    return xpath(geo_nodes(spark, d), "//customer/ancestor::region").groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Each line's customer by the ancestor axis; one row for every line."""
+    return xpath(customer_nodes(spark, d), "//line/ancestor::customer").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT l_orderkey AS doc_id, sum(n - 1)::BIGINT AS following, sum(n - 1)::BIGINT AS preceding FROM (SELECT l_orderkey, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1 HAVING sum(n - 1) > 0""".replace("sum(n - 1)", "(sum(n - 1) / 2)"))
@@ -108,15 +90,15 @@ def xpath_siblings(spark, d):
     return both[0].join(both[1], "doc_id")
 
 
-@query("""SELECT r AS doc_id, (sum(c * (t - c)) / 2)::BIGINT AS following, (sum(c * (t - c)) / 2)::BIGINT AS preceding FROM (SELECT n_regionkey::BIGINT AS r, count(c_custkey) AS c, sum(count(c_custkey)) OVER (PARTITION BY n_regionkey) AS t FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_regionkey, n_nationkey) GROUP BY 1""")
+@query(f"""SELECT c AS doc_id, (sum(n * (t - n)) / 2)::BIGINT AS following, (sum(n * (t - n)) / 2)::BIGINT AS preceding FROM (SELECT o_custkey AS c, count(l_orderkey) AS n, sum(count(l_orderkey)) OVER (PARTITION BY o_custkey) AS t FROM {_LINES} GROUP BY o_custkey, o_orderkey) GROUP BY 1 HAVING sum(n * (t - n)) > 0""")
 def xpath_following_preceding(spark, d):
-    """Pairs of customers of different nations, in both directions, by rank ranges; siblings of one nation are taken off."""
-    nodes = geo_nodes(spark, d)
+    """Pairs of lines of one customer's different orders, in both directions, by rank ranges; siblings of one order are taken off."""
+    nodes = customer_nodes(spark, d)
     out = []
     for a in ("following", "preceding"):
-        all_of = xpath(nodes, f"//customer/{a}::customer").groupBy("doc_id").agg(F.count("*").alias("n"))
-        near = xpath(nodes, f"//customer/{a}-sibling::customer").groupBy("doc_id").agg(F.count("*").alias("m"))
-        out.append(all_of.join(near, "doc_id").select("doc_id", (F.col("n") - F.col("m")).alias(a)))
+        all_of = xpath(nodes, f"//line/{a}::line").groupBy("doc_id").agg(F.count("*").alias("n"))
+        near = xpath(nodes, f"//line/{a}-sibling::line").groupBy("doc_id").agg(F.count("*").alias("m"))
+        out.append(all_of.join(near, "doc_id", "left").select("doc_id", (F.col("n") - F.coalesce("m", F.lit(0))).alias(a)).filter(F.col(a) > 0))
     return out[0].join(out[1], "doc_id")
 
 
@@ -145,7 +127,7 @@ def xpath_union_bag(spark, d):
 
 def part_nodes(spark, d):
     p = table(spark, d, "part")
-    return X.shred(p.select(F.col("p_partkey").alias("doc_id"), X.element("part", {"price": F.col("p_retailprice"), "size": F.col("p_size")}, strings.escape_xml(F.col("p_name"))).alias("xml")))
+    return X.written(X.shred(p.select(F.col("p_partkey").alias("doc_id"), X.element("part", {"price": F.col("p_retailprice"), "size": F.col("p_size")}, strings.escape_xml(F.col("p_name"))).alias("xml"))))
 
 
 @query("SELECT p_partkey AS doc_id FROM part WHERE contains(p_name, 'a') AND substr(p_name, 2, 3) <> 'zzz' AND length(p_name) > 5 AND starts_with(concat(p_name, 'x'), left(p_name, 1)) AND translate(p_name, 'ab', 'AB') <> p_name")
@@ -158,19 +140,19 @@ def xpath_number_funcs(spark, d):
     return xpath(part_nodes(spark, d), "/part[floor(number(@price)) mod 2 = 1 and ceiling(@price) > 900 and @size * 2 + 1 > 21 and @size div 4 < 10]").select("doc_id")
 
 
-@query("SELECT n_regionkey::BIGINT AS doc_id, n_name AS name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL HAVING count(c_custkey) > 5")
+@query(f"SELECT o_custkey AS doc_id, o_orderkey AS id, count(l_orderkey) AS n FROM {_LINES} GROUP BY ALL HAVING count(l_orderkey) > 4")
 def xpath_count_predicate(spark, d):
-    nodes = geo_nodes(spark, d)
-    kept = xpath(nodes, "//nation[count(customer) > 5]").select("doc_id", "pre")
-    name = xpath(nodes, "//nation/@name").select("doc_id", F.col("parent_pre").alias("pre"), F.col("value").alias("name"))
-    n = xpath(nodes, "//nation/customer").groupBy("doc_id", F.col("parent_pre").alias("pre")).agg(F.count("*").alias("n"))
-    return kept.join(name, ["doc_id", "pre"]).join(n, ["doc_id", "pre"]).select("doc_id", "name", "n")
+    nodes = customer_nodes(spark, d)
+    kept = xpath(nodes, "//order[count(line) > 4]").select("doc_id", "pre")
+    ident = xpath(nodes, "//order/@id").select("doc_id", F.col("parent_pre").alias("pre"), F.col("value").cast("long").alias("id"))
+    n = xpath(nodes, "//order/line").groupBy("doc_id", F.col("parent_pre").alias("pre")).agg(F.count("*").alias("n"))
+    return kept.join(ident, ["doc_id", "pre"]).join(n, ["doc_id", "pre"]).select("doc_id", "id", "n")
 
 
 @query("SELECT doc_id, text AS value FROM documents WHERE lang IN ('de', 'fr')")
 def xml_lang_inherit(spark, d):
     docs = table(spark, d, "documents").select("doc_id", X.element("doc", {"xml:lang": F.concat(F.upper("lang"), F.lit("-x"))}, X.element("p", {}, strings.escape_xml(F.regexp_replace("text", "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")))).alias("xml"))
-    return xpath(X.shred(docs), "//p[lang('de') or lang('fr')]").select("doc_id", F.col("str_value").alias("value"))
+    return xpath(X.written(X.shred(docs)), "//p[lang('de') or lang('fr')]").select("doc_id", F.col("str_value").alias("value"))
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -206,7 +188,7 @@ def checked_nodes(spark, d):
     ident = F.when(F.col("o_orderkey") % 10 == 0, F.col("o_orderkey") - 1).otherwise(F.col("o_orderkey"))
     e = X.element("order", {"id": F.concat(F.lit("o"), ident.cast("string")), "ref": F.concat(F.lit("o"), (F.col("o_orderkey") - 1).cast("string")), "priority": F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority"))}, F.repeat(F.lit("<line/>"), F.col("n").cast("int")))
     docs = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.concat(F.lit("<orders>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", e.alias("x")))), lambda s: s["x"]), ""), F.lit("</orders>")).alias("xml"))
-    return X.shred(docs)
+    return X.written(X.shred(docs, texts=False))
 
 
 def _attrs(spark):
@@ -418,3 +400,6 @@ def access_log_lines(spark, d):
 def event_windows(spark, d):
     """An extension beside the library's own operators: counts by hour, as a stream would make them."""
     return access_log.counts(table(spark, d, "events"))
+
+
+from . import catalogue_values, catalogue_xml  # noqa: E402, F401  # register their queries

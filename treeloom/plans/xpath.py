@@ -29,6 +29,7 @@ class Step:
     axis: str
     test: str  # name, '*', or a node type with ()
     predicates: list = field(default_factory=list)
+    target: str | None = None  # of processing-instruction('target')
 
 
 @dataclass
@@ -165,10 +166,9 @@ def parse(text: str):
             raise XPathError(f"unexpected {test!r}")
         if peek() == "(" and test in ("text", "comment", "node", "processing-instruction"):
             take()
-            if tokens[pos][0] == "str":
-                take()
+            target = take()[1][1:-1] if tokens[pos][0] == "str" else None
             take(")")
-            test += "()"
+            return Step(axis, test + "()", predicates(), target)
         return Step(axis, test, predicates())
 
     def predicates() -> list:
@@ -197,21 +197,29 @@ def simplify(steps: list[Step]) -> list[Step]:
     out: list[Step] = []
     for s in steps:
         if out and s.axis == "child" and out[-1] == Step("descendant-or-self", "node()") and not any(map(positional, s.predicates)):
-            out[-1] = Step("descendant", s.test, s.predicates)
+            out[-1] = Step("descendant", s.test, s.predicates, s.target)
         else:
             out.append(s)
     return out
 
 
 _NODE = ["pre", "post", "level", "parent_pre", "parent_post", "ord", "kind", "qname", "prefix", "local", "ns_uri", "value", "str_value", "lang", "is_id", "is_ns"]
+#: Ranks of one bucket: axes that are intervals of ranks join by document and bucket.
+BUCKET = 4096
+NAN = float("nan")
+
+
+def _bucket(rank: Column) -> Column:
+    return F.floor(rank / BUCKET)
 
 
 class Evaluator:
     """Evaluates expressions over one node table.
 
-    A set of context rows has the columns doc, rid (an array that is unique and sorts as the result does) and a
-    node's columns. A step joins it with the node table by doc and the axis' condition on ranks, so every join is an equi-join on
-    the document. Paths inside predicates become one aggregate by rid that is joined back.
+    A set of context rows has the columns doc, ctx (the row of a predicate that it belongs to), rid (an array that is unique in
+    the document and sorts as the result does) and a node's columns. A step joins it with the node table by document and
+    parent, or by document and bucket of ranks, so every join is an equi-join and no document is one key. Positions are
+    worked out only where a predicate may ask for them. Paths inside predicates become one aggregate that is joined back.
     """
 
     def __init__(self, nodes: DataFrame, key: str = "doc_id", variables: dict | None = None) -> None:
@@ -219,78 +227,101 @@ class Evaluator:
         self.fresh = 0
 
     def roots(self) -> DataFrame:
-        return self.nodes.filter("kind = 'root'").select(F.col(self.key).alias("doc"), F.array(F.lit(0).cast("long")).alias("rid"), *_NODE)
+        start = F.array(F.lit(0).cast("long"))
+        return self.nodes.filter("kind = 'root'").select(F.col(self.key).alias("doc"), start.alias("ctx"), start.alias("rid"), *_NODE)
 
     def step(self, context: DataFrame, step: Step) -> DataFrame:
-        c = context.filter("kind IN ('element', 'root')").select("doc", "rid", *[F.col(x).alias(f"c_{x}") for x in ("pre", "post", "parent_pre", "ord")])
+        given = ["ctx", F.col("rid").alias("_from")]
+        ranks = {x: F.col(x).alias(f"c_{x}") for x in ("pre", "post", "parent_pre", "ord")}
+        c = context.filter("kind IN ('element', 'root')")
         m = self.nodes.filter(self._test(step)).select(F.col(self.key).alias("doc"), *_NODE)
-        on, pre, post = F.col("kind") != "attribute", F.col("pre"), F.col("post")
-        cp, cq = F.col("c_pre"), F.col("c_post")
+        no_attribute, pre, post, cp, cq = F.col("kind") != "attribute", F.col("pre"), F.col("post"), F.col("c_pre"), F.col("c_post")
         element = F.col("kind") == "element"
-        condition = {
-            "child": on & (F.col("parent_pre") == cp),
-            "descendant": on & (pre > cp) & (post < cq),
-            "descendant-or-self": on & (pre >= cp) & (post <= cq),
-            "self": pre == cp,
-            "parent": pre == F.col("c_parent_pre"),
-            "ancestor": element & (pre < cp) & (post > cq),
-            "ancestor-or-self": element & (pre <= cp) & (post >= cq),
-            "following": on & (pre > cp) & (post > cq) & (element | (F.col("parent_pre") > cp)),
-            "preceding": on & (pre < cp) & (post < cq) & (element | (F.col("parent_post") < cq)),
-            "following-sibling": element & (F.col("parent_pre") == F.col("c_parent_pre")) & (F.col("ord") > F.col("c_ord")),
-            "preceding-sibling": element & (F.col("parent_pre") == F.col("c_parent_pre")) & (F.col("ord") < F.col("c_ord")),
-            "attribute": (F.col("kind") == "attribute") & (F.col("parent_pre") == cp),
-            "namespace": (F.col("kind") == "attribute") & F.col("is_ns") & (F.col("parent_pre") == cp),
-        }[step.axis]
-        rows = c.join(m, "doc").filter(condition).select("doc", F.col("rid").alias("_from"), *_NODE)
-        order = F.desc("pre") if step.axis in REVERSE else F.col("pre")
-        for k in range(len(step.predicates) + 1):
-            last = k == len(step.predicates)
-            if last or positional(step.predicates[k]):
+        both = ["doc", "_at"]
+        spread = lambda low, high: F.explode(F.sequence(_bucket(low), _bucket(high)))
+
+        def ranged(here: DataFrame, there: DataFrame, at: Column, other: Column, condition: Column) -> DataFrame:
+            """here and there meet in buckets; `at` and `other` give one side's bucket and the other side's buckets."""
+            c = here.select("doc", *given, ranks["pre"], ranks["post"], at.alias("_at"))
+            return c.join(there.withColumn("_at", other), both).filter(condition).drop("_at")
+
+        own_pre, own_post = F.col("pre"), F.col("post")
+        if step.axis in ("child", "attribute", "namespace"):
+            kind = no_attribute if step.axis == "child" else (F.col("kind") == "attribute") & (F.lit(True) if step.axis == "attribute" else F.col("is_ns"))
+            rows = c.select("doc", *given, F.col("pre").alias("parent_pre")).join(m.filter(kind), ["doc", "parent_pre"])
+        elif step.axis == "self":
+            rows = c.select("doc", *given, "pre").join(m, ["doc", "pre"])
+        elif step.axis == "parent":
+            rows = c.select("doc", *given, F.col("parent_pre").alias("pre")).join(m, ["doc", "pre"])
+        elif step.axis in ("following-sibling", "preceding-sibling"):
+            later = F.col("ord") > F.col("c_ord") if step.axis[0] == "f" else F.col("ord") < F.col("c_ord")
+            rows = c.select("doc", *given, "parent_pre", ranks["ord"]).join(m.filter(element), ["doc", "parent_pre"]).filter(later).drop("c_ord")
+        elif step.axis in ("descendant", "descendant-or-self"):
+            inside = (pre > cp) & (post < cq) if step.axis == "descendant" else (pre >= cp) & (post <= cq)
+            rows = ranged(c, m.filter(no_attribute), spread(own_pre, own_post), _bucket(own_pre), inside)
+        elif step.axis in ("ancestor", "ancestor-or-self"):
+            around = (pre < cp) & (post > cq) if step.axis == "ancestor" else (pre <= cp) & (post >= cq)
+            rows = ranged(c, m.filter(element), _bucket(own_pre), spread(own_pre, own_post), around)
+        elif step.axis == "following":
+            after = (pre > cq) & (element | (F.col("parent_pre") > cp))
+            rows = ranged(c, m.filter(no_attribute), _bucket(own_post), spread(F.lit(0), own_pre), after)
+        else:  # preceding
+            before = (post < cp) & (element | (F.col("parent_post") < cq))
+            rows = ranged(c, m.filter(no_attribute), spread(F.lit(0), own_pre), _bucket(own_post), before)
+        rows = rows.drop("c_pre", "c_post")
+        order = -F.col("pre") if step.axis in REVERSE else F.col("pre")
+        rows = rows.withColumn("rid", F.concat("_from", F.array(order)))
+        for p in step.predicates:
+            if positional(p):
                 own = Window.partitionBy("doc", "_from")
                 rows = rows.withColumn("_pos", F.row_number().over(own.orderBy(order))).withColumn("_last", F.count(F.lit(1)).over(own))
-            elif "_pos" not in rows.columns:
-                rows = rows.withColumn("_pos", F.lit(1)).withColumn("_last", F.lit(1))
-            if last:
-                break
-            rows = rows.withColumn("rid", F.concat("_from", F.array(F.col("pre"))))
-            rows, value, kind = self.expr(rows, step.predicates[k])
+            rows, value, kind = self.expr(rows, p) if positional(p) else (*self.test(rows, p), "bool")
             rows = rows.filter(F.col("_pos") == value if kind == "num" else self._bool(value, kind))
-        rows = rows.withColumn("rid", F.concat("_from", F.array(F.col("_pos").cast("long")))).select("doc", "rid", *_NODE)
-        return rows
+        return rows.select("doc", "ctx", "rid", *_NODE)
 
     def _test(self, step: Step) -> Column:
         kinds = {"text()": ["text", "cdata"], "comment()": ["comment"], "processing-instruction()": ["pi"]}
         if step.test == "node()":
             return F.lit(True)
         if step.test in kinds:
-            return F.col("kind").isin(kinds[step.test])
+            found = F.col("kind").isin(kinds[step.test])
+            return found if step.target is None else found & (F.col("qname") == step.target)
         kind = F.col("kind") == ("attribute" if step.axis in ("attribute", "namespace") else "element")
         return kind if step.test == "*" else kind & (F.col("local") == step.test)
 
-    def path(self, context: DataFrame, path: Path) -> DataFrame:
-        if path.absolute:
+    def path(self, context: DataFrame, path: Path, top: bool = False) -> DataFrame:
+        steps = path.steps
+        if top and path.absolute and steps and steps[0].axis in ("child", "descendant") and not any(map(positional, steps[0].predicates)):
+            # from the roots: a filter by level, without a join
+            first, start = steps[0], F.array(F.lit(0).cast("long"))
+            found = self.nodes.filter(self._test(first) & (F.col("kind") != "attribute") & (F.col("level") == 1 if first.axis == "child" else F.col("level") > 0))
+            rows = found.select(F.col(self.key).alias("doc"), start.alias("ctx"), F.concat(start, F.array("pre")).alias("rid"), *_NODE)
+            for p in first.predicates:
+                rows, value = self.test(rows, p)
+                rows = rows.filter(value)
+            context, steps = rows.select("doc", "ctx", "rid", *_NODE), steps[1:]
+        elif path.absolute and not top:
             roots = self.nodes.filter("kind = 'root'").select(F.col(self.key).alias("doc"), *_NODE)
-            context = context.select("doc", "rid").join(roots, "doc")
-        for s in path.steps:
+            context = context.select("doc", "ctx", "rid").join(roots, "doc")
+        for s in steps:
             context = self.step(context, s)
         return context
 
     def select(self, tree) -> DataFrame:
         """The node rows of a location path or a union of some, with rid as their order in each document."""
-        return self._set(self.roots(), tree)
+        return self._set(self.roots(), tree, True)
 
-    def _set(self, context: DataFrame, tree) -> DataFrame:
+    def _set(self, context: DataFrame, tree, top: bool = False) -> DataFrame:
         if isinstance(tree, Op) and tree.name == "|":
-            parts = [self._set(context, a) for a in tree.args]
-            n = [p.withColumn("rid", F.concat(F.array(F.col("rid")[0]), F.array(F.lit(i).cast("long")), F.slice("rid", 2, 10_000))) for i, p in enumerate(parts)]
-            return reduce(DataFrame.unionByName, n)
+            parts = [self._set(context, a, top) for a in tree.args]
+            behind = F.slice("rid", F.size("ctx") + 1, F.size("rid"))
+            return reduce(DataFrame.unionByName, [p.withColumn("rid", F.concat("ctx", F.array(F.lit(i).cast("long")), behind)) for i, p in enumerate(parts)])
         if not isinstance(tree, Path):
             raise XPathError("a location path or a union of some is expected")
-        return self.path(context, tree)
+        return self.path(context, tree, top)
 
     def expr(self, rows: DataFrame, e) -> tuple[DataFrame, Column, str]:
-        """rows with the columns that e needs, e's value for each row, and its type: num, str or bool."""
+        """rows with the columns that e needs, e's value for each row, and its type: num, str, bool or set (text, texts, any)."""
         if isinstance(e, Lit):
             return rows, F.lit(e.value), "num" if isinstance(e.value, float) else "str"
         if isinstance(e, Var):
@@ -300,28 +331,59 @@ class Evaluator:
             return rows, F.lit(v if isinstance(v, str) else float(v)), "str" if isinstance(v, str) else "num"
         if e == Path(False, [Step("self", "node()")]):  # the context node itself
             inside = F.col("kind").isin("element", "root")
-            return rows, F.struct(F.when(inside, F.coalesce("str_value", F.lit(""))).otherwise("").alias("s"), inside.alias("any")), "set"
+            own = F.when(inside, F.coalesce("str_value", F.lit(""))).otherwise("")
+            return rows, F.struct(own.alias("s"), F.when(inside, F.array(own)).otherwise(F.array().cast("array<string>")).alias("all"), inside.alias("any")), "set"
         if isinstance(e, Path) or e.name == "|":
             return self._aggregate(rows, e, "set")
         return self._call(rows, e)
 
-    def _aggregate(self, rows: DataFrame, tree, what: str) -> tuple[DataFrame, Column, str]:
-        """A value of a node-set for each row: its string (of all nodes, in order), size, sum, first number or name."""
+    def test(self, rows: DataFrame, e) -> tuple[DataFrame, Column]:
+        """e as a condition. Whether a path finds a node, or one that compares with a constant, is an aggregate that holds no values."""
+        if isinstance(e, Path) or isinstance(e, Op) and e.name == "|":
+            if e == Path(False, [Step("self", "node()")]):
+                return rows, F.col("kind").isin("element", "root")
+            return self._aggregate(rows, e, "any")[:2]
+        if isinstance(e, Op) and e.name in ("and", "or"):
+            rows, a = self.test(rows, e.args[0])
+            rows, b = self.test(rows, e.args[1])
+            return rows, (a & b) if e.name == "and" else (a | b)
+        if isinstance(e, Op) and e.name in ("not", "boolean"):
+            rows, a = self.test(rows, e.args[0])
+            return rows, ~a if e.name == "not" else a
+        if isinstance(e, Op) and e.name in _COMPARE:
+            for path, other, turned in ((e.args[0], e.args[1], False), (e.args[1], e.args[0], True)):
+                fixed = isinstance(other, (Lit, Var)) or isinstance(other, Op) and other.name == "neg" and isinstance(other.args[0], Lit)
+                if fixed and isinstance(path, Path) and path != Path(False, [Step("self", "node()")]):
+                    _, value, kind = self.expr(rows, other)
+                    sides = [(F.coalesce("str_value", F.lit("")), "str"), (value, kind)]
+                    return self._aggregate(rows, path, "where", self._compare(e.name, *(sides[::-1] if turned else sides)))[:2]
+        rows, value, kind = self.expr(rows, e)
+        return rows, self._bool(value, kind)
+
+    def _aggregate(self, rows: DataFrame, tree, what: str, condition: Column | None = None) -> tuple[DataFrame, Column, str]:
+        """A value of a node-set for each row: its texts in order, whether there is a node (or one for which the condition holds), size, sum, first name or text."""
         self.fresh += 1
-        name, n = f"_v{self.fresh}", f"_n{self.fresh}"
-        context = rows.select("doc", F.array(F.xxhash64("doc", F.col("rid"))).alias("rid"), *_NODE)
-        found = self._set(context, tree).withColumn("_k", F.col("rid")[0])
+        name = f"_v{self.fresh}"
+        context = rows.select("doc", F.col("rid").alias("ctx"), "rid", *_NODE)
+        found = self._set(context, tree)
+        if what == "where":
+            found = found.filter(condition)
         value = {
-            "set": F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rid", F.coalesce("str_value", F.lit("")).alias("s")))), lambda x: x["s"]), ""),
+            "set": F.transform(F.array_sort(F.collect_list(F.struct("rid", F.coalesce("str_value", F.lit("")).alias("s")))), lambda x: x["s"]),
+            "any": F.lit(True),
+            "where": F.lit(True),
             "count": F.count(F.lit(1)),
-            "sum": F.sum(F.expr("try_cast(str_value AS double)")),
+            "sum": F.sum(self._num(F.coalesce("str_value", F.lit("")), "str")),
             "local-name": F.min_by("local", "rid"), "namespace-uri": F.min_by("ns_uri", "rid"), "name": F.min_by("qname", "rid"), "string": F.min_by("str_value", "rid"),
         }[what]
-        sums = found.groupBy("_k").agg(value.alias(name), F.count(F.lit(1)).alias(n))
-        key = F.xxhash64("doc", F.col("rid"))
-        rows = rows.withColumn("_k", key).join(sums, "_k", "left").drop("_k")
+        keys = [F.col("doc").alias("doc"), F.col("ctx").alias("rid")]
+        sums = found.select(*keys).distinct().withColumn(name, F.lit(True)) if what in ("any", "where") else found.groupBy(*keys).agg(value.alias(name))
+        rows = rows.join(sums, ["doc", "rid"], "left")
         if what == "set":
-            return rows, F.struct(F.coalesce(F.col(name), F.lit("")).alias("s"), (F.coalesce(F.col(n), F.lit(0)) > 0).alias("any")), "set"
+            texts = F.coalesce(F.col(name), F.array().cast("array<string>"))
+            return rows, F.struct(F.array_join(texts, "").alias("s"), texts.alias("all"), (F.size(texts) > 0).alias("any")), "set"
+        if what in ("any", "where"):
+            return rows, F.coalesce(F.col(name), F.lit(False)), "bool"
         if what in ("count", "sum"):
             return rows, F.coalesce(F.col(name), F.lit(0)).cast("double"), "num"
         return rows, F.coalesce(F.col(name), F.lit("")), "str"
@@ -337,7 +399,7 @@ class Evaluator:
         if kind == "bool":
             return v.cast("double")
         text = v["s"] if kind == "set" else v
-        return F.coalesce(F.regexp_extract(text, r"^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)\s*$", 1).try_cast("double"), F.lit(float("nan")))
+        return F.coalesce(F.regexp_extract(text, r"^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)\s*$", 1).try_cast("double"), F.lit(NAN))
 
     @staticmethod
     def _str(v: Column, kind: str) -> Column:
@@ -345,7 +407,26 @@ class Evaluator:
             return v["s"]
         if kind == "bool":
             return F.when(v, "true").otherwise("false")
-        return F.when(v == F.floor(v), v.cast("decimal(38,0)").cast("string")).otherwise(v.cast("string")) if kind == "num" else v
+        return F.when(F.isnan(v), "NaN").otherwise(F.coalesce(F.when(v % 1 == 0, v.try_cast("decimal(38,0)").cast("string")), v.cast("string"))) if kind == "num" else v
+
+    def _compare(self, f: str, a: tuple[Column, str], b: tuple[Column, str]) -> Column:
+        """A comparison of two values. A node-set compares if one of its nodes does."""
+        for one, other, turned in ((a, b, False), (b, a, True)):
+            if one[1] == "set" and other[1] != "bool":
+                if other[1] == "set" and f in _COMPARE[2:]:  # the best pair decides
+                    x, y = (F.filter(F.transform(v[0]["all"], lambda s: self._num(s, "str")), lambda n: ~F.isnan(n)) for v in (a, b))
+                    low, high = (F.array_min(x), F.array_max(y)) if f[0] == "<" else (F.array_max(x), F.array_min(y))
+                    return F.coalesce(self._compare(f, (low, "num"), (high, "num")), F.lit(False))
+                pair = lambda s: self._compare(f, *([other, (s, "str")] if turned else [(s, "str"), other]))  # noqa: B023, E731
+                return F.exists(one[0]["all"], pair)
+        kinds = {a[1], b[1]}
+        if f in ("=", "!="):
+            same = self._bool(*a) == self._bool(*b) if "bool" in kinds else self._num(*a) == self._num(*b) if "num" in kinds else self._str(*a) == self._str(*b)
+            if "num" in kinds and "bool" not in kinds:
+                same = same & ~F.isnan(self._num(*a)) & ~F.isnan(self._num(*b))
+            return same if f == "=" else ~same
+        x, y = ((self._bool(*v).cast("double") if v[1] == "set" else self._num(*v)) for v in (a, b))
+        return ~F.isnan(x) & ~F.isnan(y) & {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[f]
 
     def _call(self, rows: DataFrame, e: Op) -> tuple[DataFrame, Column, str]:
         f = e.name
@@ -353,39 +434,27 @@ class Evaluator:
             return self._aggregate(rows, e.args[0], f)
         if f in ("local-name", "namespace-uri", "name") and e.args:
             return self._aggregate(rows, e.args[0], f)
+        if f in ("and", "or", "not", "boolean"):
+            return (*self.test(rows, e), "bool")
         args = []
         for a in e.args:
             rows, v, kind = self.expr(rows, a)
             args.append((v, kind))
         s = lambda i: self._str(*args[i]) if i < len(args) else F.coalesce("str_value", F.lit(""))
-        n = lambda i: self._num(*args[i]) if i < len(args) else self._num(F.col("str_value"), "str")
-        b = lambda i: self._bool(*args[i])
-        if f in ("and", "or"):
-            return rows, (b(0) & b(1)) if f == "and" else (b(0) | b(1)), "bool"
-        if f in ("=", "!="):
-            kinds = {k for _, k in args}
-            if "bool" in kinds and kinds != {"bool"} and "num" not in kinds:
-                same = b(0) == b(1)
-            elif "num" in kinds:
-                same = n(0) == n(1)
-            elif kinds == {"bool"}:
-                same = b(0) == b(1)
-            else:
-                same = s(0) == s(1)
-            return rows, same if f == "=" else ~same, "bool"
-        if f in ("<", "<=", ">", ">="):
-            x, y = n(0), n(1)
-            ok = ~F.isnan(x) & ~F.isnan(y)
-            return rows, ok & {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[f], "bool"
+        n = lambda i: self._num(*args[i]) if i < len(args) else self._num(F.coalesce("str_value", F.lit("")), "str")
+        if f in _COMPARE:
+            return rows, self._compare(f, *args), "bool"
         if f in ("+", "-", "*"):
             return rows, {"+": n(0) + n(1), "-": n(0) - n(1), "*": n(0) * n(1)}[f], "num"
         if f == "div":
-            zero = F.when(n(0) == 0, float("nan")).otherwise(F.signum(n(0)) * float("inf"))
+            zero = F.when((n(0) == 0) | F.isnan(n(0)), NAN).otherwise(F.signum(n(0)) * float("inf"))
             return rows, F.when(n(1) == 0, zero).otherwise(n(0) / F.when(n(1) == 0, 1.0).otherwise(n(1))), "num"
         if f == "mod":
-            return rows, F.try_mod(F.round(n(0)).cast("long"), F.round(n(1)).cast("long")).cast("double"), "num"
+            whole = [F.round(n(i)).try_cast("long") for i in (0, 1)]  # null for NaN and infinities
+            return rows, F.coalesce(F.try_mod(*whole).cast("double"), F.lit(NAN)), "num"
         if f == "neg":
             return rows, -n(0), "num"
+        still = lambda c: F.isnan(c) | (F.abs(c) >= 2.0**52)  # noqa: E731  # whole already, or no number
         zero = F.lit("")
         at = F.instr(s(0), s(1)) if f in ("substring-before", "substring-after") else None
         own = lambda c: F.coalesce(F.col(c), zero)
@@ -406,14 +475,12 @@ class Evaluator:
             "substring": lambda: (self._substring(s(0), n(1), n(2) if len(args) > 2 else None), "str"),
             "string-length": lambda: (F.length(s(0)).cast("double"), "num"),
             "normalize-space": lambda: (F.trim(F.regexp_replace(s(0), r"[ \t\r\n]+", " ")), "str"),
-            "translate": lambda: (F.translate(s(0), *[a.value for a in e.args[1:]]), "str"),
-            "boolean": lambda: (b(0), "bool"),
-            "not": lambda: (~b(0), "bool"),
+            "translate": lambda: (F.call_function("translate", s(0), s(1), s(2)), "str"),
             "lang": lambda: (F.coalesce((F.lower("lang") == F.lower(s(0))) | F.startswith(F.lower("lang"), F.concat(F.lower(s(0)), F.lit("-"))), F.lit(False)), "bool"),
             "number": lambda: (n(0), "num"),
-            "floor": lambda: (F.floor(n(0)).cast("double"), "num"),
-            "ceiling": lambda: (F.ceil(n(0)).cast("double"), "num"),
-            "round": lambda: (F.round(n(0)), "num"),
+            "floor": lambda: (F.when(still(n(0)), n(0)).otherwise(F.floor(n(0)).cast("double")), "num"),
+            "ceiling": lambda: (F.when(still(n(0)), n(0)).otherwise(F.ceil(n(0)).cast("double")), "num"),
+            "round": lambda: (F.when(still(n(0)), n(0)).otherwise(F.round(n(0))), "num"),
             "id": lambda: (None, "str"),
         }
         if f == "id":
@@ -425,10 +492,17 @@ class Evaluator:
 
     @staticmethod
     def _substring(text: Column, start: Column, size: Column | None) -> Column:
-        a = F.round(start).cast("int")
-        first = F.greatest(a, F.lit(1))
-        n = F.length(text) if size is None else F.greatest(F.round(size).cast("int") + a - first, F.lit(0))
-        return F.substring(text, first, n)
+        """Characters at places from round(start) to before round(start) + round(size); none where one of these is no number."""
+        end = F.length(text) + 1.0
+        low = F.round(start)
+        high = end if size is None else F.least(low + F.round(size), end)
+        low = F.greatest(low, F.lit(1.0))
+        some = ~F.isnan(start) & ~F.isnan(high) & (high > low)
+        first = F.when(some, low).otherwise(1.0).cast("int")
+        return F.when(some, F.substring(text, first, F.when(some, high - low).otherwise(0.0).cast("int"))).otherwise("")
+
+
+_COMPARE = ("=", "!=", "<", "<=", ">", ">=")
 
 
 def xpath(nodes: DataFrame, expression: str, key: str = "doc_id", variables: dict | None = None, dedupe: bool = False) -> DataFrame:

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import io
 import re
+import tempfile
+import uuid
 from array import array
 from collections.abc import Iterator
+from functools import reduce
+from html.entities import html5
 from xml.parsers import expat
 
 import pandas as pd
@@ -37,104 +41,152 @@ class _Long(Exception):
     """The document has more nodes than are held at once."""
 
 
-def _read(xml: str, posts: array | None = None, fill: bool = False, held: int | None = None) -> Iterator[dict]:
-    """A document's nodes as they end, parents after children. `posts` has the elements' post ranks in document order: with `fill` they are
-    collected and no nodes are given; else parents' post ranks come from there. Without it, only the finished parents know theirs."""
-    done: list[dict] = []
-    stack: list[dict] = []
-    clock, made, elements, text, in_cdata = [0], [0], [0], [], [False]
-    said_so_far = io.StringIO()
-    ids: dict[str, set[str]] = {}
-    expanded = [0]
+XML_NS, XMLNS_NS = "http://www.w3.org/XML/1998/namespace", "http://www.w3.org/2000/xmlns/"
+_HTML5 = re.compile(r"\s*(?:<\?xml[^>]*>\s*)?(?:<!--.*?-->\s*)*<!DOCTYPE\s+html\s*>", re.I | re.S)
+_REFERENCE = re.compile(r"<!\[CDATA\[.*?\]\]>|<!--.*?-->|&([A-Za-z][A-Za-z0-9]*;)", re.S)
+_OWN = frozenset(("lt;", "gt;", "amp;", "quot;", "apos;"))
+#: Places of a node's values in its row; behind the columns stand the numbers of its parent and, for elements and the root, its own.
+PRE, POST, PARENT_POST, STR_VALUE, PARENT, OWN_NUMBER = 0, 1, 4, 12, 16, 17
+
+
+def named_characters(xml: str) -> str:
+    """The text with the names that HTML gives characters replaced by these, where its document type is that of HTML 5."""
+    if "&" not in xml or not _HTML5.match(xml):
+        return xml
+    return _REFERENCE.sub(lambda m: html5.get(m[1], m[0]) if m[1] and m[1] not in _OWN else m[0], xml)
+
+
+def _bindings(pairs: list[tuple[str, str]], ns: dict) -> dict:
+    """The prefixes in scope of an element with these attributes."""
+    out = ns
+    for k, v in pairs:
+        if k != "xmlns" and not k.startswith("xmlns:"):
+            continue
+        prefix = k[6:]
+        if prefix == "xmlns" or (prefix == "xml") != (v == XML_NS) or v == XMLNS_NS:
+            raise Rejected(f"reserved namespace or prefix in {k}")
+        if prefix and not v:
+            raise Rejected(f"prefix {prefix} cannot be unbound")
+        out = dict(ns) if out is ns else out
+        out[prefix] = v or None
+    return out
+
 
-    def tick() -> int:
-        clock[0] += 1
-        return clock[0]
+def _read(xml: str, posts: array | None = None, fill: bool = False, held: int | None = None, external: dict[str, str] | None = None) -> Iterator[list]:
+    """A document's nodes as they end, parents after children: rows of the columns of NODES and two numbers (see PARENT). `posts` has the elements'
+    post ranks in document order: with `fill` they are collected and no nodes are given; else parents' post ranks come from there."""
+    done: list[list] = []
+    stack: list[list] = []  # of each open element: pre, number, level, children, language, prefixes, where its text begins, row
+    clock = made = elements = expanded = 0
+    in_cdata = False
+    text: list[str] = []
+    said = io.StringIO()
+    ids: dict[str, set[str]] = {}
+    xml = named_characters(xml)
 
-    def add(kind: str, qname: str | None = None, value: str | None = None, **more) -> dict:
-        made[0] += 1
-        if held is not None and made[0] > held:
+    def add(kind: str, qname: str | None, value: str | None) -> None:
+        nonlocal clock, made
+        made += 1
+        if held is not None and made > held:
             raise _Long
-        parent = stack[-1] if stack else None
-        prefix, _, local = (qname or "").rpartition(":")
-        node = {"pre": tick(), "post": None, "level": len(stack), "parent": parent, "ord": 0, "kind": kind, "qname": qname, "prefix": prefix or None, "local": local or None, "ns_uri": None, "value": value, "lang": parent["lang"] if parent else None, "is_id": False, "is_ns": False} | more
-        if parent is not None and kind != "attribute":
-            parent["count"] = node["ord"] = parent.get("count", 0) + 1
-        if kind in ("element", "root"):
-            node["number"], node["from"] = elements[0], said_so_far.tell()
-            elements[0] += 1
-            if fill:
-                posts.append(0)
-        return node
-
-    def close(node: dict) -> None:
-        node["post"] = tick()
-        branch = "number" in node
-        if fill:
-            if branch:
-                posts[node["number"]] = node["post"]
-            return
-        parent = node["parent"]
-        node["parent_pre"] = parent["pre"] if parent else None
-        node["parent_post"] = posts[parent["number"]] if parent and posts is not None else None
-        if branch:
-            said_so_far.seek(node["from"])
-        node["str_value"] = said_so_far.read() if branch else node["value"]
-        done.append(node)
+        parent = stack[-1]
+        parent[3] += 1
+        if not fill:
+            done.append([clock + 1, clock + 2, len(stack), parent[0], posts[parent[1]] if posts is not None else None, parent[3], kind, qname, None, qname, None, value, value, parent[4], False, False, parent[1], None])
+        clock += 2
 
     def flush() -> None:
-        if text:
-            said = "".join(text)
-            text.clear()
-            if stack and stack[-1]["kind"] == "element":
-                close(add("cdata" if in_cdata[0] else "text", None, said))
-                if not fill:
-                    said_so_far.write(said)
-
-    def lookup(prefix: str) -> str | None:
-        if prefix == "xml":
-            return "http://www.w3.org/XML/1998/namespace"
-        return next((s["ns"][prefix] or None for s in reversed(stack) if prefix in s.get("ns", {})), None)
+        data = "".join(text)
+        text.clear()
+        if len(stack) > 1:
+            add("cdata" if in_cdata else "text", None, data)
+            if not fill:
+                said.write(data)
 
     def start(name: str, attrs: list[str]) -> None:
-        flush()
+        nonlocal clock, made, elements
+        if text:
+            flush()
+        parent = stack[-1]
+        parent[3] += 1
         pairs = list(zip(attrs[::2], attrs[1::2], strict=True))
-        node = add("element", name)
-        node["ns"] = {k[6:] if k != "xmlns" else "": v for k, v in pairs if k == "xmlns" or k.startswith("xmlns:")}
-        node["lang"] = dict(pairs).get("xml:lang", node["lang"])
-        stack.append(node)
-        node["ns_uri"] = lookup(node["prefix"] or "")
-        if node["prefix"] and node["prefix"] != "xml" and node["ns_uri"] is None:
-            raise Rejected(f"undefined prefix {node['prefix']}")
+        made += 1 + len(pairs)
+        if held is not None and made > held:
+            raise _Long
+        ns = _bindings(pairs, parent[5]) if pairs else parent[5]
+        lang = parent[4]
+        for k, v in pairs:
+            if k == "xml:lang":
+                lang = v
+        prefix, _, local = name.rpartition(":")
+        if prefix and prefix not in ns:
+            raise Rejected(f"undefined prefix {prefix}")
+        clock += 1
+        pre, number, level = clock, elements, len(stack)
+        elements += 1
+        if fill:
+            posts.append(0)
+            row = None
+        else:
+            row = [pre, None, level, parent[0], posts[parent[1]] if posts is not None else None, parent[3], "element", name, prefix or None, local, ns.get(prefix), None, None, lang, False, False, parent[1], number]
+        stack.append([pre, number, level, 0, lang, ns, said.tell() if row is not None else 0, row])
+        if not pairs:
+            return
+        own, seen = ids.get(name, ()), set()
         for i, (k, v) in enumerate(sorted(pairs)):
-            a = add("attribute", k, v, ord=i + 1, is_id=k in ids.get(name, ()) or k == "xml:id", is_ns=k == "xmlns" or k.startswith("xmlns:"))
-            close(a)
-            if a["prefix"] and not a["is_ns"]:
-                a["ns_uri"] = lookup(a["prefix"])
-                if a["ns_uri"] is None:
-                    raise Rejected(f"undefined prefix {a['prefix']}")
+            prefix, _, local = k.rpartition(":")
+            is_ns = k == "xmlns" or prefix == "xmlns"
+            uri = None
+            if prefix and not is_ns:
+                if prefix not in ns:
+                    raise Rejected(f"undefined prefix {prefix}")
+                uri = ns[prefix]
+                if (uri, local) in seen:
+                    raise Rejected(f"repeated attribute {k}")
+                seen.add((uri, local))
+            if row is not None:
+                done.append([clock + 1, clock + 2, level + 1, pre, posts[number] if posts is not None else None, i + 1, "attribute", k, prefix or None, local, uri, v, v, lang, k in own or k == "xml:id", is_ns, number, None])
+            clock += 2
 
     def end(name: str) -> None:
-        flush()
-        close(stack.pop())
+        if text:
+            flush()
+        leave()
+
+    def leave() -> None:
+        nonlocal clock
+        clock += 1
+        frame = stack.pop()
+        row = frame[7]
+        if row is None:
+            posts[frame[1]] = clock
+            return
+        row[POST] = clock
+        said.seek(frame[6])
+        row[STR_VALUE] = said.read()
+        done.append(row)
 
     def chars(data: str) -> None:
-        expanded[0] += len(data)
-        if expanded[0] > MAX_EXPANSION + 4 * len(xml):
+        nonlocal expanded
+        expanded += len(data)
+        if expanded > MAX_EXPANSION + 4 * len(xml):
             raise Exceeds("entities expand too far")
         text.append(data)
 
     def leaf(kind: str):
         def run(*args) -> None:
-            flush()
-            close(add(kind, args[0] if kind == "pi" else None, args[-1]))
+            if text:
+                flush()
+            add(kind, args[0] if kind == "pi" else None, args[-1])
 
         return run
 
     def cdata(on: bool):
         def run() -> None:
-            flush()
-            in_cdata[0] = on
+            nonlocal in_cdata
+            if text:
+                flush()
+            in_cdata = on
 
         return run
 
@@ -142,8 +194,18 @@ def _read(xml: str, posts: array | None = None, fill: bool = False, held: int |
         if kind == "ID":
             ids.setdefault(element, set()).add(name)
 
-    root = add("root")
-    stack.append(root)
+    def load(context, base, system, public) -> int:
+        if system not in external:
+            raise Rejected(f"external entity {system} is not allowed")
+        p.ExternalEntityParserCreate(context).Parse(external[system], True)
+        return 1
+
+    clock, elements = 1, 1
+    made = 1
+    if fill:
+        posts.append(0)
+    root = None if fill else [1, None, 0, None, None, 0, "root", None, None, None, None, None, None, None, False, False, None, 0]
+    stack.append([1, 0, 0, 0, None, {"xml": XML_NS}, 0, root])
     p = expat.ParserCreate()
     p.ordered_attributes = True
     p.buffer_text = False
@@ -151,7 +213,9 @@ def _read(xml: str, posts: array | None = None, fill: bool = False, held: int |
     p.CommentHandler, p.ProcessingInstructionHandler = leaf("comment"), leaf("pi")
     p.StartCdataSectionHandler, p.EndCdataSectionHandler = cdata(True), cdata(False)
     p.AttlistDeclHandler = attlist
-    p.SetParamEntityParsing(expat.XML_PARAM_ENTITY_PARSING_NEVER)
+    p.SetParamEntityParsing(expat.XML_PARAM_ENTITY_PARSING_UNLESS_STANDALONE if external else expat.XML_PARAM_ENTITY_PARSING_NEVER)
+    if external:
+        p.ExternalEntityRefHandler = load
     for at in range(0, max(len(xml), 1), STEP):
         try:
             p.Parse(xml[at : at + STEP], at + STEP >= len(xml))
@@ -159,67 +223,81 @@ def _read(xml: str, posts: array | None = None, fill: bool = False, held: int |
             raise (Exceeds if e.code == _AMPLIFIED else Rejected)(str(e)) from None
         yield from done
         done.clear()
-    close(root)
+    leave()
     yield from done
 
 
 _AMPLIFIED = expat.errors.codes[expat.errors.XML_ERROR_AMPLIFICATION_LIMIT_BREACH]
 
 
-def check(xml: str) -> None:
-    """Raises Rejected where shred_nodes would, without making nodes."""
-    for _ in _read(xml, array("q"), True):
+def check(xml: str, external: dict[str, str] | None = None) -> None:
+    """Raises Rejected where shred_rows would, without making nodes."""
+    for _ in _read(xml, array("q"), True, external=external):
         pass
 
 
-def shred_nodes(xml: str) -> Iterator[dict]:
-    """All nodes of a document, with pre and post ranks, in no set order. External entities are never loaded. A document that is not
-    well-formed is rejected before its first node; of a long one, only open elements, their text and 8 bytes an element are held."""
+def shred_rows(xml: str, external: dict[str, str] | None = None) -> Iterator[list]:
+    """All nodes of a document as rows, with pre and post ranks, in no set order. External entities are loaded only from `external`, by system
+    name. A document that is not well-formed is rejected before its first node; of a long one, only open elements, their text and 8 bytes
+    an element are held."""
     try:
-        nodes = list(_read(xml, held=HELD_NODES))
+        rows = list(_read(xml, held=HELD_NODES, external=external))
     except _Long:
         posts = array("q")
-        for _ in _read(xml, posts, True):
+        for _ in _read(xml, posts, True, external=external):
             pass
-        yield from _read(xml, posts)
+        yield from _read(xml, posts, external=external)
         return
-    for n in nodes:
-        if n["parent"]:
-            n["parent_post"] = n["parent"]["post"]
-    yield from nodes
+    post = {r[OWN_NUMBER]: r[POST] for r in rows if r[OWN_NUMBER] is not None}
+    for r in rows:
+        r[PARENT_POST] = post.get(r[PARENT])
+    yield from rows
 
 
-def shred_text(xml: str) -> list[dict]:
+def shred_nodes(xml: str, external: dict[str, str] | None = None) -> Iterator[dict]:
+    return (dict(zip(_COLUMNS, r[: len(_COLUMNS)], strict=True)) for r in shred_rows(xml, external))
+
+
+def shred_text(xml: str, external: dict[str, str] | None = None) -> list[dict]:
     """All nodes of a document in document order."""
-    return sorted(shred_nodes(xml), key=lambda n: n["pre"])
+    return sorted(shred_nodes(xml, external), key=lambda n: n["pre"])
 
 
 _COLUMNS = [c.split()[0] for c in NODES.split(", ")]
 
 
-def shred(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
+def shred(docs: DataFrame, key: str = "doc_id", xml: str = "xml", texts: bool = True, external: dict[str, str] | None = None) -> DataFrame:
     """The node table: key and a row for each node, attributes included, of every well-formed document, however many nodes it has. Others give no row
-    (see verdicts); a document whose entities expand beyond the limit may be well-formed and fails the query."""
+    (see verdicts); a document whose entities expand beyond the limit may be well-formed and fails the query.
+
+    str_value repeats a text for each element around it. With texts=False it is null for elements and the root, for expressions that
+    ask for no element's text; string_values adds it later. External entities and document types are read from `external`, a small
+    map of system names to texts, and from nowhere else; a document that needs another one is rejected. In documents of
+    HTML 5's type, the names that HTML gives characters are known."""
 
     kind = dict(docs.dtypes)[key]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 8, pa.bool_(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(keys: list, nodes: list[dict], like: pa.DataType) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys, like), *(pa.array([n[c] for n in nodes], t) for c, t in zip(_COLUMNS, types, strict=True))], [key, *_COLUMNS])
+        def batch(keys: list, rows: list[list], like: pa.DataType) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))[: len(types)]
+            return pa.RecordBatch.from_arrays([pa.array(keys, like), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [key, *_COLUMNS])
 
         for b in batches:
             keys: list = []
-            rows: list[dict] = []
+            rows: list[list] = []
             chars = 0
             for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if text is None:
                     continue
                 try:
-                    for node in shred_nodes(text):
+                    for row in shred_rows(text, external):
+                        if not texts and row[OWN_NUMBER] is not None:
+                            row[STR_VALUE] = None
+                        elif row[STR_VALUE]:
+                            chars += len(row[STR_VALUE])
                         keys.append(k)
-                        rows.append(node)
-                        chars += len(node["str_value"] or "")
+                        rows.append(row)
                         if len(rows) > BATCH_ROWS or chars > BATCH_CHARS:
                             yield batch(keys, rows, b.schema.field(0).type)
                             keys, rows, chars = [], [], 0
@@ -233,6 +311,36 @@ def shred(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
     return docs.select(key, xml).mapInArrow(run, f"`{key}` {kind}, {NODES}")
 
 
+def written(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The table written to the folder that driver and executors share (spark.checkpoint.dir) and read back, so that documents are
+    parsed once however many steps read it, each only the columns that it needs; lost executors cost no second parse."""
+    spark = nodes.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/nodes-{uuid.uuid4().hex}"
+    nodes.write.parquet(path)
+    return spark.read.schema(nodes.schema).parquet(path)
+
+
+def string_values(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """nodes with every element's and root's str_value worked out from the text below it: each text meets the elements around it level by level."""
+    said = nodes.filter("kind IN ('text', 'cdata')").select(key, F.col("pre").alias("_at"), "parent_pre", "value")
+    parts, up = [], nodes.filter("kind IN ('element', 'root')").select(key, F.col("pre").alias("parent_pre"), F.col("parent_pre").alias("_next"))
+    deepest = nodes.agg(F.max("level")).first()[0] or 0
+    for _ in range(deepest + 1):
+        said = said.join(up, [key, "parent_pre"])
+        parts.append(said.select(key, F.col("parent_pre").alias("pre"), "_at", "value"))
+        said = said.filter("_next IS NOT NULL").select(key, "_at", F.col("_next").alias("parent_pre"), "value")
+    whole = reduce(DataFrame.unionByName, parts).groupBy(key, "pre").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]), "").alias("_said"))
+    branch = F.col("kind").isin("element", "root")
+    out = nodes.join(whole, [key, "pre"], "left")
+    return out.withColumn("str_value", F.when(branch, F.coalesce("_said", F.lit(""))).otherwise(F.col("value"))).select(*nodes.columns)
+
+
 def verdicts(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
     """key, wf_error (null where well-formed), version, standalone, has_doctype, is_html5. One document never fails the others."""
 
