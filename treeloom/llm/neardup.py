@@ -18,8 +18,8 @@ from .textkit import LOWER, WHITE, flat, hash_spans, mix, padded, spans, steps
 WORDS, SIMILARITY = 5, 0.8
 #: Bands and registers of a band. A pair at 0.8 shares no band with probability (1 - 0.8^6)^40 = 5e-6.
 BANDS, ROWS = 40, 6
-#: Shingles that a verification task holds of each of its one or two blocks.
-BLOCK_SHINGLES = 4_000_000
+#: Shingles and sets that a verification task holds of each of its one or two blocks, about.
+BLOCK_SHINGLES, BLOCK_SETS = 4_000_000, 512
 #: Buckets of 32,768 bits of the filter that is broadcast: 512 KB.
 FILTER_BUCKETS = 128
 
@@ -269,7 +269,7 @@ def _labels(rows: DataFrame) -> DataFrame:
     first = members.groupBy("node").agg(F.min("row").alias("row"))
     members = members.join(first, ["node", "row"]).join(groups, "node")
     members = kept(members.select("node", "label", "n", "shingles", "counts"), "members")
-    sums = members.groupBy("label").agg(F.ceil(F.sum(F.col("n").cast("long")) / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    sums = members.groupBy("label").agg(F.ceil(F.greatest(F.sum(F.col("n").cast("long")) / BLOCK_SHINGLES, F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
     tasks = members.withColumn("part", F.col("node")).withColumn("_pair", F.lit("all"))
     if sums.filter("blocks > 2").isEmpty():
         return components(_links(tasks), "classes")
@@ -281,7 +281,8 @@ def _labels(rows: DataFrame) -> DataFrame:
     judged = kept(judged.mapInArrow(_with_pivot, "node long, label long, n int, shingles binary, counts binary, linked boolean"), "judged")
     to_pivot = judged.filter("linked AND node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
     # a linked set needs no comparison with another one; blocks of the others meet all blocks
-    part = lambda linked: F.ceil(F.sum(F.when(F.col("linked") == linked, F.col("n").cast("long")).otherwise(0)) / BLOCK_SHINGLES).cast("int")
+    some = lambda c, linked: F.sum(F.when(F.col("linked") == linked, c).otherwise(0))
+    part = lambda linked: F.ceil(F.greatest(some(F.col("n").cast("long"), linked) / BLOCK_SHINGLES, some(1, linked) / BLOCK_SETS)).cast("int")
     blocks = judged.groupBy("label").agg(part(True).alias("known"), part(False).alias("open")).filter("open > 0")
     dealt = join_hot(judged, blocks, "label")
     number = F.xxhash64(F.lit("block"), "node")
