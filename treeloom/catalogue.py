@@ -166,11 +166,6 @@ def xml_escape(spark, d):
     return table(spark, d, "documents").select("doc_id", strings.escape_xml(F.col("text"), True).alias("escaped"))
 
 
-@query()
-def xml_wf_verdict(spark, d):
-    return X.verdicts(table(spark, d, "pages"), "page_id", "html")
-
-
 @query("SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 def xml_rewrite(spark, d):
     """Documents written again from their nodes, read by the built-in engine."""

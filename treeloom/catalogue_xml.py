@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import customer_nodes, order_nodes
 from .functions import strings
+from .operators import dom
 from .plans import xpath as P
 from .plans.xpath import xpath
 from .registry import query, table
@@ -122,3 +123,138 @@ def xpath_node_kinds(spark, d):
     inner = [F.concat(F.lit("<?"), "event_type", F.lit(" x?>")), F.lit("<?other y?>"), F.when(F.col("event_id") % 3 == 0, "<!--c-->"), F.when(F.col("event_id") % 2 == 0, "some text"), F.lit("<e/>"), F.when(F.col("event_id") % 5 == 0, "<![CDATA[a < b]]>")]
     nodes = X.written(X.shred(e.select(F.col("event_id").alias("doc_id"), X.element("d", {}, *inner).alias("xml")), texts=False))
     return _counts(nodes, clicks="//processing-instruction('click')", instructions="//processing-instruction()", comments="//comment()", texts="//text()")
+
+
+def _orders(spark, d):
+    """Documents of orders and the places of their elements."""
+    nodes = order_nodes(spark, d)
+    return nodes, xpath(nodes, "/order").select("doc_id", "pre"), xpath(nodes, "/order/line")
+
+
+_LINE = "'<line flag=\"' || flag || '\" no=\"' || no || '\" price=\"' || price_text || '\" qty=\"' || qty || '\"/>'"
+_WRITTEN = "(SELECT o_orderkey AS doc_id, o_orderstatus AS status, l_linenumber AS no, l_returnflag AS flag, l_quantity::INTEGER AS qty, l_extendedprice::DECIMAL(18,2)::VARCHAR AS price_text, l_partkey AS part FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
+
+
+@query(f"SELECT doc_id, '<order id=\"x' || doc_id || '\" status=\"' || status || '\" size=\"' || count(*) || '\">' || string_agg({_LINE.replace('/>', ' kind=\"l\"/>')}, '' ORDER BY no, part, flag, qty::VARCHAR, price_text) || '</order>' AS xml FROM {_WRITTEN} GROUP BY doc_id, status")
+def dom_set_attribute(spark, d):
+    """An attribute changed, one added from other columns, one added to all children."""
+    nodes, order, lines = _orders(spark, d)
+    n = lines.groupBy("doc_id").agg(F.count("*").alias("n"))
+    out = dom.set_attribute(nodes, order, "id", F.concat(F.lit("x"), F.col("doc_id").cast("string")))
+    out = dom.set_attribute(out, order.join(n, "doc_id"), "size", F.col("n"))
+    return X.from_nodes(dom.set_attribute(out, xpath(out, "/order/line"), "kind", F.lit("l")), collapse=True)
+
+
+@query(f"SELECT doc_id, '<order id=\"' || doc_id || '\" status=\"' || status || CASE WHEN count(*) FILTER (flag <> 'R') = 0 THEN '\"/>' ELSE '\">' END || coalesce(string_agg({_LINE.replace("flag=\"' || flag || '\" ", "")}, '' ORDER BY no, part, flag, qty::VARCHAR, price_text) FILTER (flag <> 'R'), '') || CASE WHEN count(*) FILTER (flag <> 'R') = 0 THEN '' ELSE '</order>' END AS xml FROM {_WRITTEN} GROUP BY doc_id, status")
+def dom_erase(spark, d):
+    """Elements erased, an attribute removed from the others."""
+    nodes, _, _ = _orders(spark, d)
+    out = dom.erase(nodes, xpath(nodes, "/order/line[@flag = 'R']"))
+    return X.from_nodes(dom.remove_attribute(out, xpath(out, "//line"), "flag"), collapse=True)
+
+
+@query(f"SELECT doc_id, '<order id=\"' || doc_id || '\" status=\"' || status || '\"><!--n=' || count(*) || '-->' || string_agg({_LINE} || '<gap/>', '' ORDER BY no, part, flag, qty::VARCHAR, price_text) || '<end/></order>' AS xml FROM {_WRITTEN} GROUP BY doc_id, status")
+def dom_insert(spark, d):
+    """Nodes put in first, last and after others."""
+    nodes, order, lines = _orders(spark, d)
+    zero, none = F.lit(0).cast("long").alias("place"), F.lit(None).cast("string")
+    n = lines.groupBy("doc_id").agg(F.count("*").alias("n"))
+    note = order.join(n, "doc_id").select("doc_id", "pre", zero, F.lit("comment").alias("kind"), none.alias("qname"), F.concat(F.lit("n="), "n").alias("value"))
+    one = lambda rows, name: rows.select("doc_id", "pre", zero, F.lit("element").alias("kind"), F.lit(name).alias("qname"), none.alias("value"))
+    out = dom.insert(nodes, lines, "after", one(lines, "gap"))
+    out = dom.insert(out, order, "first", note)
+    order = xpath(out, "/order")
+    return X.from_nodes(dom.insert(out, order, "last", one(order, "end")), collapse=True)
+
+
+@query(f"SELECT doc_id, '<order id=\"' || doc_id || '\" status=\"' || status || '\">' || string_agg({_LINE.replace('/>', '>')} || qty || '&lt;</line>', '' ORDER BY qty DESC, no, part) || '</order>' AS xml FROM {_WRITTEN} GROUP BY doc_id, status")
+def dom_text_and_sort(spark, d):
+    """Texts set from attributes, added to and merged; children sorted by an attribute."""
+    nodes, order, _ = _orders(spark, d)
+    qty = xpath(nodes, "//line/@qty").select("doc_id", F.col("parent_pre").alias("pre"), "value")
+    out = dom.set_content(nodes, qty, F.col("value"))
+    lines = xpath(out, "//line")
+    more = lines.select("doc_id", "pre", F.lit(0).cast("long").alias("place"), F.lit("text").alias("kind"), F.lit(None).cast("string").alias("qname"), F.lit("<").alias("value"))
+    out = dom.merge_text(dom.insert(out, lines, "last", more))
+    said = dom.direct_text(out).select("doc_id", "pre", F.regexp_extract("text", "^[0-9]+", 0).try_cast("int").alias("q"))
+    out = out.join(said, ["doc_id", "pre"], "left")
+    return X.from_nodes(dom.sort_children(out, xpath(out, "/order"), -F.coalesce("q", F.lit(0))))
+
+
+@query(f"SELECT doc_id, count(*) AS elements, count(*) FILTER (flag = 'R') AS other FROM {_ORDERS} GROUP BY 1")
+def dom_namespaces(spark, d):
+    """Elements moved to a namespace; what a prefix and a namespace stand for around every element."""
+    nodes, order, _ = _orders(spark, d)
+    out = X.written(dom.move_to_namespace(nodes, order, "n", "urn:n"))
+    back = dom.namespace_for_prefix(out, "n").filter("uri = 'urn:n'").join(dom.prefix_for_namespace(out, "urn:n").filter("prefix = 'n'"), ["doc_id", "pre"])
+    lines = out.filter("qname = 'n:line' AND ns_uri = 'urn:n' AND prefix = 'n'").select("doc_id", "pre")
+    flags = xpath(out, "//line[@flag = 'R']").select("doc_id", F.lit(1).alias("r")).groupBy("doc_id").agg(F.count("*").alias("other"))
+    n = lines.join(back, ["doc_id", "pre"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("elements"))
+    return n.join(flags, "doc_id", "left").na.fill({"other": 0}).select("doc_id", "elements", "other")
+
+
+@query("SELECT p_partkey AS doc_id, p_size % 3 <> 0 AS equal FROM part")
+def dom_equal(spark, d):
+    """Trees are equal whatever the order of attributes, white space between elements and comments; a changed text or a missing element makes them unequal."""
+    p = table(spark, d, "part")
+    a, b = F.col("p_brand"), F.col("p_size").cast("string")
+    one = F.concat(F.lit('<p a="'), a, F.lit('" b="'), b, F.lit('"><q>'), b, F.lit("</q><r/></p>"))
+    two = F.concat(F.lit("<p b='"), b, F.lit("' a='"), a, F.lit("'>\n  <q>"), F.when(F.col("p_size") % 6 == 0, "other").otherwise(b), F.lit("</q><!-- c -->\n"), F.when(F.col("p_size") % 6 == 3, "").otherwise("<r></r>"), F.lit("\n</p>"))
+    left, right = (X.shred(p.select(F.col("p_partkey").alias("doc_id"), x.alias("xml")), texts=False) for x in (one, two))
+    return dom.equal(left, right)
+
+
+@query(f"SELECT 2 * doc_id + 1 AS doc_id, no, next, previous FROM (SELECT doc_id, no, lead(no) OVER w AS next, lag(no) OVER w AS previous FROM {_ORDERS} WINDOW w AS (PARTITION BY doc_id ORDER BY no, price))")
+def dom_neighbours(spark, d):
+    """Cloned documents under new keys; every line with the numbers of its next and previous sibling."""
+    nodes = dom.clone(order_nodes(spark, d), 2 * F.col("doc_id") + 1)
+    no = xpath(nodes, "//line/@no").select("doc_id", F.col("parent_pre").alias("pre"), F.col("value").cast("int").alias("no"))
+    rows = dom.neighbours(nodes).filter("local = 'line'").select("doc_id", "pre", "next_element", "previous_element").join(no, ["doc_id", "pre"])
+    for side in ("next", "previous"):
+        rows = rows.join(no.select("doc_id", F.col("pre").alias(f"{side}_element"), F.col("no").alias(side)), ["doc_id", f"{side}_element"], "left")
+    return rows.select("doc_id", "no", "next", "previous")
+
+
+@query("SELECT p_partkey AS doc_id, CASE p_size % 4 WHEN 0 THEN 'outside of its parent' WHEN 1 THEN 'wrong place among siblings' WHEN 2 THEN 'no parent' END AS problem FROM part WHERE p_size % 4 <> 3")
+def dom_violations(spark, d):
+    """Broken tables are told: ranks, places and parents are spoilt by the part's size."""
+    p = table(spark, d, "part")
+    nodes = X.shred(p.select(F.col("p_partkey").alias("doc_id"), F.lit("<a><b/><c/></a>").alias("xml")), texts=False).join(p.select(F.col("p_partkey").alias("doc_id"), (F.col("p_size") % 4).alias("how")), "doc_id")
+    c = F.col("local") == "c"
+    spoilt = nodes.withColumn("post", F.when(c & (F.col("how") == 0), 99).otherwise(F.col("post"))).withColumn("ord", F.when(c & (F.col("how") == 1), 7).otherwise(F.col("ord"))).withColumn("parent_pre", F.when(c & (F.col("how") == 2), 77).otherwise(F.col("parent_pre")))
+    return dom.violations(spoilt.drop("how")).select("doc_id", "problem")
+
+
+@query("SELECT p_partkey AS doc_id, '<part>' || chr(10) || '  <n>' || p_size || '</n>' || chr(10) || '  <m a=\"' || p_brand || '\">x <b>y</b></m>' || CASE WHEN p_size % 2 = 0 THEN chr(10) || '  <e/>' ELSE '' END || chr(10) || '</part>' AS indented, '<part><n>' || p_size || '</n><m a=\"' || p_brand || '\">x <b>y</b></m>' || CASE WHEN p_size % 2 = 0 THEN '<e></e>' ELSE '' END || '<br></part>' AS html FROM part")
+def xml_write_options(spark, d):
+    """Indented with collapsed empty tags and without comments; and as HTML with void elements."""
+    p = table(spark, d, "part")
+    body = [X.element("n", {}, F.col("p_size").cast("string")), F.lit("  "), X.element("m", {"a": F.col("p_brand")}, F.lit("x <b>y</b>")), F.lit("<!--c-->"), F.when(F.col("p_size") % 2 == 0, "<e/>")]
+    docs = p.select(F.col("p_partkey").alias("doc_id"), X.element("part", {}, *body).alias("xml"), X.element("part", {}, *[x for i, x in enumerate(body) if i != 1], F.lit("<br/>")).alias("page"))
+    one = X.from_nodes(X.shred(docs, texts=False), collapse=True, indent=2, comments=False).withColumnRenamed("xml", "indented")
+    return one.join(X.from_nodes(X.shred(docs, xml="page", texts=False), html=True, comments=False).withColumnRenamed("xml", "html"), "doc_id")
+
+
+@query("SELECT page_id, page_id % 3 = 0 AS broken, page_id % 4 = 0 AS html5, CASE WHEN page_id % 3 = 0 THEN NULL WHEN page_id % 4 = 0 THEN '©é' || page_id ELSE 'plain' || page_id END AS text FROM pages")
+def xml_wf_verdict(spark, d):
+    """Every third document is not well-formed, by a branch that its number chooses; every fourth names characters as HTML 5 does."""
+    n = F.col("page_id").cast("string")
+    five = F.col("page_id") % 4 == 0
+    body = F.concat(F.when(five, "<!DOCTYPE html><d>&copy;&eacute;").otherwise("<d>plain"), n, F.lit("</d>"))
+    ways = [F.lit("<d><a></d></a>"), F.lit('<d a="1" a="2"/>'), F.lit("<d>&nothing;</d>"), F.lit("<d>&#0;</d>"), F.lit("<p:d/>"), F.lit("<d></d><e/>"), F.lit('<d xmlns:p="u" xmlns:q="u" p:a="1" q:a="2"/>'), F.lit('<d xmlns:xml="other"/>'), F.lit("")]
+    bad = F.element_at(F.array(*ways), (F.floor(F.col("page_id") / 3) % len(ways) + 1).cast("int"))
+    docs = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat(F.when(five, "<!DOCTYPE html>").otherwise(""), bad)).otherwise(body).alias("xml"))
+    said = X.verdicts(docs, "page_id").select("page_id", F.col("wf_error").isNotNull().alias("broken"), F.col("is_html5").alias("html5"))
+    return said.join(X.shred(docs, "page_id").filter("kind = 'root'").select("page_id", F.col("str_value").alias("text")), "page_id", "left")
+
+
+@query("SELECT p_partkey AS doc_id, p_brand || 'inc' || p_size AS text, p_size % 2 = 0 AS loaded FROM part WHERE p_size % 5 <> 0")
+def xml_external_entities(spark, d):
+    """Document types and entities of an allow-list, with parameter entities and conditional sections; documents that ask for others are rejected."""
+    p = table(spark, d, "part")
+    allowed = {"known.dtd": "<!ENTITY % on 'INCLUDE'><![%on;[<!ENTITY inc 'inc'><!ATTLIST d loaded CDATA 'yes'>]]><![IGNORE[<!ENTITY inc 'no'>]]>", "plain.dtd": "<!ENTITY inc 'inc'>"}
+    name = F.when(F.col("p_size") % 5 == 0, "unknown.dtd").when(F.col("p_size") % 2 == 0, "known.dtd").otherwise("plain.dtd")
+    docs = p.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit('<!DOCTYPE d SYSTEM "'), name, F.lit('"><d>'), "p_brand", F.lit("&inc;"), "p_size", F.lit("</d>")).alias("xml"))
+    nodes = X.written(X.shred(docs, external=allowed))
+    on = nodes.filter("kind = 'attribute' AND qname = 'loaded'").select("doc_id", F.lit(True).alias("loaded"))
+    return nodes.filter("level = 1").select("doc_id", F.col("str_value").alias("text")).join(on, "doc_id", "left").na.fill({"loaded": False})

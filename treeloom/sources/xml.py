@@ -431,20 +431,42 @@ def element(name: str, attributes: dict[str, Column], *content: Column) -> Colum
     return F.concat(F.lit(f"<{name}"), *parts, F.lit(">"), *inner, F.lit(f"</{name}>"))
 
 
-def from_nodes(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, xml: each document written again from its node rows, one aggregation for all: every node gives its opening and closing text at its ranks."""
+#: Fixed values of HTML: elements that have no end tag.
+VOID = "area base br col embed hr img input link meta param source track wbr".split()
+
+
+def from_nodes(nodes: DataFrame, key: str = "doc_id", collapse: bool = False, indent: int = 0, html: bool = False, comments: bool = True, cdata: bool = True) -> DataFrame:
+    """key, xml: each document written again from its node rows, one aggregation for all: every node gives its opening and closing text at its ranks.
+
+    collapse: an empty element is one tag. indent: blanks for each level, on lines of their own, where an element has no text of its own. html: void elements have
+    no end tag, all others do. comments: whether they are written. cdata: whether CDATA sections stay such.
+    """
     from ..functions.strings import escape_xml
 
-    attrs = nodes.filter("kind = 'attribute'").groupBy(key, F.col("parent_pre").alias("pre")).agg(F.array_sort(F.collect_list(F.struct("ord", F.concat(F.lit(" "), "qname", F.lit('="'), escape_xml(F.col("value"), True), F.lit('"')).alias("t")))).alias("a"))
-    body = nodes.filter("kind NOT IN ('attribute', 'root')").join(attrs, [key, "pre"], "left")
-    has = F.coalesce(F.array_join(F.transform("a", lambda x: x["t"]), ""), F.lit(""))
+    shown = nodes.filter("kind NOT IN ('attribute', 'root')" + ("" if comments else " AND kind <> 'comment'"))
+    blank = (F.col("kind") == "text") & (F.trim(F.translate("value", "\n\r\t", "   ")) == "")
+    said = F.col("kind").isin("text", "cdata") & ~blank
+    if indent:
+        mixed = shown.filter(said).select(key, "parent_pre").distinct().withColumn("_mixed", F.lit(True))
+        shown = shown.join(mixed, [key, "parent_pre"], "left").filter(~blank | F.col("_mixed"))
+    inside = shown.groupBy(key, F.col("parent_pre").alias("pre")).agg(F.count("*").alias("_n"), F.bool_or(said).alias("_says"))
+    attrs = nodes.filter("kind = 'attribute'").groupBy(key, F.col("parent_pre").alias("pre")).agg(F.array_sort(F.collect_list(F.struct("ord", F.concat(F.lit(" "), "qname", F.lit('="'), escape_xml(F.col("value"), True), F.lit('"')).alias("t")))).alias("_a"))
+    body = shown.join(attrs, [key, "pre"], "left").join(inside, [key, "pre"], "left")
+    has = F.coalesce(F.array_join(F.transform("_a", lambda x: x["t"]), ""), F.lit(""))
+    element, empty = F.col("kind") == "element", F.col("_n").isNull()
+    void = F.lower("local").isin(VOID) if html else F.lit(False)
+    one = empty & ~void if collapse and not html else F.lit(False)
     first = (
-        F.when(F.col("kind") == "element", F.concat(F.lit("<"), "qname", has, F.lit(">")))
-        .when(F.col("kind") == "text", escape_xml(F.col("value")))
-        .when(F.col("kind") == "cdata", F.concat(F.lit("<![CDATA["), "value", F.lit("]]>")))
+        F.when(element, F.concat(F.lit("<"), "qname", has, F.when(one, "/>").otherwise(">")))
+        .when((F.col("kind") == "cdata") & F.lit(cdata), F.concat(F.lit("<![CDATA["), "value", F.lit("]]>")))
+        .when(F.col("kind").isin("text", "cdata"), escape_xml(F.col("value")))
         .when(F.col("kind") == "comment", F.concat(F.lit("<!--"), "value", F.lit("-->")))
         .otherwise(F.concat(F.lit("<?"), "qname", F.lit(" "), "value", F.lit("?>")))
     )
-    last = F.when(F.col("kind") == "element", F.concat(F.lit("</"), "qname", F.lit(">")))
+    last = F.when(element & ~one & ~void, F.concat(F.lit("</"), "qname", F.lit(">")))
+    if indent:
+        line = F.concat(F.lit("\n"), F.repeat(F.lit(" "), (indent * (F.col("level") - 1)).cast("int")))
+        first = F.when(F.col("_mixed") | (F.col("level") == 1), first).otherwise(F.concat(line, first))
+        last = F.when(empty | F.col("_says"), last).otherwise(F.concat(line, last))
     both = body.select(key, F.explode(F.array(F.struct(F.col("pre").alias("at"), first.alias("t")), F.struct(F.col("post").alias("at"), last.alias("t")))).alias("e")).filter("e.t IS NOT NULL")
     return both.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["t"]), "").alias("xml"))
