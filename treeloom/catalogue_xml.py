@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import customer_nodes, order_nodes
 from .functions import strings
-from .operators import dom
+from .operators import dom, dtd
 from .plans import xpath as P
 from .plans.xpath import xpath
 from .registry import query, table
@@ -258,3 +258,43 @@ def xml_external_entities(spark, d):
     nodes = X.written(X.shred(docs, external=allowed))
     on = nodes.filter("kind = 'attribute' AND qname = 'loaded'").select("doc_id", F.lit(True).alias("loaded"))
     return nodes.filter("level = 1").select("doc_id", F.col("str_value").alias("text")).join(on, "doc_id", "left").na.fill({"loaded": False})
+
+
+@query("SELECT n_nationkey AS doc_id, [CASE WHEN n_nationkey % 2 = 0 THEN 'doctype' END, 'start:a', 'attribute:x=' || n_regionkey, 'text:' || n_name, 'cdata-start:', 'text:c', 'cdata-end:', 'comment:k', 'pi:p=q', 'end:a'][(CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 2 END):] AS said FROM nation".replace("'doctype'", "'doctype:a'"))
+def xml_events(spark, d):
+    """Every event of a push parser, a row each, put together again in order."""
+    n = table(spark, d, "nation")
+    xml = F.concat(F.when(F.col("n_nationkey") % 2 == 0, "<!DOCTYPE a>").otherwise(""), F.lit('<a x="'), "n_regionkey", F.lit('">'), "n_name", F.lit("<![CDATA[c]]><!--k--><?p q?></a>"))
+    said = F.concat("event", F.lit(":"), F.concat_ws("=", "name", "value"))
+    rows = X.events(n.select(F.col("n_nationkey").alias("doc_id"), xml.alias("xml"))).select("doc_id", "place", said.alias("s"))
+    return rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "s"))), lambda x: x["s"]).alias("said"))
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 6 WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE 'é' || n_name END AS text, n_nationkey % 2 = 0 AS legal, 'a' || chr(10) || 'b' || chr(10) || 'c' AS lines FROM nation")
+def xml_encodings(spark, d):
+    """Bytes in four encodings, one that contradicts its mark and one unknown; characters that no document may have; line ends."""
+    n = table(spark, d, "nation")
+    text = lambda name: F.concat(F.lit(f'<?xml version="1.0" encoding="{name}"?><a>é'), "n_name", F.lit("</a>"))
+    mark = lambda raw, data: F.concat(F.unhex(F.lit(raw)), data)
+    plain = F.concat(F.lit("<a>é"), "n_name", F.lit("</a>"))
+    made = [F.encode(plain, "UTF-8"), mark("FFFE", F.encode(text("UTF-16"), "UTF-16LE")), mark("FEFF", F.encode(plain, "UTF-16BE")), F.encode(text("ISO-8859-1"), "ISO-8859-1"), mark("EFBBBF", F.encode(text("ISO-8859-1"), "UTF-8")), F.encode(text("KLINGON"), "UTF-8")]
+    data = F.element_at(F.array(*made), (F.col("n_nationkey") % 6 + 1).cast("int"))
+    rows = n.select("n_nationkey", F.regexp_extract(strings.decode_document(data), ">([^<>]*)</a>", 1).alias("text"))
+    extra = n.select("n_nationkey", strings.is_xml_text(F.concat("n_name", F.when(F.col("n_nationkey") % 2 == 0, "\t").otherwise("￾"))).alias("legal"), strings.normalize_lines(F.lit("a\r\nb\x85c"), "1.1").alias("lines"))
+    return rows.join(extra, "n_nationkey")
+
+
+_DTD = "<!ELEMENT d (a|b)*> <!ELEMENT a EMPTY> <!ELEMENT b (#PCDATA)> <!ATTLIST d kind (x|y) 'x' code NMTOKEN #IMPLIED ver CDATA #FIXED '1'> <!ATTLIST a id ID #REQUIRED to IDREFS #IMPLIED>"
+
+
+@query("SELECT p_partkey AS doc_id, CASE p_size % 7 WHEN 0 THEN 'wrong value: kind=z' WHEN 1 THEN 'wrong value: code=a b' WHEN 2 THEN 'wrong value: ver=2' WHEN 3 THEN 'undeclared attribute: xmlfoo' WHEN 4 THEN 'undeclared element: c' WHEN 5 THEN 'wrong value: id=1' END AS problem FROM part WHERE p_size % 7 <> 6")
+def dtd_violations(spark, d):
+    """All checks at once; each kind of document breaks one rule but for the seventh."""
+    p = table(spark, d, "part")
+    attr = F.element_at(F.array(*map(F.lit, (' kind="z"', ' code="a b"', ' ver="2"', ' xmlfoo="1"', "", "", ' kind="y" code="a-1" ver="1"'))), (F.col("p_size") % 7 + 1).cast("int"))
+    inner = F.when(F.col("p_size") % 7 == 5, '<a id="1"/>').otherwise('<a id="i"/><a id="j" to="i j"/>')
+    xml = F.concat(F.lit("<d"), attr, F.lit(">"), inner, F.lit("<b>t</b></d>"))
+    other = F.when(F.col("p_size") % 7 == 4, F.concat(F.lit("<d>"), F.lit("<a id='k'><c/></a></d>"))).otherwise(xml)
+    nodes = X.written(X.shred(p.select(F.col("p_partkey").alias("doc_id"), other.alias("xml")), texts=False))
+    found = dtd.validate(nodes, _DTD).filter("problem <> 'wrong content'")
+    return found.select("doc_id", F.concat_ws(": ", "problem", "detail").alias("problem"))

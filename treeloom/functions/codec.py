@@ -72,10 +72,15 @@ def unbase32(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else one(x))
 
 
-def hmac(data: Column, key: Column, digest: str = "sha256") -> Column:
-    """Keyed digest of data (string or binary) as binary; digest: md5, sha1 or sha256."""
+def hmac(data: Column, key: Column | bytes, digest: str = "sha256") -> Column:
+    """Keyed digest of data (string or binary) as binary; digest: md5, sha1 or sha256. A key that is given as bytes takes two built-in digests only."""
     if digest not in ("md5", "sha1", "sha256"):
         raise ValueError(f"unknown digest {digest}")
+    if isinstance(key, bytes):
+        block = (hashlib.new(digest, key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+        inner, outer = (F.lit(bytearray(x ^ y for x in block)) for y in (0x36, 0x5C))
+        hashed = lambda x: F.unhex({"md5": F.md5, "sha1": F.sha1, "sha256": lambda c: F.sha2(c, 256)}[digest](x))
+        return hashed(F.concat(outer, hashed(F.concat(inner, data.cast("binary")))))
 
     @pandas_udf(T.BinaryType())
     def run(d: pd.Series, k: pd.Series) -> pd.Series:

@@ -129,3 +129,84 @@ def contains(v: Column, key: Column) -> Column:
     """Whether an object has the key, or an array the string."""
     t = type_name(v)
     return F.when(t == "object", F.array_contains(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), key)).when(t == "array", F.array_contains(F.try_variant_get(v, "$", "array<string>"), key)).otherwise(False)
+
+
+_LIST, _MAP = "array<variant>", "map<string,variant>"
+
+
+def _value(c: Column) -> Column:
+    """A VARIANT of a scalar column."""
+    return F.try_variant_get(F.to_variant_object(F.struct(c.alias("x"))), "$.x", "variant")
+
+
+def of_list(v: Column) -> Column:
+    """The members of an array; of null, none."""
+    return F.coalesce(F.try_variant_get(v, "$", _LIST), F.array().cast(_LIST))
+
+
+def of_map(v: Column) -> Column:
+    """The members of an object; of null, none."""
+    return F.coalesce(F.try_variant_get(v, "$", _MAP), F.create_map().cast(_MAP))
+
+
+def at(v: Column, index: Column) -> Column:
+    """The array's member at a place from 0; null beyond."""
+    return F.get(of_list(v), index)
+
+
+def clear(v: Column) -> Column:
+    """The empty value of the same kind: [], {}, '', 0, 0.0, false; null stays."""
+    out = F.when(type_name(v) == "null", v)
+    for kind, text in (("array", "[]"), ("object", "{}"), ("string", '""'), ("integer", "0"), ("boolean", "false")):
+        out = out.when(type_name(v) == kind, F.parse_json(F.lit(text)))
+    return out.otherwise(_value(F.lit(0.0)))
+
+
+def push_back(v: Column, x: Column) -> Column:
+    """The array (or null, an empty one) with a member more; null for other values."""
+    return F.when(type_name(v).isin("array", "null"), F.to_variant_object(F.concat(of_list(v), F.array(x))))
+
+
+def insert_at(v: Column, index: Column, x: Column) -> Column:
+    """The array with a member put in before a place from 0, or behind the last."""
+    listed = of_list(v)
+    i = F.least(index, F.size(listed))
+    return F.when(type_name(v).isin("array", "null"), F.to_variant_object(F.concat(F.slice(listed, F.lit(1), i), F.array(x), F.slice(listed, i + 1, F.size(listed)))))
+
+
+def erase_at(v: Column, index: Column) -> Column:
+    """The array without the member at a place from 0."""
+    return F.when(type_name(v) == "array", F.to_variant_object(F.filter(of_list(v), lambda x, i: i != index)))
+
+
+def emplace(v: Column, key: Column, x: Column) -> Column:
+    """The object (or null, an empty one) with a member more, unless it has that key."""
+    own = of_map(v)
+    more = F.when(F.map_contains_key(own, key), own).otherwise(F.map_concat(own, F.create_map(key, x)))
+    return F.when(type_name(v).isin("object", "null"), F.to_variant_object(more))
+
+
+def put(v: Column, key: Column, x: Column) -> Column:
+    """The object with that member set."""
+    return F.when(type_name(v).isin("object", "null"), F.to_variant_object(F.map_concat(F.map_filter(of_map(v), lambda k, _: k != key), F.create_map(key, x))))
+
+
+def erase_key(v: Column, key: Column) -> Column:
+    return F.when(type_name(v) == "object", F.to_variant_object(F.map_filter(of_map(v), lambda k, _: k != key)))
+
+
+def items(v: Column) -> Column:
+    """array<struct<key, value>> of an object in order of keys, or of an array with places as keys."""
+    entries = F.array_sort(F.transform(F.map_keys(of_map(v)), lambda k: k))
+    of_object = F.transform(entries, lambda k: F.struct(k.alias("key"), F.element_at(of_map(v), k).alias("value")))
+    return F.when(type_name(v) == "object", of_object).otherwise(F.transform(of_list(v), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value"))))
+
+
+def negate(v: Column) -> Column:
+    """The number with its sign turned; null for other values."""
+    return F.when(type_name(v) == "integer", _value(-_long(v))).when(type_name(v) == "float", _value(-_double(v)))
+
+
+def extract(v: Column, kind: str, default: Column) -> Column:
+    """A typed value, the default for null or missing; null where the value is of another kind."""
+    return F.when(type_name(v) == "null", default).otherwise(F.try_variant_get(v, "$", kind))

@@ -34,8 +34,9 @@ def is_space(text: Column) -> Column:
     return F.regexp_like(text, F.lit(r"^\s*$"))
 
 
-def normalize_lines(text: Column) -> Column:
-    return F.regexp_replace(text, "\r\n?", "\n")
+def normalize_lines(text: Column, version: str = "1.0") -> Column:
+    """Line ends as line feeds; in version 1.1, the next-line and line-separator characters too."""
+    return F.regexp_replace(text, "\r\n?" if version == "1.0" else "\r[\n\x85]?|[\x85\u2028]", "\n")
 
 
 def decode_by_mark(data: Column) -> Column:
@@ -48,6 +49,25 @@ def decode_by_mark(data: Column) -> Column:
     )
 
 
+def decode_document(data: Column) -> Column:
+    """Text of a document's bytes, by byte order mark or else by the declared encoding (UTF-8, UTF-16, ISO-8859-1, US-ASCII); null where mark and declaration contradict or the encoding is another."""
+    start = F.hex(F.substring(data, 1, 3))
+    declared = F.upper(F.regexp_extract(F.decode(F.substring(data, 1, 200), "ISO-8859-1"), r"^[^<]{0,3}<\?xml[^>]*encoding\s*=\s*[\"']([A-Za-z0-9._-]+)[\"']", 1))
+    marked = F.startswith(start, F.lit("EFBBBF")) | F.startswith(start, F.lit("FFFE")) | F.startswith(start, F.lit("FEFF"))
+    return (
+        F.when(marked & declared.isin("", "UTF-8", "UTF-16"), decode_by_mark(data))
+        .when(marked, F.lit(None).cast("string"))
+        .when(declared.isin("", "UTF-8"), F.decode(data, "UTF-8"))
+        .when(declared.isin("ISO-8859-1", "LATIN1"), F.decode(data, "ISO-8859-1"))
+        .when(declared.isin("US-ASCII", "ASCII"), F.decode(data, "US-ASCII"))
+    )
+
+
+def is_xml_text(text: Column) -> Column:
+    """Whether all characters may stand in a document."""
+    return ~F.regexp_like(text, F.lit("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\uFFFE\\uFFFF]"))
+
+
 def escape_xml(text: Column, attribute: bool = False) -> Column:
     out = text
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *((('"', "&quot;"),) if attribute else ())):

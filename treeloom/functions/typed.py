@@ -17,7 +17,7 @@ def from_text(text: Column, name: str) -> Column:
     if kind == "timestamp":
         return F.try_to_timestamp(F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2})(?=$|Z|[+-])", "$1:00"))
     if kind == "boolean":
-        return F.when(text.isin("true", "1"), True).when(text.isin("false", "0"), False)
+        return text.isin("true", "1", "yes")
     return F.trim(text).try_cast(kind)
 
 

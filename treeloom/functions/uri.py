@@ -42,12 +42,56 @@ def parse(uri: Column) -> Column:
             F.when(_has(uri, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"), F.lower(host)).alias("host"),
             F.when(port != "", port.cast("int")).alias("port"),
             _part(uri, 3).alias("path"),
+            segments(_part(uri, 3)).alias("segments"),
             F.when(_has(uri, r"^[^?#]*\?"), _part(uri, 4)).otherwise(none).alias("query"),
             F.when(_has(uri, r"#"), _part(uri, 5)).otherwise(none).alias("fragment"),
         ),
     )
 
 
+def segments(path: Column) -> Column:
+    """The parts of a path between slashes, percent-decoded; the first is empty where the path is absolute."""
+    return F.transform(F.split(path, "/"), _decode)
+
+
+def _decode(text: Column) -> Column:
+    return F.try_url_decode(F.replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B")))
+
+
+def _encode(text: Column, plain: str) -> Column:
+    """Percent coding of all but unreserved characters, those of `plain`, and triples that are coded already."""
+    out = F.replace(url_encode(text), F.lit("%25"), F.lit("%"))
+    out = F.regexp_replace(out, "%(?![0-9A-F]{2})", "%25")
+    return reduce(lambda c, x: F.replace(c, F.lit(f"%{ord(x):02X}"), F.lit(x)), plain, out)
+
+
+def set_path(uri: Column, path: Column) -> Column:
+    s, a, _, q, f = _pieces(uri)
+    return compose(s, a, _encode(path, "/:@!$&'()*+,;="), q, f)
+
+
+def set_query(uri: Column, query: Column) -> Column:
+    s, a, p, _, f = _pieces(uri)
+    return compose(s, a, p, _encode(query, "/:@!$&'()*+,;=?"), f)
+
+
+def set_fragment(uri: Column, fragment: Column) -> Column:
+    s, a, p, q, _ = _pieces(uri)
+    return compose(s, a, p, q, _encode(fragment, "/:@!$&'()*+,;=?"))
+
+
+def raw(uri: Column) -> Column:
+    """The text with its path percent-decoded."""
+    s, a, p, q, f = _pieces(uri)
+    return compose(s, a, _decode(p), q, f)
+
+
+def equal(a: Column, b: Column) -> Column:
+    """Whether two URIs are the same after case and coding of their parts are evened out."""
+    even = lambda u: F.struct(*[F.coalesce(c, F.lit("\u0000")).alias(n) for n, c in zip("sapqf", (*_pieces(u)[:2], F.array_join(segments(_pieces(u)[2]), "\u0001"), *_pieces(u)[3:]), strict=True)])
+    return even(a) == even(b)
+
+
 def remove_dot_segments(path: Column) -> Column:
     """A path with '.' and '..' segments resolved by a fold over its segments."""
     absolute = F.startswith(path, F.lit("/"))

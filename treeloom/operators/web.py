@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from ..functions.uri import glob_pattern, query_parameters
 
 #: Standard reason phrases.
 REASONS = {200: "OK", 201: "Created", 202: "Accepted", 204: "No Content", 300: "Multiple Choices", 301: "Moved Permanently", 302: "Moved Temporarily", 303: "See Other", 304: "Not Modified", 307: "Temporary Redirect", 400: "Bad Request", 401: "Unauthorized", 403: "Forbidden", 404: "Not Found", 405: "Method not allowed", 415: "Unsupported Media Type", 422: "Unprocessable Entity", 500: "Internal Server Error", 501: "Not Implemented", 502: "Bad Gateway", 503: "Service Unavailable"}
+_CHUNK = re.compile(rb"([0-9A-Fa-f]+)[^\r\n]*\r?\n")
 METHODS = ("GET", "HEAD", "POST", "PUT", "DELETE", "OPTIONS", "TRACE", "CONNECT", "PATCH")
 
 
@@ -21,10 +23,14 @@ def parse_request(raw: Column) -> Column:
     head, body = F.regexp_extract(raw, r"(?s)^(.*?)\r?\n\r?\n", 1), F.regexp_extract(raw, r"(?s)^.*?\r?\n\r?\n(.*)$", 1)
     first = F.regexp_extract(raw, r"^([^\r\n]*)", 1)
     form = r"^([A-Z]+) (\S+) HTTP/([0-9])\.([0-9])$"
-    lines = F.filter(F.slice(F.split(F.regexp_replace(head, r"\r?\n[ \t]+", " "), r"\r?\n"), 2, 10_000), lambda x: F.contains(x, F.lit(":")))
+    unfolded = F.split(F.regexp_replace(head, r"\r?\n[ \t]+", " "), r"\r?\n")
+    lines = F.filter(F.slice(unfolded, F.lit(2), F.size(unfolded)), lambda x: F.contains(x, F.lit(":")))
     entries = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, "^([^:]*)", 1))).alias("key"), F.trim(F.regexp_extract(x, "^[^:]*:(.*)$", 1)).alias("value")))
-    headers = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda acc, e: F.map_concat(F.map_filter(acc, lambda k, v: k != e["key"]), F.create_map(e["key"], e["value"])))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))  # of one name, the last counts
+    headers = F.map_from_entries(last)
     chunked = F.regexp_like(head, F.lit(r"(?i)transfer-encoding:\s*chunked"))
+    length = F.nullif(F.regexp_extract(head, r"(?im)^content-length:\s*([0-9]{1,9})\s*$", 1), F.lit("")).cast("int")
+    sized = F.when(length.isNotNull(), F.decode(F.substring(F.encode(body, "UTF-8"), F.lit(1), length), "UTF-8")).otherwise(body)
     return F.when(
         F.regexp_like(first, F.lit(form)) & F.regexp_extract(first, form, 1).isin(*METHODS),
         F.struct(
@@ -32,28 +38,77 @@ def parse_request(raw: Column) -> Column:
             F.regexp_extract(first, form, 2).alias("uri"),
             F.concat_ws(".", F.regexp_extract(first, form, 3), F.regexp_extract(first, form, 4)).alias("version"),
             headers.alias("headers"),
-            F.when(chunked, unchunk(body)).otherwise(body).alias("body"),
+            F.when(chunked, unchunk(body)).otherwise(sized).alias("body"),
         ),
     )
 
 
-def unchunk(body: Column) -> Column:
-    """The content of a chunked body: a fold over its lines, one size and one piece of data in turn."""
-    start = F.struct(F.lit("").alias("out"), body.alias("rest"), F.lit(True).alias("on"))
-    size = lambda s: F.conv(F.regexp_extract(s["rest"], r"^([0-9A-Fa-f]+)", 1), 16, 10).cast("int")
+@F.pandas_udf("string")
+def unchunk(bodies: pd.Series) -> pd.Series:
+    """The content of chunked bodies, whose sizes count bytes: one pass over each; what breaks off or has no size ends it."""
 
-    def step(s: Column, _: Column) -> Column:
-        n = F.coalesce(size(s), F.lit(0))
-        after = F.regexp_replace(s["rest"], r"^[^\r\n]*\r?\n", "")
-        more = s["on"] & (n > 0)
-        return F.struct(
-            F.when(more, F.concat(s["out"], F.substring(after, F.lit(1), n))).otherwise(s["out"]).alias("out"),
-            F.when(more, F.regexp_replace(F.substring(after, n + 1, F.length(after)), r"^\r?\n", "")).otherwise(s["rest"]).alias("rest"),
-            more.alias("on"),
-        )
+    def one(body: str | None) -> str | None:
+        if body is None:
+            return None
+        raw, at, out = body.encode(), 0, []
+        while (m := _CHUNK.match(raw, at)) and (n := int(m[1], 16)):
+            out.append(raw[m.end() : m.end() + n])
+            at = m.end() + n
+            at += 2 if raw[at : at + 2] == b"\r\n" else raw[at : at + 1] == b"\n"
+        return b"".join(out).decode("utf-8", "replace")
 
-    turns = F.sequence(F.lit(0), F.size(F.regexp_extract_all(body, F.lit(r"(?m)^[0-9A-Fa-f]+[^\r\n]*\r?$"), F.lit(0))))
-    return F.aggregate(turns, start, step, lambda s: s["out"])
+    return bodies.map(one)
+
+
+def chunk(body: Column, size: int = 10240) -> Column:
+    """A body (text) in chunks of at most `size` bytes; sizes are in hex, the last chunk is empty."""
+    data = F.encode(body, "UTF-8")
+    n = F.ceil(F.octet_length(body) / size).cast("int")
+    raw = F.decode(data, "ISO-8859-1")  # a character for each byte
+    one = lambda i: F.substring(raw, i * size + 1, F.lit(size))
+    parts = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lower(F.hex(F.length(one(i)))), F.lit("\r\n"), one(i), F.lit("\r\n")))
+    return F.decode(F.encode(F.concat(F.array_join(parts, ""), F.lit("0\r\n\r\n")), "ISO-8859-1"), "UTF-8")
+
+
+def parse_reply(raw: Column) -> Column:
+    """struct(status, reason, version, headers, body) of a whole reply; null where its first line is none."""
+    form = r"^HTTP/([0-9]\.[0-9]) ([0-9]{3}) ?([^\r\n]*)"
+    as_request = parse_request(F.concat(F.lit("GET / HTTP/1.0\r\n"), F.regexp_replace(raw, r"^[^\n]*\n", "")))
+    return F.when(F.regexp_like(raw, F.lit(form)), F.struct(F.regexp_extract(raw, form, 2).cast("int").alias("status"), F.regexp_extract(raw, form, 3).alias("reason"), F.regexp_extract(raw, form, 1).alias("version"), as_request["headers"].alias("headers"), as_request["body"].alias("body")))
+
+
+def result_reply(value: Column, error: Column) -> Column:
+    """struct(status, body) of a call: its value as JSON, or 500 and its error."""
+    return F.when(error.isNull(), F.struct(F.lit(200).alias("status"), F.to_json(value).alias("body"))).otherwise(F.struct(F.lit(500).alias("status"), F.to_json(F.struct(error.alias("error"))).alias("body")))
+
+
+def error_page(status: Column, message: Column, uri: Column, username: Column) -> Column:
+    """The model of an error page: nr, head, message, uri, username."""
+    reasons = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])
+    return F.struct(status.alias("nr"), F.coalesce(F.try_element_at(reasons, status), F.lit("Error")).alias("head"), message.alias("message"), uri.alias("uri"), username.alias("username"))
+
+
+def first_accepting(*handlers: tuple[Column, Column]) -> Column:
+    """The reply of the first (accepts, reply) whose condition holds; null if none does."""
+    out = F.when(F.lit(False), handlers[0][1])
+    for accepts, said in handlers:
+        out = out.when(F.coalesce(accepts, F.lit(False)), said)
+    return out
+
+
+def safe_redirect(target: Column) -> Column:
+    """Where a login may lead to: the target without scheme and authority; '/' where nothing else is left."""
+    local = F.regexp_replace(target, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?:[/\\\\]{2,}[^/?#]*)?", "")
+    return F.when(F.startswith(local, F.lit("/")), local).otherwise(F.concat(F.lit("/"), local))
+
+
+#: Types of files by the end of their name.
+MIME = {"html": "text/html", "xhtml": "application/xhtml+xml", "css": "text/css", "js": "text/javascript", "json": "application/json", "xml": "text/xml", "svg": "image/svg+xml", "png": "image/png", "jpg": "image/jpeg", "txt": "text/plain"}
+
+
+def mime_type(path: Column) -> Column:
+    kinds = F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv])
+    return F.coalesce(F.try_element_at(kinds, F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))), F.lit("text/plain"))
 
 
 def header(headers: Column, name: str) -> Column:
@@ -64,7 +119,25 @@ def cookie(line: Column, name: str) -> Column:
     """The first cookie of that name in a Cookie header."""
     parts = F.transform(F.split(line, ";"), lambda x: F.trim(x))
     found = F.filter(parts, lambda x: F.startswith(x, F.lit(f"{name}=")))
-    return F.substring(F.get(found, F.lit(0)), F.lit(len(name) + 2), F.lit(100_000))
+    first = F.get(found, F.lit(0))
+    return F.substring(first, F.lit(len(name) + 2), F.length(first))
+
+
+def set_cookie(line: Column, name: str, value: Column) -> Column:
+    """A Cookie header with that cookie's value, put in place of an old one or behind the others."""
+    parts = F.filter(F.transform(F.split(F.coalesce(line, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
+    new, own = F.concat(F.lit(f"{name}="), value), lambda x: F.startswith(x, F.lit(f"{name}="))
+    kept = F.transform(parts, lambda x: F.when(own(x), new).otherwise(x))
+    return F.array_join(F.when(F.exists(parts, own), kept).otherwise(F.concat(parts, F.array(new))), "; ")
+
+
+def set_header(headers: Column, name: str, value: Column) -> Column:
+    """Headers with that one set, whatever the case of its name."""
+    return F.map_concat(remove_header(headers, name), F.create_map(F.lit(name), value))
+
+
+def remove_header(headers: Column, name: str) -> Column:
+    return F.map_filter(headers, lambda k, v: F.lower(k) != name.lower())
 
 
 def parameter(query: Column, form: Column, json_body: Column, name: str) -> Column:

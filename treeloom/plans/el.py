@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.uri import url_encode
+from ..functions.uri import query_parameters, url_encode
 
 _TOKEN = re.compile(r"\s*(?:(?P<num>\d+\.\d+|\d+)|(?P<str>'(?:[^'\\]|\\.)*')|(?P<sub>\|[^|]*\|)|(?P<util>#[A-Za-z]+)|(?P<op>\?:|==|!=|<=|>=|[-+*/<>?:.,(){}\[\]])|(?P<name>[A-Za-z_]\w*))")
 _VARIABLE = re.compile(r"\$\{((?:[^{}]|\{[^{}]*\})*)\}")
@@ -61,6 +61,13 @@ class Compiler:
 
     def __init__(self, scope: dict[str, Value], selected: Value | None = None) -> None:
         self.scope, self.selected = scope, selected
+        self.literals: dict[int, tuple[Column, str]] = {}  # text literals of the expression, for builders that need them on the driver
+
+    def literal(self, v: Value) -> str:
+        """The text of a value that is a literal."""
+        if id(v[0]) not in self.literals:
+            raise ElError("a literal is needed here")
+        return self.literals[id(v[0])][1]
 
     @staticmethod
     def over(df: DataFrame, **more: Value) -> Compiler:
@@ -245,7 +252,10 @@ class Compiler:
         if kind == "num":
             return (F.lit(float(value)), T.DoubleType()) if "." in value else (F.lit(int(value)).cast("bigint"), T.LongType())
         if kind == "str":
-            return F.lit(re.sub(r"\\(.)", r"\1", value[1:-1])), T.StringType()
+            said = re.sub(r"\\(.)", r"\1", value[1:-1])
+            column = F.lit(said)
+            self.literals[id(column)] = column, said
+            return column, T.StringType()
         if kind == "sub":
             return self.substitute(value[1:-1]), T.StringType()
         if kind == "util":
@@ -309,13 +319,17 @@ class Compiler:
         return v
 
 
+def _fixed(number: Column, decimals: Column) -> Column:
+    """A decimal grouped by thousands with so many places, half up."""
+    return F.call_function("format_number", F.call_function("round", number, decimals), decimals)
+
+
 @utility("numbers", "formatDecimal")
 def format_decimal(_, number: Value, digits: Value | None = None, decimals: Value | None = None) -> Value:
     """Grouped by thousands, half up, with at least `digits` digits before the point (foldable) and `decimals` after it."""
     n = decimals[0].cast("int") if decimals else F.lit(0)
     least = digits[0].cast("int") if digits else F.lit(1)
-    rounded = F.round(number[0].cast("decimal(38,10)"), 9)
-    shown = F.call_function("format_number", rounded, n)
+    shown = _fixed(number[0].cast("decimal(38,12)"), n)
     sign = F.regexp_extract(shown, "^(-?)", 1)
     whole = F.regexp_extract(shown, r"^-?([0-9,]+)", 1)
     return F.concat(sign, F.when(F.length(whole) < least, F.lpad(whole, least, F.lit("0"))).otherwise(whole), F.regexp_extract(shown, r"(\.[0-9]*)$", 1)), T.StringType()
@@ -327,7 +341,7 @@ def format_disk_size(_, number: Value, decimals: Value | None = None) -> Value:
     c, n = number[0].cast("double"), decimals[0].cast("int") if decimals else F.lit(0)
     out = F.lit(None).cast("string")
     for i, s in reversed(list(enumerate("BKMGTPE"))):
-        shown = F.concat(F.call_function("format_number", c / float(1024**i), n), F.lit(f" {s}"))
+        shown = F.concat(_fixed((c / float(1024**i)).cast("decimal(38,12)"), n), F.lit(f" {s}"))
         out = shown if s == "E" else F.when(c <= float(1024 ** (i + 1)), shown).otherwise(out)
     return out, T.StringType()
 
@@ -337,20 +351,24 @@ _DATE = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "B"
 
 
 @utility("dates", "format")
-def format_date(compiler: Compiler, when: Value, form: Value) -> Value:
-    """An ISO time printed by a strftime form (a literal)."""
-    literal = re.fullmatch(r"Column<'(.*)'>", str(form[0]), re.S)
-    pattern, parts = literal[1] if literal else "", []
+def format_date(compiler: Compiler, when: Value, form: Value, locale: Value | None = None) -> Value:
+    """An ISO time printed by a strftime form, with names in a locale's language; both are literals."""
+    pattern, parts = compiler.literal(form), []
     at = F.to_timestamp(when[0]) if isinstance(when[1], T.StringType) else when[0]
+    if locale is not None:
+        options = {"locale": compiler.literal(locale).replace("_", "-"), "sep": "\u0001", "quote": "\u0002", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+        printed = lambda form: F.to_csv(F.struct(at.cast("timestamp")), {**options, "timestampFormat": form, "timestampNTZFormat": form})
+    else:
+        printed = lambda form: F.date_format(at, form)
     for m in re.finditer(r"%(.)|([^%]+)", pattern, re.S):
         if m[2]:
             parts.append(F.lit(m[2]))
         elif m[1] == "e":
-            parts.append(F.lpad(F.date_format(at, "d"), 2, " "))
+            parts.append(F.lpad(printed("d"), 2, " "))
         elif m[1] == "%":
             parts.append(F.lit("%"))
         elif m[1] in _DATE:
-            parts.append(F.date_format(at, _DATE[m[1]]))
+            parts.append(printed(_DATE[m[1]]))
         else:
             raise ElError(f"unknown date code %{m[1]}")
     return F.concat(*parts), T.StringType()
@@ -377,6 +395,27 @@ def request_uri(compiler: Compiler) -> Value:
     return compiler.scope["uri"][0], T.StringType()
 
 
+@utility("request", "getRequestURL")
+def request_url(compiler: Compiler) -> Value:
+    scheme, host = (compiler.scope.get(k, (F.lit(v), None))[0] for k, v in (("scheme", "http"), ("host", "localhost")))
+    return F.concat(scheme, F.lit("://"), host, compiler.scope["uri"][0]), T.StringType()
+
+
+@utility("request", "getParameter")
+def request_parameter(compiler: Compiler, name: Value) -> Value:
+    """The first value of a parameter of the request's query; null without one."""
+    query = F.regexp_extract(compiler.scope["uri"][0], r"\?([^#]*)", 1)
+    return F.get(F.filter(query_parameters(query), lambda p: p["name"] == name[0]), F.lit(0))["value"], T.StringType()
+
+
+def el_or_text(df: DataFrame, expression: str) -> Column:
+    """Like el, but an expression that cannot be parsed gives a text that says so."""
+    try:
+        return el(df, expression)
+    except ElError as e:
+        return F.lit(f"Error parsing expression: {e}")
+
+
 def el(df: DataFrame, expression: str) -> Column:
     """An expression over a DataFrame's columns."""
     return Compiler.over(df).evaluate(expression)[0]

@@ -14,8 +14,10 @@ from ..functions.strings import escape_xml
 from .el import Compiler, ElError, Value, text, truth
 
 NS, V1 = "http://treeloom.example/template", "http://treeloom.example/template-v1"
-#: Attributes that are present or absent, without a value.
-BOOLEAN = frozenset("allowfullscreen async autofocus autoplay checked controls default defer disabled formnovalidate hidden ismap itemscope loop multiple muted nomodule novalidate open playsinline readonly required reversed selected".split())
+#: Attributes that are present or absent, without a value of their own.
+BOOLEAN = frozenset(
+    "async autofocus autoplay checked controls declare default defer disabled formnovalidate hidden ismap loop multiple novalidate nowrap open pubdate readonly required reversed scoped seamless selected".split()
+)
 #: The order in which a node's attributes are processed.
 PRECEDENCE = ("insert", "replace", "include", "each", "if", "unless", "switch", "case", "object", "with", "attr", "text", "utext", "inline", "assert", "remove")
 #: More attribute handlers: name -> (template, element, value, compiler) -> Column of the element's text.
@@ -26,8 +28,13 @@ _INLINE = re.compile(r"\[\[(.*?)\]\]|\[\((.*?)\)\]", re.S)
 class Template:
     """A template's text, compiled against a DataFrame's columns. Fragments are looked up by name among `files`."""
 
-    def __init__(self, source: str, files: dict[str, str] | None = None) -> None:
+    def __init__(self, source: str, files: dict[str, str] | None = None, csrf: str | None = None) -> None:
+        """With csrf, the name of a column, every form that has no such input gets a hidden one with its value."""
         self.root, self.files, self.v1 = ET.fromstring(source), files or {}, V1 in source
+        for form in self.root.iter() if csrf else ():
+            if form.tag.rpartition("}")[2] == "form" and not any(x.attrib.get("name") == "_csrf" for x in form):
+                form.insert(0, ET.Element(form.tag[: -len("form")] + "input", {"type": "hidden", "name": "_csrf", f"{{{NS}}}value": f"${{{csrf}}}"}))
+                form[0].tail, form.text = form.text, None
 
     def render(self, df: DataFrame, **more: Value) -> Column:
         return self._node(self.root, Compiler.over(df, **more))
@@ -124,7 +131,7 @@ class Template:
             out = F.concat(F.lit(f"<{e.tag}"), *attrs.values(), F.lit("/>"))
         else:
             out = F.concat(F.lit(f"<{e.tag}"), *attrs.values(), F.lit(">"), *body, F.lit(f"</{e.tag}>"))
-        return F.when(ok, out).otherwise(F.raise_error(F.lit(f"assertion failed: {own['assert']}")).cast("string")) if "assert" in own else out
+        return F.when(ok, out).otherwise(escape_xml(F.lit(f"Error: assertion failed: {own['assert']}"))) if "assert" in own else out
 
     def _each(self, value: str, c: Compiler, rest) -> Column:
         m = re.fullmatch(r"\s*(\w+)\s*(?:,\s*(\w+)\s*)?:\s*(.*)", value, re.S)

@@ -14,7 +14,7 @@ from xml.parsers import expat
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODES = (
@@ -369,6 +369,34 @@ def verdicts(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFram
     )
 
 
+EVENTS = "array<struct<event: string, name: string, value: string>>"
+
+
+def events(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
+    """key, place, event, name, value: a row for each event of a push parser, in order; documents that are not well-formed give none."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("event", pa.string()), ("name", pa.string()), ("value", pa.string())]))
+
+        def one(text: str | None) -> list:
+            try:
+                return [{"event": e, "name": n, "value": v} for e, n, v in sax_events(text or "")]
+            except Rejected:
+                return []
+
+        return pa.array([one(x.as_py()) for x in texts], kind)
+
+    rows = docs.select(key, F.posexplode(F.arrow_udf(run, EVENTS)(F.col(xml))).alias("place", "e"))
+    return rows.select(key, "place", "e.*")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id (the file's path) and xml of every file, each whole, decoded by its byte order mark or its declaration; null where the two contradict."""
+    from ..functions.strings import decode_document
+
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), decode_document(F.col("content")).alias("xml"))
+
+
 def sax_events(xml: str) -> list[tuple[str, str | None, str | None]]:
     """(event, name, value) in the order in which a push parser reports them."""
     out: list[tuple[str, str | None, str | None]] = []
