@@ -197,7 +197,7 @@ def uri_changes(spark, d):
 def http_messages(spark, d):
     """Bodies in chunks of few bytes, whose sizes count bytes, put together again; a body cut by its length; cookies set; a reply parsed."""
     body = F.concat("event_type", F.lit("é"), "user_id")
-    chunked = F.concat(F.lit("POST /x HTTP/1.1\r\nTransfer-Encoding: chunked\r\n\r\n"), web.chunk(body, 400))
+    chunked = F.concat(F.lit("POST /x HTTP/1.1\r\nTransfer-Encoding: chunked\r\n\r\n"), F.decode(web.chunk(body, 400), "UTF-8"))
     in_threes = F.concat(F.lit("POST /x HTTP/1.1\r\nTransfer-Encoding: chunked\r\n\r\n"), F.lower(F.hex(F.octet_length("event_type"))), F.lit(";ext=1\r\n"), "event_type", F.lit("\r\n2\r\né\r\n"), F.hex(F.octet_length(F.col("user_id").cast("string"))), F.lit("\r\n"), F.col("user_id").cast("string"), F.lit("\r\n0\r\n\r\n"))
     start = F.left(F.concat("event_type", F.lit("é")), F.lit(3))
     sized = F.concat(F.lit("PUT /x HTTP/1.1\r\nA: b\r\nContent-Length: "), F.octet_length(start).cast("string"), F.lit("\r\n\r\n"), "event_type", F.lit("é and more"))

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.codec import base64url, hmac, unbase64url
 from ..functions.uri import glob_pattern, query_parameters
@@ -43,31 +44,33 @@ def parse_request(raw: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
-def unchunk(bodies: pd.Series) -> pd.Series:
-    """The content of chunked bodies, whose sizes count bytes: one pass over each; what breaks off or has no size ends it."""
+def unchunk(body: Column) -> Column:
+    """The content (text) of a chunked body (text or bytes), whose sizes count bytes: one pass over each; what breaks off or has no size ends it."""
 
-    def one(body: str | None) -> str | None:
-        if body is None:
+    def one(raw: bytes | None) -> str | None:
+        if raw is None:
             return None
-        raw, at, out = body.encode(), 0, []
+        at, out = 0, []
         while (m := _CHUNK.match(raw, at)) and (n := int(m[1], 16)):
             out.append(raw[m.end() : m.end() + n])
             at = m.end() + n
             at += 2 if raw[at : at + 2] == b"\r\n" else raw[at : at + 1] == b"\n"
         return b"".join(out).decode("utf-8", "replace")
 
-    return bodies.map(one)
+    @F.pandas_udf(T.StringType())
+    def run(bodies: pd.Series) -> pd.Series:
+        return bodies.map(one)
+
+    return run(body.cast("binary"))
 
 
 def chunk(body: Column, size: int = 10240) -> Column:
-    """A body (text) in chunks of at most `size` bytes; sizes are in hex, the last chunk is empty."""
-    data = F.encode(body, "UTF-8")
+    """A body (text) as the bytes of chunks of at most `size` bytes, wherever that divides characters; sizes are in hex, the last chunk is empty."""
     n = F.ceil(F.octet_length(body) / size).cast("int")
-    raw = F.decode(data, "ISO-8859-1")  # a character for each byte
+    raw = F.decode(F.encode(body, "UTF-8"), "ISO-8859-1")  # a character for each byte
     one = lambda i: F.substring(raw, i * size + 1, F.lit(size))
     parts = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lower(F.hex(F.length(one(i)))), F.lit("\r\n"), one(i), F.lit("\r\n")))
-    return F.decode(F.encode(F.concat(F.array_join(parts, ""), F.lit("0\r\n\r\n")), "ISO-8859-1"), "UTF-8")
+    return F.encode(F.concat(F.array_join(parts, ""), F.lit("0\r\n\r\n")), "ISO-8859-1")
 
 
 def parse_reply(raw: Column) -> Column:
