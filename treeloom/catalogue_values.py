@@ -136,6 +136,19 @@ def tpl_forms(spark, d):
     return n.select("n_nationkey", forms.alias("html"), script.alias("script"))
 
 
+@query("SELECT n_nationkey, '<x><i k=\"v\">' || n_name || '</i><li>two ' || n_regionkey || '</li><u class=\"k\" id=\"n\">' || n_nationkey || '</u><em>a</em><em>b</em></x>' AS html, '<style>a { width: ' || n_nationkey || '; height: ' || n_regionkey || '; }</style>' AS style, '<b title=\"' || n_name || '\"><option value=\"' || n_nationkey || '\"' || CASE WHEN n_regionkey = n_nationkey THEN ' selected=\"selected\"' ELSE '' END || '>' || n_name || '</option></b>' AS older, '<b>' || CASE WHEN big <= 1024 THEN format('{:,}', big) || ' B' WHEN big // 1024 <= 1024 THEN format('{:,}', big // 1024) || ' K' ELSE format('{:,}', big // 1048576) || ' M' END || '|n_nationkey</b>' AS size FROM (SELECT *, n_nationkey::BIGINT * 65600 + 1000 AS big FROM nation)")
+def tpl_selectors(spark, d):
+    """Fragments by selectors: attributes, places, classes, ids, paths; values in styles and behind comments; the older form's attributes, options and number pictures."""
+    n = table(spark, d, "nation").withColumn("big", F.col("n_nationkey").cast("bigint") * 65600 + 1000)
+    files = {"parts.html": f"""<p {TPL}><i k="v">[[${{n_name}}]]</i><ul><li>one</li><li>two [[${{n_regionkey}}]]</li></ul><u class="k" id="n">[[${{n_nationkey}}]]</u><ol><em>a</em><em>b</em></ol></p>"""}
+    wanted = ("//i[@k='v']", "ul/li[2]", "u.k#n", "/p/ol/em")
+    html = template(n, f"<x {TPL}>" + "".join(f'<q t:replace="~{{parts :: {w}}}"/>' for w in wanted) + '<q t:replace="~{}"/></x>', files)
+    style = template(n, f'<style {TPL} t:inline="css">a {{ width: [[${{n_nationkey}}]]; height: /*[[${{n_regionkey}}]]*/ 10px; }}</style>')
+    older = template(n, f"""<b {TPL1} title="${{n_name}}"><m:option value="${{n_nationkey}}" selected="${{n_regionkey}}">${{n_name}}</m:option></b>""")
+    size = template(n, f"""<b {TPL1}><m:number n="big" f="#,##0B"/>|<m:number n="n_nationkey" f="0.00"/></b>""")
+    return n.select("n_nationkey", html.alias("html"), style.alias("style"), older.alias("older"), size.alias("size"))
+
+
 @query("SELECT p_partkey, lower(p_name) = lower(upper(p_name)) AS same, length(string_split(p_name, ' ')) AS parts, array_to_string(string_split(p_name, ' '), '-') AS joined, replace(p_name, 'a', '<a>') AS replaced, trim('  ' || p_brand || ' ') AS trimmed, p_size % 2 = 0 AS blank, p_size % 3 <> 0 AS name FROM part")
 def string_helpers(spark, d):
     p = table(spark, d, "part")

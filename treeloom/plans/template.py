@@ -23,6 +23,58 @@ PRECEDENCE = ("insert", "replace", "include", "each", "if", "unless", "switch",
 #: More attribute handlers: name -> (template, element, value, compiler) -> Column of the element's text.
 HANDLERS: dict[str, Callable] = {}
 _INLINE = re.compile(r"\[\[(.*?)\]\]|\[\((.*?)\)\]", re.S)
+#: In scripts and styles a value may also stand in a comment; what follows it up to the end of the line or statement is only shown without a processor.
+_SCRIPT = re.compile(r"""/\*\[\[(.*?)\]\]\*/(?:"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[^;\n"'])*|\[\[(.*?)\]\]""", re.S)
+_STEP = re.compile(r"(//?)?([\w:-]*)((?:\[[^\]]*\]|[.#][\w-]+)*)")
+_TEST = re.compile(r"\[\s*(?:(?P<at>[0-9]+)|@(?P<has>[\w:-]+)(?:\s*=\s*(?P<q>['\"])(?P<value>.*?)(?P=q))?)\s*\]|\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)")
+
+
+def select(root: ET.Element, selector: str) -> list[ET.Element]:
+    """The elements that a fragment selector finds, in order.
+
+    Steps name, /name and //name; a name without a slash also finds fragments by the start of their names, in any place; tests
+    .class, #id, [@a], [@a='v'] and [n], the place among what its parent holds of this kind.
+    """
+    document = ET.Element("")
+    document.append(root)
+    found, at = [document], 0
+    while at < len(selector):
+        m = _STEP.match(selector, at)
+        if m.end() == at or not (m[2] or m[3]):
+            raise ElError(f"not a selector: {selector!r}")
+        at = m.end()
+        parents = {id(x): x for top in found for x in (top.iter() if m[1] != "/" else (top,))}
+        found = [x for parent in parents.values() for x in _tested([y for y in parent if _named(y, m[2], m[1] is None)], m[3])]
+        order = {id(x): i for i, x in enumerate(root.iter())}
+        found.sort(key=lambda x: order[id(x)])
+    return found
+
+
+def _named(e: ET.Element, name: str, fragments: bool) -> bool:
+    called = fragments and any(e.attrib.get(f"{{{NS}}}{k}", "").startswith(name) and f"{{{NS}}}{k}" in e.attrib for k in ("fragment", "ref"))
+    return not name or called or name in (e.tag, e.tag.rpartition("}")[2])
+
+
+def _tested(listed: list[ET.Element], tests: str) -> list[ET.Element]:
+    at = 0
+    while at < len(tests):
+        m = _TEST.match(tests, at)
+        if not m:
+            raise ElError(f"not a test of a selector: {tests[at:]!r}")
+        at = m.end()
+        if m["at"]:
+            listed = listed[int(m["at"]) - 1 : int(m["at"])] if int(m["at"]) else []
+        else:
+            name = m["has"] or ("class" if m["cls"] else "id")
+            value = m["value"] if m["has"] else m["cls"] or m["id"]
+            listed = [x for x in listed if name in x.attrib and value in (None, x.attrib[name])]
+    return listed
+
+
+def _literal(v: Value) -> Column:
+    """A value as a script writes it."""
+    listed = F.to_json(F.array(v[0]))
+    return listed.substr(F.lit(2), F.length(listed) - 2)
 
 
 class Template:
@@ -52,16 +104,14 @@ class Template:
             return self._v1_text(said, c)
         if raw == "none":
             return escape_xml(F.lit(said))
-        parts, at = [], 0
-        for m in _INLINE.finditer(said):
-            parts.append(escape_xml(F.lit(said[at : m.start()])) if raw is None else F.lit(said[at : m.start()]))
+        parts, at, script = [], 0, raw in ("javascript", "css")
+        shown = F.lit if script else lambda x: escape_xml(F.lit(x))
+        for m in (_SCRIPT if script else _INLINE).finditer(said):
+            parts.append(shown(said[at : m.start()]))
             value = c.evaluate((m[1] or m[2]).strip())
-            if raw == "javascript":
-                parts.append(F.to_json(F.array(value[0])).substr(F.lit(2), F.length(F.to_json(F.array(value[0]))) - 2))
-            else:
-                parts.append(escape_xml(text(value)) if m[1] is not None else text(value))
+            parts.append(_literal(value) if script else escape_xml(text(value)) if m[1] is not None else text(value))
             at = m.end()
-        parts.append(escape_xml(F.lit(said[at:])) if raw is None else F.lit(said[at:]))
+        parts.append(shown(said[at:]))
         return F.concat(*parts)
 
     def _node(self, e: ET.Element, c: Compiler) -> Column:
@@ -112,7 +162,7 @@ class Template:
                     body = [self._text(e.text, c), *([self._node(e[0], c)] if len(e) else [])]
                 else:
                     body = [] if removed == "body" else self._children(e, c, own.get("inline"))
-        attrs: dict[str, Column | None] = {k: F.concat(F.lit(f' {k}="'), escape_xml(F.lit(v), True), F.lit('"')) for k, v in plain.items()}
+        attrs: dict[str, Column | None] = {k: F.concat(F.lit(f' {k}="'), escape_xml(c.substitute(v) if self.v1 else F.lit(v), True), F.lit('"')) for k, v in plain.items()}
         listed = dict(c.attributes(own["attr"])) if "attr" in own else {}
         done = (*PRECEDENCE, "classappend", "styleappend", *HANDLERS)
         listed |= {k: c.evaluate(v) for k, v in own.items() if k not in done}
@@ -168,25 +218,31 @@ class Template:
         return self._wrap(e, {k: v for k, v in own.items() if k != "switch"}, plain, c, [body])
 
     def _fragment(self, spec: str, c: Compiler, whole: bool) -> Column:
-        m = re.fullmatch(r"\s*~\{\s*([\w./-]*)\s*(?:::\s*(#?[\w-]+)\s*(?:\((.*)\))?)?\s*\}\s*", spec, re.S)
+        """All that ~{file :: selector(arguments)} finds, or the whole file; without a file (or with 'this') in this template; ~{} is empty."""
+        m = re.fullmatch(r"\s*~\{\s*([\w./-]*)\s*(?:::\s*([^()]*?)\s*(?:\((.*)\))?)?\s*\}\s*", spec, re.S)
         if not m:
             raise ElError(f"not a fragment: {spec!r}")
+        if not m[1] and not m[2]:
+            return F.lit("")
         name = next((n for n in (m[1] + s for s in ("", ".xhtml", ".html", ".xml")) if n in self.files), None)
         root = ET.fromstring(self.files[name]) if name else self.root
-        found = root
-        if m[2]:
-            key = m[2].lstrip("#")
-            found = next((x for x in root.iter() if x.attrib.get(f"{{{NS}}}fragment", "").split("(")[0].strip() == key or x.attrib.get("id") == key or not m[2].startswith("#") and x.tag == key), None)
-            if found is None:
-                raise ElError(f"no fragment {m[2]!r}")
-        declared = re.search(r"\((.*)\)", found.attrib.get(f"{{{NS}}}fragment", ""))
-        if m[3]:
-            given = [x.strip() for x in re.split(r",(?![^(']*[)'])", m[3])]
+        if not m[2]:
+            return self._found(root, m[3], c, whole)
+        found = select(root, m[2])
+        if not found:
+            raise ElError(f"no fragment {m[2]!r}")
+        return F.concat(*[self._found(x, m[3], c, whole) for x in found])
+
+    def _found(self, found: ET.Element, given: str | None, c: Compiler, whole: bool) -> Column:
+        own = f"{{{NS}}}fragment"
+        if given:
+            declared = re.search(r"\((.*)\)", found.attrib.get(own, ""))
+            values = [x.strip() for x in re.split(r",(?![^(']*[)'])", given)]
             names = [n.strip() for n in declared[1].split(",")] if declared else []
-            c = c.bind(",".join(g if re.match(r"\w+=", g) else f"{n}={g}" for n, g in zip(names or given, given, strict=False)))
+            c = c.bind(",".join(g if re.match(r"\w+=", g) else f"{n}={g}" for n, g in zip(names or values, values, strict=False)))
         if not whole:
             return F.concat(*self._children(found, c))
-        copy = ET.Element(found.tag, {k: v for k, v in found.attrib.items() if k != f"{{{NS}}}fragment"})
+        copy = ET.Element(found.tag, {k: v for k, v in found.attrib.items() if k not in (own, f"{{{NS}}}ref")})
         copy.text, copy[:] = found.text, list(found)
         return self._node(copy, c)
 
@@ -204,8 +260,7 @@ class Template:
             rows = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
             return F.array_join(F.transform(rows, lambda x: body(Compiler(c.scope | {a["var"]: (x, T.LongType())}, c.selected))), "")
         if tag == "number":
-            n = c.evaluate(a["n"])
-            return Compiler(c.scope | {"_n": n}).evaluate("#numbers.formatDiskSize(_n, 0)" if a.get("f", "").endswith("B") else "#numbers.formatDecimal(_n, 1, 0)")[0]
+            return self._v1_number(a["n"], a.get("f", ""), c)
         if tag == "options":
             listed, kind = c.evaluate(a["collection"])
             chosen = text(c.evaluate(a["selected"])) if "selected" in a else F.lit("")
@@ -215,6 +270,9 @@ class Template:
                 return F.concat(F.lit('<option value="'), escape_xml(pick("value"), True), F.when(pick("value") == chosen, '" selected="selected">').otherwise('">'), escape_xml(pick("label")), F.lit("</option>"))
 
             return F.array_join(F.transform(listed, option), "")
+        if tag == "option":
+            own, chosen = c.substitute(a.get("value", "")), c.substitute(a.get("selected", ""))
+            return F.concat(F.lit('<option value="'), escape_xml(own, True), F.when(own == chosen, '" selected="selected">').otherwise('">'), body(c), F.lit("</option>"))
         if tag == "checkbox":
             on = truth(c.evaluate(a["checked"]))
             return F.concat(F.lit(f'<input type="checkbox" name="{a.get("name", "")}" value="true"'), F.when(on, ' checked="checked"').otherwise(""), F.lit("/>"), body(c))
@@ -222,6 +280,21 @@ class Template:
             return self._fragment(f"~{{{a.get('file', '')}}}", c, whole=True)
         raise ElError(f"unsupported element {tag}")
 
+    @staticmethod
+    def _v1_number(said: str, picture: str, c: Compiler) -> Column:
+        """A whole number grouped by thousands; with the picture '#,##0B' in whole units of 1,024; with a picture of another kind, the attribute as it stands."""
+        if picture and not picture.startswith("#,##0"):
+            return escape_xml(F.lit(said))
+        n = c.evaluate(said)[0].try_cast("bigint")
+        if picture != "#,##0B":
+            return F.coalesce(F.format_number(n, 0), F.lit(""))
+        out = None
+        for i, unit in reversed(list(enumerate("BKMGTPE"))):
+            part = F.shiftright(n, 10 * i) if i else n
+            shown = F.concat(F.format_number(part, 0), F.lit(f" {unit}"))
+            out = shown if out is None else F.when(part <= 1024, shown).otherwise(out)
+        return F.coalesce(out, F.lit(""))
+
     def _v1_text(self, said: str | None, c: Compiler) -> Column:
         return escape_xml(c.substitute(said)) if said else F.lit("")
 
