@@ -268,6 +268,17 @@ def test_near_duplicates_of_the_whole_table_by_brute_force(spark):
     assert {i: found[i] for i in docs.doc_id} == {i: least[c] for i, c in zip(docs.doc_id, label)}
 
 
+def test_many_short_rows_in_one_batch_stay_apart(spark):
+    rows = spark.range(140_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
+    try:
+        found = neardup.sketches(rows).agg(F.count_distinct("node"), F.min("n"), F.max("n"), F.count("*")).first()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert tuple(found) == (140_000, 1, 1, 140_000)
+
+
 def test_weighted_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(2)
     el = rng.integers(0, 2**48, 60).astype(np.uint64)

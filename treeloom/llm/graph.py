@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import kept
+from .store import join_hot, kept
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, label for every node of edges (u, v) that is not the smallest of its component, which is the label.
 
     Rounds of large-star and small-star: each node's larger neighbours, then its smaller ones, are tied to the smallest
-    node it knows, until nothing changes. A hub's neighbours are pre-aggregated before any shuffle and its joins may be
-    split, so one component may hold most nodes. Every round is written down; nothing but two sums comes to the driver.
+    node it knows, until nothing changes. A hub's neighbours are pre-aggregated before any shuffle, and in its joins they stay
+    where they are (join_hot), so one component may hold most nodes. Every round is written down; to the driver come two sums and the hubs' names.
     """
     e = kept(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), name)
     seen = None
@@ -24,7 +24,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         seen = state
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = kept(join_hot(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+        small = join_hot(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         e = kept(small.distinct(), name)

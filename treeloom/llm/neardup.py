@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .store import fresh, join_hot, kept
-from .textkit import LOWER, WHITE, flat, hash_spans, mix, padded, spans, steps
+from .textkit import LOWER, STEP_ROWS, WHITE, flat, hash_spans, mix, padded, spans, steps
 
 #: Words of a shingle; probability Jaccard similarity of counted shingles from which documents are near-duplicates.
 WORDS, SIMILARITY = 5, 0.8
@@ -29,11 +29,14 @@ _ID = _U((1 << _ID_BITS) - 1)
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each row as 48-bit hashes: row, hash, count; sorted by row and hash.
+def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each row as 48-bit hashes: row, hash, count; sorted by row and hash. Then each row's 64-bit hash of them all.
 
-    Words are runs between ASCII white space, A-Z lowered. A row of fewer than WORDS words is one shingle.
+    Words are runs between ASCII white space, A-Z lowered. A row of fewer than WORDS words is one shingle. A row's number
+    takes 16 bits of the key that is sorted, so steps() has no more rows.
     """
+    if len(offsets) - 1 > STEP_ROWS:
+        raise ValueError(f"{len(offsets) - 1} rows in one step; at most {STEP_ROWS} can be told apart")
     low = LOWER[data]
     begin, length, bounds = spans(low, offsets, WHITE)
     word = hash_spans(padded(low), begin, length)
@@ -50,14 +53,17 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         if len(short):
             rows.append(short)
             sums.append(sum(word[bounds[short] + k] * _ODD[k] for k in range(size)) + _U(size))
+    whole = np.zeros(len(n), np.uint64)
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    key = np.concatenate(rows).astype(np.uint64) << _U(48) | mix(np.concatenate(sums)) >> _U(16)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), whole
+    row, hashed = np.concatenate(rows), mix(np.concatenate(sums))
+    np.add.at(whole, row, mix(hashed ^ _ODD[2]))
+    key = row.astype(np.uint64) << _U(48) | hashed >> _U(16)
     key.sort()
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     count = np.diff(np.concatenate([first, [len(key)]]))
     key = key[first]
-    return (key >> _U(48)).astype(np.int64), key & _U((1 << 48) - 1), count
+    return (key >> _U(48)).astype(np.int64), key & _U((1 << 48) - 1), count, whole
 
 
 def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray | None, n_rows: int, registers: int) -> np.ndarray:
@@ -108,7 +114,7 @@ def bands(found: np.ndarray, rows: int = ROWS) -> np.ndarray:
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", weighted: bool = True) -> DataFrame:
     """For each row: key, body (hash of the text), row (a number), node (hash of its counted shingles), n, band keys, shingles and their counts.
 
-    Shingles are sorted 32-bit hashes. Counts are 32-bit numbers, or nothing where all are 1 or with weighted=False.
+    Shingles are the first 32 bits of their 48-bit hashes, ascending. Counts are 32-bit numbers, or nothing where all are 1 or with weighted=False.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,21 +123,21 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", weighted:
             data, offsets = flat(b.column(1))
             for i, j in steps(offsets):
                 m = j - i
-                row, element, count = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                row, element, count, node = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 bounds = np.searchsorted(row, np.arange(m + 1))
                 n = np.diff(bounds)
                 if not weighted:
                     count = np.ones_like(count)
-                node, several = np.zeros(m, np.uint64), np.zeros(m, bool)
-                if len(row):
-                    np.add.at(node, row, mix(element + _ODD[2] + (count - 1).astype(np.uint64) * _ODD[4]))
-                    several[row[count > 1]] = True
+                    node = np.zeros(m, np.uint64)
+                    np.add.at(node, row, mix(element + _ODD[2]))
+                several = np.zeros(m, bool)
+                several[row[count > 1]] = True
                 node = mix(node + n.astype(np.uint64) * _ODD[3]).view(np.int64)
                 sign = signatures(row, element, count.astype(float) if several.any() else None, m, BANDS * ROWS)
                 keys = bands(sign).view(np.int64)
                 lists = np.where(n > 0, BANDS, 0)
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists)]), pa.int32()), pa.array(keys[n > 0].reshape(-1)))
-                sets = _binary(4 * n, element.astype(np.uint32))
+                sets = _binary(4 * n, (element >> _U(16)).astype(np.uint32))
                 counts = _binary(np.where(several, 4 * n, 0), count.astype(np.uint32)[several[row]] if len(row) else np.zeros(0, np.uint32))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, m), b.column(2).slice(i, m), pa.array(number + np.arange(m)), pa.array(node), pa.array(n.astype(np.int32)), keys, sets, counts],

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step handles; a longer document forms a step of its own.
 STEP_BYTES = 2 << 20
+#: Rows of a step at most, so that a row's number fits 16 bits.
+STEP_ROWS = (1 << 16) - 1
 
 _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 _U = np.uint64
@@ -62,10 +64,10 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of whole rows of about `limit` bytes."""
+    """Ranges of whole rows of about `limit` bytes, of at most STEP_ROWS rows."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+        j = min(i + STEP_ROWS, max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1))
         yield i, j
         i = j
 
