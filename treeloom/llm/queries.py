@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language_model, media, neardup, packing, piece_bpe, secrets, sharding, topk, toxicity
+from . import conversations, fingerprints, html_text, language_model, lexical, media, neardup, packing, piece_bpe, secrets, sharding, topk, toxicity
 
 #: Toxicity from which a document is predicted toxic.
 THRESHOLD = 0.3
@@ -82,6 +82,21 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's phrase fingerprint, beside those of its edited form and of the next document (see fingerprints.fingerprints)."""
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item (see lexical.search)."""
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 20)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and repaired at the least cost (see conversations.repair)."""
+    return conversations.repair(_table(spark, sf_dir, "conversations"))
+
+
 OP8_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e
@@ -97,11 +112,35 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+#: A-Z are lowered before the terms are cut, which takes none of them away.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents WHERE text IS NOT NULL
+), a AS (
+  SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_all FROM d WHERE len(ts) > 0
+), q AS (
+  SELECT item_id, t, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+  GROUP BY ALL
+), p AS (
+  SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL
+), w AS (
+  SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, a GROUP BY t, n_docs
+), s AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_all))))::BIGINT AS score
+  FROM q JOIN w USING (t) JOIN p USING (t), a GROUP BY ALL
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sharding, op2_toxicity, op3_sentencepiece, op4_near_duplicates, op5_language_model, op6_media, op7_packing, op8_topk, op9_secrets, op10_html_text]
+    found = [op1_sharding, op2_toxicity, op3_sentencepiece, op4_near_duplicates, op5_language_model, op6_media, op7_packing, op8_topk, op9_secrets, op10_html_text, op11_fingerprints, op12_lexical_search, op13_conversation_repair]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_topk": OP8_SQL}
+    return {"op8_topk": OP8_SQL, "op12_lexical_search": OP12_SQL}
