@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import codec, json_values, strings, typed, uri
-from .operators import dtd, web
+from .operators import content, dtd, web
 from .plans.el import Compiler, el
 from .plans.template import Template, template
 from .plans.xpath import xpath
@@ -211,9 +211,25 @@ def dtd_dup_id(spark, d):
 
 @query("SELECT o_custkey AS doc_id, count(*) AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS c FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE coalesce(c, 0) < 2 GROUP BY 1")
 def dtd_content_model(spark, d):
-    found = X.dtd_declarations(DTD)["elements"]
-    models = spark.createDataFrame([tuple(x[k] for k in ("element", "model", "any", "mixed")) for x in found], "element string, model string, any boolean, mixed boolean")
-    return dtd.content_models(checked_nodes(spark, d), models).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return dtd.content_models(checked_nodes(spark, d), X.dtd_declarations(DTD)["elements"]).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+_CHILDREN = "(SELECT l_orderkey AS o, l_linenumber AS l, min(l_returnflag) AS flag FROM lineitem GROUP BY ALL)"
+_FAMILIES = f"(SELECT o AS doc_id, l AS ord, flag FROM {_CHILDREN} UNION ALL SELECT -l, o, flag FROM {_CHILDREN} UNION ALL SELECT -100 - l, o, CASE flag WHEN 'R' THEN 'N' ELSE flag END FROM {_CHILDREN})"
+
+
+@query(f"SELECT doc_id, first(ord ORDER BY ord)::INT AS at, first(flag ORDER BY ord) AS name FROM (SELECT *, lag(flag) OVER (PARTITION BY doc_id ORDER BY ord) AS before FROM {_FAMILIES}) WHERE before = 'R' GROUP BY 1")
+def dtd_content_long(spark, d):
+    """Children by return flag, under each order and under each line number, which has a share of all lines; R may only come last. The families below -100 have no R."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l")).agg(F.min("l_returnflag").alias("flag"))
+    part = lambda doc, ord_, flag: lines.select(doc.cast("long").alias("doc_id"), ord_.cast("long").alias("ord"), flag.alias("qname"))
+    o, n, flag = F.col("o"), F.col("l"), F.col("flag")
+    child = part(o, n, flag).unionByName(part(-n, o, flag)).unionByName(part(-100 - n, o, F.when(flag == "R", "N").otherwise(flag)))
+    none = F.lit(None).cast("string").alias("value")
+    rows = child.select("doc_id", (F.col("ord") + 2).alias("pre"), F.lit(1).cast("long").alias("parent_pre"), "ord", F.lit("element").alias("kind"), "qname", none)
+    top = child.select("doc_id").distinct().select("doc_id", F.lit(1).cast("long").alias("pre"), F.lit(None).cast("long").alias("parent_pre"), F.lit(1).cast("long").alias("ord"), F.lit("element").alias("kind"), F.lit("lines").alias("qname"), none)
+    declared = X.dtd_declarations("<!ELEMENT lines ((A | N)*, R?)> <!ELEMENT A EMPTY> <!ELEMENT N EMPTY> <!ELEMENT R EMPTY>")["elements"]
+    return content.violations(rows.unionByName(top), declared).select("doc_id", F.col("at").cast("int").alias("at"), "name")
 
 
 @query("SELECT o_custkey AS doc_id, count(*) AS n FROM orders GROUP BY 1")

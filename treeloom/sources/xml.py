@@ -426,21 +426,7 @@ def dtd_declarations(dtd: str) -> dict[str, list[dict]]:
     out: dict[str, list[dict]] = {"elements": [], "attributes": [], "notations": []}
     p = expat.ParserCreate()
 
-    def model_pattern(m) -> str:
-        kind, quant, name, children = m
-        mark = {0: "", 1: "?", 2: "*", 3: "+"}[quant]
-        if kind == expat.model.XML_CTYPE_EMPTY:
-            return ""
-        if kind == expat.model.XML_CTYPE_ANY:
-            return ".*"
-        if kind == expat.model.XML_CTYPE_NAME:
-            return f"(?:{re.escape(name)} ){mark}"
-        if kind == expat.model.XML_CTYPE_MIXED:
-            return "(?:" + "|".join(["#text ", *(f"{re.escape(c[2])} " for c in children)]) + ")*"
-        sep = "|" if kind == expat.model.XML_CTYPE_CHOICE else ""
-        return "(?:" + sep.join(map(model_pattern, children)) + f"){mark}"
-
-    p.ElementDeclHandler = lambda name, m: out["elements"].append({"element": name, "model": f"^{model_pattern(m)}$", "any": m[0] == expat.model.XML_CTYPE_ANY, "mixed": m[0] == expat.model.XML_CTYPE_MIXED})
+    p.ElementDeclHandler = lambda name, m: out["elements"].append({"element": name, "content": m, "any": m[0] == expat.model.XML_CTYPE_ANY, "mixed": m[0] == expat.model.XML_CTYPE_MIXED})
     p.AttlistDeclHandler = lambda e, a, kind, default, required: out["attributes"].append({"element": e, "attribute": a, "type": kind, "default": default, "required": bool(required) and default is None, "fixed": bool(required) and default is not None})
     p.NotationDeclHandler = lambda n, b, s, i: out["notations"].append({"notation": n, "system": s, "public": i})
     root = (re.search(r"<!ELEMENT\s+(\S+)", dtd) or [None, "root"])[1]
