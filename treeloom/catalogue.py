@@ -260,7 +260,11 @@ def el_logic(spark, d):
     return e.select("event_id", *[el(e, f).alias(k) for k, f in forms.items()])
 
 
-@query("SELECT event_id, CASE WHEN b <= 1024 THEN format('{:,.2f}', b::DOUBLE) || ' B' WHEN b <= 1048576 THEN format('{:,.2f}', b / 1024.0) || ' K' ELSE format('{:,.2f}', b / 1048576.0) || ' M' END AS size, format('{:,.2f}', b::DOUBLE) AS decimal FROM (SELECT event_id, event_id * 1024 AS b FROM events)")
+#: Numbers with two decimals, halves away from zero, and commas.
+_HALF_UP = "format('{{:,}}', (({0} * 1000 + 5) // 10 // 100)::BIGINT) || '.' || lpad(((({0} * 1000 + 5) // 10) % 100)::VARCHAR, 2, '0')"
+
+
+@query(f"SELECT event_id, CASE WHEN b <= 1024 THEN {_HALF_UP.format('b')} || ' B' WHEN b <= 1048576 THEN {_HALF_UP.format('b').replace('b * 1000', '(b * 1000 // 1024)')} || ' K' ELSE {_HALF_UP.format('b').replace('b * 1000', '(b * 1000 // 1048576)')} || ' M' END AS size, {_HALF_UP.format('b')} AS decimal FROM (SELECT event_id, event_id * 1024 AS b FROM events)")
 def el_formats(spark, d):
     e = table(spark, d, "events").withColumn("b", F.col("event_id") * 1024)
     return e.select("event_id", el(e, "#numbers.formatDiskSize(b, 2)").alias("size"), el(e, "#numbers.formatDecimal(b, 1, 2)").alias("decimal"))
@@ -343,12 +347,6 @@ def codecs(spark, d):
     return table(spark, d, "documents").select("doc_id", codec.base64(t).alias("b64"), codec.base64url(t).alias("url64"), codec.hex_lower(t).alias("hex"), codec.md5(t).alias("md5"), codec.sha1(t).alias("sha1"), codec.sha256(t).alias("sha256"))
 
 
-@query()
-def codecs_keyed(spark, d):
-    e = table(spark, d, "events")
-    return e.select("event_id", codec.base32(F.col("event_type")).alias("b32"), F.hex(codec.hmac(F.col("props"), F.col("event_type"))).alias("mac"), F.hex(codec.pbkdf2(F.col("event_type"), F.lit("salt"), 2, 16)).alias("key"))
-
-
 @query("SELECT event_id, user_id AS user FROM events WHERE event_id % 3 <> 0")
 def jwt_verify(spark, d):
     """Tokens issued for every event; each third one's is signed with another key and does not verify."""
@@ -384,7 +382,7 @@ def http_requests(spark, d):
     """Whole messages put together, parsed again, a form value taken from the query."""
     raw = F.concat(F.lit("POST /e?user="), "user_id", F.lit(" HTTP/1.1\r\nHost: x\r\nX-Kind: "), "event_type", F.lit("\r\nTransfer-Encoding: chunked\r\n\r\n"), F.lower(F.hex(F.octet_length("props"))), F.lit("\r\n"), "props", F.lit("\r\n0\r\n\r\n"))
     r = table(spark, d, "events").select("event_id", web.parse_request(raw).alias("r"))
-    user = web.parameter(F.regexp_extract("r.uri", r"\?(.*)$", 1), F.lit(None).cast("string"), F.col("r.body"), "user")
+    user = web.parameter(F.regexp_extract("r.uri", r"\?(.*)$", 1), F.lit(None).cast("string"), strings.as_text(F.col("r.body")), "user")
     return r.select("event_id", "r.method", web.header(F.col("r.headers"), "X-Kind").alias("kind"), F.octet_length("r.body").alias("size"), user.cast("long").alias("form"))
 
 

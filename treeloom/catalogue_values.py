@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import codec, json_values, strings, typed, uri
-from .operators import soap, web
+from .operators import messages, soap, web
 from .plans.el import Compiler, el, el_or_text, utility
 from .plans.template import Template, template
 from .registry import query, table
@@ -206,19 +206,72 @@ def uri_changes(spark, d):
     )
 
 
-@query("SELECT event_id, event_type || 'é' || user_id AS body, octet_length(encode(event_type || 'é' || user_id)) AS size, left(event_type || 'é', 3) AS cut, 'new' || event_id AS cookie, 404 AS status FROM events")
+@query("SELECT event_id, event_type || 'é' || user_id AS body, octet_length(encode(event_type || 'é' || user_id)) AS size, left(event_type || 'é', 3) AS cut, 'new' || event_id AS cookie, 400 + event_id % 100 AS status, 'Not ' || event_type AS reason, 's' || user_id AS server, left(props, 5) AS said FROM events")
 def http_messages(spark, d):
-    """Bodies in chunks of few bytes, whose sizes count bytes, put together again; a body cut by its length; cookies set; a reply parsed."""
+    """Bodies in chunks of few bytes, whose sizes count bytes, put together again; a body cut by its length; cookies set; replies parsed."""
     body = F.concat("event_type", F.lit("é"), "user_id")
-    chunked = F.concat(F.lit("POST /x HTTP/1.1\r\nTransfer-Encoding: chunked\r\n\r\n"), F.decode(web.chunk(body, 400), "UTF-8"))
+    chunked = F.concat(F.lit("POST /x HTTP/1.1\r\nTransfer-Encoding: chunked\r\n\r\n").cast("binary"), web.chunk(body, 3))
     in_threes = F.concat(F.lit("POST /x HTTP/1.1\r\nTransfer-Encoding: chunked\r\n\r\n"), F.lower(F.hex(F.octet_length("event_type"))), F.lit(";ext=1\r\n"), "event_type", F.lit("\r\n2\r\né\r\n"), F.hex(F.octet_length(F.col("user_id").cast("string"))), F.lit("\r\n"), F.col("user_id").cast("string"), F.lit("\r\n0\r\n\r\n"))
     start = F.left(F.concat("event_type", F.lit("é")), F.lit(3))
     sized = F.concat(F.lit("PUT /x HTTP/1.1\r\nA: b\r\nContent-Length: "), F.octet_length(start).cast("string"), F.lit("\r\n\r\n"), "event_type", F.lit("é and more"))
-    reply = web.parse_reply(F.lit("HTTP/1.1 404 Not Found\r\nServer: s\r\nContent-Length: 2\r\n\r\nab"))
-    cookies = web.set_cookie(F.lit("a=1; b=2"), "b", F.concat(F.lit("new"), "event_id"))
-    e = table(spark, d, "events")
-    one, two = web.parse_request(chunked)["body"], web.parse_request(in_threes)["body"]
-    return e.select("event_id", F.when(one == two, one).alias("body"), F.octet_length(two).alias("size"), web.parse_request(sized)["body"].alias("cut"), web.cookie(cookies, "b").alias("cookie"), reply["status"].alias("status"))
+    reply = F.concat(F.lit("HTTP/1.1 "), 400 + F.col("event_id") % 100, F.lit(" Not "), "event_type", F.lit("\r\nServer: s"), "user_id", F.lit("\r\nContent-Length: 5\r\n\r\n"), "props")
+    cookies = web.set_cookie(F.concat(F.lit("a=1; b="), "user_id", F.lit("; c")), "b", F.concat(F.lit("new"), "event_id"))
+    rows = table(spark, d, "events").select("event_id", "event_type", cookies.alias("cookies"), web.parse_request(chunked)["body"].alias("one"), web.parse_request(in_threes)["body"].alias("two"), web.parse_request(sized)["body"].alias("cut"), web.parse_reply(reply).alias("r"))
+    return rows.select(
+        "event_id", strings.as_text(F.when(F.col("one") == F.col("two"), F.col("one"))).alias("body"), F.octet_length("two").alias("size"), strings.as_text(F.col("cut")).alias("cut"), web.cookie(F.col("cookies"), "b").alias("cookie"), "r.status", "r.reason",
+        web.header(F.col("r.headers"), "Server").alias("server"), strings.as_text(F.col("r.body")).alias("said"),
+    )
+
+
+_SENT = "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS message, min(CASE WHEN event_id % 29 = 0 THEN event_id END) OVER (PARTITION BY user_id) AS broken FROM events)"
+
+
+@query(f"SELECT user_id AS connection, message, event_id % 29 <> 0 AS complete, CASE WHEN event_id % 29 <> 0 THEN '/e/' || event_id END AS uri, CASE WHEN event_id % 29 <> 0 THEN CASE event_id % 3 WHEN 2 THEN '' ELSE props END END AS said FROM {_SENT} WHERE broken IS NULL OR event_id <= broken")
+def http_fragments(spark, d):
+    """Each user's events as requests of one connection, sized, chunked or without a body, cut into fragments of 16 bytes that do not care where a message ends; a malformed request ends its connection."""
+    n = F.col("event_id")
+    size, line = F.octet_length("props").cast("string"), F.lit("\r\n")
+    head = F.concat(F.when(n % 29 == 0, "POST?").otherwise("POST "), F.lit("/e/"), n, F.lit(" HTTP/1.1\r\nHost: h\r\n"))
+    rest = F.when(n % 3 == 0, F.concat(F.lit("Content-Length: "), size, line, line, "props")).when(n % 3 == 1, F.concat(F.lit("Transfer-Encoding: gzip, chunked\r\n\r\n"), F.decode(web.chunk(F.col("props"), 7), "UTF-8"))).otherwise(line)
+    raw = table(spark, d, "events").select("user_id", "event_id", F.concat(head, rest).cast("binary").alias("raw"))
+    pieces = F.transform(F.sequence(F.lit(0), F.octet_length("raw"), F.lit(16)), lambda i: F.struct(i.alias("at"), F.substring(F.col("raw"), i + 1, F.lit(16)).alias("data")))
+    cut = raw.select("user_id", "event_id", F.explode(pieces).alias("p")).select(F.col("user_id").alias("connection"), F.struct("event_id", "p.at").alias("seq"), "p.data")
+    return messages.scan(cut).select("connection", "message", "complete", "uri", strings.as_text(F.col("body")).alias("said"))
+
+
+@query("SELECT event_id, event_type AS kind, 'f' || event_id || '.json' AS filename, 'application/json' AS mimetype, props AS data, user_id::VARCHAR AS user_id, 2 AS parts FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, NULL, NULL, NULL, NULL, 'none', NULL FROM events WHERE event_id % 3 = 0")
+def http_multipart(spark, d):
+    """Files and fields of multipart forms in bytes; a part's value as a parameter where no form, query or JSON has it. Every third form has no boundary."""
+    bad = F.col("event_id") % 3 == 0
+    kind = F.when(bad, "multipart/form-data").otherwise(F.concat(F.lit('multipart/form-data; boundary="b-'), "event_id", F.lit('"')))
+    line = F.concat(F.lit("--b-"), "event_id")
+    body = F.concat(F.lit("ignored\r\n"), line, F.lit('\r\nContent-Disposition: form-data; name="user"\r\n\r\n'), "user_id", F.lit("\r\n"), line, F.lit('\r\ncontent-disposition: form-data; filename="f'), "event_id", F.lit('.json"; name="'), "event_type", F.lit('"\r\nContent-Type: application/json\r\n\r\n'), "props", F.lit("\r\n"), line, F.lit("--\r\n"), line)
+    rows = table(spark, d, "events").select("event_id", web.multipart(kind, body).alias("parts"))
+    none, file = F.lit(None).cast("string"), F.get("parts", F.lit(1))
+    user = F.coalesce(web.parameter(none, none, none, "user", F.col("parts")), F.lit("none"))
+    return rows.select("event_id", file["name"].alias("kind"), file["filename"].alias("filename"), file["mimetype"].alias("mimetype"), strings.as_text(file["data"]).alias("data"), user.alias("user_id"), F.nullif(F.size("parts"), F.lit(0)).alias("parts"))
+
+
+@query("SELECT n, CASE WHEN n % 3 <> 0 THEN 'é' || n END AS text, CASE WHEN n % 3 <> 0 THEN 'wide' || n END AS wide, CASE WHEN n % 3 <> 0 THEN 80 + n % 100 END AS port, CASE WHEN n % 3 <> 0 THEN 9223372036854775807 - n END AS long, CASE WHEN n % 3 <> 0 THEN 'x' || n END AS bytes, CASE WHEN n % 3 <> 0 THEN '{\"u\":' || n || '}' END AS claims, CASE WHEN n % 3 = 0 THEN 'c' ELSE 'c' || n % 10 END AS body FROM (SELECT event_id AS n FROM events)")
+def malformed_values(spark, d):
+    """Every third row has bytes that are no text, an impossible port, a number beyond 64 bits, letters that are no code and a forged token with such bytes: null, never the end of the query. A body's length may divide a character."""
+    n, bad = F.col("event_id"), F.col("event_id") % 3 == 0
+    text = n.cast("string")
+    junk = F.unhex(F.lit("C328FF"))
+    number = json_values.parse(F.concat(F.lit(""), F.lit(2**63 - 1)))
+    token = F.concat(codec.base64url(F.lit('{"alg":"HS256"}').cast("binary")), F.lit("."), codec.base64url(F.when(bad, junk).otherwise(F.concat(F.lit('{"u":'), text, F.lit("}")).cast("binary"))))
+    signed = F.concat(token, F.lit("."), codec.base64url(codec.hmac(token, b"key")))
+    forged = F.when(n % 6 == 0, F.concat(token, F.lit(".AAAA"))).when(n % 9 == 0, F.lit("a.%%%.c")).otherwise(signed)
+    request = F.concat(F.lit("PUT / HTTP/1.1\r\nContent-Length: 2\r\n\r\nc"), F.when(bad, "é").otherwise((n % 10).cast("string")), F.lit("more"))
+    body = web.parse_request(request)["body"]
+    return table(spark, d, "events").select(
+        n.alias("n"), strings.decode_document(F.when(bad, junk).otherwise(F.concat(F.lit("é"), text).cast("binary"))).alias("text"),
+        strings.decode_by_mark(F.concat(F.unhex(F.lit("FFFE")), F.when(bad, F.unhex(F.lit("00D841"))).otherwise(F.encode(F.concat(F.lit("wide"), text), "UTF-16LE")))).alias("wide"),
+        uri.parse(F.concat(F.lit("http://h:"), F.when(bad, "99999999999").otherwise((80 + n % 100).cast("string")), F.lit("/")))["port"].alias("port"),
+        json_values.get(F.when(bad, json_values.add(number, json_values.parse((n + 1).cast("string")))).otherwise(json_values.subtract(number, json_values.parse(text))), "$", "bigint").alias("long"),
+        strings.as_text(codec.unbase32(F.when(bad, "!1").otherwise(codec.base32(F.concat(F.lit("x"), text).cast("binary"))))).alias("bytes"),
+        web.verify_token(forged, F.lit("key"), F.lit(0)).alias("claims"), F.coalesce(strings.as_text(body), strings.as_text(F.substring(body, 1, 1))).alias("body"),
+    )
 
 
 @query("SELECT event_id, event_id % 4 = 0 AS below, event_id % 3 <> 1 AS forged_free, CASE WHEN event_id % 2 = 0 THEN 'https://a' END AS origin, 'h' || event_id AS address, CASE WHEN event_id % 5 = 0 THEN 500 ELSE 200 END AS status, CASE WHEN event_id % 5 = 0 THEN '{\"error\":\"e' || event_id || '\"}' ELSE '{\"id\":' || event_id || '}' END AS body, CASE event_id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'text/css' ELSE 'text/plain' END AS mime, '/in/' || event_id AS lead, CASE WHEN event_id % 7 = 0 THEN 'seven' WHEN event_id % 2 = 0 THEN 'even' END AS handled, CASE event_id % 3 WHEN 0 THEN 'Not Found' WHEN 1 THEN 'OK' ELSE 'Found it' END AS head, CASE WHEN event_id % 2 = 0 THEN 304 ELSE 200 END AS cached FROM events")

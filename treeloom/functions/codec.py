@@ -20,8 +20,8 @@ def base64(data: Column, wrap: int = 0) -> Column:
 
 
 def unbase64(text: Column) -> Column:
-    """Bytes of base64 text; white space in it is passed over."""
-    return F.unbase64(F.regexp_replace(text, r"\s+", ""))
+    """Bytes of base64 text; white space in it is passed over. Null where it is none."""
+    return F.try_to_binary(F.regexp_replace(text, r"\s+", ""), F.lit("base64"))
 
 
 def base64url(data: Column) -> Column:
@@ -29,8 +29,9 @@ def base64url(data: Column) -> Column:
 
 
 def unbase64url(text: Column) -> Column:
+    """Bytes of base64 text in letters for URLs, without padding; null where it is none."""
     plain = F.translate(text, "-_", "+/")
-    return F.unbase64(F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), F.lit("=")))
+    return F.try_to_binary(F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), F.lit("=")), F.lit("base64"))
 
 
 def hex_lower(data: Column) -> Column:
@@ -65,9 +66,14 @@ def base32(data: pd.Series) -> pd.Series:
 
 @pandas_udf(T.BinaryType())
 def unbase32(text: pd.Series) -> pd.Series:
+    """Bytes of base32 text; white space in it is passed over. Null where it is none."""
+
     def one(x):
         x = "".join(x.split()).upper()
-        return b64.b32decode(x + "=" * (-len(x) % 8))
+        try:
+            return b64.b32decode(x + "=" * (-len(x) % 8))
+        except ValueError:
+            return None
 
     return text.map(lambda x: None if x is None else one(x))
 
@@ -110,7 +116,12 @@ def password_matches(stored: pd.Series, password: pd.Series) -> pd.Series:
         part = s.split("$")
         if len(part) != 4 or part[0] != "!pbkdf2_sha256" or not part[1].isdigit():
             return False
-        want = b64.b64decode(part[3])
+        try:
+            want = b64.b64decode(part[3], validate=True)
+        except ValueError:
+            return False
+        if not want:
+            return False
         return hm.compare_digest(want, hashlib.pbkdf2_hmac("sha256", p.encode(), part[2].encode(), int(part[1]), len(want)))
 
     return pd.Series([one(s, p) for s, p in zip(stored, password, strict=True)])

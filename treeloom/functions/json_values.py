@@ -94,7 +94,7 @@ def _both(a: Column, b: Column, on_long, on_double, on_string=None) -> Column:
     """Arithmetic by types: the left operand's type decides; null is neutral for on_string's operator."""
     ta, tb = type_name(a), type_name(b)
     left_long = (ta == "integer") & tb.isin("integer", "float")
-    truncated = F.when(tb == "integer", _long(b)).otherwise(F.try_variant_get(b, "$", "double").cast("bigint"))
+    truncated = F.when(tb == "integer", _long(b)).otherwise(F.try_variant_get(b, "$", "double").try_cast("bigint"))
     out = F.when(left_long, F.to_json(F.struct(on_long(_long(a), truncated).alias("x"))))
     out = out.when((ta == "float") & tb.isin("integer", "float"), F.to_json(F.struct(on_double(_double(a), _double(b)).alias("x"))))
     if on_string is not None:
@@ -104,21 +104,22 @@ def _both(a: Column, b: Column, on_long, on_double, on_string=None) -> Column:
 
 
 def add(a: Column, b: Column) -> Column:
-    """Numbers added, strings joined, null neutral; integer + float stays integer."""
-    return _both(a, b, lambda x, y: x + y, lambda x, y: x + y, lambda x, y: F.concat(x, y))
+    """Numbers added, strings joined, null neutral; integer + float stays integer. What leaves 64 bits gives null, here and below."""
+    return _both(a, b, F.try_add, lambda x, y: x + y, lambda x, y: F.concat(x, y))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return _both(a, b, lambda x, y: x - y, lambda x, y: x - y)
+    return _both(a, b, F.try_subtract, lambda x, y: x - y)
 
 
 def multiply(a: Column, b: Column) -> Column:
-    return _both(a, b, lambda x, y: x * y, lambda x, y: x * y)
+    return _both(a, b, F.try_multiply, lambda x, y: x * y)
 
 
 def divide(a: Column, b: Column) -> Column:
     """Integers divide towards zero; division by zero gives null."""
-    return _both(a, b, lambda x, y: F.when(y != 0, F.try_divide(x - F.try_mod(x, y), y).cast("bigint")), lambda x, y: F.try_divide(x, y))
+    whole = lambda x, y: F.try_divide((x - F.try_mod(x, y)).cast("decimal(20,0)"), y.cast("decimal(19,0)")).try_cast("bigint")
+    return _both(a, b, whole, lambda x, y: F.try_divide(x, y))
 
 
 def modulo(a: Column, b: Column) -> Column:

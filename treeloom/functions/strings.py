@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,27 +40,51 @@ def normalize_lines(text: Column, version: str = "1.0") -> Column:
     return F.regexp_replace(text, "\r\n?" if version == "1.0" else "\r[\n\x85]?|[\x85\u2028]", "\n")
 
 
+def as_text(data: Column) -> Column:
+    """Text of bytes in UTF-8; null where they are not."""
+    return F.try_validate_utf8(data.cast("string"))
+
+
+def _wide(data: Column, order: str) -> Column:
+    """Text of bytes in UTF-16 of a byte order, null where they are not: Spark's own decoder ends the query there."""
+
+    @F.arrow_udf("string")
+    def run(raw: pa.Array) -> pa.Array:
+        def one(x: bytes | None) -> str | None:
+            try:
+                return None if x is None else x.decode(order)
+            except UnicodeDecodeError:
+                return None
+
+        return pa.array([one(x) for x in raw.to_pylist()], pa.string())
+
+    return run(data)
+
+
 def decode_by_mark(data: Column) -> Column:
-    """Text of bytes by their byte order mark; UTF-8 without one."""
+    """Text of bytes by their byte order mark; UTF-8 without one. Null where the bytes are malformed."""
+    little, big = F.hex(F.substring(data, 1, 2)) == "FFFE", F.hex(F.substring(data, 1, 2)) == "FEFF"
+    rest = F.substring(data, 3, 2**31 - 5)
     return (
-        F.when(F.hex(F.substring(data, 1, 3)) == "EFBBBF", F.decode(F.substring(data, 4, 2**31 - 5), "UTF-8"))
-        .when(F.hex(F.substring(data, 1, 2)) == "FFFE", F.decode(F.substring(data, 3, 2**31 - 5), "UTF-16LE"))
-        .when(F.hex(F.substring(data, 1, 2)) == "FEFF", F.decode(F.substring(data, 3, 2**31 - 5), "UTF-16BE"))
-        .otherwise(F.decode(data, "UTF-8"))
+        F.when(F.hex(F.substring(data, 1, 3)) == "EFBBBF", as_text(F.substring(data, 4, 2**31 - 5)))
+        .when(little, _wide(F.when(little, rest), "utf-16-le"))
+        .when(big, _wide(F.when(big, rest), "utf-16-be"))
+        .otherwise(as_text(data))
     )
 
 
 def decode_document(data: Column) -> Column:
-    """Text of a document's bytes, by byte order mark or else by the declared encoding (UTF-8, UTF-16, ISO-8859-1, US-ASCII); null where mark and declaration contradict or the encoding is another."""
+    """Text of a document's bytes, by byte order mark or else by the declared encoding (UTF-8, UTF-16, ISO-8859-1, US-ASCII); null where mark and declaration contradict, the encoding is another or the bytes are malformed."""
     start = F.hex(F.substring(data, 1, 3))
-    declared = F.upper(F.regexp_extract(F.decode(F.substring(data, 1, 200), "ISO-8859-1"), r"^[^<]{0,3}<\?xml[^>]*encoding\s*=\s*[\"']([A-Za-z0-9._-]+)[\"']", 1))
+    plain = F.decode(data, "ISO-8859-1")
+    declared = F.upper(F.regexp_extract(F.left(plain, F.lit(200)), r"^[^<]{0,3}<\?xml[^>]*encoding\s*=\s*[\"']([A-Za-z0-9._-]+)[\"']", 1))
     marked = F.startswith(start, F.lit("EFBBBF")) | F.startswith(start, F.lit("FFFE")) | F.startswith(start, F.lit("FEFF"))
     return (
         F.when(marked & declared.isin("", "UTF-8", "UTF-16"), decode_by_mark(data))
         .when(marked, F.lit(None).cast("string"))
-        .when(declared.isin("", "UTF-8"), F.decode(data, "UTF-8"))
-        .when(declared.isin("ISO-8859-1", "LATIN1"), F.decode(data, "ISO-8859-1"))
-        .when(declared.isin("US-ASCII", "ASCII"), F.decode(data, "US-ASCII"))
+        .when(declared.isin("", "UTF-8"), as_text(data))
+        .when(declared.isin("ISO-8859-1", "LATIN1"), plain)
+        .when(declared.isin("US-ASCII", "ASCII") & ~F.regexp_like(plain, F.lit("[^\\x00-\\x7F]")), plain)
     )
 
 

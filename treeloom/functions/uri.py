@@ -29,18 +29,18 @@ def is_fully_qualified(uri: Column) -> Column:
 
 
 def parse(uri: Column) -> Column:
-    """struct(scheme, userinfo, host, port, path, query, fragment); missing parts are null, scheme and host in lower case. Null where not valid."""
+    """struct(scheme, userinfo, host, port, path, query, fragment); missing parts are null, scheme and host in lower case. Null where not valid or the port is above 65535."""
     authority = _part(uri, 2)
     host = F.regexp_extract(authority, r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)(?::[0-9]*)?$", 1)
     port = F.regexp_extract(authority, r":([0-9]+)$", 1)
     none = F.lit(None).cast("string")
     return F.when(
-        is_valid(uri),
+        is_valid(uri) & ((port == "") | F.coalesce(port.try_cast("int") <= 65535, F.lit(False))),
         F.struct(
             F.nullif(F.lower(_part(uri, 1)), F.lit("")).alias("scheme"),
             F.when(F.contains(authority, F.lit("@")), F.regexp_extract(authority, "^([^@]*)@", 1)).alias("userinfo"),
             F.when(_has(uri, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"), F.lower(host)).alias("host"),
-            F.when(port != "", port.cast("int")).alias("port"),
+            F.when(port != "", port.try_cast("int")).alias("port"),
             _part(uri, 3).alias("path"),
             segments(_part(uri, 3)).alias("segments"),
             F.when(_has(uri, r"^[^?#]*\?"), _part(uri, 4)).otherwise(none).alias("query"),

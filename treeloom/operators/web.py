@@ -5,81 +5,27 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.codec import base64url, hmac, unbase64url
+from ..functions.strings import as_text
 from ..functions.uri import glob_pattern, query_parameters
+from .messages import METHODS, multipart, parse_reply, parse_request, unchunk  # noqa: F401
 
 #: Standard reason phrases.
 REASONS = {200: "OK", 201: "Created", 202: "Accepted", 204: "No Content", 300: "Multiple Choices", 301: "Moved Permanently", 302: "Moved Temporarily", 303: "See Other", 304: "Not Modified", 307: "Temporary Redirect", 400: "Bad Request", 401: "Unauthorized", 403: "Forbidden", 404: "Not Found", 405: "Method not allowed", 415: "Unsupported Media Type", 422: "Unprocessable Entity", 500: "Internal Server Error", 501: "Not Implemented", 502: "Bad Gateway", 503: "Service Unavailable"}
-_CHUNK = re.compile(rb"([0-9A-Fa-f]+)[^\r\n]*\r?\n")
-METHODS = ("GET", "HEAD", "POST", "PUT", "DELETE", "OPTIONS", "TRACE", "CONNECT", "PATCH")
-
-
-def parse_request(raw: Column) -> Column:
-    """struct(method, uri, version, headers map with lower-case names, body) of a whole message; null where the first line is no request. A chunked body is put together."""
-    head, body = F.regexp_extract(raw, r"(?s)^(.*?)\r?\n\r?\n", 1), F.regexp_extract(raw, r"(?s)^.*?\r?\n\r?\n(.*)$", 1)
-    first = F.regexp_extract(raw, r"^([^\r\n]*)", 1)
-    form = r"^([A-Z]+) (\S+) HTTP/([0-9])\.([0-9])$"
-    unfolded = F.split(F.regexp_replace(head, r"\r?\n[ \t]+", " "), r"\r?\n")
-    lines = F.filter(F.slice(unfolded, F.lit(2), F.size(unfolded)), lambda x: F.contains(x, F.lit(":")))
-    entries = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, "^([^:]*)", 1))).alias("key"), F.trim(F.regexp_extract(x, "^[^:]*:(.*)$", 1)).alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))  # of one name, the last counts
-    headers = F.map_from_entries(last)
-    chunked = F.regexp_like(head, F.lit(r"(?i)transfer-encoding:\s*chunked"))
-    length = F.nullif(F.regexp_extract(head, r"(?im)^content-length:\s*([0-9]{1,9})\s*$", 1), F.lit("")).cast("int")
-    sized = F.when(length.isNotNull(), F.decode(F.substring(F.encode(body, "UTF-8"), F.lit(1), length), "UTF-8")).otherwise(body)
-    return F.when(
-        F.regexp_like(first, F.lit(form)) & F.regexp_extract(first, form, 1).isin(*METHODS),
-        F.struct(
-            F.regexp_extract(first, form, 1).alias("method"),
-            F.regexp_extract(first, form, 2).alias("uri"),
-            F.concat_ws(".", F.regexp_extract(first, form, 3), F.regexp_extract(first, form, 4)).alias("version"),
-            headers.alias("headers"),
-            F.when(chunked, unchunk(body)).otherwise(sized).alias("body"),
-        ),
-    )
-
-
-def unchunk(body: Column) -> Column:
-    """The content (text) of a chunked body (text or bytes), whose sizes count bytes: one pass over each; what breaks off or has no size ends it."""
-
-    def one(raw: bytes | None) -> str | None:
-        if raw is None:
-            return None
-        at, out = 0, []
-        while (m := _CHUNK.match(raw, at)) and (n := int(m[1], 16)):
-            out.append(raw[m.end() : m.end() + n])
-            at = m.end() + n
-            at += 2 if raw[at : at + 2] == b"\r\n" else raw[at : at + 1] == b"\n"
-        return b"".join(out).decode("utf-8", "replace")
-
-    @F.pandas_udf(T.StringType())
-    def run(bodies: pd.Series) -> pd.Series:
-        return bodies.map(one)
-
-    return run(body.cast("binary"))
 
 
 def chunk(body: Column, size: int = 10240) -> Column:
-    """A body (text) as the bytes of chunks of at most `size` bytes, wherever that divides characters; sizes are in hex, the last chunk is empty."""
+    """A body (text or bytes) as the bytes of chunks of at most `size` bytes, wherever that divides characters; sizes are in hex, the last chunk is empty."""
     n = F.ceil(F.octet_length(body) / size).cast("int")
-    raw = F.decode(F.encode(body, "UTF-8"), "ISO-8859-1")  # a character for each byte
+    raw = F.decode(body.cast("binary"), "ISO-8859-1")  # a character for each byte
     one = lambda i: F.substring(raw, i * size + 1, F.lit(size))
     parts = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lower(F.hex(F.length(one(i)))), F.lit("\r\n"), one(i), F.lit("\r\n")))
     return F.encode(F.concat(F.array_join(parts, ""), F.lit("0\r\n\r\n")), "ISO-8859-1")
 
 
-def parse_reply(raw: Column) -> Column:
-    """struct(status, reason, version, headers, body) of a whole reply; null where its first line is none."""
-    form = r"^HTTP/([0-9]\.[0-9]) ([0-9]{3}) ?([^\r\n]*)"
-    as_request = parse_request(F.concat(F.lit("GET / HTTP/1.0\r\n"), F.regexp_replace(raw, r"^[^\n]*\n", "")))
-    return F.when(F.regexp_like(raw, F.lit(form)), F.struct(F.regexp_extract(raw, form, 2).cast("int").alias("status"), F.regexp_extract(raw, form, 3).alias("reason"), F.regexp_extract(raw, form, 1).alias("version"), as_request["headers"].alias("headers"), as_request["body"].alias("body")))
-
-
 def result_reply(value: Column, error: Column) -> Column:
     """struct(status, body) of a call: its value as JSON, or 500 and its error."""
     return F.when(error.isNull(), F.struct(F.lit(200).alias("status"), F.to_json(value).alias("body"))).otherwise(F.struct(F.lit(500).alias("status"), F.to_json(F.struct(error.alias("error"))).alias("body")))
@@ -143,25 +89,16 @@ def remove_header(headers: Column, name: str) -> Column:
     return F.map_filter(headers, lambda k, v: F.lower(k) != name.lower())
 
 
-def parameter(query: Column, form: Column, json_body: Column, name: str) -> Column:
-    """A parameter's value: the form's first, then the query's, then the JSON body's member."""
-    pick = lambda q: F.get(F.filter(query_parameters(q), lambda p: p["name"] == name), F.lit(0))["value"]
-    return F.coalesce(pick(form), pick(query), F.get_json_object(json_body, f"$.{name}"))
-
+def parameter(query: Column, form: Column, json_body: Column, name: str, parts: Column | None = None) -> Column:
+    """A parameter's value: the form's first, then the query's, then the JSON body's member, then the multipart form's part (see multipart) as text.
 
-def multipart(content_type: Column, body: Column) -> Column:
-    """array<struct<name, filename, mimetype, data>> of a multipart form."""
-    boundary = F.concat(F.lit("--"), F.regexp_extract(content_type, r"boundary=\"?([^\";]+)", 1))
-    parts = F.filter(F.split(F.concat(F.lit("\r\n"), body), F.concat(F.lit("\r?\n\\Q"), boundary, F.lit("\\E"))), lambda p: F.regexp_like(p, F.lit(r"(?is)content-disposition")))
-    return F.transform(
-        parts,
-        lambda p: F.struct(
-            F.regexp_extract(p, r"(?i)[; ]name=\"([^\"]*)\"", 1).alias("name"),
-            F.nullif(F.regexp_extract(p, r"(?i)filename=\"([^\"]*)\"", 1), F.lit("")).alias("filename"),
-            F.nullif(F.regexp_extract(p, r"(?i)content-type:\s*([^\r\n]+)", 1), F.lit("")).alias("mimetype"),
-            F.regexp_extract(p, r"(?s)\r?\n\r?\n(.*)$", 1).alias("data"),
-        ),
-    )
+    A name may hold any characters; a body that is no JSON object has no members, a part that is not UTF-8 no text.
+    """
+    pick = lambda q: F.get(F.filter(query_parameters(q), lambda p: p["name"] == name), F.lit(0))["value"]
+    found = [pick(form), pick(query), F.try_element_at(F.from_json(json_body, "map<string,string>"), F.lit(name))]
+    if parts is not None:
+        found.append(as_text(F.get(F.filter(parts, lambda p: p["name"] == name), F.lit(0))["data"]))
+    return F.coalesce(*found)
 
 
 def route(path: Column, routes: list[tuple[str, str]]) -> Column:
@@ -207,14 +144,23 @@ def issue_token(claims: Column, secret: Column) -> Column:
     return F.concat(signed, F.lit("."), base64url(hmac(signed, secret)))
 
 
-def verify_token(token: Column, secret: Column, now: Column) -> Column:
-    """The claims as text where the signature and the time are good, else null."""
+def verify_token(token: Column, secret: Column, now: Column, roles: Column | None = None) -> Column:
+    """The claims as text where the signature and the time are good, else null; whatever else a token holds makes it null as well.
+
+    The signature is compared as text before anything is decoded. With roles (the roles of the user that the claims name, null where there is no such user),
+    the claims' array `role` must name roles of the user only.
+    """
     part = F.split(token, r"\.")
-    claims = F.decode(unbase64url(F.get(part, F.lit(1))), "UTF-8")
     signed = F.concat_ws(".", F.get(part, F.lit(0)), F.get(part, F.lit(1)))
     good = (F.size(part) == 3) & (base64url(hmac(signed, secret)) == F.get(part, F.lit(2)))
+    claims = as_text(unbase64url(F.when(good, F.get(part, F.lit(1)))))
     until = F.get_json_object(claims, "$.exp").try_cast("bigint")
-    return F.when(good & (until.isNull() | (until > now)), claims)
+    alg = F.get_json_object(as_text(unbase64url(F.when(good, F.get(part, F.lit(0))))), "$.alg")
+    ok = good & (alg == "HS256") & (F.from_json(claims, "map<string,string>").isNotNull()) & (until.isNull() | (until > now))
+    if roles is not None:
+        named = F.coalesce(F.from_json(F.get_json_object(claims, "$.role"), "array<string>"), F.array().cast("array<string>"))
+        ok = ok & roles.isNotNull() & (F.size(F.array_except(named, roles)) == 0)
+    return F.when(ok, claims)
 
 
 def accept_quality(line: Column, mime: str) -> Column:

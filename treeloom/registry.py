@@ -12,9 +12,11 @@ _SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Registers a function (spark, folder) -> DataFrame under its name, with its SQL."""
+    """Registers a function (spark, folder) -> DataFrame under its name, with its SQL. A name is given once."""
 
     def add(f: Query) -> Query:
+        if f.__name__ in _QUERIES:
+            raise ValueError(f"query {f.__name__} is there already")
         _QUERIES[f.__name__] = f
         if sql:
             _SQL[f.__name__] = sql
