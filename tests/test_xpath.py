@@ -126,3 +126,31 @@ def test_string_values_and_target(spark):
     assert lean.filter("kind = 'element' AND str_value IS NOT NULL").count() == 0
     assert X.string_values(lean).exceptAll(X.shred(docs)).count() == 0
     assert [r.qname for r in xpath(lean, "//processing-instruction('r')").collect()] == ["r"]
+
+
+def test_filter_expressions(spark):
+    xml = "<r><a x='1'/><b x='2'><c x='3'/></b><a x='4'/><d><a x='5'/></d></r>"
+    nodes = X.shred(spark.createDataFrame([(1, xml), (2, "<r><b x='9'/></r>")], "doc_id long, xml string"))
+    chosen = xpath(nodes, "//a").select("doc_id", "pre")
+
+    def holds(predicate):
+        return [r.doc_id for r in xpath(nodes, f"/r[{predicate}]", variables={"s": chosen, "n": 2}).select("doc_id").collect()]
+
+    assert sorted(holds("(a | b)[1]")) == [1, 2]
+    assert holds("(a | b)[last()]/@x = 2") == [1]  # a union is one list: the b stands behind both a
+    assert holds("(b | a)[1]/@x = 2") == [1]
+    assert holds("((a | b)[@x > 1])[2]/c/@x = 3") == [1]
+    assert holds("(//a)[3]/@x = 5") == [1]
+    assert sorted(holds("not((//a)[4])")) == [1, 2]
+    assert holds("(a | d)//a/@x = 5") == [1]
+    assert holds("count((a | b)[position() > 1]) = 2") == [1]
+    assert holds("$s/..") == [1]
+    assert holds("$s[$n]/@x = 4") == [1]
+    assert holds("count($s/ancestor::r) = 3") == [1]
+    assert holds("(b[1] | b)[2]") and sorted(holds("(b[1] | b)[2]")) == [1, 2]  # nodes may repeat
+    assert sorted(holds("string((a | b)[2]/@x) != '7'")) == [1, 2]
+    for bad in ("(//b)[1]", "$s", "$s/a", "/r['t'[1]]", "/r[true()[1]]", "/r[(1 + 1)[1]]", "/r[(a | b)[1]"):
+        with pytest.raises(XPathError):
+            xpath(nodes, bad, variables={"s": chosen})
+    with pytest.raises(XPathError):
+        xpath(nodes, "/r[$n/a]", variables={"n": 2})

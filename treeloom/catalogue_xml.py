@@ -18,6 +18,17 @@ _ORDERS = "(SELECT o_orderkey AS doc_id, l_linenumber AS no, l_returnflag AS fla
 _CUSTOMERS = "(SELECT o_custkey AS doc_id, o_orderkey, l_orderkey FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey IS NOT NULL)"
 
 
+#: One line for each number of an order, so that lines have an order of their own.
+_LINES = "(SELECT l_orderkey AS doc_id, l_linenumber AS no, min(l_returnflag) AS flag, max(l_quantity)::INTEGER AS qty FROM lineitem GROUP BY ALL)"
+
+
+def _line_nodes(spark, d):
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("no")).agg(F.min("l_returnflag").alias("flag"), F.max("l_quantity").cast("int").alias("qty"))
+    line = X.element("line", {"no": F.col("no"), "flag": F.col("flag"), "qty": F.col("qty")})
+    docs = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", line.alias("x")))), lambda s: s["x"]), "").alias("x"))
+    return X.written(X.shred(docs.select("doc_id", X.element("order", {}, F.col("x")).alias("xml")), texts=False))
+
+
 def _counts(nodes, **paths):
     """doc_id and the number of nodes that each path selects, 0 included, from one pass over the paths' rows."""
     tagged = [xpath(nodes, p).select("doc_id", F.lit(name).alias("of")) for name, p in paths.items()]
@@ -105,6 +116,22 @@ def xpath_variables(spark, d):
     return rows.groupBy("doc_id").agg(*[F.count_if(F.col("of") == x).alias(x) for x in ("third", "returned", "first", "members")])
 
 
+@query(f"""SELECT doc_id, coalesce(arg_min(no, rank) > 2, false)::INT AS first, (count(*) FILTER (flag <> 'N') > 1 AND max(CASE WHEN flag = 'R' THEN no END) IS NOT NULL)::INT AS others,
+(count(*) FILTER (qty > 40) > 1)::INT AS two_big, (count(*) FILTER (qty > 40) > 0 AND min(no) = 1)::INT AS up, (sum(no) + sum(qty) > 100)::INT AS both, (count(*) FILTER (flag = 'A' AND qty > 40) > 0)::INT AS any_big
+FROM (SELECT *, CASE flag WHEN 'R' THEN 0 WHEN 'A' THEN 100 ELSE NULL END + no AS rank FROM {_LINES}) GROUP BY 1""")
+def xpath_filter_sets(spark, d):
+    """Predicates and steps on whole node-sets: the first of a union, steps from a union and from a variable's nodes."""
+    nodes = _line_nodes(spark, d)
+    big = xpath(nodes, "//line[@qty > 40]").select("doc_id", "pre")
+    paths = {
+        "first": "/order[(line[@flag = 'R'] | line[@flag = 'A'])[1]/@no > 2]", "others": "/order[(line[@flag = 'R'] | line[@flag = 'A'])[position() > 1]/../line[@flag = 'R']]", "two_big": "/order[($big)[2]]",
+        "up": "/order[$big/../line[1]/@no = 1]", "both": "/order[sum((line/@no | line/@qty)[string-length(.) > 0 or true()]) > 100]", "any_big": "/order[$big[@flag = 'A']]",
+    }
+    tagged = [xpath(nodes, p, variables={"big": big}).select("doc_id", F.lit(name).alias("of")) for name, p in paths.items()]
+    rows = reduce(lambda a, b: a.unionByName(b), [xpath(nodes, "/order").select("doc_id", F.lit("all").alias("of")), *tagged])
+    return rows.groupBy("doc_id").agg(*[F.count_if(F.col("of") == name).cast("int").alias(name) for name in paths])
+
+
 @query(f"SELECT doc_id FROM {_ORDERS} GROUP BY 1 HAVING sum(qty) > 60 AND floor(sum(qty) / count(*) + 0.5)::INT % 2 = 0 AND count(*) > 1 AND count(*)::VARCHAR <> '4'")
 def xpath_sum_round(spark, d):
     """sum, round, unary minus, boolean, true, false and text of numbers."""

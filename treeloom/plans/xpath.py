@@ -38,6 +38,15 @@ class Path:
     steps: list[Step]
 
 
+@dataclass
+class Filter:
+    """A node-set filtered as a whole, and steps from what is left."""
+
+    base: object
+    predicates: list
+    steps: list[Step]
+
+
 @dataclass
 class Op:
     name: str
@@ -55,7 +64,7 @@ class Var:
 
 
 def parse(text: str):
-    """The tree of an expression: Path, Op, Lit or Var."""
+    """The tree of an expression: Path, Filter, Op, Lit or Var."""
     tokens, at = [], 0
     while at < len(text.rstrip()):
         m = _TOKEN.match(text, at)
@@ -108,12 +117,12 @@ def parse(text: str):
             return Lit(value[1:-1])
         if value == "$":
             take()
-            return Var(take()[1])
+            return filtered(Var(take()[1]))
         if value == "(":
             take()
             inner = expr()
             take(")")
-            return inner
+            return filtered(inner)
         if kind == "name" and peek(1) == "(" and value not in ("text", "comment", "node", "processing-instruction"):
             name = take()[1]
             take("(")
@@ -128,9 +137,18 @@ def parse(text: str):
             low, high = FUNCTIONS[name]
             if len(args) < low or high is not None and len(args) > high:
                 raise XPathError(f"wrong number of arguments of {name}")
-            return Op(name, args)
+            return filtered(Op(name, args))
         return path()
 
+    def filtered(base):
+        """base, or what predicates and steps behind it leave of it."""
+        if peek() not in ("[", "/", "//"):
+            return base
+        if not isinstance(base, (Path, Filter, Var)) and not (isinstance(base, Op) and base.name == "|"):
+            raise XPathError("only a node-set has predicates or steps")
+        tests = predicates()
+        return Filter(base, tests, steps_from()) if peek() in ("/", "//") else Filter(base, tests, [])
+
     def path() -> Path:
         steps, absolute = [], False
         if peek() == "/":
@@ -143,11 +161,15 @@ def parse(text: str):
             absolute = True
             steps.append(Step("descendant-or-self", "node()"))
         steps.append(step())
+        return Path(absolute, simplify(steps + steps_from()))
+
+    def steps_from() -> list[Step]:
+        steps = []
         while peek() in ("/", "//"):
             if take()[1] == "//":
                 steps.append(Step("descendant-or-self", "node()"))
             steps.append(step())
-        return Path(absolute, simplify(steps))
+        return simplify(steps)
 
     def step() -> Step:
         if peek() in (".", ".."):
@@ -271,13 +293,17 @@ class Evaluator:
         rows = rows.drop("c_pre", "c_post")
         order = -F.col("pre") if step.axis in REVERSE else F.col("pre")
         rows = rows.withColumn("rid", F.concat("_from", F.array(order)))
-        for p in step.predicates:
+        return self._filtered(rows, step.predicates, "_from", order).select("doc", "ctx", "rid", *_NODE)
+
+    def _filtered(self, rows: DataFrame, predicates: list, of: str, order: Column) -> DataFrame:
+        """The rows for which the predicates hold, one after the other; positions are those among the rows of one document and `of`."""
+        for p in predicates:
             if positional(p):
-                own = Window.partitionBy("doc", "_from")
+                own = Window.partitionBy("doc", of)
                 rows = rows.withColumn("_pos", F.row_number().over(own.orderBy(order))).withColumn("_last", F.count(F.lit(1)).over(own))
             rows, value, kind = self.expr(rows, p) if positional(p) else (*self.test(rows, p), "bool")
             rows = rows.filter(F.col("_pos") == value if kind == "num" else self._bool(value, kind))
-        return rows.select("doc", "ctx", "rid", *_NODE)
+        return rows
 
     def _test(self, step: Step) -> Column:
         kinds = {"text()": ["text", "cdata"], "comment()": ["comment"], "processing-instruction()": ["pi"]}
@@ -308,23 +334,38 @@ class Evaluator:
         return context
 
     def select(self, tree) -> DataFrame:
-        """The node rows of a location path or a union of some, with rid as their order in each document."""
+        """The node rows of a location path or a union of some, with rid as their order in each document. Other node-sets stand inside predicates only."""
+        for part in tree.args if isinstance(tree, Op) and tree.name == "|" else [tree]:
+            if isinstance(part, (Filter, Var)):
+                raise XPathError("a location path or a union of some is expected")
         return self._set(self.roots(), tree, True)
 
+    def _is_set(self, e) -> bool:
+        return isinstance(e, (Path, Filter)) or isinstance(e, Op) and e.name == "|" or isinstance(e, Var) and isinstance(self.variables.get(e.name), DataFrame)
+
     def _set(self, context: DataFrame, tree, top: bool = False) -> DataFrame:
         if isinstance(tree, Op) and tree.name == "|":
             parts = [self._set(context, a, top) for a in tree.args]
             behind = F.slice("rid", F.size("ctx") + 1, F.size("rid"))
             return reduce(DataFrame.unionByName, [p.withColumn("rid", F.concat("ctx", F.array(F.lit(i).cast("long")), behind)) for i, p in enumerate(parts)])
+        if isinstance(tree, Filter):
+            rows = self._filtered(self._set(context, tree.base), tree.predicates, "ctx", F.col("rid")).select("doc", "ctx", "rid", *_NODE)
+            for s in tree.steps:
+                rows = self.step(rows, s)
+            return rows
+        if isinstance(tree, Var) and self._is_set(tree):
+            chosen = self.variables[tree.name].select(F.col(self.key).alias("doc"), "pre").distinct()
+            found = self.nodes.select(F.col(self.key).alias("doc"), *_NODE).join(chosen, ["doc", "pre"], "left_semi")
+            return context.select("doc", "ctx", "rid").join(found, "doc").withColumn("rid", F.concat("rid", F.array("pre"))).select("doc", "ctx", "rid", *_NODE)
         if not isinstance(tree, Path):
-            raise XPathError("a location path or a union of some is expected")
+            raise XPathError("a node-set is expected")
         return self.path(context, tree, top)
 
     def expr(self, rows: DataFrame, e) -> tuple[DataFrame, Column, str]:
         """rows with the columns that e needs, e's value for each row, and its type: num, str, bool or set (text, texts, any)."""
         if isinstance(e, Lit):
             return rows, F.lit(e.value), "num" if isinstance(e.value, float) else "str"
-        if isinstance(e, Var):
+        if isinstance(e, Var) and not self._is_set(e):
             if e.name not in self.variables:
                 raise XPathError(f"unknown variable {e.name}")
             v = self.variables[e.name]
@@ -333,13 +374,13 @@ class Evaluator:
             inside = F.col("kind").isin("element", "root")
             own = F.when(inside, F.coalesce("str_value", F.lit(""))).otherwise("")
             return rows, F.struct(own.alias("s"), F.when(inside, F.array(own)).otherwise(F.array().cast("array<string>")).alias("all"), inside.alias("any")), "set"
-        if isinstance(e, Path) or e.name == "|":
+        if self._is_set(e):
             return self._aggregate(rows, e, "set")
         return self._call(rows, e)
 
     def test(self, rows: DataFrame, e) -> tuple[DataFrame, Column]:
         """e as a condition. Whether a path finds a node, or one that compares with a constant, is an aggregate that holds no values."""
-        if isinstance(e, Path) or isinstance(e, Op) and e.name == "|":
+        if self._is_set(e):
             if e == Path(False, [Step("self", "node()")]):
                 return rows, F.col("kind").isin("element", "root")
             return self._aggregate(rows, e, "any")[:2]
@@ -352,8 +393,8 @@ class Evaluator:
             return rows, ~a if e.name == "not" else a
         if isinstance(e, Op) and e.name in _COMPARE:
             for path, other, turned in ((e.args[0], e.args[1], False), (e.args[1], e.args[0], True)):
-                fixed = isinstance(other, (Lit, Var)) or isinstance(other, Op) and other.name == "neg" and isinstance(other.args[0], Lit)
-                if fixed and isinstance(path, Path) and path != Path(False, [Step("self", "node()")]):
+                fixed = isinstance(other, Lit) or isinstance(other, Var) and not self._is_set(other) or isinstance(other, Op) and other.name == "neg" and isinstance(other.args[0], Lit)
+                if fixed and self._is_set(path) and path != Path(False, [Step("self", "node()")]):
                     _, value, kind = self.expr(rows, other)
                     sides = [(F.coalesce("str_value", F.lit("")), "str"), (value, kind)]
                     return self._aggregate(rows, path, "where", self._compare(e.name, *(sides[::-1] if turned else sides)))[:2]
@@ -508,7 +549,7 @@ _COMPARE = ("=", "!=", "<", "<=", ">", ">=")
 def xpath(nodes: DataFrame, expression: str, key: str = "doc_id", variables: dict | None = None, dedupe: bool = False) -> DataFrame:
     """The nodes that a location path selects in every document: key, position (from 1, in the path's order), and the node's columns.
 
-    A node reached twice appears twice; with dedupe, once, in document order.
+    A node reached twice appears twice; with dedupe, once, in document order. Variables are texts, numbers, or node-sets as tables of key and pre.
     """
     found = Evaluator(nodes, key, variables).select(parse(expression)).withColumnRenamed("doc", key)
     if dedupe:
