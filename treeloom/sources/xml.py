@@ -8,7 +8,6 @@ import tempfile
 import uuid
 from array import array
 from collections.abc import Iterator
-from functools import reduce
 from html.entities import html5
 from xml.parsers import expat
 
@@ -327,17 +326,13 @@ def written(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def string_values(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """nodes with every element's and root's str_value worked out from the text below it: each text meets the elements around it level by level."""
-    said = nodes.filter("kind IN ('text', 'cdata')").select(key, F.col("pre").alias("_at"), "parent_pre", "value")
-    parts, up = [], nodes.filter("kind IN ('element', 'root')").select(key, F.col("pre").alias("parent_pre"), F.col("parent_pre").alias("_next"))
-    deepest = nodes.agg(F.max("level")).first()[0] or 0
-    for _ in range(deepest + 1):
-        said = said.join(up, [key, "parent_pre"])
-        parts.append(said.select(key, F.col("parent_pre").alias("pre"), "_at", "value"))
-        said = said.filter("_next IS NOT NULL").select(key, "_at", F.col("_next").alias("parent_pre"), "value")
-    whole = reduce(DataFrame.unionByName, parts).groupBy(key, "pre").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]), "").alias("_said"))
+    """nodes with every element's and root's str_value worked out from the text below it, by segments of ranks (see operators.intervals.texts)."""
+    from ..operators.intervals import texts
+
     branch = F.col("kind").isin("element", "root")
-    out = nodes.join(whole, [key, "pre"], "left")
+    said = nodes.filter("kind IN ('text', 'cdata')").select(key, F.col("pre").alias("at"), "value")
+    whole = texts(said, nodes.filter(branch).select(key, F.col("pre").alias("begin"), F.col("post").alias("end")), key)
+    out = nodes.join(whole.select(key, F.col("begin").alias("pre"), F.col("text").alias("_said")), [key, "pre"], "left")
     return out.withColumn("str_value", F.when(branch, F.coalesce("_said", F.lit(""))).otherwise(F.col("value"))).select(*nodes.columns)
 
 
