@@ -10,6 +10,7 @@ from .catalogue import customer_nodes, order_nodes
 from .functions import strings
 from .operators import dom, dtd
 from .plans import xpath as P
+from .plans.template import Template
 from .plans.xpath import xpath
 from .registry import query, table
 from .sources import xml as X
@@ -325,3 +326,30 @@ def dtd_violations(spark, d):
     nodes = X.written(X.shred(p.select(F.col("p_partkey").alias("doc_id"), other.alias("xml")), texts=False))
     found = dtd.validate(nodes, _DTD).filter("problem <> 'wrong content'")
     return found.select("doc_id", F.concat_ws(": ", "problem", "detail").alias("problem"))
+
+
+_AS_LINE = "'<line flag=\"' || flag || '\" no=\"' || no || '\" qty=\"' || qty || '\"/>'"
+
+
+@query(f"SELECT doc_id, no::INT AS no, {_AS_LINE} AS xml FROM {_LINES} UNION ALL SELECT doc_id, 0, '<order>' || string_agg({_AS_LINE}, '' ORDER BY no) || '</order>' FROM {_LINES} GROUP BY 1 UNION ALL SELECT doc_id, -no::INT, 'flag=\"' || flag || '\"' FROM {_LINES}")
+def xml_subtrees(spark, d):
+    """Every line, every order and every flag attribute as text, in one pass over the nodes."""
+    nodes = _line_nodes(spark, d)
+    no = nodes.filter("kind = 'attribute' AND qname = 'no'").select("doc_id", F.col("parent_pre").alias("owner"), F.col("value").cast("int").alias("no"))
+    lines = nodes.filter("qname = 'line'").select("doc_id", "pre", F.col("pre").alias("owner"), F.lit(1).alias("sign"))
+    flags = nodes.filter("kind = 'attribute' AND qname = 'flag'").select("doc_id", "pre", F.col("parent_pre").alias("owner"), F.lit(-1).alias("sign"))
+    orders = nodes.filter("qname = 'order'").select("doc_id", "pre", F.lit(0).alias("no"))
+    named = lines.unionByName(flags).join(no, ["doc_id", "owner"]).select("doc_id", "pre", (F.col("no") * F.col("sign")).alias("no")).unionByName(orders)
+    return X.subtrees(nodes, named, collapse=True).join(named, ["doc_id", "pre"]).select("doc_id", "no", "xml")
+
+
+@query(f"SELECT doc_id, '<html><title>Order ' || doc_id || '</title><div><p>lines of <b>' || doc_id || '</b></p></div><ul>' || string_agg({_AS_LINE}, '' ORDER BY no) || '</ul><i>Order ' || doc_id || '</i></html>' AS html FROM {_LINES} GROUP BY 1")
+def tpl_node_sets(spark, d):
+    """Subtrees of the data and fragments of a template as values: a layout takes both and puts them in their places."""
+    nodes = _line_nodes(spark, d)
+    lines = X.subtrees(nodes, nodes.filter("qname = 'line'"), collapse=True)
+    listed = lines.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", "xml"))), lambda x: x["xml"]).alias("lines"))
+    ns = 'xmlns:t="http://treeloom.example/template"'
+    layout = f'<html {ns} t:fragment="page(title, body, said)"><t:block t:replace="${{title}}"/><div t:insert="${{body}}"/><ul t:insert="${{lines}}"/><i t:insert="${{said}}"/></html>'
+    page = f'<t:block {ns} t:with="n=${{doc_id}}"><t:block t:replace="~{{layout :: page(~{{::title}}, ~{{::p}}, ~{{::title/text()}})}}"/><t:block t:remove="all"><title>Order [[${{n}}]]</title><p>lines of <b t:text="${{n}}">0</b></p></t:block></t:block>'
+    return listed.select("doc_id", Template(page, {"layout.html": layout}).render(listed).alias("html"))

@@ -21,6 +21,10 @@ class ElError(ValueError):
     """The expression cannot be parsed or typed."""
 
 
+class NodeSet(T.DataType):
+    """The type of a value that is nodes of a template; the value has render(whole) and says whether it is empty."""
+
+
 #: Utility objects: name -> method -> builder of (column, type) from argument values.
 UTILITIES: dict[str, dict[str, Callable[..., Value]]] = {}
 
@@ -38,6 +42,8 @@ def utility(name: str, method: str):
 def truth(v: Value) -> Column:
     """False: null, false, 0, '' and empty collections."""
     c, t = v
+    if isinstance(t, NodeSet):
+        return F.lit(bool(c.nodes))
     if isinstance(t, T.BooleanType):
         return F.coalesce(c, F.lit(False))
     if isinstance(t, T.StringType):
@@ -51,6 +57,8 @@ def truth(v: Value) -> Column:
 
 def text(v: Value) -> Column:
     c, t = v
+    if isinstance(t, NodeSet):
+        return c.render(True)
     if isinstance(t, (T.ArrayType, T.StructType, T.MapType)):
         return F.coalesce(F.to_json(c), F.lit(""))
     return F.coalesce(c.cast("string"), F.lit(""))
@@ -76,6 +84,10 @@ class Compiler:
     def evaluate(self, expression: str) -> Value:
         """The value of '${...}', '*{...}', '@{...}', '|...|' or a bare expression."""
         e = expression.strip()
+        if e.startswith("~{"):
+            if "~" not in self.scope:
+                raise ElError("nodes are named in templates only")
+            return self.scope["~"][0].nodes(e, self), NodeSet()
         if e.startswith("@{") and e.endswith("}"):
             return self.link(e[2:-1])
         if e.startswith("*{") and e.endswith("}"):
@@ -120,14 +132,19 @@ class Compiler:
     @staticmethod
     def pairs(listed: str) -> list[tuple[str, str]]:
         """name=expression pairs divided by commas outside of quotes and brackets."""
+        found = [part.partition("=") for part in Compiler.listed(listed)]
+        return [(name.strip(), value.strip()) for name, _, value in found]
+
+    @staticmethod
+    def listed(said: str) -> list[str]:
+        """What stands between commas outside of quotes and brackets."""
         out, depth, quote, start = [], 0, False, 0
-        for i, c in enumerate(listed + ","):
+        for i, c in enumerate(said + ","):
             quote ^= c == "'"
             depth += (c in "({[") - (c in ")}]") if not quote else 0
             if c == "," and depth == 0 and not quote:
-                if part := listed[start:i].strip():
-                    name, _, value = part.partition("=")
-                    out.append((name.strip(), value.strip()))
+                if part := said[start:i].strip():
+                    out.append(part)
                 start = i + 1
         return out
 

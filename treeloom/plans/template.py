@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.strings import escape_xml
-from .el import Compiler, ElError, Value, text, truth
+from .el import Compiler, ElError, NodeSet, Value, text, truth
 
 NS, V1 = "http://treeloom.example/template", "http://treeloom.example/template-v1"
 #: Attributes that are present or absent, without a value of their own.
@@ -77,6 +77,16 @@ def _literal(v: Value) -> Column:
     return listed.substr(F.lit(2), F.length(listed) - 2)
 
 
+class Nodes:
+    """Nodes of a template and the names that were known where they were named."""
+
+    def __init__(self, template: Template, nodes: list[ET.Element | str], given: str | None, c: Compiler) -> None:
+        self.template, self.nodes, self.given, self.c = template, nodes, given, c
+
+    def render(self, whole: bool) -> Column:
+        return F.concat(F.lit(""), *[self.template._found(x, self.given, self.c, whole) for x in self.nodes])
+
+
 class Template:
     """A template's text, compiled against a DataFrame's columns. Fragments are looked up by name among `files`."""
 
@@ -89,7 +99,13 @@ class Template:
                 form[0].tail, form.text = form.text, None
 
     def render(self, df: DataFrame, **more: Value) -> Column:
-        return self._node(self.root, Compiler.over(df, **more))
+        c = Compiler.over(df, **more)
+        return self._node(self.root, Compiler(c.scope | {"~": (self, None)}, c.selected))
+
+    def nodes(self, spec: str, c: Compiler) -> Nodes:
+        """What ~{...} names, as a value: it may be given to another fragment and is put out there, with the names that are known here."""
+        found, given = self._named(spec)
+        return Nodes(self, found, given, c)
 
     def _children(self, e: ET.Element, c: Compiler, raw: str | None = None) -> list[Column]:
         parts = [self._text(e.text, c, raw)]
@@ -218,26 +234,44 @@ class Template:
         return self._wrap(e, {k: v for k, v in own.items() if k != "switch"}, plain, c, [body])
 
     def _fragment(self, spec: str, c: Compiler, whole: bool) -> Column:
-        """All that ~{file :: selector(arguments)} finds, or the whole file; without a file (or with 'this') in this template; ~{} is empty."""
-        m = re.fullmatch(r"\s*~\{\s*([\w./-]*)\s*(?:::\s*([^()]*?)\s*(?:\((.*)\))?)?\s*\}\s*", spec, re.S)
+        """All that ~{file :: selector(arguments)} finds, or the whole file; without a file (or with 'this') in this template; ~{} is empty.
+
+        A selector may end in /text(). Instead, an expression may give nodes that were named before, or XML texts of the data (one or an
+        array), which are put out as they are.
+        """
+        if spec.strip().startswith("~{"):
+            return self.nodes(spec, c).render(whole)
+        value, kind = c.evaluate(spec)
+        if isinstance(kind, NodeSet):
+            return value.render(whole)
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.array_join(value, ""), F.lit(""))
+        return text((value, kind))
+
+    def _named(self, spec: str) -> tuple[list[ET.Element | str], str | None]:
+        m = re.fullmatch(r"\s*~\{\s*([\w./-]*)\s*(?:::\s*([^()]*?(?:/text\(\))?)\s*(?:\((.*)\))?)?\s*\}\s*", spec, re.S)
         if not m:
             raise ElError(f"not a fragment: {spec!r}")
         if not m[1] and not m[2]:
-            return F.lit("")
+            return [], None
         name = next((n for n in (m[1] + s for s in ("", ".xhtml", ".html", ".xml")) if n in self.files), None)
         root = ET.fromstring(self.files[name]) if name else self.root
         if not m[2]:
-            return self._found(root, m[3], c, whole)
-        found = select(root, m[2])
+            return [root], m[3]
+        found = select(root, m[2].removesuffix("/text()"))
         if not found:
             raise ElError(f"no fragment {m[2]!r}")
-        return F.concat(*[self._found(x, m[3], c, whole) for x in found])
+        if m[2].endswith("/text()"):
+            return [said for x in found for said in (x.text, *(y.tail for y in x)) if said], None
+        return found, m[3]
 
-    def _found(self, found: ET.Element, given: str | None, c: Compiler, whole: bool) -> Column:
+    def _found(self, found: ET.Element | str, given: str | None, c: Compiler, whole: bool) -> Column:
+        if isinstance(found, str):
+            return self._text(found, c)
         own = f"{{{NS}}}fragment"
         if given:
             declared = re.search(r"\((.*)\)", found.attrib.get(own, ""))
-            values = [x.strip() for x in re.split(r",(?![^(']*[)'])", given)]
+            values = c.listed(given)
             names = [n.strip() for n in declared[1].split(",")] if declared else []
             c = c.bind(",".join(g if re.match(r"\w+=", g) else f"{n}={g}" for n, g in zip(names or values, values, strict=False)))
         if not whole:

@@ -444,12 +444,8 @@ def element(name: str, attributes: dict[str, Column], *content: Column) -> Colum
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 
 
-def from_nodes(nodes: DataFrame, key: str = "doc_id", collapse: bool = False, indent: int = 0, html: bool = False, comments: bool = True, cdata: bool = True) -> DataFrame:
-    """key, xml: each document written again from its node rows, one aggregation for all: every node gives its opening and closing text at its ranks.
-
-    collapse: an empty element is one tag. indent: blanks for each level, on lines of their own, where an element has no text of its own. html: void elements have
-    no end tag, all others do. comments: whether they are written. cdata: whether CDATA sections stay such.
-    """
+def _tokens(nodes: DataFrame, key: str, collapse: bool, indent: int, html: bool, comments: bool, cdata: bool) -> DataFrame:
+    """key, at, t: the text that each node but attributes and roots gives at its ranks."""
     from ..functions.strings import escape_xml
 
     shown = nodes.filter("kind NOT IN ('attribute', 'root')" + ("" if comments else " AND kind <> 'comment'"))
@@ -478,4 +474,32 @@ def from_nodes(nodes: DataFrame, key: str = "doc_id", collapse: bool = False, in
         first = F.when(F.col("_mixed") | (F.col("level") == 1), first).otherwise(F.concat(line, first))
         last = F.when(empty | F.col("_says"), last).otherwise(F.concat(line, last))
     both = body.select(key, F.explode(F.array(F.struct(F.col("pre").alias("at"), first.alias("t")), F.struct(F.col("post").alias("at"), last.alias("t")))).alias("e")).filter("e.t IS NOT NULL")
-    return both.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["t"]), "").alias("xml"))
+    return both.select(key, "e.*")
+
+
+def from_nodes(nodes: DataFrame, key: str = "doc_id", collapse: bool = False, indent: int = 0, html: bool = False, comments: bool = True, cdata: bool = True) -> DataFrame:
+    """key, xml: each document written again from its node rows, one aggregation for all: every node gives its opening and closing text at its ranks.
+
+    collapse: an empty element is one tag. indent: blanks for each level, on lines of their own, where an element has no text of its own. html: void elements have
+    no end tag, all others do. comments: whether they are written. cdata: whether CDATA sections stay such.
+    """
+    said = _tokens(nodes, key, collapse, indent, html, comments, cdata)
+    return said.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]), "").alias("xml"))
+
+
+def subtrees(nodes: DataFrame, targets: DataFrame, key: str = "doc_id", collapse: bool = False, indent: int = 0, html: bool = False, comments: bool = True, cdata: bool = True) -> DataFrame:
+    """key, pre, xml: each target node (key, pre) written with all below it, options as in from_nodes; an attribute as name="value", a root as its document.
+
+    All targets are written in one pass, nested ones too: what the nodes of a segment of ranks say is put together once, and a
+    target takes the segments that it is made of. Namespaces that are declared around a target are not repeated on it.
+    """
+    from ..functions.strings import escape_xml
+    from ..operators.intervals import texts
+
+    wanted = nodes.join(targets.select(key, "pre").distinct(), [key, "pre"], "left_semi")
+    own = wanted.filter("kind = 'attribute'").select(key, "pre", F.concat("qname", F.lit('="'), escape_xml(F.col("value"), True), F.lit('"')).alias("xml"))
+    spans = wanted.filter("kind <> 'attribute'").select(key, F.col("pre").alias("begin"), F.col("post").alias("end"))
+    said = _tokens(nodes, key, collapse, indent, html, comments, cdata).withColumnRenamed("t", "value")
+    written_ = texts(said, spans, key)
+    rest = spans.join(written_, [key, "begin"], "left").select(key, F.col("begin").alias("pre"), F.coalesce("text", F.lit("")).alias("xml"))
+    return rest.unionByName(own)
