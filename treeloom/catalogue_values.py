@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import codec, json_values, strings, typed, uri
-from .operators import messages, soap, web
+from .operators import messages, mounts, soap, web
 from .plans.el import Compiler, el, el_or_text, utility
 from .plans.template import Template, template
 from .registry import query, table
@@ -301,3 +301,35 @@ def soap_calls(spark, d):
     made = soap.describe("Prices", "urn:p", "http://h/p", {"price": (T.StructType().add("part", T.LongType()).add("n", T.IntegerType()), T.StructType().add("twice", T.IntegerType()))})
     wanted = ("wsdl:types", 'name="priceResponse"', 'message="ns:priceMessage"', "soap:binding", 'location="http://h/p"')
     return p.select("p_partkey", soap.action(message)["name"].alias("action"), asked["part"].alias("part"), answer.alias("reply"), F.lit(all(x in made for x in wanted)).alias("described"))
+
+
+_URLS = "(SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)"
+
+
+@query(f"""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN CASE WHEN page_id % 2 = 0 THEN 11 ELSE NULL END WHEN page_id % 5 = 1 THEN 12 WHEN page_id % 5 = 2 THEN CASE WHEN page_id % 2 = 0 THEN 13 ELSE 20 END WHEN path LIKE '%.html' THEN 21 ELSE NULL END AS mount_no, CASE WHEN page_id % 5 = 1 THEN 'p ' || page_id END AS id FROM {_URLS}""")
+def mount_table(spark, d):
+    """Requests of pages find their mounts in a table: exact paths by method, paths with names, a glob with alternatives and one for all names."""
+    p = table(spark, d, "pages")
+    n, k = F.col("page_id"), F.col("page_id") % 5
+    path = F.when(k == 0, "/Exact/path").when(k == 1, F.concat(F.lit("/user/p%20"), n, F.lit("/show"))).when(k == 2, F.concat(F.lit("/files/"), n, F.lit(".txt"))).otherwise(uri.parse(F.col("url"))["path"])
+    method = F.when((k == 0) & (n % 2 == 1), "POST").when((k == 2) & (n % 2 == 1), "HEAD").otherwise("GET")
+    table_ = spark.createDataFrame(
+        [(11, "GET", "path", "/Exact/path"), (12, "GET", "path", "/user/{id}/{what}"), (14, "GET", "path", "/user/{id}/show"), (13, "GET", "path", "/files/{name}"), (20, "GET", "glob", "/nowhere/;/files/*.txt"), (21, None, "glob", "**/*.html;/*.html")],
+        "mount_no int, method string, kind string, path string",
+    )
+    found = mounts.dispatch(p.select("page_id", path.alias("path"), method.alias("method")), table_)
+    return found.select("page_id", "mount_no", F.try_element_at("parameters", F.lit("id")).alias("id"))
+
+
+@query("SELECT event_id, user_id AS id, event_id % 2 = 0 AS flag, [event_id, user_id] AS list, 'n' || user_id AS name, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS kind, CASE WHEN event_id % 4 <> 0 THEN event_id END AS number, '2024-01-02'::DATE AS day FROM events")
+def rest_binding(spark, d):
+    """Arguments of calls by type: numbers, truth values, lists and structs in JSON, enums, dates; texts that are none are null."""
+    n, user = F.col("event_id"), F.col("user_id")
+    text = lambda c: c.cast("string")
+    values = F.create_map(
+        F.lit("id"), F.concat(F.lit(" "), user), F.lit("flag"), F.when(n % 2 == 0, "true").otherwise("no"), F.lit("list"), F.concat(F.lit("["), n, F.lit(", "), user, F.lit("]")), F.lit("who"), F.concat(F.lit('{"name": "n'), user, F.lit('", "more": 1}')),
+        F.lit("kind"), F.element_at(F.array(F.lit("low"), F.lit("high"), F.lit("odd")), (n % 3 + 1).cast("int")), F.lit("number"), F.when(n % 4 == 0, F.lit("99999999999999999999")).otherwise(text(n)), F.lit("day"), F.lit("2024-01-02"),
+    )
+    a = mounts.bind(values, "id bigint, flag boolean, list array<bigint>, who struct<name: string>, kind int, number bigint, day date, missing array<string>", {"kind": {1: "low", 2: "high"}})
+    rows = table(spark, d, "events").select("event_id", a.alias("a")).filter("a.missing IS NULL")
+    return rows.select("event_id", "a.id", "a.flag", "a.list", F.col("a.who.name").alias("name"), "a.kind", "a.number", "a.day")

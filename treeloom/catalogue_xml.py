@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from .catalogue import customer_nodes, order_nodes
 from .functions import strings
-from .operators import dom, dtd
+from .operators import dom, dtd, entities, structs
 from .plans import xpath as P
 from .plans.template import Template
 from .plans.xpath import xpath
 from .registry import query, table
+from .sources import records as R
 from .sources import xml as X
 
 _ORDERS = "(SELECT o_orderkey AS doc_id, l_linenumber AS no, l_returnflag AS flag, l_quantity::INTEGER AS qty, l_extendedprice::DECIMAL(18,2)::DOUBLE AS price FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
@@ -353,3 +354,64 @@ def tpl_node_sets(spark, d):
     layout = f'<html {ns} t:fragment="page(title, body, said)"><t:block t:replace="${{title}}"/><div t:insert="${{body}}"/><ul t:insert="${{lines}}"/><i t:insert="${{said}}"/></html>'
     page = f'<t:block {ns} t:with="n=${{doc_id}}"><t:block t:replace="~{{layout :: page(~{{::title}}, ~{{::p}}, ~{{::title/text()}})}}"/><t:block t:remove="all"><title>Order [[${{n}}]]</title><p>lines of <b t:text="${{n}}">0</b></p></t:block></t:block>'
     return listed.select("doc_id", Template(page, {"layout.html": layout}).render(listed).alias("html"))
+
+
+@query("SELECT p_partkey AS doc_id, 'e' || i AS name, p_size % 5 = 0 AND i >= 2 AS cyclic, CASE WHEN p_size % 5 <> 0 OR i < 2 THEN length(p_brand) * CASE i WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 2 * power(p_size % 7, i - 1) END END::DOUBLE AS size FROM part, generate_series(0, 12) g(i) WHERE p_size % 35 <> 0")
+def xml_entities(spark, d):
+    """What the entities of each part's document type expand to, without expanding any: each names the one before it some times; every fifth type's go round in a circle."""
+    p = table(spark, d, "part")
+    times = (F.col("p_size") % 7).cast("int")
+    one = lambda i, value: F.concat(F.lit(f'<!ENTITY e{i} "'), value, F.lit('">'))
+    own = [one(0, F.col("p_brand")), one(1, F.lit("&e0;&e0;")), *[one(i, F.repeat(F.lit(f"&e{i - 1};"), times)) for i in range(3, 13)]]
+    second = one(2, F.when(F.col("p_size") % 5 == 0, F.lit("&e1;&e12;")).otherwise(F.repeat(F.lit("&e1;"), times)))
+    xml = F.concat(F.lit("<!DOCTYPE d ["), *own, second, F.lit("]><d/>"))
+    return entities.expanded(entities.declared(p.filter("p_size % 35 <> 0").select(F.col("p_partkey").alias("doc_id"), xml.alias("xml"))))
+
+
+@query("SELECT p_partkey AS doc_id, CASE p_size % 4 WHEN 0 THEN 'recursion' WHEN 1 THEN 'undeclared entity' WHEN 2 THEN 'undeclared notation' ELSE 'too long' END AS problem, CASE p_size % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'lost' WHEN 2 THEN 'pic' ELSE 'c' END AS name FROM part")
+def xml_entity_problems(spark, d):
+    """An entity that names itself, one that is not declared, a picture of an unknown notation, and one that expands too far."""
+    p = table(spark, d, "part")
+    ways = ['<!ENTITY a "x&a;">', '<!ENTITY a "x&lost;&lt;">', '<!NOTATION png SYSTEM "p"><!ENTITY pic SYSTEM "u" NDATA gif><!ENTITY ok SYSTEM "u" NDATA png>', f'<!ENTITY a "{"x" * 100}"><!ENTITY b "{"&a;" * 100}"><!ENTITY c "{"&b;" * 100}">']
+    body = F.element_at(F.array(*map(F.lit, ways)), (F.col("p_size") % 4 + 1).cast("int"))
+    return entities.problems(p.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("<!DOCTYPE d ["), body, F.lit("]><d/>")).alias("xml")), limit=100_000)
+
+
+@query("SELECT l_returnflag AS flag, count(*) AS n, sum(l_quantity::INTEGER)::BIGINT AS qty, sum(l_linenumber)::BIGINT AS numbers, 0::BIGINT AS errors FROM lineitem GROUP BY 1")
+def xml_records(spark, d):
+    """All lines written to files as records and read again by byte ranges, typed; records with content and without."""
+    line = table(spark, d, "lineitem")
+    more = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("><linen>not a record</linen><no>"), "l_linenumber", F.lit("</no></rec>"))).otherwise(F.concat(F.lit(' no="'), "l_linenumber", F.lit('"/>')))
+    text = F.concat(F.lit('<rec flag="'), "l_returnflag", F.lit('" note="a > b" qty="'), F.col("l_quantity").cast("int"), F.lit('"'), more, F.when(F.rand(1) < 0.5, "\n").otherwise(""))
+    out = f"{X.shared_folder(spark)}/records-{X.fresh_name()}"
+    line.select(text.alias("t")).write.option("lineSep", "<!-- between -->").text(out)
+    rows = R.records(spark, out, "rec", "_flag string, _qty int, _no int, no int")
+    v = F.col("value")
+    return rows.groupBy(v["_flag"].alias("flag")).agg(F.count("*").alias("n"), F.sum(v["_qty"]).alias("qty"), F.sum(F.coalesce(v["_no"], v["no"])).alias("numbers"), F.count("error").alias("errors"))
+
+
+@query(f"SELECT doc_id, count(*) AS lines, sum(qty)::BIGINT AS qty, first(flag ORDER BY no) AS flag, bool_and(no > 0) AS fine, 'none' AS note, doc_id AS id FROM {_LINES} GROUP BY 1")
+def xml_structs(spark, d):
+    """Each order as a struct with its lines in order, from the node table."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("no")).agg(F.min("l_returnflag").alias("flag"), F.max("l_quantity").cast("int").alias("qty"))
+    line = X.element("line", {"no": F.col("no")}, X.element("flag", {}, F.col("flag")), X.element("qty", {}, F.col("qty").cast("string")), X.element("qty", {}, F.lit("0")))
+    docs = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", line.alias("x")))), lambda s: s["x"]), "").alias("x"))
+    nodes = X.written(X.shred(docs.select("doc_id", X.element("order", {"id": F.col("doc_id")}, F.col("x")).alias("xml"))))
+    found = structs.assemble(nodes, nodes.filter("level = 1 AND kind = 'element'"), "_id bigint, note string, line array<struct<_no: int, flag: string, qty: array<int>>>", defaults={"note": "none"})
+    v = F.col("value")
+    total = lambda x: F.aggregate(x["qty"], F.lit(0).cast("bigint"), lambda a, q: a + q)
+    return found.select(
+        "doc_id", F.size(v["line"]).cast("long").alias("lines"), F.aggregate(v["line"], F.lit(0).cast("bigint"), lambda a, x: a + total(x)).alias("qty"), F.get(v["line"], F.lit(0))["flag"].alias("flag"),
+        F.forall(v["line"], lambda x: (x["_no"] > 0) & (F.size(x["qty"]) == 2)).alias("fine"), v["note"].alias("note"), v["_id"].alias("id"),
+    )
+
+
+@query("""SELECT p_partkey AS doc_id, '<d a="' || CASE WHEN p_size % 3 = 0 THEN 'own' ELSE '1' END || '" code="x ' || p_size || '" kind="' || CASE WHEN p_size % 2 = 0 THEN 'y' ELSE 'x' END || '" raw=" b  c "><e n="5"></e></d>' AS xml FROM part""")
+def dtd_typed_attributes(spark, d):
+    """Missing attributes with a default are added in their places; values of tokens lose their blanks, other ones keep them."""
+    p = table(spark, d, "part")
+    xml = F.concat(F.lit("<d"), F.when(F.col("p_size") % 3 == 0, ' a="own"').otherwise(""), F.lit(' code="  x   '), "p_size", F.lit(' "'), F.when(F.col("p_size") % 2 == 0, ' kind=" y "').otherwise(""), F.lit(' raw=" b  c "><e/></d>'))
+    declared = X.dtd_declarations("<!ELEMENT d (e)> <!ELEMENT e EMPTY> <!ATTLIST d a CDATA '1' kind (x|y) 'x' code NMTOKENS #REQUIRED raw CDATA #IMPLIED> <!ATTLIST e n NMTOKEN '5'>")["attributes"]
+    table_ = spark.createDataFrame([tuple(x[k] for k in ("element", "attribute", "type", "default", "required", "fixed")) for x in declared], "element string, attribute string, type string, default string, required boolean, fixed boolean")
+    nodes = X.written(X.shred(p.select(F.col("p_partkey").alias("doc_id"), xml.alias("xml")), texts=False))
+    return X.from_nodes(dtd.typed_attributes(nodes, table_))

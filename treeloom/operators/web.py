@@ -12,6 +12,7 @@ from ..functions.codec import base64url, hmac, unbase64url
 from ..functions.strings import as_text
 from ..functions.uri import glob_pattern, query_parameters
 from .messages import METHODS, multipart, parse_reply, parse_request, unchunk  # noqa: F401
+from .mounts import dispatch
 
 #: Standard reason phrases.
 REASONS = {200: "OK", 201: "Created", 202: "Accepted", 204: "No Content", 300: "Multiple Choices", 301: "Moved Permanently", 302: "Moved Temporarily", 303: "See Other", 304: "Not Modified", 307: "Temporary Redirect", 400: "Bad Request", 401: "Unauthorized", 403: "Forbidden", 404: "Not Found", 405: "Method not allowed", 415: "Unsupported Media Type", 422: "Unprocessable Entity", 500: "Internal Server Error", 501: "Not Implemented", 502: "Bad Gateway", 503: "Service Unavailable"}
@@ -130,11 +131,11 @@ def access(path: Column, roles: Column, rules: list[tuple[str, list[str]]]) -> C
     return out.otherwise(F.lit(False))
 
 
-def rule_join(requests: DataFrame, rules: DataFrame, path: str = "path", order: str = "rule_no") -> DataFrame:
-    """Each request with its first matching rule (rules: rule_no, pattern, ...), for rule tables that are data: a broadcast theta join and a minimum."""
-    hit = requests.join(F.broadcast(rules), F.regexp_like(F.col(path), F.col("pattern")))
-    named = [c for c in rules.columns if c != "pattern"]
-    return hit.groupBy(*requests.columns).agg(F.min_by(F.struct(*named), order).alias("_r")).select(*requests.columns, "_r.*")
+def rule_join(requests: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
+    """Each request with the columns of its first matching rule, null where none matches. rules: rule_no, glob, and any other columns; see mounts.dispatch."""
+    globs = rules.select(F.col("rule_no").alias("mount_no"), F.lit(None).cast("string").alias("method"), F.lit("glob").alias("kind"), F.col("glob").alias("path"))
+    found = dispatch(requests.withColumn("_any", F.lit("GET")), globs, path, "_any").drop("_any", "parameters").withColumnRenamed("mount_no", "rule_no")
+    return found.join(rules, "rule_no", "left")
 
 
 def issue_token(claims: Column, secret: Column) -> Column:

@@ -310,17 +310,26 @@ def shred(docs: DataFrame, key: str = "doc_id", xml: str = "xml", texts: bool =
     return docs.select(key, xml).mapInArrow(run, f"`{key}` {kind}, {NODES}")
 
 
-def written(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The table written to the folder that driver and executors share (spark.checkpoint.dir) and read back, so that documents are
-    parsed once however many steps read it, each only the columns that it needs; lost executors cost no second parse."""
-    spark = nodes.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session. Where that is unset, a temporary folder on a local master; elsewhere an error, as executors do not share it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/nodes-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def fresh_name() -> str:
+    return uuid.uuid4().hex
+
+
+def written(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The table written to the folder that driver and executors share (spark.checkpoint.dir) and read back, so that documents are
+    parsed once however many steps read it, each only the columns that it needs; lost executors cost no second parse."""
+    spark = nodes.sparkSession
+    path = f"{shared_folder(spark)}/nodes-{fresh_name()}"
     nodes.write.parquet(path)
     return spark.read.schema(nodes.schema).parquet(path)
 
