@@ -36,12 +36,15 @@ IMPLIED_END = {
 }
 #: Start tags that leave an open head open; any other ends it.
 IN_HEAD = frozenset("head base link meta title style script noscript template noframes".split())
-#: Elements that an end tag of something outside does not reach through.
+#: Elements that an end tag of something outside does not reach through; end tags of a table and its parts reach through open cells.
 SCOPE = frozenset("table td th caption html template object".split())
+TABLE_PARTS = frozenset("tr thead tbody tfoot".split())
 #: Fixed values of HTML: the most columns and rows that a cell may span.
 SPAN, ROWS_SPAN = 1000, 65534
 #: Width in pixels of the screen for which media queries are answered.
 SCREEN = 1280
+#: Columns of indentation and quotation marks before a line, at most.
+INDENT = 40
 
 #: White space inside a tag is HTML's own, not Unicode's.
 _NAME = re.compile(r"[a-zA-Z][^ \t\n\r\f/>]*")
@@ -49,16 +52,17 @@ _GAP = re.compile(r"[ \t\n\r\f/]*")
 _ATTRIBUTE = re.compile(r"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*)(?:[ \t\n\r\f]*=[ \t\n\r\f]*(?:\"([^\"]*)\"|'([^']*)'|([^ \t\n\r\f>]*)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
-_SIMPLE = re.compile(r"^(\*|[a-z][a-z0-9]*)?([.#][\w-]+)?$", re.I)
+_COMPOUND = re.compile(r"(\*|[a-z][a-z0-9-]*)?((?:[.#][\w-]+)*)", re.I)
+_COMBINATOR = re.compile(r"\s*>\s*|\s+")
 _QUERY = re.compile(r"^(?:only\s+)?(all|screen)?(?:\s*(?:and\s*)?(\(.*))?$", re.I | re.S)
 _WIDTH = re.compile(r"\(\s*(min|max)-width\s*:\s*([0-9.]+)px\s*\)", re.I)
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "parent", "tag")
 
-    def __init__(self, tag: str, attrs: dict | None = None) -> None:
-        self.tag, self.attrs, self.children = tag, attrs or {}, []
+    def __init__(self, tag: str, attrs: dict | None = None, parent: Node | None = None) -> None:
+        self.tag, self.attrs, self.children, self.parent = tag, attrs or {}, [], parent
 
 
 def tags(page: str) -> Iterator[tuple[str, str, dict | None]]:
@@ -153,9 +157,9 @@ def build(page: str) -> Node:
                     if len(stack) == before:
                         break
             if what in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
-                stack[-1].children.append(row := Node("tr"))
+                stack[-1].children.append(row := Node("tr", None, stack[-1]))
                 push(row)
-            node = Node(what, attrs)
+            node = Node(what, attrs, stack[-1])
             stack[-1].children.append(node)
             if what not in VOID:
                 push(node)
@@ -163,6 +167,10 @@ def build(page: str) -> Node:
             stack[-1].children.append(Node("br"))
         elif what == "p" and not is_open.get("p"):
             stack[-1].children.append(Node("p"))
+        elif what == "table":
+            close_to({what}, {"template", "object"})
+        elif what in TABLE_PARTS:
+            close_to({what}, {"table", "template", "object"})
         elif what not in ("html", "body"):
             close_to({what}, SCOPE - {what})
     return root
@@ -206,12 +214,33 @@ def css_rules(css: str) -> Iterator[tuple[str, str]]:
             at = end
 
 
+Compound = tuple[str, frozenset, frozenset]
 Shown = dict[str, list[tuple]]
 
 
+def selector(said: str) -> list[tuple[str, Compound]] | None:
+    """The compounds of a selector from its last to its first, each as (tag or *, classes, ids), with what stands before it: '>', ' ' or nothing. Null where it has other parts."""
+    out, at = [], 0
+    said = said.strip()
+    between = ""
+    while at < len(said):
+        m = _COMPOUND.match(said, at)
+        if m.end() == at:
+            return None
+        marks = re.findall(r"[.#][\w-]+", m[2].lower())
+        out.append((between, ((m[1] or "*").lower(), frozenset(x[1:] for x in marks if x[0] == "."), frozenset(x[1:] for x in marks if x[0] == "#"))))
+        at = m.end()
+        if at < len(said):
+            gap = _COMBINATOR.match(said, at)
+            if not gap or gap.end() == len(said):
+                return None
+            between, at = gap[0].strip() or " ", gap.end()
+    return out[::-1] or None
+
+
 def hiding_rules(root: Node) -> Shown:
-    """What style elements say about display and visibility by simple selectors (name, .class, #id, or a name with one of these): for each
-    last part of a selector, (name before it, property, hides, rank); the greatest rank wins: important, id, class, name, place."""
+    """What style elements say about display and visibility by selectors of names, classes and ids, one inside another too: for an id, class or name of the
+    last compound, (selector, property, hides, rank); the greatest rank wins: important, ids, classes, names, place."""
     found: Shown = {}
     todo, place = [root], 0
     styles = []
@@ -222,32 +251,77 @@ def hiding_rules(root: Node) -> Shown:
         todo.extend(x for x in reversed(node.children) if isinstance(x, Node))
     for names, body in (rule for css in styles for rule in css_rules(css)):
         said = [(p.lower(), v.lower() in ("none", "hidden", "collapse"), bool(important)) for p, v, important in _DECLARED.findall(body)]
-        for s in names.split(",") if said else ():
-            if s.strip() and (m := _SIMPLE.match(s.strip())):
-                tag, own = (m[1] or "*").lower(), (m[2] or "").lower()
+        for one in names.split(",") if said else ():
+            if chain := selector(one):
+                tag, classes, ids = chain[0][1]
+                own = "#" + min(ids) if ids else "." + min(classes) if classes else tag
+                weight = (sum(len(c[2]) for _, c in chain), sum(len(c[1]) for _, c in chain), sum(c[0] != "*" for _, c in chain))
                 for p, hides, important in said:
                     place += 1
-                    found.setdefault(own or tag, []).append((tag if own else "*", p, hides, (important, own[:1] == "#", own[:1] == ".", tag != "*", place)))
+                    found.setdefault(own, []).append((chain, p, hides, (important, *weight, place)))
     return found if any(hides for rules in found.values() for _, _, hides, _ in rules) else {}
 
 
-def visible(node: Node, rules: Shown) -> bool:
-    """Whether an element is shown where the one around it is: by its kind, its hidden attribute, and the rule of the greatest rank."""
+def _fits(node: Node, compound: Compound) -> bool:
+    tag, classes, ids = compound
     a = node.attrs
-    if node.tag in UNSEEN or node.tag == "dialog" and "open" not in a or node.tag == "input":
+    return tag in ("*", node.tag) and (not ids or ids == {a.get("id", "").lower()}) and (not classes or classes <= set(a.get("class", "").lower().split()))
+
+
+def _matches(node: Node | None, chain: list[tuple[str, Compound]], k: int = 0) -> bool:
+    if node is None or not _fits(node, chain[k][1]):
         return False
-    best = {"display": ((False,), "hidden" in a), "visibility": ((False,), False)}
+    if k + 1 == len(chain):
+        return True
+    around = node.parent
+    if chain[k][0] == ">":
+        return _matches(around, chain, k + 1)
+    while around is not None:
+        if _matches(around, chain, k + 1):
+            return True
+        around = around.parent
+    return False
+
+
+def _said(node: Node, rules: Shown) -> tuple[bool, bool | None]:
+    """Whether an element is not displayed; whether it says that it is hidden or visible, null where it says nothing."""
+    a = node.attrs
+    if node.tag in UNSEEN or node.tag == "dialog" and "open" not in a or node.tag == "input":
+        return True, None
+    best: dict = {"display": ((False,), "hidden" in a), "visibility": ((False,), None)}
     if rules:
-        names = ["*", node.tag] + ["." + c for c in a.get("class", "").lower().split()] + (["#" + a["id"].lower()] if a.get("id") else [])
+        names = ["*", node.tag] + ["." + c for c in set(a.get("class", "").lower().split())] + (["#" + a["id"].lower()] if a.get("id") else [])
         for name in names:
-            for tag, p, hides, rank in rules.get(name, ()):
-                if tag in ("*", node.tag) and rank > best[p][0]:
+            for chain, p, hides, rank in rules.get(name, ()):
+                if rank > best[p][0] and _matches(node, chain):
                     best[p] = rank, hides
     for p, v, important in _DECLARED.findall(a["style"]) if "style" in a else ():
-        rank = (bool(important), True, True, True, float("inf"))
+        rank = (bool(important), float("inf"))
         if rank >= best[p.lower()][0]:
             best[p.lower()] = rank, v.lower() in ("none", "hidden", "collapse")
-    return not any(hides for _, hides in best.values())
+    return best["display"][1], best["visibility"][1]
+
+
+def visible(node: Node, rules: Shown) -> bool:
+    """Whether an element is shown where the one around it is: by its kind, its hidden attribute, and the rule of the greatest rank."""
+    gone, hidden = _said(node, rules)
+    return not gone and not hidden
+
+
+def _shown(node: Node, out: Page, rules: Shown, pre: bool = False) -> bool:
+    """Whether an element is shown. Of one that is hidden but displayed, what says inside that it is visible is laid out instead."""
+    gone, hidden = _said(node, rules)
+    if hidden and not gone:
+        todo = node.children[::-1]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, Node):
+                away, again = _said(x, rules)
+                if again is False and not away:
+                    _render([x], out, rules, pre)
+                elif not away:
+                    todo.extend(x.children[::-1])
+    return not gone and not hidden
 
 
 class Page:
@@ -293,7 +367,8 @@ class Page:
 
     def inside(self, lines: list[str], first: str, rest: str) -> None:
         for i, line in enumerate(lines):
-            self.put(((rest if i else first) + line).rstrip())
+            deep = len(line) - len(line.lstrip(" >")) >= INDENT
+            self.put(line if deep else ((rest if i else first) + line).rstrip())
 
 
 def _trim(lines: list[str]) -> list[str]:
@@ -313,6 +388,10 @@ def _span(node: Node, name: str, most: int) -> int:
     return min(most, max(1, int(said))) if re.fullmatch("[0-9]{1,9}", said) else 1
 
 
+def _whole(said: str | None, otherwise: int) -> int:
+    return int(said) if said and re.fullmatch(r"\s*[-+]?[0-9]{1,9}\s*", said) else otherwise
+
+
 def _table(table: Node, out: Page, rules: Shown) -> None:
     """Cells stand in the columns that colspan and rowspan give them; a column is as wide as its widest line."""
     rows: list[list[tuple[int, list[str], int]]] = []  # cells of each row: column, lines, columns spanned
@@ -323,7 +402,7 @@ def _table(table: Node, out: Page, rules: Shown) -> None:
             if isinstance(x, str):
                 if x.strip():
                     out.say(x)
-            elif not visible(x, rules):
+            elif not _shown(x, out, rules):
                 continue
             elif x.tag in ("thead", "tbody", "tfoot"):
                 taken.clear()
@@ -333,7 +412,7 @@ def _table(table: Node, out: Page, rules: Shown) -> None:
                 cells, at, ahead = [], 0, {}
                 for c in x.children:
                     if isinstance(c, Node) and c.tag in ("td", "th"):
-                        if visible(c, rules):
+                        if _shown(c, out, rules):
                             while taken.get(at):
                                 at += 1
                             wide, high = _span(c, "colspan", SPAN), _span(c, "rowspan", ROWS_SPAN)
@@ -387,7 +466,7 @@ def _render(children: list, out: Page, rules: Shown, pre: bool = False) -> None:
         tag = x.tag
         if tag == "br":
             out.break_line(True)
-        elif not visible(x, rules):
+        elif not _shown(x, out, rules, pre):
             continue
         elif tag == "hr":
             out.leave_gap()
@@ -399,13 +478,15 @@ def _render(children: list, out: Page, rules: Shown, pre: bool = False) -> None:
             out.leave_gap()
         elif tag in ("ul", "ol", "menu", "dir"):
             out.leave_gap()
-            start = x.attrs.get("start", "1")
-            number = int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
+            back = tag == "ol" and "reversed" in x.attrs
+            items = sum(isinstance(y, Node) and y.tag == "li" and visible(y, rules) for y in x.children) if back else 1
+            number, step = _whole(x.attrs.get("start"), items), -1 if back else 1
             for item in x.children:
                 if isinstance(item, Node) and item.tag == "li":
-                    if visible(item, rules):
+                    if _shown(item, out, rules):
+                        number = _whole(item.attrs.get("value"), number)
                         mark = f"{number}. " if tag == "ol" else "- "
-                        number += 1
+                        number += step
                         out.break_line()
                         out.inside(_flow(item, rules) or [""], mark, " " * len(mark))
                 else:
@@ -443,7 +524,7 @@ def _render(children: list, out: Page, rules: Shown, pre: bool = False) -> None:
 def text_of(page: str | None) -> str:
     """All visible text of a page, laid out: blocks on lines of their own, blank lines around paragraphs, headings, lists and tables,
     list marks with indented continuation, table cells in aligned columns, preformatted text as it is. Null and empty pages give ''.
-    Elements nest to any depth. What an element hides by visibility, its descendants do not show again."""
+    Elements nest to any depth; a line is indented by INDENT columns at most. What an element hides by visibility, its descendants may show again."""
     if not page:
         return ""
     root = build(page)
