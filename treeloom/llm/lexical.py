@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import kept
+from .store import gathered, kept
 from .textkit import LOWER, HashTable, flat, hash_spans, padded, spans, steps
 
 #: Queries of one block, whose terms are broadcast; postings of a shard's tree; nodes that are opened at a time.
@@ -201,16 +201,16 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, key: str = "doc_id",
     blocks = -(-rows.count() // QUERY_BLOCK)
     kinds = dict(docs.dtypes)[key], dict(items.dtypes)[item]
     shape = f"item {kinds[1]}, rank int, doc_id {kinds[0]}, score long"
-    found = []
-    for b in range(blocks):
-        part = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else rows
-        if (hits := _block(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), part, k, kinds)) is not None:
-            found.append(kept(hits, "hits") if blocks > 1 else hits)
-    out = spark.createDataFrame([], shape)
-    if found:
-        out = found[0]
-        for hits in found[1:]:
-            out = out.unionByName(hits)
+
+    def parts() -> Iterator[DataFrame]:
+        for b in range(blocks):
+            part = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else rows
+            if (hits := _block(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), part, k, kinds)) is not None:
+                yield hits
+
+    out = gathered(parts(), "hits") if blocks > 1 else next(parts(), None)
+    if out is None:
+        out = spark.createDataFrame([], shape)
     return out.select(F.col("item").alias(item), "rank", F.col("doc_id").alias(key if key != item else "doc_id"), "score")
 
 

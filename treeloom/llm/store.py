@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(parts: Iterable[DataFrame], name: str) -> DataFrame | None:
+    """The rows of all parts, each written to one table of the shared folder before the next is begun, so that the plan does not grow with their number; null if there is no part."""
+    path, first = None, None
+    for part in parts:
+        if first is None:
+            first, path = part, f"{shared_dir(part.sparkSession)}/{name}-{uuid.uuid4().hex}"
+        part.write.mode("append").parquet(path)
+    return None if first is None else first.sparkSession.read.schema(first.schema).parquet(path)
+
+
 #: A key with more than one row in this many is hot, so there are fewer hot keys than this.
 HOT_SHARE = 512
 

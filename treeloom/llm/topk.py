@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import gathered
+
 #: Queries of one block (what is broadcast), bins of one histogram, candidate rows scored at a time.
 QUERY_BLOCK, BINS, ROWS = 2048, 64, 1024
 SCALE = 256.0
@@ -70,7 +72,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     Queries are taken in blocks of about QUERY_BLOCK (the only thing broadcast). For a block, every pass scores all
     rows in place and sends home counts only: BINS bins of each query's current score interval. The interval
     shrinks to the bin that holds the k-th value until that value, or a set of few rows above it, is known; then
-    each task returns its rows that reach it, its own k best at most for each query, and a last ranking picks k.
+    each task returns its rows that reach it, its own k best at most for each query, and a last ranking picks k. Several
+    blocks write these rows to one table of the shared folder, so the plan does not grow with the queries.
     """
     spark = vectors.sparkSession
     good = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("is_query")).filter(
@@ -85,14 +88,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     if not n_queries or longest is None:
         return empty
     blocks = -(-n_queries // QUERY_BLOCK)
-    found = []
-    for b in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow() if blocks > 1 else queries.toArrow()
-        if rows.num_rows:
-            found.append(_block(good, rows, longest, k))
-    hits = found[0]
-    for other in found[1:]:
-        hits = hits.unionByName(other)
+
+    def parts() -> Iterator[DataFrame]:
+        for b in range(blocks):
+            rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow() if blocks > 1 else queries.toArrow()
+            if rows.num_rows:
+                yield _block(good, rows, longest, k)
+
+    hits = gathered(parts(), "hits") if blocks > 1 else next(parts())
     best = Window.partitionBy("query_id", "_row").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
