@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import codec, json_values, strings, typed, uri
-from .operators import messages, mounts, soap, web
+from .operators import messages, mounts, replies, soap, web
 from .plans.el import Compiler, el, el_or_text, utility
 from .plans.template import Template, template
 from .registry import query, table
@@ -333,3 +333,43 @@ def rest_binding(spark, d):
     a = mounts.bind(values, "id bigint, flag boolean, list array<bigint>, who struct<name: string>, kind int, number bigint, day date, missing array<string>", {"kind": {1: "low", 2: "high"}})
     rows = table(spark, d, "events").select("event_id", a.alias("a")).filter("a.missing IS NULL")
     return rows.select("event_id", "a.id", "a.flag", "a.list", F.col("a.who.name").alias("name"), "a.kind", "a.number", "a.day")
+
+
+_REASON = "CASE event_id % 3 WHEN 0 THEN 'Not Found' WHEN 1 THEN 'Forbidden' ELSE 'Not Modified' END"
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 3 = 2 OR event_id % 4 = 0 THEN '' ELSE '<html><body><h1>' || {_REASON} || '</h1><p>&lt;' || event_type || '&gt;</p></body></html>' END AS body,
+CASE WHEN event_id % 3 <> 2 THEN (octet_length(encode('<html><body><h1>' || {_REASON} || '</h1><p>&lt;' || event_type || '&gt;</p></body></html>')))::VARCHAR END AS size,
+CASE WHEN event_id % 5 = 0 THEN '/ctx/in/' || event_id ELSE 'http://h/' || event_id END AS location, '/in/' || event_id AS after FROM events""")
+def web_replies(spark, d):
+    """Stock pages, bodies that HEAD leaves out, redirections below a context, where a logout leads."""
+    n, k = F.col("event_id"), F.col("event_id") % 3
+    status = F.when(k == 0, 404).when(k == 1, 403).otherwise(304)
+    made = replies.served(replies.stock(status, F.concat(F.lit("<\x01"), "event_type", F.lit(">"))), F.when(n % 4 == 0, "HEAD").otherwise("GET"))
+    moved = F.struct(F.lit(302).alias("status"), F.create_map(F.lit("Location"), F.concat(F.when(n % 5 == 0, "/in/").otherwise("http://h/"), n)).alias("headers"), F.lit("").alias("body"))
+    rows = table(spark, d, "events").select("event_id", made.alias("r"), replies.served(moved, F.lit("GET"), "/ctx").alias("m"), replies.logout(F.concat(F.lit("//evil.net/in/"), n)).alias("o"))
+    return rows.select("event_id", "r.body", F.try_element_at("r.headers", F.lit("Content-Length")).alias("size"), F.try_element_at("m.headers", F.lit("Location")).alias("location"), F.col("o.location").alias("after"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 403 WHEN event_id % 2 = 1 THEN 303 ELSE 200 END AS status, CASE WHEN event_id % 4 <> 0 AND event_id % 2 = 1 THEN '/e/' || event_id END AS location, CASE WHEN event_id % 4 <> 0 AND event_id % 2 = 1 THEN user_id END AS known, CASE WHEN event_id % 4 = 2 THEN true END AS form, '404 ' || event_type AS page FROM events")
+def web_logins(spark, d):
+    """Logins of the events' users: forged ones, right ones with a token that verifies, wrong ones with the form again; an error page by a template."""
+    e, n = table(spark, d, "events"), F.col("event_id")
+    name = F.concat(F.lit("u"), "user_id")
+    users = e.select(name.alias("username")).distinct().select("username", codec.encode_password(F.concat(F.lit("pw"), "username"), F.lit("salt"), 2).alias("stored"), F.array(F.lit("USER")).alias("role"))
+    asked = e.select("event_id", "event_type", "user_id", name.alias("username"), F.concat(F.when(n % 2 == 1, "pw").otherwise("no"), name).alias("password"), F.concat(F.lit("//x/e/"), n).alias("uri"), F.lit("c").alias("csrf"), F.when(n % 4 == 0, "d").otherwise("c").alias("own_csrf"))
+    rows = replies.login(asked, users, F.lit("key"), F.lit(1_000)).withColumn("token", F.regexp_extract("cookie", "^access_token=([^;]*)", 1))
+    claims = web.verify_token(F.col("token"), F.lit("key"), F.lit(2_000), F.array(F.lit("USER")))
+    rows = rows.withColumn("error", replies.error_model(F.lit(404), F.col("event_type"), F.lit("GET"), F.lit("/"), F.col("username")))
+    page = replies.error_pages(rows, templates={"error": '<e xmlns:t="http://treeloom.example/template">[[${error.nr}]] [[${error.message}]]</e>'})
+    known = F.regexp_extract(F.get_json_object(claims, "$.username"), "([0-9]+)", 1).try_cast("bigint")
+    form = F.when(F.contains("page", F.concat(F.lit('name="username" value="'), name, F.lit('"'))), True)
+    return rows.select("event_id", "status", "location", known.alias("known"), form.alias("form"), F.regexp_extract(page, "<e>(.*)</e>", 1).alias("page"))
+
+
+@query("SELECT event_id, event_type || ' xmlns=\"q\" and' AS a, '<b:c xmlns=\"k\">' || user_id AS b, user_id AS k FROM events")
+def soap_texts(spark, d):
+    """Calls whose texts look like names and namespaces keep them."""
+    call = F.concat(F.lit('<e:Envelope xmlns:e="u"><e:Body><q:f xmlns:q="p"><q:a>'), "event_type", F.lit(' xmlns="q" and</q:a><b><![CDATA[<b:c xmlns="k">'), "user_id", F.lit(']]></b><c k="'), "user_id", F.lit('">t</c></q:f></e:Body></e:Envelope>'))
+    p = soap.parameters(call, "f", "a string, b string, c struct<_k: bigint, _VALUE: string>")
+    return table(spark, d, "events").select("event_id", p.alias("p")).select("event_id", "p.a", "p.b", F.col("p.c._k").alias("k"))

@@ -16,6 +16,18 @@ def to_text(v: Column) -> Column:
     return F.to_json(v)
 
 
+def to_safe_text(v: Column) -> Column:
+    """JSON text as it may stand in a script: keys sorted, each slash escaped."""
+    return F.replace(F.to_json(v), F.lit("/"), F.lit("\\/"))
+
+
+def number(value: Column) -> Column:
+    """A VARIANT of a number, null where it is none that JSON has: not a number, infinite, or too small for its full precision."""
+    v = value.cast("double")
+    plain = ~F.isnan(v) & (F.abs(v) < float("inf")) & ((v == 0) | (F.abs(v) >= 2.2250738585072014e-308))
+    return F.when(plain, F.try_variant_get(F.to_variant_object(F.array(value)), "$[0]", "variant"))
+
+
 def of(value: Column) -> Column:
     """A VARIANT of a column of any type; structs and maps become objects."""
     return F.to_variant_object(value)

@@ -40,6 +40,28 @@ def normalize_lines(text: Column, version: str = "1.0") -> Column:
     return F.regexp_replace(text, "\r\n?" if version == "1.0" else "\r[\n\x85]?|[\x85\u2028]", "\n")
 
 
+def first_character(text: Column) -> Column:
+    """The first character, by code points; null of an empty text."""
+    return F.nullif(F.left(text, F.lit(1)), F.lit(""))
+
+
+def without_last(text: Column) -> Column:
+    """The text without its last character."""
+    return F.left(text, F.length(text) - 1)
+
+
+def append_code_point(text: Column, code: Column) -> Column:
+    """The text and the character of a code point; null where there is no such character."""
+    legal = code.between(0, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    wide = F.unhex(F.lpad(F.hex(F.when(legal, code).cast("long")), 8, F.lit("0")))
+    return F.concat(text, F.decode(wide, "UTF-32"))
+
+
+def to_hex(number: Column) -> Column:
+    """A number that is not negative in lower-case hexadecimal digits."""
+    return F.lower(F.hex(number))
+
+
 def as_text(data: Column) -> Column:
     """Text of bytes in UTF-8; null where they are not."""
     return F.try_validate_utf8(data.cast("string"))

@@ -7,23 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.strings import escape_xml
-from ..functions.typed import from_xml, to_xml, xml_schema
+from ..functions.typed import to_xml, xml_schema
 
 ENVELOPE = "http://schemas.xmlsoap.org/soap/envelope/"
 _BODY = r"(?s)^\s*(?:<\?xml[^>]*>\s*)?<(?:[\w.-]+:)?Envelope[^>]*>.*?<(?:[\w.-]+:)?Body[^>]*>\s*(.*?)\s*</(?:[\w.-]+:)?Body>\s*</(?:[\w.-]+:)?Envelope>\s*$"
 
 
 def action(message: Column) -> Column:
-    """struct(name, xml) of the first element in an envelope's body, with prefixes taken off; null where there is no envelope."""
+    """struct(name, xml) of the first element in an envelope's body: its name without a prefix, and its text as it stands; null where there is no envelope."""
     body = F.regexp_extract(message, _BODY, 1)
-    plain = F.regexp_replace(F.regexp_replace(body, r"(</?)[\w.-]+:", "$1"), r"\s+xmlns(?::[\w.-]+)?=(?:\"[^\"]*\"|'[^']*')", "")
-    return F.when(body != "", F.struct(F.regexp_extract(plain, r"^<([\w.-]+)", 1).alias("name"), plain.alias("xml")))
+    name = F.regexp_extract(F.regexp_replace(body, r"^(?s:\s|<!--.*?-->|<\?.*?\?>)+", ""), r"^<(?:[\w.-]+:)?([\w.-]+)", 1)
+    return F.when(name != "", F.struct(name.alias("name"), body.alias("xml")))
 
 
 def parameters(message: Column, name: str, schema: str | T.StructType) -> Column:
-    """The typed parameters of an action of that name; null for messages of other actions."""
-    found = action(message)
-    return F.when(found["name"] == name, from_xml(found["xml"], schema, name))
+    """The typed parameters of an action of that name; null for messages of other actions.
+
+    The whole envelope is read as a tree whose names count without their prefixes, so texts and sections are what they are.
+    """
+    fields = schema if isinstance(schema, str) else schema.simpleString()
+    shape = T.StructType.fromDDL(f"Body struct<`{name}`: {fields if fields.startswith('struct<') else T.StructType.fromDDL(fields).simpleString()}>")
+    read = F.from_xml(message, shape.simpleString(), {"attributePrefix": "_", "ignoreNamespace": "true"})
+    return F.when(action(message)["name"] == name, read["Body"][name])
 
 
 def envelope(content: Column) -> Column:

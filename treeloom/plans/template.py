@@ -90,9 +90,10 @@ class Nodes:
 class Template:
     """A template's text, compiled against a DataFrame's columns. Fragments are looked up by name among `files`."""
 
-    def __init__(self, source: str, files: dict[str, str] | None = None, csrf: str | None = None) -> None:
-        """With csrf, the name of a column, every form that has no such input gets a hidden one with its value."""
-        self.root, self.files, self.v1 = ET.fromstring(source), files or {}, V1 in source
+    def __init__(self, source: str, files: dict[str, str] | None = None, csrf: str | None = None, inline_errors: bool = False) -> None:
+        """With csrf, the name of a column, every form that has no such input gets a hidden one with its value. With inline_errors, an expression
+        that cannot be parsed or typed is told in the place of its element; else it raises."""
+        self.root, self.files, self.v1, self.inline_errors = ET.fromstring(source), files or {}, V1 in source, inline_errors
         for form in self.root.iter() if csrf else ():
             if form.tag.rpartition("}")[2] == "form" and not any(x.attrib.get("name") == "_csrf" for x in form):
                 form.insert(0, ET.Element(form.tag[: -len("form")] + "input", {"type": "hidden", "name": "_csrf", f"{{{NS}}}value": f"${{{csrf}}}"}))
@@ -131,6 +132,14 @@ class Template:
         return F.concat(*parts)
 
     def _node(self, e: ET.Element, c: Compiler) -> Column:
+        if not self.inline_errors:
+            return self._whole(e, c)
+        try:
+            return self._whole(e, c)
+        except ElError as error:
+            return escape_xml(F.lit(f"Error in {e.tag.rpartition('}')[2]}: {error}"))
+
+    def _whole(self, e: ET.Element, c: Compiler) -> Column:
         if e.tag.startswith(f"{{{V1}}}"):
             return self._v1(e, c)
         own = {k[len(NS) + 2 :]: v for k, v in e.attrib.items() if k.startswith(f"{{{NS}}}")}

@@ -55,6 +55,19 @@ def named_characters(xml: str) -> str:
     return _REFERENCE.sub(lambda m: html5.get(m[1], m[0]) if m[1] and m[1] not in _OWN else m[0], xml)
 
 
+_VERSION = re.compile(r"\ufeff?<\?xml\s+version\s*=\s*(['\"])1\.1\1")
+
+
+def _plain(xml: str) -> str:
+    """The text with the line ends of its version; characters that no document has reject it. A document of version 1.1 is read by the rules of 1.0 but for its line ends."""
+    if "\ufffe" in xml or "\uffff" in xml:
+        raise Rejected("a character that no document has")
+    if m := _VERSION.match(xml):
+        xml = xml[: m.end() - 4] + "1.0" + xml[m.end() - 1 :]
+        xml = re.sub("\r[\n\x85]|[\x85\u2028]", "\n", xml)
+    return xml
+
+
 def _bindings(pairs: list[tuple[str, str]], ns: dict) -> dict:
     """The prefixes in scope of an element with these attributes."""
     out = ns
@@ -81,7 +94,7 @@ def _read(xml: str, posts: array | None = None, fill: bool = False, held: int |
     text: list[str] = []
     said = io.StringIO()
     ids: dict[str, set[str]] = {}
-    xml = named_characters(xml)
+    xml = named_characters(_plain(xml))
 
     def add(kind: str, qname: str | None, value: str | None) -> None:
         nonlocal clock, made
@@ -453,7 +466,7 @@ def element(name: str, attributes: dict[str, Column], *content: Column) -> Colum
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 
 
-def _tokens(nodes: DataFrame, key: str, collapse: bool, indent: int, html: bool, comments: bool, cdata: bool) -> DataFrame:
+def _tokens(nodes: DataFrame, key: str, collapse: bool, indent: int, html: bool, comments: bool, cdata: bool, wrap: bool = False) -> DataFrame:
     """key, at, t: the text that each node but attributes and roots gives at its ranks."""
     from ..functions.strings import escape_xml
 
@@ -466,7 +479,8 @@ def _tokens(nodes: DataFrame, key: str, collapse: bool, indent: int, html: bool,
     inside = shown.groupBy(key, F.col("parent_pre").alias("pre")).agg(F.count("*").alias("_n"), F.bool_or(said).alias("_says"))
     attrs = nodes.filter("kind = 'attribute'").groupBy(key, F.col("parent_pre").alias("pre")).agg(F.array_sort(F.collect_list(F.struct("ord", F.concat(F.lit(" "), "qname", F.lit('="'), escape_xml(F.col("value"), True), F.lit('"')).alias("t")))).alias("_a"))
     body = shown.join(attrs, [key, "pre"], "left").join(inside, [key, "pre"], "left")
-    has = F.coalesce(F.array_join(F.transform("_a", lambda x: x["t"]), ""), F.lit(""))
+    line_end = F.concat(F.lit("\n"), F.repeat(F.lit(" "), (indent * (F.col("level") - 1)).cast("int") + F.length("qname") + 1)) if wrap else F.lit("")
+    has = F.coalesce(F.array_join(F.transform("_a", lambda x, i: F.concat(F.when(i > 0, line_end).otherwise(""), x["t"]) if wrap else x["t"]), ""), F.lit(""))
     element, empty = F.col("kind") == "element", F.col("_n").isNull()
     void = F.lower("local").isin(VOID) if html else F.lit(False)
     one = empty & ~void if collapse and not html else F.lit(False)
@@ -486,13 +500,20 @@ def _tokens(nodes: DataFrame, key: str, collapse: bool, indent: int, html: bool,
     return both.select(key, "e.*")
 
 
-def from_nodes(nodes: DataFrame, key: str = "doc_id", collapse: bool = False, indent: int = 0, html: bool = False, comments: bool = True, cdata: bool = True) -> DataFrame:
+def from_nodes(
+    nodes: DataFrame, key: str = "doc_id", collapse: bool = False, indent: int = 0, html: bool = False, comments: bool = True, cdata: bool = True, wrap: bool = False, prolog: bool = False, doctype: str | None = None
+) -> DataFrame:
     """key, xml: each document written again from its node rows, one aggregation for all: every node gives its opening and closing text at its ranks.
 
     collapse: an empty element is one tag. indent: blanks for each level, on lines of their own, where an element has no text of its own. html: void elements have
-    no end tag, all others do. comments: whether they are written. cdata: whether CDATA sections stay such.
+    no end tag, all others do. comments: whether they are written. cdata: whether CDATA sections stay such. wrap: an element's second and further attributes stand
+    on lines of their own, below the first. prolog: whether an XML declaration comes first. doctype: a document type's declaration, written
+    after it.
     """
-    said = _tokens(nodes, key, collapse, indent, html, comments, cdata)
+    said = _tokens(nodes, key, collapse, indent, html, comments, cdata, wrap)
+    first = ('<?xml version="1.0" encoding="UTF-8"?>\n' if prolog else "") + (f"{doctype}\n" if doctype else "")
+    if first:
+        said = said.unionByName(nodes.filter("kind = 'root'").select(key, F.lit(-1).cast("long").alias("at"), F.lit(first).alias("t")))
     return said.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]), "").alias("xml"))
 
 
