@@ -241,8 +241,9 @@ def model(path: str) -> PieceBpe:
 def encode_table(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
     """Every whole text encoded with begin and end ids and decoded again: key, n_tokens, ids_sha256, decoded_sha256[, ids].
 
-    Null counts as empty, which gives the begin and end ids. Any row gives a row; keys are passed on as they are; other
-    columns are not read. The work is row by row: no shuffle, and memory bounded by one step of texts.
+    Null counts as empty, which gives the begin and end ids. Any row gives a row: repeated rows give equal ones, null keys and ties are
+    passed on as they are, an empty table gives none; texts of any length are encoded whole. Other columns are not read, so their names are free.
+    The work is row by row: no shuffle, and memory bounded by one step of texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,7 +67,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     Components are scaled to floor(256 * x) and scores are exact 64-bit integers; a score beyond 64 bits counts as the nearest
     of -(2^63 - 1) and 2^63 - 1. Ties go to the smaller id. A vector
     that is null or holds a null or non-finite component takes no part; vectors of different dimensions are not
-    compared; a row with the query's own id is no candidate. Fewer than k candidates: all. Repeated rows count each.
+    compared; a row with the query's own id is no candidate. Fewer than k candidates: all. Repeated rows count each. Rows without an id take no
+    part; an empty table or one without queries gives an empty result; other columns are not read, so their names are free.
 
     Queries are taken in blocks of about QUERY_BLOCK (the only thing broadcast). For a block, every pass scores all
     rows in place and sends home counts only: BINS bins of each query's current score interval. The interval
