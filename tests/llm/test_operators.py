@@ -303,6 +303,26 @@ def test_large_groups_are_split_without_losing_links(spark, monkeypatch):
     assert found == {i: least[c] for (i, _), c in zip(rows, labels)}
 
 
+def test_chains_and_clusters_in_one_large_group(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 900)
+    monkeypatch.setattr(neardup, "BLOCK_SETS", 4)
+    monkeypatch.setattr(neardup, "PIVOTS", 2)
+    rng = np.random.default_rng(21)
+    words = [f"c{k}" for k in range(400)]
+    rows = [(i, " ".join(words[i * 6 : i * 6 + 160])) for i in range(40)]  # each near the next ones only
+    base = words[30:190]
+    for i in range(25):
+        other = list(base)
+        for k in rng.integers(0, 160, 2):
+            other[k] = f"z{rng.integers(0, 99)}"
+        rows.append((100 + i, " ".join(other)))
+    found = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    labels, least = brute_classes([t for _, t in rows]), {}
+    for (i, _), c in zip(rows, labels):
+        least[c] = min(i, least.get(c, i))
+    assert found == {i: least[c] for (i, _), c in zip(rows, labels)}
+
+
 def test_spanning_links_by_brute_force():
     rng = np.random.default_rng(6)
     sets = []
