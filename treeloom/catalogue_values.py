@@ -373,3 +373,16 @@ def soap_texts(spark, d):
     call = F.concat(F.lit('<e:Envelope xmlns:e="u"><e:Body><q:f xmlns:q="p"><q:a>'), "event_type", F.lit(' xmlns="q" and</q:a><b><![CDATA[<b:c xmlns="k">'), "user_id", F.lit(']]></b><c k="'), "user_id", F.lit('">t</c></q:f></e:Body></e:Envelope>'))
     p = soap.parameters(call, "f", "a string, b string, c struct<_k: bigint, _VALUE: string>")
     return table(spark, d, "events").select("event_id", p.alias("p")).select("event_id", "p.a", "p.b", F.col("p.c._k").alias("k"))
+
+
+@query(f"SELECT event_id, '[' || event_id || ',' || CASE event_id % 3 WHEN 0 THEN k || ']' WHEN 1 THEN user_id || ',' || k || ']' ELSE user_id || ',null,' || k || ']' END AS put, '[' || user_id || ']' AS cut, true AS own, event_id = user_id * 2 AS double, CASE WHEN event_id % 3 = 0 THEN '[null,' || k || ']' ELSE '[' || k || ']' END AS fresh FROM {_K}".replace("event_id = user_id * 2 AS double", "(event_id = user_id * 2 OR user_id = 0) AS double"))
+def json_arrays(spark, d):
+    """Members set beyond an array's end, ranges taken out, members of any kind found."""
+    v, n = F.col("v"), F.col("event_id")
+    one = lambda c: F.try_variant_get(F.to_variant_object(F.array(c)), "$[0]", "variant")
+    xs, k, show = json_values.get(v, "$.xs"), one(F.col("k")), json_values.to_text
+    none = json_values.parse(F.lit("null"))
+    return _numbers(spark, d).select(
+        "event_id", show(json_values.put_at(xs, (n % 3 + 1).cast("int"), k)).alias("put"), show(json_values.erase_range(xs, F.lit(0), F.lit(1))).alias("cut"), json_values.has_member(xs, one(n.cast("double"))).alias("own"),
+        json_values.has_member(xs, json_values.multiply(one(F.col("user_id")), json_values.parse(F.lit("2")))).alias("double"), show(json_values.put_at(none, F.when(n % 3 == 0, 1).otherwise(0), k)).alias("fresh"),
+    )

@@ -415,3 +415,14 @@ def dtd_typed_attributes(spark, d):
     table_ = spark.createDataFrame([tuple(x[k] for k in ("element", "attribute", "type", "default", "required", "fixed")) for x in declared], "element string, attribute string, type string, default string, required boolean, fixed boolean")
     nodes = X.written(X.shred(p.select(F.col("p_partkey").alias("doc_id"), xml.alias("xml")), texts=False))
     return X.from_nodes(dtd.typed_attributes(nodes, table_))
+
+
+@query("SELECT p_partkey AS doc_id, CASE p_size % 6 WHEN 0 THEN 'not well-formed' WHEN 1 THEN 'invalid' WHEN 2 THEN 'invalid' WHEN 3 THEN 'invalid' ELSE 'valid' END AS verdict, CASE p_size % 6 WHEN 1 THEN 'wrong content: b at 2' WHEN 2 THEN 'wrong value: pic=other' WHEN 3 THEN 'wrong content: too short' END AS problem FROM part")
+def dtd_verdicts(spark, d):
+    """Documents that are not well-formed, invalid or valid, with the first violation; pictures must name an unparsed entity."""
+    p = table(spark, d, "part")
+    ways = ["<d><a></d>", "<d><a/><b/><a/></d>", '<d pic="other"><a/></d>', "<d/>", "<d><a/></d>", '<d pic="one"><a/><a/></d>']
+    xml = F.element_at(F.array(*map(F.lit, ways)), (F.col("p_size") % 6 + 1).cast("int"))
+    rules = '<!NOTATION png SYSTEM "p"> <!ENTITY one SYSTEM "u" NDATA png> <!ELEMENT d (a+)> <!ELEMENT a EMPTY> <!ELEMENT b EMPTY> <!ATTLIST d pic ENTITY #IMPLIED>'
+    found = dtd.judged(p.select(F.col("p_partkey").alias("doc_id"), xml.alias("xml")), rules)
+    return found.select("doc_id", "verdict", F.when(F.col("verdict") == "invalid", F.col("problem")).alias("problem"))

@@ -187,6 +187,24 @@ def insert_at(v: Column, index: Column, x: Column) -> Column:
     return F.when(type_name(v).isin("array", "null"), F.to_variant_object(F.concat(F.slice(listed, F.lit(1), i), F.array(x), F.slice(listed, i + 1, F.size(listed)))))
 
 
+def put_at(v: Column, index: Column, x: Column) -> Column:
+    """The array (or null, an empty one) with that member at a place from 0; an array that is too short grows by nulls. Null for other values and places below 0."""
+    listed = of_list(v)
+    none = F.parse_json(F.lit("null"))
+    grown = F.concat(listed, F.when(index >= F.size(listed), F.array_repeat(none, index - F.size(listed) + 1)).otherwise(F.array().cast(_LIST)))
+    return F.when(type_name(v).isin("array", "null") & (index >= 0), F.to_variant_object(F.transform(grown, lambda y, i: F.when(i == index, x).otherwise(y))))
+
+
+def erase_range(v: Column, begin: Column, end: Column) -> Column:
+    """The array without the members from a place up to before another one."""
+    return F.when(type_name(v) == "array", F.to_variant_object(F.filter(of_list(v), lambda x, i: (i < begin) | (i >= end))))
+
+
+def has_member(v: Column, x: Column) -> Column:
+    """Whether an array has a member that equals a value of any kind."""
+    return (type_name(v) == "array") & F.exists(of_list(v), lambda y: equals(y, x))
+
+
 def erase_at(v: Column, index: Column) -> Column:
     """The array without the member at a place from 0."""
     return F.when(type_name(v) == "array", F.to_variant_object(F.filter(of_list(v), lambda x, i: i != index)))
@@ -217,7 +235,7 @@ def items(v: Column) -> Column:
 
 def negate(v: Column) -> Column:
     """The number with its sign turned; null for other values."""
-    return F.when(type_name(v) == "integer", _value(-_long(v))).when(type_name(v) == "float", _value(-_double(v)))
+    return F.when(type_name(v) == "integer", _value(F.try_subtract(F.lit(0).cast("bigint"), _long(v)))).when(type_name(v) == "float", _value(-_double(v)))
 
 
 def extract(v: Column, kind: str, default: Column) -> Column:

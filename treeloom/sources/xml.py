@@ -55,6 +55,7 @@ def named_characters(xml: str) -> str:
     return _REFERENCE.sub(lambda m: html5.get(m[1], m[0]) if m[1] and m[1] not in _OWN else m[0], xml)
 
 
+_DECLARED_VERSION = re.compile(r"\ufeff?<\?xml\s+version\s*=\s*['\"]([^'\"]*)['\"]")
 _VERSION = re.compile(r"\ufeff?<\?xml\s+version\s*=\s*(['\"])1\.1\1")
 
 
@@ -62,6 +63,8 @@ def _plain(xml: str) -> str:
     """The text with the line ends of its version; characters that no document has reject it. A document of version 1.1 is read by the rules of 1.0 but for its line ends."""
     if "\ufffe" in xml or "\uffff" in xml:
         raise Rejected("a character that no document has")
+    if (m := _DECLARED_VERSION.match(xml)) and m[1] not in ("1.0", "1.1"):
+        raise Rejected(f"unknown version {m[1]}")
     if m := _VERSION.match(xml):
         xml = xml[: m.end() - 4] + "1.0" + xml[m.end() - 1 :]
         xml = re.sub("\r[\n\x85]|[\x85\u2028]", "\n", xml)
@@ -440,8 +443,9 @@ _DECLARED = re.compile(r"<!(ELEMENT|ATTLIST|ENTITY|NOTATION)\s+([^>]*)>", re.S)
 
 def dtd_declarations(dtd: str) -> dict[str, list[dict]]:
     """Element models and attribute declarations of an internal subset, read on the driver: a DTD is shared by many documents."""
-    out: dict[str, list[dict]] = {"elements": [], "attributes": [], "notations": []}
+    out: dict[str, list[dict]] = {"elements": [], "attributes": [], "notations": [], "unparsed": []}
     p = expat.ParserCreate()
+    p.EntityDeclHandler = lambda name, parameter, value, base, system, public, notation: notation and out["unparsed"].append({"entity": name, "system": system, "notation": notation})
 
     p.ElementDeclHandler = lambda name, m: out["elements"].append({"element": name, "content": m, "any": m[0] == expat.model.XML_CTYPE_ANY, "mixed": m[0] == expat.model.XML_CTYPE_MIXED})
     p.AttlistDeclHandler = lambda e, a, kind, default, required: out["attributes"].append({"element": e, "attribute": a, "type": kind, "default": default, "required": bool(required) and default is None, "fixed": bool(required) and default is not None})
