@@ -202,7 +202,8 @@ def erase_range(v: Column, begin: Column, end: Column) -> Column:
 
 def has_member(v: Column, x: Column) -> Column:
     """Whether an array has a member that equals a value of any kind."""
-    return (type_name(v) == "array") & F.exists(of_list(v), lambda y: equals(y, x))
+    keys = F.transform(F.array(x), sort_key)  # worked out once, not for each member
+    return (type_name(v) == "array") & F.exists(keys, lambda k: F.exists(of_list(v), lambda y: sort_key(y) == k))
 
 
 def erase_at(v: Column, index: Column) -> Column:
