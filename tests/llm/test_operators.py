@@ -303,7 +303,9 @@ def test_large_groups_are_split_without_losing_links(spark, monkeypatch):
     assert found == {i: least[c] for (i, _), c in zip(rows, labels)}
 
 
-def test_chains_and_clusters_in_one_large_group(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [40, 3])
+def test_chains_and_clusters_in_one_large_group(spark, monkeypatch, blocks):
+    monkeypatch.setattr(neardup, "MOST_BLOCKS", blocks)
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 900)
     monkeypatch.setattr(neardup, "BLOCK_SETS", 4)
     monkeypatch.setattr(neardup, "PIVOTS", 2)

@@ -283,48 +283,59 @@ def _labels(rows: DataFrame) -> DataFrame:
     sized = join_hot(members, sums, "label")
     tasks = sized.filter("blocks <= 2").drop("blocks").withColumn("part", F.col("node")).withColumn("_pair", F.lit("all"))
     known, links = _by_pivots(sized.filter("blocks > 2").drop("blocks"))
-    # where sets of different parts share a band, those outside the band's largest part meet it and each other, in blocks
-    entries = kept(keys.distinct().join(shared.select("band"), "band").join(known, "node"), "entries")
-    of_part = entries.groupBy("band", "part").agg(F.count("*").alias("sets"), F.sum(F.col("n").cast("long")).alias("n"))
-    whole = of_part.groupBy("band").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("sets", "part")).alias("largest"), F.max(F.struct("sets", "part", "n"))["n"].alias("n_largest"), F.max("sets").alias("most"), F.sum("sets").alias("sets"), F.sum("n").alias("n")).filter("parts > 1")
+    # the sets of a group meet in blocks; where these are many, only those that share a band do
+    known = kept(known, "parts")
+    many = known.groupBy("label").agg(F.ceil(F.greatest(F.sum(F.col("n").cast("long")) / BLOCK_SHINGLES, F.count("*") / BLOCK_SETS)).alias("blocks")).filter(F.col("blocks") > MOST_BLOCKS).select("label", F.lit(True).alias("many"))
+    if many.isEmpty():
+        entries = known.withColumnRenamed("label", "group")
+    else:
+        known = join_hot(known, many, "label", "left")
+        by_band = keys.distinct().join(shared.select("band"), "band").join(known.filter("many"), "node").select("node", "n", "part", F.col("band").alias("group"))
+        entries = kept(known.filter("many IS NULL").select("node", "n", "part", F.col("label").alias("group")).unionByName(by_band), "entries")
+    # of a group's parts, those outside the largest meet it and each other
+    of_part = entries.groupBy("group", "part").agg(F.count("*").alias("sets"), F.sum(F.col("n").cast("long")).alias("n"))
+    whole = of_part.groupBy("group").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("sets", "part")).alias("largest"), F.max(F.struct("sets", "part", "n"))["n"].alias("n_largest"), F.max("sets").alias("most"), F.sum("sets").alias("sets"), F.sum("n").alias("n")).filter("parts > 1")
     size = lambda n, sets: F.ceil(F.greatest(n / BLOCK_SHINGLES, sets / BLOCK_SETS)).cast("int")
-    whole = whole.select("band", "largest", size(F.col("n_largest"), F.col("most")).alias("known"), size(F.col("n") - F.col("n_largest"), F.col("sets") - F.col("most")).alias("open"))
-    dealt = join_hot(entries, whole, "band")
+    whole = whole.select("group", "largest", size(F.col("n_largest"), F.col("most")).alias("known"), size(F.col("n") - F.col("n_largest"), F.col("sets") - F.col("most")).alias("open"))
+    dealt = join_hot(entries, whole, "group")
     number = F.xxhash64(F.lit("block"), "node")
     its_known, its_open = (F.pmod(number, F.col(c)).cast("string") for c in ("known", "open"))
     to = lambda c: F.transform(F.sequence(F.lit(0), F.col(c) - 1), lambda i: i.cast("string"))
     few = F.col("known") + F.col("open") <= 2
-    pairs = F.when(few, F.array(F.lit("band"))).when(F.col("part") == F.col("largest"), F.transform(to("open"), lambda i: F.concat(its_known, F.lit("k"), i))).otherwise(
+    pairs = F.when(few, F.array(F.lit("one"))).when(F.col("part") == F.col("largest"), F.transform(to("open"), lambda i: F.concat(its_known, F.lit("k"), i))).otherwise(
         F.concat(F.transform(to("known"), lambda i: F.concat(i, F.lit("k"), its_open)), F.transform(to("open"), lambda i: F.concat(F.least(i, its_open), F.lit("o"), F.greatest(i, its_open))))
     )
-    met = dealt.select("node", F.col("band").alias("label"), "part", F.explode(pairs).alias("_pair"))
+    met = dealt.select("node", F.col("group").alias("label"), "part", F.explode(pairs).alias("_pair"))
     more = met.join(members.select("node", "n", "shingles", "counts"), "node").select(*tasks.columns)
     return components(_links(tasks.unionByName(more)).unionByName(links), "classes")
 
 
-#: Pivots that a group meets one after the other, at most.
-PIVOTS = 6
+#: Pivots that a group meets one after the other, at most; blocks of a group from which only sets that share a band meet.
+PIVOTS, MOST_BLOCKS = 6, 40
 
 
 def _by_pivots(large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, n, part for every set; links): sets of large groups and the parts that they are known to belong to.
+    """(node, label, n, part for every set; links): sets of large groups and the parts that they are known to belong to.
 
     Every set is compared with its group's pivot where it lies; those near it are one part, and the others meet a new pivot, until
-    no group has more of them than a block, or PIVOTS times. What is left are parts of their own.
+    no group has more of them than a block, a pivot takes less than a tenth of them, or PIVOTS times. What is left are parts of their own.
     """
     left, parts, links = large, [], []
+    before = None
     for _ in range(PIVOTS):
         pivots = left.groupBy("label").agg(F.min_by(F.struct("node", "shingles", "counts"), "node").alias("p"))
         pivots = pivots.select("label", F.col("p.node").alias("part"), F.col("p.shingles").alias("p_shingles"), F.col("p.counts").alias("p_counts"))
         judged = join_hot(left, pivots, "label").select("node", "label", "n", "shingles", "counts", "part", "p_shingles", "p_counts")
         judged = kept(judged.mapInArrow(_with_pivot, "node long, label long, n int, shingles binary, counts binary, part long, linked boolean"), "judged")
         near = judged.filter("linked OR node = part")
-        parts.append(near.select("node", "n", "part"))
+        parts.append(near.select("node", "label", "n", "part"))
         links.append(near.filter("node <> part").select(F.col("node").alias("u"), F.col("part").alias("v")))
         left = judged.filter("NOT linked AND node <> part").drop("part", "linked")
-        if (left.groupBy("label").count().agg(F.max("count")).first()[0] or 0) <= BLOCK_SETS:
+        most, now = (x or 0 for x in left.groupBy("label").count().agg(F.max("count"), F.sum("count")).first())
+        if most <= BLOCK_SETS or now > 0.9 * (before or judged.count()):
             break
-    parts.append(left.select("node", "n", F.col("node").alias("part")))
+        before = now
+    parts.append(left.select("node", "label", "n", F.col("node").alias("part")))
     return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, links)
 
 
@@ -341,8 +352,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", weighted:
 
     Equal weighted sets collapse to one node first, so copies cost nothing later. Candidate groups (components of shared
     bands) are compared exactly. A group of up to two blocks is one task's. In a larger one, every member is first compared
-    with pivots where it lies; those near one are one part (_by_pivots). Sets of different parts meet only where they share a
-    band: there the band's largest part and the others meet in blocks, so a group that is linked by chains is not compared in all pairs.
+    with pivots where it lies; those near one are one part (_by_pivots). Then the largest part and the others meet in blocks; in a
+    group of more than MOST_BLOCKS, only sets that share a band do, so one that is linked by chains is not compared in all pairs.
     Tasks put out spanning forests: links number fewer than nodes, and no link that would join two classes is lost.
     """
     rows = kept(sketches(docs, key, text, weighted), "sketches")
