@@ -17,6 +17,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     unless the model calls a text without toxic words toxic. Texts of any length are scored whole. Without labels of both
     classes, and of an empty table, every row stays. Other columns stay as they are, whatever their names.
     """
+    store.small_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, model, queries.THRESHOLD)
 
@@ -27,6 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Ties of equal ids go to the smaller hash of the text; of repeated rows one stays. Null, empty and blank texts are one
     group. Texts of any length count whole; an empty table stays empty; other columns stay as they are, whatever their names and types.
     """
+    store.small_batches(spark)
     return neardup.keep_one(docs)
 
 
@@ -45,6 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are one piece of one token; null ids and repeated rows are documents like others; equal lengths are
     placed by content and id; texts of any length are cut whole; an empty table gives no row. Other columns are not read.
     """
+    store.small_batches(spark)
     return packing.pack_documents(docs, queries.tokenizer_path("word_bpe_49k.json"))
 
 

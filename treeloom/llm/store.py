@@ -21,6 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch between an executor and its Python workers, about.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of about BATCH_BYTES in this session, unless it has a setting of its own. Spark's 10,000 rows are some 30 MB of
+    texts, which a task holds several times, in the JVM's native memory and in its worker; rows of any size still go through whole."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The given column names, each with as many underscores before it as make it new to df, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -50,19 +62,19 @@ def gathered(parts: Iterable[DataFrame], name: str) -> DataFrame | None:
     return None if first is None else first.sparkSession.read.schema(first.schema).parquet(path)
 
 
-#: A key with more than one row in this many is hot, so there are fewer hot keys than this.
-HOT_SHARE = 512
+#: A key with more than one row in this many is hot, so there are fewer hot keys than this; one with fewer rows than HOT_ROWS never is.
+HOT_SHARE, HOT_ROWS = 512, 1000
 
 
-def join_hot(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """rows joined with lookup, which has a row for each key at most.
+def join_hot(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", most: int | None = None) -> DataFrame:
+    """rows joined with lookup, which has a row for each key at most. most: as many rows as there are, or more; where it is not given, they are counted.
 
     Keys with over 1/HOT_SHARE of the rows are fewer than HOT_SHARE by definition; their lookup rows are
     broadcast, so that such rows stay where they are. All other keys go through an ordinary join.
     """
     counts = rows.filter(F.col(key).isNotNull()).groupBy(key).count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    hot = [r[0] for r in counts.filter(F.col("count") > max(1000, total // HOT_SHARE)).select(key).collect()]
+    total = (counts.agg(F.sum("count")).first()[0] or 0) if most is None else most
+    hot = [r[0] for r in counts.filter(F.col("count") > max(HOT_ROWS, total // HOT_SHARE)).select(key).collect()] if total > HOT_ROWS else []
     if not hot:
         return rows.join(lookup, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
