@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.xml import spread
+
 AXES = ("ancestor-or-self", "ancestor", "attribute", "child", "descendant-or-self", "descendant", "following-sibling", "following", "namespace", "parent", "preceding-sibling", "preceding", "self")
 REVERSE = frozenset(("ancestor", "ancestor-or-self", "preceding", "preceding-sibling"))
 #: Least and most arguments of the core functions; None: any number.
@@ -355,7 +357,7 @@ class Evaluator:
             return rows
         if isinstance(tree, Var) and self._is_set(tree):
             chosen = self.variables[tree.name].select(F.col(self.key).alias("doc"), "pre").distinct()
-            found = self.nodes.select(F.col(self.key).alias("doc"), *_NODE).join(chosen, ["doc", "pre"], "left_semi")
+            found = spread(self.nodes.select(F.col(self.key).alias("doc"), *_NODE).join(chosen, ["doc", "pre"], "left_semi"))
             return context.select("doc", "ctx", "rid").join(found, "doc").withColumn("rid", F.concat("rid", F.array("pre"))).select("doc", "ctx", "rid", *_NODE)
         if not isinstance(tree, Path):
             raise XPathError("a node-set is expected")
@@ -560,7 +562,7 @@ def xpath(nodes: DataFrame, expression: str, key: str = "doc_id", variables: dic
 
 def matches(nodes: DataFrame, rows: DataFrame, expression: str, key: str = "doc_id") -> DataFrame:
     """Those of the node rows that the expression selects."""
-    return rows.join(xpath(nodes, expression, key).select(key, "pre").distinct(), [key, "pre"], "left_semi")
+    return spread(rows.join(xpath(nodes, expression, key).select(key, "pre").distinct(), [key, "pre"], "left_semi"))
 
 
 def first(nodes: DataFrame, expression: str, key: str = "doc_id") -> DataFrame:

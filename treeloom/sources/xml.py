@@ -323,7 +323,14 @@ def shred(docs: DataFrame, key: str = "doc_id", xml: str = "xml", texts: bool =
             if rows:
                 yield batch(keys, rows, b.schema.field(0).type)
 
-    return docs.select(key, xml).mapInArrow(run, f"`{key}` {kind}, {NODES}")
+    return spread(docs.select(key, xml).mapInArrow(run, f"`{key}` {kind}, {NODES}"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows, joined by sorting and merging. Files hold a node in 2 to 4 bytes, and a step reads a few of its columns, so the planner takes millions of
+    nodes for small and would send them whole through the driver to every executor. The hint holds through filters, projections, windows and
+    aggregates; behind a semi or anti join, whose size is taken to be its left side's, and a union it is given again."""
+    return rows.hint("merge")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -347,7 +354,7 @@ def written(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     spark = nodes.sparkSession
     path = f"{shared_folder(spark)}/nodes-{fresh_name()}"
     nodes.write.parquet(path)
-    return spark.read.schema(nodes.schema).parquet(path)
+    return spread(spark.read.schema(nodes.schema).parquet(path))
 
 
 def string_values(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -479,10 +486,10 @@ def _tokens(nodes: DataFrame, key: str, collapse: bool, indent: int, html: bool,
     said = F.col("kind").isin("text", "cdata") & ~blank
     if indent:
         mixed = shown.filter(said).select(key, "parent_pre").distinct().withColumn("_mixed", F.lit(True))
-        shown = shown.join(mixed, [key, "parent_pre"], "left").filter(~blank | F.col("_mixed"))
+        shown = spread(shown.join(mixed, [key, "parent_pre"], "left").filter(~blank | F.col("_mixed")))
     inside = shown.groupBy(key, F.col("parent_pre").alias("pre")).agg(F.count("*").alias("_n"), F.bool_or(said).alias("_says"))
     attrs = nodes.filter("kind = 'attribute'").groupBy(key, F.col("parent_pre").alias("pre")).agg(F.array_sort(F.collect_list(F.struct("ord", F.concat(F.lit(" "), "qname", F.lit('="'), escape_xml(F.col("value"), True), F.lit('"')).alias("t")))).alias("_a"))
-    body = shown.join(attrs, [key, "pre"], "left").join(inside, [key, "pre"], "left")
+    body = shown.join(attrs, [key, "pre"], "left").join(spread(inside), [key, "pre"], "left")
     line_end = F.concat(F.lit("\n"), F.repeat(F.lit(" "), (indent * (F.col("level") - 1)).cast("int") + F.length("qname") + 1)) if wrap else F.lit("")
     has = F.coalesce(F.array_join(F.transform("_a", lambda x, i: F.concat(F.when(i > 0, line_end).otherwise(""), x["t"]) if wrap else x["t"]), ""), F.lit(""))
     element, empty = F.col("kind") == "element", F.col("_n").isNull()
@@ -518,7 +525,7 @@ def from_nodes(
     first = ('<?xml version="1.0" encoding="UTF-8"?>\n' if prolog else "") + (f"{doctype}\n" if doctype else "")
     if first:
         said = said.unionByName(nodes.filter("kind = 'root'").select(key, F.lit(-1).cast("long").alias("at"), F.lit(first).alias("t")))
-    return said.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]), "").alias("xml"))
+    return spread(said.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]), "").alias("xml")))
 
 
 def subtrees(nodes: DataFrame, targets: DataFrame, key: str = "doc_id", collapse: bool = False, indent: int = 0, html: bool = False, comments: bool = True, cdata: bool = True) -> DataFrame:
@@ -530,10 +537,10 @@ def subtrees(nodes: DataFrame, targets: DataFrame, key: str = "doc_id", collapse
     from ..functions.strings import escape_xml
     from ..operators.intervals import texts
 
-    wanted = nodes.join(targets.select(key, "pre").distinct(), [key, "pre"], "left_semi")
+    wanted = spread(nodes.join(targets.select(key, "pre").distinct(), [key, "pre"], "left_semi"))
     own = wanted.filter("kind = 'attribute'").select(key, "pre", F.concat("qname", F.lit('="'), escape_xml(F.col("value"), True), F.lit('"')).alias("xml"))
     spans = wanted.filter("kind <> 'attribute'").select(key, F.col("pre").alias("begin"), F.col("post").alias("end"))
     said = _tokens(nodes, key, collapse, indent, html, comments, cdata).withColumnRenamed("t", "value")
     written_ = texts(said, spans, key)
     rest = spans.join(written_, [key, "begin"], "left").select(key, F.col("begin").alias("pre"), F.coalesce("text", F.lit("")).alias("xml"))
-    return rest.unionByName(own)
+    return spread(rest.unionByName(own))
