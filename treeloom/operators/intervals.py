@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.xml import spread
+
 #: Ranks of one bucket. A segment of level k has FANOUT^k ranks; LEVELS of them cover 2^40 ranks.
 BUCKET, FANOUT, LEVELS = 4096, 16, 10
 
@@ -19,7 +21,7 @@ def _summed(rows: DataFrame, keys: list[str], value: Column, name: str, order: l
     inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, "_b").agg(F.sum(value).alias("_t")).withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
-    return rows.withColumn("_in", F.sum(value).over(inside)).join(totals, [*keys, "_b"]).withColumn(name, F.col("_in") + F.col("_before")).drop("_in", "_before")
+    return rows.withColumn("_in", F.sum(value).over(inside)).join(spread(totals), [*keys, "_b"]).withColumn(name, F.col("_in") + F.col("_before")).drop("_in", "_before")
 
 
 def numbered(rows: DataFrame, keys: list[str], rank: Column, order: list[Column], name: str) -> DataFrame:
@@ -48,7 +50,7 @@ def held(points: DataFrame, intervals: DataFrame, key: str, carry: bool = False)
     last = rows.groupBy(key, "open", "_b").agg(F.max_by("_carry", F.when(F.col("_kind") == 0, F.col("at"))).alias("_last"))
     last = last.withColumn("_before", F.last("_last", True).over(before)).drop("_last")
     inside = Window.partitionBy(key, "open", "_b").orderBy("at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_in", F.last("_carry", True).over(inside)).join(last, [key, "open", "_b"])
+    rows = rows.withColumn("_in", F.last("_carry", True).over(inside)).join(spread(last), [key, "open", "_b"])
     return rows.filter("_kind = 1").select(key, "at", "open", F.coalesce("_in", "_before")["carry"].alias("inner"))
 
 
@@ -78,7 +80,7 @@ def covering(points: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
     p = points.select(key, "at", F.explode(part_of(F.col("at"))).alias("_s")).select(key, "at", "_s.*")
     rest = [c for c in intervals.columns if c not in (key, "begin", "end")]
     i = intervals.select(key, *rest, F.explode(segments(F.col("begin"), F.col("end"))).alias("_s")).select(key, *rest, "_s.*")
-    return p.join(i, where).select(key, "at", *rest)
+    return spread(p).join(i, where).select(key, "at", *rest)
 
 
 def texts(said: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
@@ -88,10 +90,10 @@ def texts(said: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
     """
     where = [key, "level", "part"]
     needed = intervals.select(key, "begin", F.explode(segments(F.col("begin"), F.col("end"))).alias("_s")).select(key, "begin", "_s.*")
-    used = needed.select(*where).distinct()
+    used = spread(needed.select(*where).distinct())
     parts = said.select(key, "at", "value", F.explode(part_of(F.col("at"))).alias("_s")).select(key, "at", "value", "_s.*").join(used, where, "left_semi")
     in_order = lambda at, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda x: x[value]), "")
     parts = parts.groupBy(*where).agg(in_order("at", "value").alias("value"))
     first = reduce(lambda c, k: F.when(F.col("level") == k, F.col("part") * FANOUT**k).otherwise(c), range(1, LEVELS), F.col("part"))
-    found = needed.join(parts, where).withColumn("first", first)
+    found = needed.join(spread(parts), where).withColumn("first", first)
     return found.groupBy(key, "begin").agg(in_order("first", "value").alias("text"))
