@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.typed import from_text
+from ..sources.xml import spread
 
 _NAMES = {T.BooleanType: "xsd:boolean", T.TimestampType: "xsd:dateTime", T.DateType: "xsd:date"}
 
@@ -31,7 +32,7 @@ def assemble(nodes: DataFrame, targets: DataFrame, schema: str | T.StructType, k
 
 def _structs(nodes: DataFrame, targets: DataFrame, shape: T.StructType, key: str, defaults: dict[str, object], at: str) -> DataFrame:
     own = [key, "parent_pre"]
-    below = nodes.filter("kind IN ('element', 'attribute')").join(targets.select(key, F.col("pre").alias("parent_pre")), own, "left_semi")
+    below = spread(nodes.filter("kind IN ('element', 'attribute')").join(targets.select(key, F.col("pre").alias("parent_pre")), own, "left_semi"))
     below = below.withColumn("_name", F.when(F.col("kind") == "attribute", F.concat(F.lit("_"), "local")).otherwise(F.col("local")))
     out, fields, flat = targets, [], []
     for i, f in enumerate(shape.fields):
